@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, quality
+from . import bpe, hmm, langid, mixing, quality, simhash, topk
 from .common import fold, table
 
 
+def op1_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold("doc_id", 7) == 2
+    return hmm.score(table(spark, sf_dir, "documents"), ~held_out, {"doc_id": F.col("doc_id"), "held_out": held_out})
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -18,6 +23,15 @@ def op4_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def word_bpe_file() -> str:
     import public_tokenizers
 
@@ -36,5 +50,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, keep={"doc_id": F.col("doc_id"), "held_out": held_out})
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mixing, op4_quality_outliers, op9_bpe_trie, op10_language_id)}
-ORACLE_SQL = {"op2_source_mixing": mixing.MIX_SQL.format(docs="documents")}
+QUERIES = {f.__name__: f for f in (op1_hmm_scores, op2_source_mixing, op4_quality_outliers, op6_exact_top_k, op8_simhash_components, op9_bpe_trie, op10_language_id)}
+ORACLE_SQL = {"op2_source_mixing": mixing.MIX_SQL.format(docs="documents"), "op6_exact_top_k": topk.TOP_K_SQL.format(vectors="embeddings")}
