@@ -174,32 +174,48 @@ def _text(name: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit("~"))
 
 
-def judge(measured: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """``measured`` (a stored table) with ``distance`` double and ``kept`` boolean.
+def _group(lang_col: str, source_col: str) -> Column:
+    return F.concat_ws("\x1f", _text(lang_col), _text(source_col))
 
-    Estimates come from rows that passed the base rule. The tables of estimates are written between the levels, and
-    joined by key: Spark broadcasts them only while they are below its size threshold.
+
+def fit(measured: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The estimates (_group, center, inverse) of the groups of ``measured``, a stored table.
+
+    They come from rows that passed the base rule. The estimates of each level are written out and joined by key:
+    Spark broadcasts them only while they are below its size threshold.
     """
-    rows = measured.withColumn("_lang", _text(lang_col)).withColumn("_group", F.concat_ws("\x1f", _text(lang_col), _text(source_col)))
-    good = rows.where(~F.col("base_failed"))
     names = list(FEATURES)
-    fit = None
+    good = measured.where(~F.col("base_failed")).select(_text(lang_col).alias("_lang"), _group(lang_col, source_col).alias("_group"), *names)
+    by_lang = None
     for _ in range(STEPS):
-        fit = _step(good.select("_lang", *names), "_lang", fit, False)
-    fit = materialize(fit, "mcd-lang")
-    cross = good.select("_group", "_lang", *names)
-    start = cross.select("_group", "_lang").distinct().join(fit, "_lang").drop("_lang")
-    centers = fit.select("_lang", F.col("center").alias("center0"))
-    own = start
+        by_lang = _step(good.select("_lang", *names), "_lang", by_lang, False)
+    by_lang = materialize(by_lang, "mcd-lang")
+    own = good.select("_group", "_lang").distinct().join(by_lang, "_lang").drop("_lang")
+    centered = good.join(by_lang.select("_lang", F.col("center").alias("center0")), "_lang").drop("_lang")
     for _ in range(STEPS):
-        own = _step(cross.join(centers, "_lang").drop("_lang"), "_group", own, True)
-    own = materialize(own, "mcd-group")
-    # a group whose rows all failed the base rule has no estimate; its rows are rejected anyway
-    judged = rows.join(own, "_group", "left").withColumn("distance", _distance([F.col(x) for x in names]))
-    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUT, F.lit(True))).drop("_lang", "_group", "center", "inverse")
+        own = _step(centered, "_group", own, True)
+    return materialize(own, "mcd-group")
+
+
+def verdict(measured: DataFrame, estimates: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """``measured`` with ``distance`` double and ``kept`` boolean.
+
+    A group whose rows all failed the base rule has no estimate; its rows are rejected anyway.
+    """
+    joined = measured.withColumn("_group", _group(lang_col, source_col)).join(estimates, "_group", "left")
+    judged = joined.withColumn("distance", _distance([F.col(x) for x in FEATURES]))
+    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUT, F.lit(True))).drop("_group", "center", "inverse")
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(id, lang, source, counts, base_failed, statistics, distance, kept) for every document."""
     keep = {id_col: F.col(id_col), lang_col: F.col(lang_col), source_col: F.col(source_col)}
-    return judge(materialize(measure(docs, keep, text_col), "quality"), lang_col, source_col)
+    measured = materialize(measure(docs, keep, text_col), "quality")
+    return verdict(measured, fit(measured, lang_col, source_col), lang_col, source_col)
+
+
+def good_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The documents that are kept, with their columns. Texts are measured twice rather than shuffled."""
+    estimates = fit(materialize(measure(docs, {lang_col: F.col(lang_col), source_col: F.col(source_col)}, text_col), "quality"), lang_col, source_col)
+    measured = measure(docs, {c: F.col(c) for c in docs.columns}, text_col)
+    return verdict(measured, estimates, lang_col, source_col).where("kept").select(*docs.columns)

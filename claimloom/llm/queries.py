@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hmm, langid, mixing, quality, simhash, topk
+from . import bpe, hmm, langid, mixing, pii, quality, simhash, suffix_dedup, topk
 from .common import fold, table
 
 
@@ -23,10 +23,22 @@ def op4_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op5_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pii.find(table(spark, sf_dir, "documents"), keep={"doc_id": F.col("doc_id")})
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter(base, lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in pii.BASE]
+    return got.select("doc_id", *counts, F.sha2(pii.listing(base).cast("binary"), 256).alias("base_sha256"), pii.listing(F.col("spans")).alias("spans"))
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return got.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
@@ -50,5 +62,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, keep={"doc_id": F.col("doc_id"), "held_out": held_out})
 
 
-QUERIES = {f.__name__: f for f in (op1_hmm_scores, op2_source_mixing, op4_quality_outliers, op6_exact_top_k, op8_simhash_components, op9_bpe_trie, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_hmm_scores, op2_source_mixing, op4_quality_outliers, op5_pii_spans, op6_exact_top_k, op7_suffix_dedup, op8_simhash_components, op9_bpe_trie, op10_language_id)}
 ORACLE_SQL = {"op2_source_mixing": mixing.MIX_SQL.format(docs="documents"), "op6_exact_top_k": topk.TOP_K_SQL.format(vectors="embeddings")}

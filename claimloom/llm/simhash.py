@@ -205,15 +205,31 @@ def components(edges: DataFrame, a: str = "fp", b: str = "hub", most_rounds: int
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
-    """The columns of ``keep``, then id, fp (signed long) and component_id (the smallest id of the class)."""
-    keep = {id_col: F.col(id_col)} | (keep or {})
-    marked = materialize(fingerprints(docs, keep, text_col), "simhash")
+def _classes(marked: DataFrame, id_col: str) -> DataFrame:
+    """(fp, label, component_id) for each distinct fingerprint of ``marked``, a stored table."""
     distinct = materialize(marked.groupBy("fp").agg(F.min(id_col).alias("first")), "simhash-distinct")
     label = components(links(distinct, distinct.count()))
     labelled = distinct.join(label, distinct.fp == label.node, "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    return marked.join(labelled.join(least, "label").select("fp", "component_id"), "fp").select(*keep, "fp", "component_id")
+    return labelled.join(labelled.groupBy("label").agg(F.min("first").alias("component_id")), "label").select("fp", "label", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp as a signed long, component_id: the smallest id of the class) for every document."""
+    marked = materialize(fingerprints(docs, {id_col: F.col(id_col)}, text_col), "simhash")
+    return marked.join(_classes(marked, id_col), "fp").select(id_col, "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The document with the smallest id of each class, with its columns.
+
+    Fingerprints are worked out again rather than kept with the texts; texts are shuffled once, by id and fingerprint.
+    """
+    marked = materialize(fingerprints(docs, {id_col: F.col(id_col)}, text_col), "simhash")
+    found = marked.join(_classes(marked, id_col), "fp").where(F.col(id_col).eqNullSafe(F.col("component_id")))
+    winners = found.groupBy("label").agg(F.min("fp").alias("_fp")).join(found.select("label", F.col("fp").alias("_fp"), F.col(id_col).alias("_id")).distinct(), ["label", "_fp"]).select("_fp", "_id")
+    again = fingerprints(docs, {c: F.col(c) for c in docs.columns}, text_col)
+    kept = again.join(winners, (F.col("fp") == F.col("_fp")) & F.col(id_col).eqNullSafe(F.col("_id")))
+    return kept.dropDuplicates(["_fp", "_id"]).select(*docs.columns)
 
 
 def hexadecimal(fp: Column) -> Column:
