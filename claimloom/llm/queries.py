@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hmm, langid, mixing, pii, quality, simhash, suffix_dedup, topk
+from . import bpe, hmm, langid, mixing, pii, quality, simhash, suffix_dedup, template, topk
 from .common import fold, table
 
 
@@ -18,6 +18,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op4_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
@@ -62,5 +66,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, keep={"doc_id": F.col("doc_id"), "held_out": held_out})
 
 
-QUERIES = {f.__name__: f for f in (op1_hmm_scores, op2_source_mixing, op4_quality_outliers, op5_pii_spans, op6_exact_top_k, op7_suffix_dedup, op8_simhash_components, op9_bpe_trie, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_hmm_scores, op2_source_mixing, op3_html_template, op4_quality_outliers, op5_pii_spans, op6_exact_top_k, op7_suffix_dedup, op8_simhash_components, op9_bpe_trie, op10_language_id)}
 ORACLE_SQL = {"op2_source_mixing": mixing.MIX_SQL.format(docs="documents"), "op6_exact_top_k": topk.TOP_K_SQL.format(vectors="embeddings")}
