@@ -38,6 +38,23 @@ def fold(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def small(batches, rows: int = 1000):
+    """The batches cut into smaller ones, so that a worker holds few texts as Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def veiled(docs: DataFrame) -> dict[str, Column]:
+    """The columns of ``docs`` under names that clash with none of an operator's."""
+    return {f"own_{k}": F.col(f"`{c}`") for k, c in enumerate(docs.columns)}
+
+
+def unveiled(df: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of ``docs`` under their own names again; ``changed`` ones replaced."""
+    return df.select(*[(changed[c] if c in changed else F.col(f"own_{k}")).alias(c) for k, c in enumerate(docs.columns)])
+
+
 def utf8(array) -> list[bytes]:
     """The values of an Arrow string column as bytes; null is empty."""
     import pyarrow as pa

@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small
+
 BITS, ORDERS = 16, (1, 2, 3)
 #: Characters hashed at a time, so that a very long text needs little memory.
 PIECE = 1 << 20
@@ -45,7 +47,7 @@ def _count(batches):
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["lang", "bucket", "n"])
         sums.clear()
 
-    for batch in batches:
+    for batch in small(batches):
         for text, lang in zip(batch["text"], batch["lang"], strict=True):
             total = sums.setdefault(lang.as_py(), np.zeros(1 << BITS, np.int64))
             for part in grams(text.as_py()):
@@ -84,7 +86,7 @@ def predict(docs: DataFrame, model, text_col: str = "text", keep: dict[str, Colu
 
     def score(batches):
         langs, logs, prior = shared.value
-        for batch in batches:
+        for batch in small(batches):
             best, scores = [], []
             for value in batch["_text"]:
                 text = value.as_py()

@@ -20,10 +20,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, materialize, unveiled, veiled
 
 
 def source_targets(by_source: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
@@ -60,8 +60,8 @@ def source_targets(by_source: DataFrame, weights: Sequence[int] = (1, 2, 3), max
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3, seed: int = 17,
-        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: Sequence[str] = ()) -> DataFrame:
-    """(id, size, source_size, target, taken, epochs) for every document, and the columns named in ``keep``."""
+        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: dict[str, Column] | None = None) -> DataFrame:
+    """(id, size, source_size, target, taken, epochs) for every document, and the columns of ``keep``."""
     key = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")), 1, 15), 16, 10).cast("long")
     columns = [
         F.col(id_col).alias("id"),
@@ -84,20 +84,20 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3
         .join(targets, source)
         .select(*source, "cell", "source_size", "target", (F.col("slab_start") + F.col("in_slab")).alias("cell_start"))
     )
-    kept = [F.col(c).alias(f"kept_{k}") for k, c in enumerate(keep)]
+    kept = [c.alias(k) for k, c in (keep or {}).items()]
     rows = (docs.select(*columns, *kept).withColumn("cell", cell) if kept else sized).join(starts, [*source, "cell"])
     before = F.col("cell_start") + F.coalesce(F.sum("size").over(upto(Window.partitionBy(*source, "cell").orderBy("key", "id", "size"))), F.lit(0))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rows = rows.withColumn("before", before).withColumn("whole", whole)
     more = F.col("before") + F.col("size") / 2.0 <= F.col("target") - F.col("whole") * F.col("source_size")
     times = F.least(F.col("whole") + F.when(more, 1).otherwise(0), F.lit(max_epochs))
-    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.cast("long").alias("epochs"), *[F.col(f"kept_{k}").alias(c) for k, c in enumerate(keep) if c != id_col])
+    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.cast("long").alias("epochs"), *(keep or {}))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The mix itself: every document as many times as it is taken, with its columns."""
-    rows = mix(docs, id_col=id_col, keep=docs.columns, **options).where("epochs > 0")
-    return rows.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("epochs").cast("int")))).select(*docs.columns)
+    rows = mix(docs, id_col=id_col, keep=veiled(docs), **options).where("epochs > 0")
+    return unveiled(rows.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("epochs").cast("int")))), docs)
 
 
 #: The same in DuckDB, written as plain running sums.

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .boosting import Boosted, calibrate, threshold
+from .common import small
 
 #: Kinds in the order in which spans that start together are listed; the first four have fixed forms.
 KINDS = ("email", "ip", "card", "phone", "secret", "account", "identity", "device")
@@ -316,7 +317,7 @@ def find(docs: DataFrame, text_col: str = "text", keep: dict[str, Column] | None
 
     def work(batches):
         trained = shared.value
-        for batch in batches:
+        for batch in small(batches):
             texts = batch["_text"].to_pylist()
             spans = [spans_of(x, trained) if x else [] for x in texts]
             more = [pa.array([redacted(x, s) if s else x for x, s in zip(texts, spans, strict=True)], pa.string())] if redact else []

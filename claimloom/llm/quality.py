@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, utf8
+from .common import materialize, small, unveiled, utf8, veiled
 
 SYMBOLS, SPACES = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 5, 10, 20
@@ -95,7 +95,7 @@ def measure(docs: DataFrame, keep: dict[str, Column], text_col: str = "text") ->
     kept_names = list(keep)
 
     def work(batches):
-        for batch in batches:
+        for batch in small(batches):
             got = [statistics(x) for x in utf8(batch["_text"])]
             counts = list(zip(*[x[0] for x in got], strict=True)) or [()] * len(_COUNTS)
             values = list(zip(*[x[1] for x in got], strict=True)) or [()] * len(FEATURES)
@@ -217,5 +217,5 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 def good_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The documents that are kept, with their columns. Texts are measured twice rather than shuffled."""
     estimates = fit(materialize(measure(docs, {lang_col: F.col(lang_col), source_col: F.col(source_col)}, text_col), "quality"), lang_col, source_col)
-    measured = measure(docs, {c: F.col(c) for c in docs.columns}, text_col)
-    return verdict(measured, estimates, lang_col, source_col).where("kept").select(*docs.columns)
+    lang, source = (f"own_{docs.columns.index(c)}" for c in (lang_col, source_col))
+    return unveiled(verdict(measure(docs, veiled(docs), text_col), estimates, lang, source).where("kept"), docs)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, utf8
+from .common import materialize, small, unveiled, utf8, veiled
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Members of a key compared in one piece; members whose planes are held at once.
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, keep: dict[str, Column], text_col: str = "text
     kept_names = list(keep)
 
     def work(batches):
-        for batch in batches:
+        for batch in small(batches):
             found = np.array([fingerprint(x) for x in utf8(batch["_text"])], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*[batch[k] for k in kept_names], pa.array(found)], [*kept_names, "fp"])
 
@@ -227,9 +227,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     marked = materialize(fingerprints(docs, {id_col: F.col(id_col)}, text_col), "simhash")
     found = marked.join(_classes(marked, id_col), "fp").where(F.col(id_col).eqNullSafe(F.col("component_id")))
     winners = found.groupBy("label").agg(F.min("fp").alias("_fp")).join(found.select("label", F.col("fp").alias("_fp"), F.col(id_col).alias("_id")).distinct(), ["label", "_fp"]).select("_fp", "_id")
-    again = fingerprints(docs, {c: F.col(c) for c in docs.columns}, text_col)
-    kept = again.join(winners, (F.col("fp") == F.col("_fp")) & F.col(id_col).eqNullSafe(F.col("_id")))
-    return kept.dropDuplicates(["_fp", "_id"]).select(*docs.columns)
+    again = fingerprints(docs, veiled(docs), text_col)
+    kept = again.join(winners, (F.col("fp") == F.col("_fp")) & F.col(f"own_{docs.columns.index(id_col)}").eqNullSafe(F.col("_id")))
+    return unveiled(kept.dropDuplicates(["_fp", "_id"]), docs)
 
 
 def hexadecimal(fp: Column) -> Column:
