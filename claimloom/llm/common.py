@@ -38,6 +38,32 @@ def fold(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def lean(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``; its session hands texts to Python in batches of at most ``rows``, unless it was told another number.
+
+    Spark's own 10,000 rows of long texts are tens of MB a task, in the JVM and again in Python.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, str(rows))
+    return df
+
+
+def gathered(batches, column: str, size: int):
+    """Batches joined until ``column`` holds about ``size`` bytes."""
+    import pyarrow as pa
+
+    held, amount = [], 0
+    for batch in batches:
+        held.append(batch)
+        amount += batch[column].nbytes
+        if amount >= size:
+            yield pa.concat_batches(held)
+            held, amount = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def small(batches, rows: int = 1000):
     """The batches cut into smaller ones, so that a worker holds few texts as Python objects at once."""
     for batch in batches:

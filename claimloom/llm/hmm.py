@@ -27,12 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, utf8
+from .common import gathered, lean, materialize, small, utf8
 
 STATES, VOCABULARY, ROUNDS, ANCHORS = 8, 1 << 17, 2, 384
+#: Bytes of packed symbols from which sequences of like length are picked.
+GATHERED = 16 << 20
 #: Share of the base distribution in each state's emissions; words a task counts before it hands them on; tokens
 #: whose recursion is held in memory at once.
-SMOOTHING, HELD_WORDS, GROUP = 0.01, 500_000, 600_000
+SMOOTHING, HELD_WORDS, GROUP = 0.01, 200_000, 250_000
 #: The end token, as a word that no text can hold.
 END = b"\n"
 
@@ -46,7 +48,7 @@ def _counted(batches):
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([held[w] for w in words], pa.int64())], ["word", "n"])
         held.clear()
 
-    for batch in batches:
+    for batch in small(batches):
         texts = utf8(batch["_text"])
         held[END] += len(texts)
         for text in texts:
@@ -89,7 +91,7 @@ def encoded(docs: DataFrame, shared, keep: dict[str, Column], text_col: str) ->
     def work(batches):
         words = shared.value.words
         number = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in small(batches):
             packed, rare, times, sizes = [], [], [], []
             for text in utf8(batch["_text"]):
                 tokens = text.lower().split()
@@ -191,7 +193,7 @@ def _baum_welch(shared):
         start, move, emit = shared.value
         states = len(start)
         emitted, moves, starts = np.zeros((len(emit), states)), np.zeros((states, states)), np.zeros(states)
-        for batch in batches:
+        for batch in gathered(batches, "symbols", GATHERED):
             packed = batch["symbols"].to_pylist()
             for which in _grouped(packed):
                 layout = Layout(_unpacked(packed, which))
@@ -212,7 +214,7 @@ def _baum_welch(shared):
 def _companions(batches):
     """Task: how many documents hold both of two frequent symbols (a, b, n)."""
     total = np.zeros((ANCHORS, ANCHORS))
-    for batch in batches:
+    for batch in small(batches):
         packed = batch["symbols"].to_pylist()
         for at in range(0, len(packed), 512):
             held = np.zeros((len(packed[at : at + 512]), ANCHORS), np.float32)
@@ -287,7 +289,7 @@ def _scored(shared, names: list[str]):
         base, known = np.log10(words.base), words.known
         base[0] = 0.0
         model = (start.astype(np.float64), move.astype(np.float64), emit.astype(np.float64))
-        for batch in batches:
+        for batch in gathered(batches, "symbols", GATHERED):
             packed = batch["symbols"].to_pylist()
             plain, scores, n_known = np.zeros(len(packed)), np.zeros(len(packed)), np.zeros(len(packed), np.int64)
             for which in _grouped(packed):
@@ -306,7 +308,7 @@ def _scored(shared, names: list[str]):
 def score(docs: DataFrame, training: Column, keep: dict[str, Column], text_col: str = "text", states: int = STATES, vocabulary: int = VOCABULARY, rounds: int = ROUNDS) -> DataFrame:
     """The columns of ``keep``, n_tokens, n_known, train_tokens, base_score and score; learns from rows where ``training`` holds."""
     spark = docs.sparkSession
-    words, counts = lexicon(docs.where(training), text_col, vocabulary)
+    words, counts = lexicon(lean(docs).where(training), text_col, vocabulary)
     shared_words = spark.sparkContext.broadcast(words)
     texts = materialize(encoded(docs, shared_words, keep | {"_training": training}, text_col), "symbols")
     model = train(texts.where("_training"), words, states, rounds)

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import lean, small
 
 BITS, ORDERS = 16, (1, 2, 3)
 #: Characters hashed at a time, so that a very long text needs little memory.
@@ -59,7 +59,7 @@ def _count(batches):
 
 def train(docs: DataFrame, max_langs: int = 512, smoothing: float = 0.5, text_col: str = "text", lang_col: str = "lang"):
     """(languages, float32 matrix buckets x languages, log priors) from the rows with a text and a language."""
-    rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = lean(docs).where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     prior = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(max_langs + 1).collect()}
     if len(prior) > max_langs:
         raise ValueError(f"more than {max_langs} languages; raise max_langs if a matrix of that size may be broadcast")
@@ -81,7 +81,7 @@ def predict(docs: DataFrame, model, text_col: str = "text", keep: dict[str, Colu
     shared = spark.sparkContext.broadcast(model)
     keep = keep or {}
     kept_names = list(keep)
-    rows = docs.select(*[c.alias(k) for k, c in keep.items()], F.col(text_col).cast("string").alias("_text"))
+    rows = lean(docs).select(*[c.alias(k) for k, c in keep.items()], F.col(text_col).cast("string").alias("_text"))
     kept = rows.drop("_text")
 
     def score(batches):

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .boosting import Boosted, calibrate, threshold
-from .common import small
+from .common import lean, small
 
 #: Kinds in the order in which spans that start together are listed; the first four have fixed forms.
 KINDS = ("email", "ip", "card", "phone", "secret", "account", "identity", "device")
@@ -311,7 +311,7 @@ def find(docs: DataFrame, text_col: str = "text", keep: dict[str, Column] | None
     shared = spark.sparkContext.broadcast(trained or model())
     keep = keep or {}
     kept_names = list(keep)
-    rows = docs.select(*[c.alias(k) for k, c in keep.items()], F.col(text_col).cast("string").alias("_text"))
+    rows = lean(docs).select(*[c.alias(k) for k, c in keep.items()], F.col(text_col).cast("string").alias("_text"))
     fields = [T.StructField("spans", T.ArrayType(_SPAN))] + [T.StructField("redacted", T.StringType())] * redact
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64()), ("base", pa.bool_())]))
 

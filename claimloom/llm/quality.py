@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, small, unveiled, utf8, veiled
+from .common import lean, materialize, small, unveiled, utf8, veiled
 
 SYMBOLS, SPACES = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 5, 10, 20
@@ -91,7 +91,7 @@ def statistics(text: bytes) -> tuple[list[int], list[float]]:
 
 def measure(docs: DataFrame, keep: dict[str, Column], text_col: str = "text") -> DataFrame:
     """The columns of ``keep``, the base counts, base_failed, and the statistics as columns of doubles."""
-    rows = docs.select(*[c.alias(k) for k, c in keep.items()], F.col(text_col).cast("string").alias("_text"))
+    rows = lean(docs).select(*[c.alias(k) for k, c in keep.items()], F.col(text_col).cast("string").alias("_text"))
     kept_names = list(keep)
 
     def work(batches):

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, small, unveiled, utf8, veiled
+from .common import lean, materialize, small, unveiled, utf8, veiled
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Members of a key compared in one piece; members whose planes are held at once.
@@ -56,7 +56,7 @@ def fingerprint(text: bytes) -> int:
 
 def fingerprints(docs: DataFrame, keep: dict[str, Column], text_col: str = "text") -> DataFrame:
     """The columns of ``keep`` and ``fp`` (the fingerprint as a signed long)."""
-    rows = docs.select(*[c.alias(k) for k, c in keep.items()], F.col(text_col).cast("string").alias("_text"))
+    rows = lean(docs).select(*[c.alias(k) for k, c in keep.items()], F.col(text_col).cast("string").alias("_text"))
     kept_names = list(keep)
 
     def work(batches):

@@ -24,11 +24,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import utf8
+from .common import lean, small, utf8
 
 LENGTH, GRAM = 50, 20
 WINDOW = LENGTH - GRAM + 1
@@ -38,6 +39,8 @@ PIECE, HELD, HELD_NEAR = 1 << 18, 1_500_000, 120_000
 PART_BYTES, MOST_PARTITIONS = 8 << 20, 50_000
 #: Whole parts a task works on at once: anchors, and bytes around them.
 AT_ONCE, AT_ONCE_BYTES = 1_500_000, 2 << 20
+#: Level at which texts and the bytes around anchors are packed for a shuffle.
+LEVEL = 3
 _M = np.uint64(0x9E3779B97F4A7C15)
 with np.errstate(over="ignore"):
     _P = [_M]
@@ -176,9 +179,18 @@ def text_hash(text: bytes) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
-def _near(parts: int):
+def _packed(texts):
+    """Task: texts packed for the shuffle that both joins share."""
+    pack = zstandard.ZstdCompressor(level=LEVEL).compress
+    for batch in small(texts):
+        yield pa.RecordBatch.from_arrays([batch[0], batch["_id"], pa.array([pack(x) for x in utf8(batch["_text"])], pa.binary())], [batch.schema.names[0], "_id", "_packed"])
+
+
+def _near(parts: int, hashed: bool):
     """Task: documents with their repeated keys to the bytes around those anchors, by part.
 
+    The hash of the text tells rows of one id apart; it is 0 where no id is repeated.
+
     Of equal bytes in several documents the smallest id goes on. The others' strings start in an earlier document,
     which rows of part -1 - k say (their ``which`` is the last start); k only spreads them.
     """
@@ -204,12 +216,16 @@ def _near(parts: int):
         for at in range(0, len(told), 2000):
             numbers, own, start, last = (np.array(x, np.int64).tobytes() for x in zip(*told[at : at + 2000], strict=True))
             rows.append((-1 - int(told[at][2] % 1009), numbers, own, start, last, b"", b""))
+        pack = zstandard.ZstdCompressor(level=LEVEL).compress
+        rows = [(part, *map(pack, more)) for part, *more in rows]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def work(batches):
         held: list = []
-        for batch in batches:
-            for number, text, lists in zip(batch["_id"].to_pylist(), utf8(batch["_text"]), batch["keys"].to_pylist(), strict=True):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in small(batches):
+            for number, packed, lists in zip(batch["_id"].to_pylist(), batch["_packed"].to_pylist(), batch["keys"].to_pylist(), strict=True):
+                text = unpack(packed)
                 wanted = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in lists]))
                 hashes, lo, hi = anchors(text)
                 if not len(hashes):  # the keys are those of another row with this id
@@ -217,7 +233,7 @@ def _near(parts: int):
                 key = _keys(hashes, parts)
                 at = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
                 hit = np.flatnonzero(wanted[at] == key)
-                own = text_hash(text)
+                own = text_hash(text) if hashed else 0
                 part = (key[hit] >> np.uint64(32)).astype(np.int64)
                 held += [(text[a : b + LENGTH], number, own, a, p) for a, b, p in zip(lo[hit].tolist(), hi[hit].tolist(), part.tolist(), strict=True)]
                 if len(held) > HELD_NEAR:
@@ -290,7 +306,9 @@ def _told(ids: np.ndarray, hashes: np.ndarray, first: np.ndarray, last: np.ndarr
 
 def _earlier(batches):
     """Task: the parts dealt to it, in order; rows (id, text hash, runs of starts whose string an earlier document holds)."""
-    for rows in _whole_parts(batches, lambda row: len(row["bytes"]), AT_ONCE_BYTES):
+    unpack = zstandard.ZstdDecompressor().decompress
+    for packed in _whole_parts(batches, lambda row: 3 * len(row["bytes"]), AT_ONCE_BYTES):
+        rows = [{k: x if k == "part" else unpack(x) for k, x in row.items()} for row in packed]
         ready = [row for row in rows if row["part"] < 0]
         if ready:
             yield from _told(*[np.concatenate([np.frombuffer(row[c], np.int64) for row in ready]) for c in ("ids", "hashes", "starts", "which")])
@@ -331,14 +349,16 @@ def _earlier(batches):
 _KEPT = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept", T.BinaryType())])
 
 
-def _apply(names: list[str]):
+def _apply(names: list[str], hashed: bool):
     def work(batches):
-        for batch in batches:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in small(batches):
             rows = []
-            for text, told in zip(utf8(batch["_text"]), batch["told"].to_pylist(), strict=True):
+            for packed, told in zip(batch["_packed"].to_pylist(), batch["told"].to_pylist(), strict=True):
+                text = unpack(packed)
                 runs = []
                 if told:
-                    own = text_hash(text)
+                    own = text_hash(text) if hashed else 0
                     runs = [np.frombuffer(x["runs"], np.int64).reshape(-1, 2) for x in told if x["hash"] == own]
                 if not runs:
                     rows.append((len(text), 0, [], text))
@@ -361,16 +381,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, n_bytes, n_removed, spans of removed bytes, kept bytes) for every document."""
     spark = docs.sparkSession
     most = (1 << 63) - 1
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(id_col).cast("long"), F.lit(most)).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    rows = lean(docs).select(F.col(id_col), F.coalesce(F.col(id_col).cast("long"), F.lit(most)).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     total = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(partitions, -(-total // PART_BYTES))
     partitions = max(partitions, min(parts, MOST_PARTITIONS))
+    hashed = bool(rows.groupBy("_id").count().where("count > 1").limit(1).count())
     dealt = lambda df: df.repartition(partitions, "part").sortWithinPartitions("part")
     told = dealt(rows.select("_id", "_text").mapInArrow(_announce(parts), _ANNOUNCED)).mapInArrow(_repeated, _TOLD).groupBy("id").agg(F.collect_list("keys").alias("keys"))
-    wanting = rows.join(told, rows["_id"] == told["id"]).select("_id", "_text", "keys")
-    earlier = dealt(wanting.mapInArrow(_near(parts), _NEAR)).mapInArrow(_earlier, _EARLIER)
+    packed = rows.mapInArrow(_packed, T.StructType([*rows.drop("_text").schema.fields, T.StructField("_packed", T.BinaryType())]))
+    # both joins read the same columns of the same rows by the same key, so that Spark shuffles the texts once
+    columns = [packed[c] for c in packed.columns]
+    wanting = packed.join(told, packed["_id"] == told["id"]).select(*columns, "keys")
+    earlier = dealt(wanting.mapInArrow(_near(parts, hashed), _NEAR)).mapInArrow(_earlier, _EARLIER)
     answers = earlier.groupBy(F.col("id").alias("answer_id")).agg(F.collect_list(F.struct("hash", "runs")).alias("told"))
-    judged = rows.join(answers, rows["_id"] == answers["answer_id"], "left").select(F.col(id_col), "_text", "told")
-    kept_id = judged.select(id_col).schema.fields
-    return judged.mapInArrow(_apply([id_col]), T.StructType([*kept_id, *_KEPT.fields]))
+    judged = packed.join(answers, packed["_id"] == answers["answer_id"], "left").select(*columns, "told")
+    return judged.mapInArrow(_apply([id_col], hashed), T.StructType([packed.schema[id_col], *_KEPT.fields]))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import lean, materialize
 
 #: A class needs so many tokens, and to stand on so many pages and on this share of the host's pages.
 LEAST_TOKENS, LEAST_PAGES, LEAST_SHARE = 3, 8, 0.8
@@ -48,6 +48,7 @@ DROPPED_WORDS = frozenset("ad ads adv advert advertisement advertising adsense b
 ARTICLE_WORDS = frozenset("article articlebody post postbody entry story storybody content maincontent main text body".split())
 #: First words of labels that tell of the layout around, and words that say nothing.
 LAYOUT, SET_ASIDE = frozenset("has with no without is js".split()), frozenset("wrapper container inner outer box block".split())
+_BARRIERS = frozenset("ul ol table div section article body".split())
 CLOSED_BY = {"p": BLOCK - {"body", "html"}, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "option": frozenset({"option", "optgroup"})}
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
@@ -58,178 +59,259 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Block:
-    """A run of text between block elements: text, path, and what it lies in."""
+    """A run of text between block elements: words, path, and what it lies in."""
 
-    __slots__ = ("article", "dropped", "heading", "linked", "path", "text")
+    __slots__ = ("article", "dropped", "linked", "path", "words")
 
-    def __init__(self, text: str, path: str, dropped: bool, article: int, linked: int, heading: bool):
-        self.text, self.path, self.dropped, self.article, self.linked, self.heading = text, path, dropped, article, linked, heading
+    def __init__(self, words: list[str], path: str, dropped: bool, article: int, linked: int):
+        self.words, self.path, self.dropped, self.article, self.linked = words, path, dropped, article, linked
 
 
-def _attributes(text: str) -> dict[str, str]:
-    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(text)} if text else {}
+class _Tag:
+    """What a start or end tag means, worked out once for each spelling."""
 
+    __slots__ = ("aside", "block", "closing", "header", "heading", "marks", "name", "named", "proper", "raw", "void")
 
-class _Open:
-    __slots__ = ("article", "dropped", "header", "name", "path")
+    def __init__(self, closing: str, name: str, rest: str):
+        self.name = name = name.lower()
+        self.closing, self.block, self.void, self.raw = bool(closing), name in BLOCK, name in VOID, name in RAW
+        self.heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
+        own = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)} if rest and not closing else {}
+        labels = [set(_WORDS.findall(x)) - SET_ASIDE if (x := _CAMEL.sub("-", y).lower()).partition("-")[0] not in LAYOUT else set() for y in f"{own.get('class', '')} {own.get('id', '')}".split()]
+        names = set().union(*labels)
+        role = own.get("role", "").lower()
+        plain = any(x and x <= ARTICLE_WORDS for x in labels)
+        self.aside = (
+            name in DROPPED or role in DROPPED_ROLES or "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "")
+            or (name not in ("html", "body", "article", "main", "h1", "h2", "h3", "p") and bool(names & DROPPED_WORDS) and not plain)
+            or (name == "article" and bool(names & {"comment", "comments", "reply", "teaser", "related", "promo", "ad", "sponsored"}))
+        )
+        self.header = name == "header" or (name in ("div", "section") and bool(names & {"header", "head"}))
+        self.proper = name == "article" or own.get("itemprop", "").lower() == "articlebody"
+        self.named = name == "main" or role == "main" or (name in ("div", "section", "td") and bool(names & ARTICLE_WORDS))
+        self.marks = f"{name}.{'.'.join(sorted(names))}" if names else name
+
+
+_known_tags: dict[str, _Tag] = {}
 
-    def __init__(self, name: str, path: str, dropped: bool, article: int, header: bool):
-        self.name, self.path, self.dropped, self.article, self.header = name, path, dropped, article, header
+
+def _tag(m: re.Match) -> _Tag:
+    found = _known_tags.get(m[0])
+    if found is None:
+        if len(_known_tags) > 20_000:
+            _known_tags.clear()
+        found = _known_tags[m[0]] = _Tag(m[1], m[2], m[3])
+    return found
 
 
 def blocks(page: str) -> tuple[list[Block], list[str]]:
-    """The blocks of a page in order, and its tags as tokens.
+    """The blocks of a page in order, and the paths of its block elements.
 
     ``article`` is 0 outside, else the number of the innermost element that may hold the article: odd for article
     elements proper, even for main elements and those named so.
     """
     out: list[Block] = []
     tags: list[str] = []
-    stack = [_Open("", "", False, 0, False)]
+    # open elements: name, path, dropped, article, inside a header
+    stack: list[tuple[str, str, bool, int, bool]] = [("", "", False, 0, False)]
     held: list[str] = []
-    linked = 0
-    links = 0
+    linked = links = proper = named = at = 0
     heading = False
-    made = {1: 0, 0: 0}
-    at = 0
 
     def flush() -> None:
-        nonlocal linked, heading
-        text = " ".join(entities.unescape("".join(held)).split()) if held else ""
-        if text:
-            top = stack[-1]
-            out.append(Block(text, top.path, top.dropped or (top.header and not heading), top.article, linked, heading))
+        nonlocal linked
+        text = "".join(held)
         held.clear()
+        words = (entities.unescape(text) if "&" in text else text).split()
+        if words:
+            _, path, dropped, article, header = stack[-1]
+            out.append(Block(words, path, dropped or (header and not heading), article, linked))
         linked = 0
 
-    def close(count: int) -> None:
-        nonlocal links
-        for _ in range(count):
-            if stack.pop().name == "a":
-                links = max(0, links - 1)
-
-    def text(piece: str) -> None:
-        nonlocal linked
-        held.append(piece)
-        if links:
-            linked += len(piece)
-
-    while at < len(page):
+    size = len(page)
+    while at < size:
         m = _TAG.search(page, at)
+        end = m.start() if m else size
+        if end > at:
+            held.append(page[at:end])
+            if links:
+                linked += end - at
         if not m:
-            text(page[at:])
             break
-        if m.start() > at:
-            text(page[at : m.start()])
         at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
+        if not m[2]:
             continue
-        if m[1]:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name), 0)
-            if name in BLOCK:
-                flush()
+        tag = _tag(m)
+        name = tag.name
+        if tag.closing:
+            if tag.block:
+                if held:
+                    flush()
                 heading = False
+            depth = len(stack) - 1
+            while depth and stack[depth][0] != name:
+                depth -= 1
             if depth:
-                close(len(stack) - depth)
-            elif name == "p":
-                flush()
+                if links:
+                    links -= sum(x[0] == "a" for x in stack[depth:])
+                del stack[depth:]
             continue
-        if name in RAW:
-            end = _END_OF[name].search(page, at)
-            at = end.end() if end else len(page)
-            text(" ")
+        if tag.raw:
+            found = _END_OF[name].search(page, at)
+            at = found.end() if found else size
+            held.append(" ")
             continue
         if name == "br":
-            text(" ")
+            held.append(" ")
             continue
-        if name in BLOCK:
-            flush()
-            heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
-            for k in range(len(stack) - 1, 0, -1):
-                closed = CLOSED_BY.get(stack[k].name)
-                if closed and name in closed:
-                    close(len(stack) - k)
+        if tag.block:
+            if held:
+                flush()
+            heading = tag.heading
+            for depth in range(len(stack) - 1, 0, -1):
+                other = stack[depth][0]
+                if name in CLOSED_BY.get(other, ()):
+                    if links:
+                        links -= sum(x[0] == "a" for x in stack[depth:])
+                    del stack[depth:]
                     break
-                if stack[k].name in ("ul", "ol", "table", "div", "section", "article", "body") and stack[k].name != name:
+                if other != name and other in _BARRIERS:
                     break
-        if name in VOID:
+        if tag.void:
             continue
-        top = stack[-1]
-        own = _attributes(m[3])
-        labels = [set(_WORDS.findall(x)) - SET_ASIDE if (x := _CAMEL.sub("-", y).lower()).partition("-")[0] not in LAYOUT else set() for y in f"{own.get('class', '')} {own.get('id', '')}".split()]
-        names = set().union(*labels)
-        plain = any(x and x <= ARTICLE_WORDS for x in labels)
-        role = own.get("role", "").lower()
-        dropped = top.dropped or name in DROPPED or role in DROPPED_ROLES or "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "")
-        if not dropped and name not in ("html", "body", "article", "main", "h1", "h2", "h3", "p") and names & DROPPED_WORDS and not plain:
-            dropped = True
-        elif not dropped and name == "article" and names & {"comment", "comments", "reply", "teaser", "related", "promo", "ad", "sponsored"}:
-            dropped = True
-        header = top.header or name == "header" or (name in ("div", "section") and names & {"header", "head"} != set())
-        if name == "header" and not top.article:
-            dropped = True
-        article = top.article
-        if name == "article" or own.get("itemprop", "").lower() == "articlebody":
-            made[1] += 2
-            article = article if article % 2 else made[1] - 1
-        elif not article and (name == "main" or role == "main" or (name in ("div", "section", "td") and names & ARTICLE_WORDS)):
-            made[0] += 2
-            article = made[0]
-        marks = f"{name}.{'.'.join(sorted(names))}" if names else name
-        path = f"{top.path[-80:]}/{marks}"
-        if name in BLOCK:
-            tags.append(f"<{path}")
-        if name == "a":
+        _, path, dropped, article, header = stack[-1]
+        dropped = dropped or tag.aside or (name == "header" and not article)
+        if tag.proper:
+            proper += 2
+            article = article if article % 2 else proper - 1
+        elif tag.named and not article:
+            named += 2
+            article = named
+        path = f"{path[-80:]}/{tag.marks}"
+        if tag.block:
+            tags.append(path)
+        elif name == "a":
             links += 1
-        stack.append(_Open(name, path, dropped, article, header))
-    flush()
+        stack.append((name, path, dropped, article, header or tag.header))
+    if held:
+        flush()
     return out, tags
 
 
-def tokens(found: list[Block], tags: list[str]) -> list[int]:
-    """64-bit tokens of a page: words told apart by path, in order, then the tags."""
-    digest = xxhash.xxh64_intdigest
-    return [digest(f"{b.path}\x1f{w}") for b in found for w in b.text.split()] + [digest(t) for t in tags]
+#: The path under which the paths of block elements count as words.
+TAGS = "<"
 
 
-def _signed(value: int) -> int:
-    return value - (1 << 63)
+def words_by_path(page: str) -> dict[str, list[str]]:
+    found, tags = blocks(page)
+    out: dict[str, list[str]] = {TAGS: tags}
+    for b in found:
+        out.setdefault(b.path, []).extend(b.words)
+    return out
 
 
-def _vectors(batches):
-    """Task: (host, token, vector, pages, total) of all its pages; token null counts the host's pages."""
-    held: dict = {}
+def _frequent(batches):
+    """Task: (host, path, word) that stand on LEAST_SHARE of the host's pages in some run of its pages.
+
+    A word on that share of all pages of a host is on that share of at least one run, so none is lost.
+    """
+    held: dict[str, dict[str, Counter]] = {}
+    pages: Counter = Counter()
+    size = 0
 
     def out():
-        hosts, marks = zip(*held, strict=True)
-        vector, pages, total = zip(*held.values(), strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([None if t is None else _signed(t) for t in marks], pa.int64()), pa.array(map(_signed, vector), pa.int64()), pa.array(pages, pa.int64()), pa.array(total, pa.int64())], ["host", "token", "vector", "pages", "total"])
+        rows = [(host, path, word) for host, paths in held.items() for path, words in paths.items() for word, n in words.items() if n >= LEAST_SHARE * pages[host]]
         held.clear()
+        pages.clear()
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows, strict=True)], ["host", "path", "word"])
+
+    for batch in batches:
+        for host, page in zip(batch["_host"].to_pylist(), batch["_html"].to_pylist(), strict=True):
+            pages[host] += 1
+            paths = held.setdefault(host, {})
+            for path, words in words_by_path(page or "").items():
+                counts = paths.setdefault(path, Counter())
+                counts.update(set(words))
+                size += len(words)
+        if size > HELD:
+            yield from out()
+            size = 0
+    yield from out()
 
+
+def _vectors(batches):
+    """Task: (host, path, word, vector, pages, total) of the frequent words on its pages."""
+    held: dict[tuple[str, str, str], list[int]] = {}
+    frequent = _ByHost(_words_of)
     for batch in batches:
-        for host, key, page in zip(batch["_host"].to_pylist(), batch["_key"].to_pylist(), batch["_html"].to_pylist(), strict=True):
-            counts = Counter(tokens(*blocks(page or "")))
-            counts[None] = 1
-            for token, n in counts.items():
-                vector, pages, total = held.get((host, token), (0, 0, 0))
-                held[host, token] = (vector ^ xxhash.xxh64_intdigest(f"{key}:{n}"), pages + 1, total + n)
-            if len(held) > HELD:
-                yield from out()
+        for host, key, page, listed in zip(batch["_host"].to_pylist(), batch["_key"].to_pylist(), batch["_html"].to_pylist(), batch["frequent"], strict=True):
+            of = frequent(host, listed)
+            hashes: dict[int, int] = {}
+            for path, words in words_by_path(page or "").items():
+                wanted = of.get(path)
+                if not wanted:
+                    continue
+                counts = Counter(words)
+                for word in wanted & counts.keys():
+                    n = counts[word]
+                    if n not in hashes:
+                        hashes[n] = xxhash.xxh64_intdigest(f"{key}:{n}")
+                    cell = held.setdefault((host, path, word), [0, 0, 0])
+                    cell[0] ^= hashes[n]
+                    cell[1] += 1
+                    cell[2] += n
     if held:
-        yield from out()
+        hosts, paths, words = zip(*held, strict=True)
+        vector, pages, total = zip(*held.values(), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(words, pa.string()), pa.array([v - (1 << 63) for v in vector], pa.int64()), pa.array(pages, pa.int64()), pa.array(total, pa.int64())], ["host", "path", "word", "vector", "pages", "total"])
+
+
+class _ByHost:
+    """What a host's list of rows is turned into, worked out once for each of the last hosts."""
 
+    def __init__(self, make):
+        self.make, self.known = make, {}
 
-def _classes_in(marks: list[int], classes: list[dict]) -> tuple[dict[int, list[int]], dict[int, list[int]]]:
-    """For each class of a host its positions in a page, and its tokens there in order."""
-    of = {_t: c["number"] for c in classes for _t in c["tokens"]}
+    def __call__(self, host: str, value):
+        if host not in self.known:
+            if len(self.known) >= 1000:
+                self.known.clear()
+            self.known[host] = self.make(value.as_py() or ())
+        return self.known[host]
+
+
+def _words_of(listed) -> dict[str, set[str]]:
+    """Rows of (path, word) as path to words."""
+    out: dict[str, set[str]] = {}
+    for x in listed:
+        out.setdefault(x["path"], set()).add(x["word"])
+    return out
+
+
+def _classes_of(listed) -> tuple[dict[str, dict[str, int]], Counter]:
+    """Rows of (number, path, word) as path to word to class, and the classes' sizes."""
+    of: dict[str, dict[str, int]] = {}
+    for c in listed:
+        of.setdefault(c["path"], {})[c["word"]] = c["number"]
+    return of, Counter(c["number"] for c in listed)
+
+
+def _classes_in(page: str, of: dict[str, dict[str, int]]) -> tuple[dict[int, list[int]], dict[int, list[str]]]:
+    """For each class of a host its positions in a page, and its tokens there in order. ``of``: path to word to class."""
     places: dict[int, list[int]] = {}
-    order: dict[int, list[int]] = {}
-    for k, mark in enumerate(marks):
-        number = of.get(_signed(mark))
-        if number is not None:
-            places.setdefault(number, []).append(k)
-            order.setdefault(number, []).append(mark)
+    order: dict[int, list[str]] = {}
+    found, tags = blocks(page)
+    k = 0
+    for path, words in [*((b.path, b.words) for b in found), (TAGS, tags)]:
+        wanted = of.get(path)
+        if wanted:
+            for j, word in enumerate(words):
+                number = wanted.get(word)
+                if number is not None:
+                    places.setdefault(number, []).append(k + j)
+                    order.setdefault(number, []).append(f"{path}\x1f{word}")
+        k += len(words)
     return places, order
 
 
@@ -243,54 +325,46 @@ def _nested(a: list[int], size_a: int, b: list[int], size_b: int) -> bool:
 
 
 def _validated(batches):
-    """Task: (host, number, order, valid) of each class on each page."""
+    """Task: (host, number, order, valid) of each class on each page, folded: least and largest order, all valid."""
+    held: dict[tuple[str, int], list] = {}
+    classes = _ByHost(_classes_of)
     for batch in batches:
-        rows = []
-        for host, page, classes in zip(batch["_host"].to_pylist(), batch["_html"].to_pylist(), batch["classes"].to_pylist(), strict=True):
-            places, order = _classes_in(tokens(*blocks(page or "")), classes)
-            size = {c["number"]: len(c["tokens"]) for c in classes}
+        for host, page, listed in zip(batch["_host"].to_pylist(), batch["_html"].to_pylist(), batch["classes"], strict=True):
+            of, size = classes(host, listed)
+            places, order = _classes_in(page or "", of)
             first = {n: seen[: size[n]] for n, seen in order.items()}
             fine = {n for n, seen in order.items() if len(seen) % size[n] == 0 and first[n] * (len(seen) // size[n]) == seen}
-            held: list[int] = []
+            nested: list[int] = []
             for n in sorted(fine, key=lambda n: (-size[n], n)):  # the larger class stays
-                if all(_nested(places[m], size[m], places[n], size[n]) for m in held):
-                    held.append(n)
-            rows += [(host, n, _signed(xxhash.xxh64_intdigest(repr(first[n]))), n in held) for n in order]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int64(), pa.bool_()), strict=True)], ["host", "number", "order", "valid"])
+                if all(_nested(places[m], size[m], places[n], size[n]) for m in nested):
+                    nested.append(n)
+            for n in order:
+                mark = xxhash.xxh64_intdigest("\x1e".join(first[n])) - (1 << 63)
+                low, high, valid = held.get((host, n), (mark, mark, True))
+                held[host, n] = (min(low, mark), max(high, mark), valid and n in nested)
+    if held:
+        hosts, numbers = zip(*held, strict=True)
+        low, high, valid = zip(*held.values(), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(numbers, pa.int32()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(valid, pa.bool_())], ["host", "number", "low", "high", "valid"])
 
 
-def main_text(page: str, template: set[int]) -> str:
-    """The article: blocks of the page's slots, in order."""
+def main_text(page: str, template: dict[str, set[str]]) -> str:
+    """The article: blocks of the page's slots, in order. ``template``: path to the template's words there."""
     found, _ = blocks(page)
-    digest = xxhash.xxh64_intdigest
 
     def slot(b: Block) -> bool:
         if b.dropped:
             return False
-        if not template:
-            return True
-        words = b.text.split()
-        return sum(_signed(digest(f"{b.path}\x1f{w}")) in template for w in words) < TEMPLATE_SHARE * len(words)
+        fixed = template.get(b.path)
+        return not fixed or sum(w in fixed for w in b.words) < TEMPLATE_SHARE * len(b.words)
 
     kept = [b for b in found if slot(b)]
     size: Counter = Counter()
     for b in kept:
-        size[b.article] += len(b.text)
-    proper = [a for a in size if a % 2]
-    named = [a for a in size if a and not a % 2]
-    if proper:
-        best = max(proper, key=lambda a: (size[a], -a))
-        chosen = [b for b in kept if b.article == best]
-    elif named:
-        best = max(named, key=lambda a: (size[a], -a))
-        chosen = [b for b in kept if b.article == best]
-    else:
-        chosen = [b for b in kept if b.linked * 2 < len(b.text)]
-    return "\n\n".join(b.text for b in chosen)
-
-
-_CLASSES = T.ArrayType(T.StructType([T.StructField("number", T.IntegerType()), T.StructField("tokens", T.ArrayType(T.LongType()))]))
+        size[b.article] += sum(map(len, b.words))
+    best = max((a for a in size if a), key=lambda a: (a % 2, size[a], -a), default=0)
+    chosen = [b for b in kept if b.article == best] if best else [b for b in kept if b.linked * 2 < sum(map(len, b.words)) + len(b.words)]
+    return "\n\n".join(" ".join(b.words) for b in chosen)
 
 
 def host_of(url: Column) -> Column:
@@ -299,35 +373,35 @@ def host_of(url: Column) -> Column:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, classes) from ``pages`` (_host, _key, _html): the valid classes of each host."""
-    vectors = pages.mapInArrow(_vectors, "host string, token long, vector long, pages long, total long")
-    summed = vectors.groupBy("host", "token").agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.sum("total").alias("total"))
-    host_pages = summed.where("token IS NULL").select("host", F.col("pages").alias("host_pages"))
-    frequent = summed.where(f"token IS NOT NULL AND pages >= {LEAST_PAGES}").join(host_pages, "host").where(F.col("pages") >= F.col("host_pages") * LEAST_SHARE)
-    grouped = frequent.groupBy("host", "vector", "pages", "total").agg(F.sort_array(F.collect_list("token")).alias("tokens")).where(F.size("tokens") >= LEAST_TOKENS)
-    listed = grouped.groupBy("host").agg(F.sort_array(F.collect_list("tokens")).alias("all"))
-    numbered = listed.select("host", F.transform("all", lambda t, k: F.struct(k.alias("number"), t.alias("tokens"))).alias("classes"))
-    numbered = materialize(numbered, "classes")
-    seen = pages.join(numbered, pages["_host"] == numbered["host"]).select("_host", "_html", "classes").mapInArrow(_validated, "host string, number int, order long, valid boolean")
-    valid = seen.groupBy("host", "number").agg(F.min("order").alias("a"), F.max("order").alias("b"), F.bool_and("valid").alias("valid")).where("valid AND a = b")
+    """(host, classes) from ``pages`` (_host, _key, _html): the valid classes of each host, a row (number, path, word) a token."""
+    hosts = pages.groupBy(F.col("_host").alias("host")).agg(F.count("*").alias("host_pages")).where(F.col("host_pages") >= LEAST_PAGES)
+    words = pages.select("_host", "_html").mapInArrow(_frequent, "host string, path string, word string").distinct().join(hosts, "host")
+    frequent = materialize(words.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("path", "word"))).alias("frequent")), "frequent")
+    wanted = pages.join(frequent, pages["_host"] == frequent["host"]).select("_host", "_key", "_html", "frequent")
+    vectors = wanted.mapInArrow(_vectors, "host string, path string, word string, vector long, pages long, total long")
+    summed = vectors.groupBy("host", "path", "word").agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.sum("total").alias("total")).join(hosts, "host")
+    every = summed.where((F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= F.col("host_pages") * LEAST_SHARE))
+    classes = every.groupBy("host", "vector", "pages", "total").agg(F.sort_array(F.collect_list(F.struct("path", "word"))).alias("tokens")).where(F.size("tokens") >= LEAST_TOKENS)
+    listed = classes.groupBy("host").agg(F.sort_array(F.collect_list("tokens")).alias("all"))
+    flat = F.flatten(F.transform("all", lambda t, k: F.transform(t, lambda x: F.struct(k.alias("number"), x["path"].alias("path"), x["word"].alias("word")))))
+    numbered = materialize(listed.select("host", flat.alias("classes")), "classes")
+    seen = pages.join(numbered, pages["_host"] == numbered["host"]).select("_host", "_html", "classes").mapInArrow(_validated, "host string, number int, low long, high long, valid boolean")
+    valid = seen.groupBy("host", "number").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.bool_and("valid").alias("valid")).where("valid AND low = high")
     numbers = valid.groupBy("host").agg(F.collect_set("number").alias("numbers"))
     return materialize(numbered.join(numbers, "host").select("host", F.filter("classes", lambda c: F.array_contains("numbers", c["number"])).alias("classes")), "templates")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text) of every page."""
-    rows = pages.select(F.col(id_col), F.col(url_col), host_of(F.col(url_col)).alias("_host"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_key"), F.col(html_col).cast("string").alias("_html"))
+    rows = lean(pages).select(F.col(id_col), F.col(url_col), host_of(F.col(url_col)).alias("_host"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_key"), F.col(html_col).cast("string").alias("_html"))
     found = templates(rows.select("_host", "_key", "_html"))
-    joined = rows.join(found, rows["_host"] == found["host"], "left").select(id_col, url_col, "_html", "classes")
+    joined = rows.join(found, rows["_host"] == found["host"], "left").select(id_col, url_col, "_host", "_html", "classes")
 
     def work(batches):
-        known: tuple = (None, set())
+        template = _ByHost(_words_of)
         for batch in batches:
-            texts = []
-            for page, classes in zip(batch["_html"].to_pylist(), batch["classes"].to_pylist(), strict=True):
-                if classes != known[0]:
-                    known = (classes, {t for c in classes or () for t in c["tokens"]})
-                texts.append(main_text(page, known[1]) if page else "")
+            rows = zip(batch["_host"].to_pylist(), batch["_html"].to_pylist(), batch["classes"], strict=True)
+            texts = [main_text(page, template(host, listed)) if page else "" for host, page, listed in rows]
             yield pa.RecordBatch.from_arrays([batch[id_col], batch[url_col], pa.array(texts, pa.string())], [id_col, url_col, "text"])
 
     return joined.mapInArrow(work, T.StructType([*joined.select(id_col, url_col).schema.fields, T.StructField("text", T.StringType())]))
