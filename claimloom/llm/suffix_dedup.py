@@ -34,11 +34,13 @@ from .common import lean, small, utf8
 LENGTH, GRAM = 50, 20
 WINDOW = LENGTH - GRAM + 1
 #: Positions worked on at once; anchors, and strings around anchors, that a task gathers before it sends them.
-PIECE, HELD, HELD_NEAR = 1 << 18, 1_500_000, 120_000
+PIECE, HELD, HELD_NEAR = 1 << 16, 750_000, 80_000
 #: Bytes of text for each part into which anchors are dealt, and the most partitions that hold parts.
 PART_BYTES, MOST_PARTITIONS = 8 << 20, 50_000
 #: Whole parts a task works on at once: anchors, and bytes around them.
-AT_ONCE, AT_ONCE_BYTES = 1_500_000, 2 << 20
+AT_ONCE, AT_ONCE_BYTES = 750_000, 2 << 20
+#: Groups of documents for each shuffle partition, in which answers travel.
+SPREAD = 4
 #: Level at which texts and the bytes around anchors are packed for a shuffle.
 LEVEL = 3
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -87,13 +89,13 @@ def _by(values: np.ndarray) -> list[slice]:
 
 
 def _grouped_minimum(key: np.ndarray, ids: np.ndarray):
-    """Entries in order of key, then id; where keys start, each entry's key number, and whether a key has several ids."""
-    order = np.lexsort((ids, key))
+    """Entries in order of key; where keys start, their least ids, each entry's key number, and whether a key has several ids."""
+    order = np.argsort(key)
     key, ids = key[order], ids[order]
     first = np.concatenate(([True], key[1:] != key[:-1]))
     start = np.flatnonzero(first)
-    end = np.append(start[1:], len(key)) - 1
-    return key, ids, start, np.cumsum(first) - 1, ids[end] != ids[start]
+    least = np.minimum.reduceat(ids, start)
+    return key, ids, start, least, np.cumsum(first) - 1, np.maximum.reduceat(ids, start) != least
 
 
 _ANNOUNCED = "part int, kind int, ids binary, keys binary"
@@ -104,10 +106,10 @@ def _announce(parts: int):
     """Task: kind 0 rows hold a part's (key, id); kind 2 the same for keys known to repeat; kind 1 rows tell a document."""
 
     def out(keys: list[np.ndarray], ids: list[np.ndarray]):
-        key, own, start, group, several = _grouped_minimum(np.concatenate(keys), np.concatenate(ids))
+        key, own, start, least, group, several = _grouped_minimum(np.concatenate(keys), np.concatenate(ids))
         rows = []
-        for kind, which in ((0, start[~several]), (2, start[several])):
-            k, i = key[which], own[which]
+        for kind, which in ((0, ~several), (2, several)):
+            k, i = key[start[which]], least[which]
             part = (k >> np.uint64(32)).astype(np.int64)
             rows += [(int(part[s.start]), kind, i[s].tobytes(), (k[s] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()) for s in _by(part)]
         many = several[group]
@@ -134,17 +136,17 @@ def _announce(parts: int):
     return work
 
 
-def _whole_parts(batches, size, most: int):
+def _whole_parts(batches, size, most: int, part: str = "part"):
     """Lists of rows (dicts) that hold whole parts, of at least ``most`` in size where there is as much."""
     held, amount, last = [], 0, None
     for batch in batches:
         for row in batch.to_pylist():
-            if amount >= most and row["part"] != last:
+            if amount >= most and row[part] != last:
                 yield held
                 held, amount = [], 0
             held.append(row)
             amount += size(row)
-            last = row["part"]
+            last = row[part]
     if held:
         yield held
 
@@ -160,7 +162,7 @@ def _repeated(batches):
             continue
         keys = [np.frombuffer(row["keys"], np.uint32).astype(np.uint64) | (np.uint64(row["part"]) << np.uint64(32)) for row in asked]
         flagged = [k for k, row in zip(keys, asked, strict=True) if row["kind"] == 2]
-        key, own, start, group, several = _grouped_minimum(np.concatenate(keys), np.concatenate([np.frombuffer(row["ids"], np.int64) for row in asked]))
+        key, own, start, _, group, several = _grouped_minimum(np.concatenate(keys), np.concatenate([np.frombuffer(row["ids"], np.int64) for row in asked]))
         if flagged:
             several |= np.isin(key[start], np.concatenate(flagged))
         many = several[group]
@@ -172,7 +174,8 @@ def _repeated(batches):
 
 
 _NEAR = "part int, ids binary, hashes binary, starts binary, which binary, sizes binary, bytes binary"
-_EARLIER = "id long, hash long, runs binary"
+_EARLIER = "group int, ids binary, hashes binary, first binary, last binary"
+_ANSWER = "id long, hash long, runs binary"
 
 
 def text_hash(text: bytes) -> int:
@@ -254,7 +257,7 @@ def refine(bucket: np.ndarray, offset: int, active: np.ndarray) -> tuple[np.ndar
     if not len(active):
         return bucket, active
     now, then = bucket[active], bucket[active + offset]
-    order = np.lexsort((then, now))
+    order = np.argsort((now << 32) | then)  # identifiers are positions of a piece of a part, far below 2**31
     a, b = now[order], then[order]
     new_bucket = np.concatenate(([True], a[1:] != a[:-1]))
     new_part = new_bucket | np.concatenate(([True], b[1:] != b[:-1]))
@@ -276,7 +279,7 @@ def string_buckets(text: np.ndarray, size: np.ndarray) -> np.ndarray:
     word = np.zeros(n + LENGTH, np.uint64)
     for k in range(8):
         word = (word << np.uint64(8)) | padded[k : k + n + LENGTH].astype(np.uint64)
-    order = np.argsort(word, kind="stable")
+    order = np.argsort(word)
     sorted_words = word[order]
     first = np.concatenate(([True], sorted_words[1:] != sorted_words[:-1]))
     bucket = np.empty(n + LENGTH, np.int64)
@@ -289,61 +292,83 @@ def string_buckets(text: np.ndarray, size: np.ndarray) -> np.ndarray:
     return bucket[:n]
 
 
-def _told(ids: np.ndarray, hashes: np.ndarray, first: np.ndarray, last: np.ndarray):
-    """Runs of starts as rows (id, text hash, runs), touching runs of a text joined."""
+def _runs(ids: np.ndarray, hashes: np.ndarray, first: np.ndarray, last: np.ndarray):
+    """Runs of starts in order of text, touching ones joined; and where a text's runs begin."""
     order = np.lexsort((first, hashes, ids))
     ids, hashes, first, last = ids[order], hashes[order], first[order], last[order]
     fresh = np.concatenate(([True], (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1])))
     begin = np.flatnonzero(fresh | np.concatenate(([True], first[1:] != last[:-1] + 1)))
     end = np.append(begin[1:], len(ids)) - 1
-    runs = np.stack([first[begin], last[end]], axis=1)
-    text = np.cumsum(fresh)[begin]
-    cut = _by(text)
-    for at in range(0, len(cut), 5000):
-        some = cut[at : at + 5000]
-        yield pa.RecordBatch.from_arrays([pa.array([int(ids[begin[x.start]]) for x in some], pa.int64()), pa.array([int(hashes[begin[x.start]]) for x in some], pa.int64()), pa.array([runs[x].tobytes() for x in some], pa.binary())], ["id", "hash", "runs"])
+    return ids[begin], hashes[begin], first[begin], last[end], np.flatnonzero(fresh[begin])
 
 
-def _earlier(batches):
-    """Task: the parts dealt to it, in order; rows (id, text hash, runs of starts whose string an earlier document holds)."""
+def _told(groups: int, *runs: np.ndarray):
+    """Runs as one row a group of documents that is concerned: documents meet their runs group by group."""
+    ids, hashes, first, last, _ = _runs(*runs)
+    group = ids % groups
+    order = np.argsort(group, kind="stable")
+    group, columns = group[order], [x[order] for x in (ids, hashes, first, last)]
+    pack = zstandard.ZstdCompressor(level=LEVEL).compress
+    cut = _by(group)
+    yield pa.RecordBatch.from_arrays([pa.array([int(group[x.start]) for x in cut], pa.int32()), *[pa.array([pack(c[x].tobytes()) for x in cut], pa.binary()) for c in columns]], ["group", "ids", "hashes", "first", "last"])
+
+
+def _answers(batches):
+    """Task: the groups dealt to it, in order; a row (id, text hash, runs of starts) for each text."""
     unpack = zstandard.ZstdDecompressor().decompress
-    for packed in _whole_parts(batches, lambda row: 3 * len(row["bytes"]), AT_ONCE_BYTES):
-        rows = [{k: x if k == "part" else unpack(x) for k, x in row.items()} for row in packed]
-        ready = [row for row in rows if row["part"] < 0]
-        if ready:
-            yield from _told(*[np.concatenate([np.frombuffer(row[c], np.int64) for row in ready]) for c in ("ids", "hashes", "starts", "which")])
-        asked = [row for row in rows if row["part"] >= 0]
-        if not asked:
-            continue
-        place: dict[bytes, int] = {}
-        which = []
-        for row in asked:
-            ends = np.cumsum(np.frombuffer(row["sizes"], np.uint32)).tolist()
-            data = row["bytes"]
-            mine = np.array([place.setdefault(data[a:b], len(place)) for a, b in zip([0, *ends], ends, strict=False)], np.int64)
-            which.append(mine[np.frombuffer(row["which"], np.uint32)])
-        piece_of = np.concatenate(which)
-        ids, hashes, starts = (np.concatenate([np.frombuffer(row[c], np.int64) for row in asked]) for c in ("ids", "hashes", "starts"))
-        size = np.fromiter(map(len, place), np.int64, len(place))
-        least = np.full(len(place), np.iinfo(np.int64).max)
-        np.minimum.at(least, piece_of, ids)
-        bucket = string_buckets(np.frombuffer(b"".join(place), np.uint8), size)
-        width = size - LENGTH + 1
-        base = np.cumsum(width) - width
-        piece = np.repeat(np.arange(len(place)), width)
-        string = bucket[(np.cumsum(size) - size)[piece] + np.arange(len(piece)) - base[piece]]
-        smallest = np.full(len(bucket) + LENGTH, np.iinfo(np.int64).max)
-        np.minimum.at(smallest, string, least[piece])
-        earliest = smallest[string]
-        wide = width[piece_of]
-        entry = np.repeat(np.arange(len(ids)), wide)
-        at = np.arange(len(entry)) - np.repeat(np.cumsum(wide) - wide, wide)
-        gone = earliest[base[piece_of[entry]] + at] < ids[entry]
-        begins = gone & np.concatenate(([True], ~gone[:-1] | (at[1:] == 0)))
-        ends_ = gone & np.concatenate((~gone[1:] | (at[1:] == 0), [True]))
-        if gone.any():
-            own = entry[begins]
-            yield from _told(ids[own], hashes[own], starts[own] + at[begins], starts[own] + at[ends_])
+    for rows in _whole_parts(batches, lambda row: 3 * len(row["ids"]), AT_ONCE_BYTES, "group"):
+        ids, hashes, first, last, text = _runs(*[np.concatenate([np.frombuffer(unpack(row[c]), np.int64) for row in rows]) for c in ("ids", "hashes", "first", "last")])
+        runs = np.stack([first, last], axis=1)
+        cut = [slice(a, b) for a, b in zip(text.tolist(), [*text[1:].tolist(), len(ids)], strict=True)]
+        for at in range(0, len(cut), 5000):
+            some = cut[at : at + 5000]
+            yield pa.RecordBatch.from_arrays([pa.array([int(ids[x.start]) for x in some], pa.int64()), pa.array([int(hashes[x.start]) for x in some], pa.int64()), pa.array([runs[x].tobytes() for x in some], pa.binary())], ["id", "hash", "runs"])
+
+
+def _earlier(groups: int):
+    """Task: the parts dealt to it, in order; rows of runs of starts whose string an earlier document holds, by group of documents."""
+
+    def work(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for packed in _whole_parts(batches, lambda row: 3 * len(row["bytes"]), AT_ONCE_BYTES):
+            rows = [{k: x if k == "part" else unpack(x) for k, x in row.items()} for row in packed]
+            ready = [row for row in rows if row["part"] < 0]
+            if ready:
+                yield from _told(groups, *[np.concatenate([np.frombuffer(row[c], np.int64) for row in ready]) for c in ("ids", "hashes", "starts", "which")])
+            asked = [row for row in rows if row["part"] >= 0]
+            if not asked:
+                continue
+            place: dict[bytes, int] = {}
+            which = []
+            for row in asked:
+                ends = np.cumsum(np.frombuffer(row["sizes"], np.uint32)).tolist()
+                data = row["bytes"]
+                mine = np.array([place.setdefault(data[a:b], len(place)) for a, b in zip([0, *ends], ends, strict=False)], np.int64)
+                which.append(mine[np.frombuffer(row["which"], np.uint32)])
+            piece_of = np.concatenate(which)
+            ids, hashes, starts = (np.concatenate([np.frombuffer(row[c], np.int64) for row in asked]) for c in ("ids", "hashes", "starts"))
+            size = np.fromiter(map(len, place), np.int64, len(place))
+            least = np.full(len(place), np.iinfo(np.int64).max)
+            np.minimum.at(least, piece_of, ids)
+            bucket = string_buckets(np.frombuffer(b"".join(place), np.uint8), size)
+            width = size - LENGTH + 1
+            base = np.cumsum(width) - width
+            piece = np.repeat(np.arange(len(place)), width)
+            string = bucket[(np.cumsum(size) - size)[piece] + np.arange(len(piece)) - base[piece]]
+            smallest = np.full(len(bucket) + LENGTH, np.iinfo(np.int64).max)
+            np.minimum.at(smallest, string, least[piece])
+            earliest = smallest[string]
+            wide = width[piece_of]
+            entry = np.repeat(np.arange(len(ids)), wide)
+            at = np.arange(len(entry)) - np.repeat(np.cumsum(wide) - wide, wide)
+            gone = earliest[base[piece_of[entry]] + at] < ids[entry]
+            begins = gone & np.concatenate(([True], ~gone[:-1] | (at[1:] == 0)))
+            ends_ = gone & np.concatenate((~gone[1:] | (at[1:] == 0), [True]))
+            if gone.any():
+                own = entry[begins]
+                yield from _told(groups, ids[own], hashes[own], starts[own] + at[begins], starts[own] + at[ends_])
+
+    return work
 
 
 _KEPT = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept", T.BinaryType())])
@@ -387,13 +412,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = max(partitions, -(-total // PART_BYTES))
     partitions = max(partitions, min(parts, MOST_PARTITIONS))
     hashed = bool(rows.groupBy("_id").count().where("count > 1").limit(1).count())
-    dealt = lambda df: df.repartition(partitions, "part").sortWithinPartitions("part")
+    dealt = lambda df, by="part": df.repartition(partitions, by).sortWithinPartitions(by)
     told = dealt(rows.select("_id", "_text").mapInArrow(_announce(parts), _ANNOUNCED)).mapInArrow(_repeated, _TOLD).groupBy("id").agg(F.collect_list("keys").alias("keys"))
     packed = rows.mapInArrow(_packed, T.StructType([*rows.drop("_text").schema.fields, T.StructField("_packed", T.BinaryType())]))
     # both joins read the same columns of the same rows by the same key, so that Spark shuffles the texts once
     columns = [packed[c] for c in packed.columns]
     wanting = packed.join(told, packed["_id"] == told["id"]).select(*columns, "keys")
-    earlier = dealt(wanting.mapInArrow(_near(parts, hashed), _NEAR)).mapInArrow(_earlier, _EARLIER)
-    answers = earlier.groupBy(F.col("id").alias("answer_id")).agg(F.collect_list(F.struct("hash", "runs")).alias("told"))
+    earlier = dealt(wanting.mapInArrow(_near(parts, hashed), _NEAR)).mapInArrow(_earlier(SPREAD * partitions), _EARLIER)
+    answers = dealt(earlier, "group").mapInArrow(_answers, _ANSWER).groupBy(F.col("id").alias("answer_id")).agg(F.collect_list(F.struct("hash", "runs")).alias("told"))
     judged = packed.join(answers, packed["_id"] == answers["answer_id"], "left").select(*columns, "told")
     return judged.mapInArrow(_apply([id_col], hashed), T.StructType([packed.schema[id_col], *_KEPT.fields]))
