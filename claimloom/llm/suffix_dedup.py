@@ -36,9 +36,9 @@ WINDOW = LENGTH - GRAM + 1
 #: Positions worked on at once; anchors, and strings around anchors, that a task gathers before it sends them.
 PIECE, HELD, HELD_NEAR = 1 << 16, 750_000, 80_000
 #: Bytes of text for each part into which anchors are dealt, and the most partitions that hold parts.
-PART_BYTES, MOST_PARTITIONS = 8 << 20, 50_000
-#: Whole parts a task works on at once: anchors, and bytes around them.
-AT_ONCE, AT_ONCE_BYTES = 750_000, 2 << 20
+PART_BYTES, MOST_PARTITIONS = 4 << 20, 50_000
+#: Whole parts a task works on at once: anchors, and bytes around them; strings judged at once.
+AT_ONCE, AT_ONCE_BYTES, JUDGED = 750_000, 1 << 20, 1 << 19
 #: Groups of documents for each shuffle partition, in which answers travel.
 SPREAD = 4
 #: Level at which texts and the bytes around anchors are packed for a shuffle.
@@ -99,7 +99,8 @@ def _grouped_minimum(key: np.ndarray, ids: np.ndarray):
 
 
 _ANNOUNCED = "part int, kind int, ids binary, keys binary"
-_TOLD = "id long, keys binary"
+_TOLD = "group int, ids binary, keys binary"
+_WANTED = "id long, keys binary"
 
 
 def _announce(parts: int):
@@ -151,26 +152,46 @@ def _whole_parts(batches, size, most: int, part: str = "part"):
         yield held
 
 
-def _repeated(batches):
-    """Task: the parts dealt to it, in order; rows (id, keys of the document that stand in others)."""
-    for rows in _whole_parts(batches, lambda row: len(row["keys"]) // 4, AT_ONCE):
-        told = [row for row in rows if row["kind"] == 1]
-        if told:
-            yield pa.RecordBatch.from_arrays([pa.array([int(np.frombuffer(row["ids"], np.int64)[0]) for row in told], pa.int64()), pa.array([row["keys"] for row in told], pa.binary())], ["id", "keys"])
-        asked = [row for row in rows if row["kind"] != 1]
-        if not asked:
-            continue
-        keys = [np.frombuffer(row["keys"], np.uint32).astype(np.uint64) | (np.uint64(row["part"]) << np.uint64(32)) for row in asked]
-        flagged = [k for k, row in zip(keys, asked, strict=True) if row["kind"] == 2]
-        key, own, start, _, group, several = _grouped_minimum(np.concatenate(keys), np.concatenate([np.frombuffer(row["ids"], np.int64) for row in asked]))
-        if flagged:
-            several |= np.isin(key[start], np.concatenate(flagged))
-        many = several[group]
-        order = np.argsort(own[many], kind="stable")
-        i, k = own[many][order], key[many][order]
-        cut = _by(i)
+def _repeated(groups: int):
+    """Task: the parts dealt to it, in order; which documents have which repeated keys, a row a group of documents."""
+
+    def work(batches):
+        for rows in _whole_parts(batches, lambda row: len(row["keys"]) // 4, AT_ONCE):
+            ids, keys = [], []
+            for row in rows:
+                if row["kind"] == 1:
+                    keys.append(np.frombuffer(row["keys"], np.uint64))
+                    ids.append(np.full(len(keys[-1]), np.frombuffer(row["ids"], np.int64)[0]))
+            asked = [row for row in rows if row["kind"] != 1]
+            if asked:
+                found = [np.frombuffer(row["keys"], np.uint32).astype(np.uint64) | (np.uint64(row["part"]) << np.uint64(32)) for row in asked]
+                flagged = [k for k, row in zip(found, asked, strict=True) if row["kind"] == 2]
+                key, own, start, _, number, several = _grouped_minimum(np.concatenate(found), np.concatenate([np.frombuffer(row["ids"], np.int64) for row in asked]))
+                if flagged:
+                    several |= np.isin(key[start], np.concatenate(flagged))
+                many = several[number]
+                ids.append(own[many])
+                keys.append(key[many])
+            i, k = np.concatenate(ids), np.concatenate(keys)
+            group = i % groups
+            order = np.lexsort((i, group))
+            group, i, k = group[order], i[order], k[order]
+            cut = _by(group)
+            yield pa.RecordBatch.from_arrays([pa.array([int(group[x.start]) for x in cut], pa.int32()), *[pa.array([c[x].tobytes() for x in cut], pa.binary()) for c in (i, k)]], ["group", "ids", "keys"])
+
+    return work
+
+
+def _wanted(batches):
+    """Task: the groups dealt to it, in order; a row (id, repeated keys) for each id."""
+    for rows in _whole_parts(batches, lambda row: len(row["keys"]) // 8, AT_ONCE, "group"):
+        ids, keys = (np.concatenate([np.frombuffer(row[c], kind) for row in rows]) for c, kind in (("ids", np.int64), ("keys", np.uint64)))
+        order = np.argsort(ids, kind="stable")
+        ids, keys = ids[order], keys[order]
+        cut = _by(ids)
         for at in range(0, len(cut), 5000):
-            yield pa.RecordBatch.from_arrays([pa.array([int(i[x.start]) for x in cut[at : at + 5000]], pa.int64()), pa.array([k[x].tobytes() for x in cut[at : at + 5000]], pa.binary())], ["id", "keys"])
+            some = cut[at : at + 5000]
+            yield pa.RecordBatch.from_arrays([pa.array([int(ids[x.start]) for x in some], pa.int64()), pa.array([np.unique(keys[x]).tobytes() for x in some], pa.binary())], ["id", "keys"])
 
 
 _NEAR = "part int, ids binary, hashes binary, starts binary, which binary, sizes binary, bytes binary"
@@ -227,9 +248,9 @@ def _near(parts: int, hashed: bool):
         held: list = []
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in small(batches):
-            for number, packed, lists in zip(batch["_id"].to_pylist(), batch["_packed"].to_pylist(), batch["keys"].to_pylist(), strict=True):
+            for number, packed, listed in zip(batch["_id"].to_pylist(), batch["_packed"].to_pylist(), batch["keys"].to_pylist(), strict=True):
                 text = unpack(packed)
-                wanted = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in lists]))
+                wanted = np.frombuffer(listed, np.uint64)
                 hashes, lo, hi = anchors(text)
                 if not len(hashes):  # the keys are those of another row with this id
                     continue
@@ -359,14 +380,17 @@ def _earlier(groups: int):
             np.minimum.at(smallest, string, least[piece])
             earliest = smallest[string]
             wide = width[piece_of]
-            entry = np.repeat(np.arange(len(ids)), wide)
-            at = np.arange(len(entry)) - np.repeat(np.cumsum(wide) - wide, wide)
-            gone = earliest[base[piece_of[entry]] + at] < ids[entry]
-            begins = gone & np.concatenate(([True], ~gone[:-1] | (at[1:] == 0)))
-            ends_ = gone & np.concatenate((~gone[1:] | (at[1:] == 0), [True]))
-            if gone.any():
-                own = entry[begins]
-                yield from _told(groups, ids[own], hashes[own], starts[own] + at[begins], starts[own] + at[ends_])
+            turn = np.cumsum(wide) // JUDGED
+            for x in _by(turn):  # a document's strings in a few steps, as many as there may be
+                own_wide, own_ids, own_piece = wide[x], ids[x], piece_of[x]
+                entry = np.repeat(np.arange(len(own_ids)), own_wide)
+                at = np.arange(len(entry)) - np.repeat(np.cumsum(own_wide) - own_wide, own_wide)
+                gone = earliest[base[own_piece[entry]] + at] < own_ids[entry]
+                begins = gone & np.concatenate(([True], ~gone[:-1] | (at[1:] == 0)))
+                ends_ = gone & np.concatenate((~gone[1:] | (at[1:] == 0), [True]))
+                if gone.any():
+                    own = entry[begins]
+                    yield from _told(groups, own_ids[own], hashes[x][own], starts[x][own] + at[begins], starts[x][own] + at[ends_])
 
     return work
 
@@ -411,14 +435,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(partitions, -(-total // PART_BYTES))
     partitions = max(partitions, min(parts, MOST_PARTITIONS))
+    groups = SPREAD * partitions
     hashed = bool(rows.groupBy("_id").count().where("count > 1").limit(1).count())
     dealt = lambda df, by="part": df.repartition(partitions, by).sortWithinPartitions(by)
-    told = dealt(rows.select("_id", "_text").mapInArrow(_announce(parts), _ANNOUNCED)).mapInArrow(_repeated, _TOLD).groupBy("id").agg(F.collect_list("keys").alias("keys"))
+    told = dealt(rows.select("_id", "_text").mapInArrow(_announce(parts), _ANNOUNCED)).mapInArrow(_repeated(groups), _TOLD)
+    told = dealt(told, "group").mapInArrow(_wanted, _WANTED)
     packed = rows.mapInArrow(_packed, T.StructType([*rows.drop("_text").schema.fields, T.StructField("_packed", T.BinaryType())]))
     # both joins read the same columns of the same rows by the same key, so that Spark shuffles the texts once
     columns = [packed[c] for c in packed.columns]
     wanting = packed.join(told, packed["_id"] == told["id"]).select(*columns, "keys")
-    earlier = dealt(wanting.mapInArrow(_near(parts, hashed), _NEAR)).mapInArrow(_earlier(SPREAD * partitions), _EARLIER)
+    earlier = dealt(wanting.mapInArrow(_near(parts, hashed), _NEAR)).mapInArrow(_earlier(groups), _EARLIER)
     answers = dealt(earlier, "group").mapInArrow(_answers, _ANSWER).groupBy(F.col("id").alias("answer_id")).agg(F.collect_list(F.struct("hash", "runs")).alias("told"))
     judged = packed.join(answers, packed["_id"] == answers["answer_id"], "left").select(*columns, "told")
     return judged.mapInArrow(_apply([id_col], hashed), T.StructType([packed.schema[id_col], *_KEPT.fields]))

@@ -257,7 +257,7 @@ def brute_repeats(docs):
 @pytest.mark.parametrize("small", [False, True])
 def test_suffix_dedup(spark, monkeypatch, small):
     if small:  # every buffer runs over
-        for name, value in (("PIECE", 64), ("HELD", 30), ("HELD_NEAR", 5), ("AT_ONCE", 20), ("AT_ONCE_BYTES", 300)):
+        for name, value in (("PIECE", 64), ("HELD", 30), ("HELD_NEAR", 5), ("AT_ONCE", 20), ("AT_ONCE_BYTES", 300), ("JUDGED", 40)):
             monkeypatch.setattr(suffix_dedup, name, value)
     docs = corpus(spark, 70, seed=8)
     more = spark.createDataFrame([(2000, "a" * 400), (2001, "b" * 30 + "a" * 120), (2002, "ab" * 90), (2003, "ab" * 90), (1000, "same id, other text, and fifty bytes are needed here for it to count at all")], "doc_id long, text string")
