@@ -181,20 +181,19 @@ def _group(lang_col: str, source_col: str) -> Column:
 def fit(measured: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The estimates (_group, center, inverse) of the groups of ``measured``, a stored table.
 
-    They come from rows that passed the base rule. The estimates of each level are written out and joined by key:
-    Spark broadcasts them only while they are below its size threshold.
+    They come from rows that passed the base rule. The estimates of each step are written out and joined by key: so
+    Spark knows their size and broadcasts them, rather than shuffle rows by language, while they are below its threshold.
     """
     names = list(FEATURES)
     good = measured.where(~F.col("base_failed")).select(_text(lang_col).alias("_lang"), _group(lang_col, source_col).alias("_group"), *names)
     by_lang = None
     for _ in range(STEPS):
-        by_lang = _step(good.select("_lang", *names), "_lang", by_lang, False)
-    by_lang = materialize(by_lang, "mcd-lang")
+        by_lang = materialize(_step(good.select("_lang", *names), "_lang", by_lang, False), "mcd-lang")
     own = good.select("_group", "_lang").distinct().join(by_lang, "_lang").drop("_lang")
     centered = good.join(by_lang.select("_lang", F.col("center").alias("center0")), "_lang").drop("_lang")
     for _ in range(STEPS):
-        own = _step(centered, "_group", own, True)
-    return materialize(own, "mcd-group")
+        own = materialize(_step(centered, "_group", own, True), "mcd-group")
+    return own
 
 
 def verdict(measured: DataFrame, estimates: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
