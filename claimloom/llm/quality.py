@@ -189,7 +189,7 @@ def fit(measured: DataFrame, lang_col: str = "lang", source_col: str = "source")
     by_lang = None
     for _ in range(STEPS):
         by_lang = materialize(_step(good.select("_lang", *names), "_lang", by_lang, False), "mcd-lang")
-    own = good.select("_group", "_lang").distinct().join(by_lang, "_lang").drop("_lang")
+    own = materialize(good.select("_group", "_lang").distinct().join(by_lang, "_lang").drop("_lang"), "mcd-group")
     centered = good.join(by_lang.select("_lang", F.col("center").alias("center0")), "_lang").drop("_lang")
     for _ in range(STEPS):
         own = materialize(_step(centered, "_group", own, True), "mcd-group")
