@@ -33,6 +33,8 @@ from .common import lean, materialize, small, unveiled, utf8, veiled
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Members of a key compared in one piece; members whose planes are held at once.
 CHUNK, RUN = 4096, 8192
+#: Links written by a task of a round of ``components``, so that a small graph is not many tiny files.
+LINKS_A_FILE = 250_000
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -195,7 +197,8 @@ def components(edges: DataFrame, a: str = "fp", b: str = "hub", most_rounds: int
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(below, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        now = materialize(small.select("e.*").where("u <> v").distinct(), "edges")
+        # a round never has more links than the last one has, twice
+        now = materialize(small.select("e.*").where("u <> v").distinct().coalesce(1 + 2 * last[0] // LINKS_A_FILE), "edges")
         new = checksum(now)
         if new == last:
             break
