@@ -27,10 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lean
+
 #: White_Space of Unicode, as regular expressions of the tokenizer's kind see it.
 SPACE = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
-#: Encoded words, and runs of a generation, kept by a Python worker; bytes of output in a batch.
-KEPT_RUNS, OUT_BYTES = 250_000, 16 << 20
+#: Encoded words, and runs of a generation, kept during a task; bytes of output in a batch.
+KEPT_RUNS, OUT_BYTES = 200_000, 16 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -201,6 +203,11 @@ class Vocabulary:
             out.append((packed, len(packed) // 4, " ".join([x[1] for x in got if x[1]])))
         return out
 
+    def forget(self) -> None:
+        """Let go of what was encoded: workers outlive their task, and other stages need the memory."""
+        self.known.clear()
+        self.seen, self.before = {}, {}
+
     def decode(self, packed: bytes) -> str:
         """The text of packed ids: names of tokens, spaces between, ids without a name left out."""
         names = self.names
@@ -234,7 +241,7 @@ def encode(docs: DataFrame, tokenizer_file: str, text_col: str = "text", keep: d
         shared = spark.sparkContext.broadcast(f.read())
     keep = keep or {}
     kept_names = list(keep)
-    rows = docs.select(*[c.alias(k) for k, c in keep.items()], F.col(text_col).cast("string").alias("_text"))
+    rows = lean(docs).select(*[c.alias(k) for k, c in keep.items()], F.col(text_col).cast("string").alias("_text"))
 
     def work(batches):
         vocabulary = parsed(shared.value)
@@ -246,6 +253,8 @@ def encode(docs: DataFrame, tokenizer_file: str, text_col: str = "text", keep: d
                     [*[batch[k].slice(a, b - a) for k in kept_names], pa.array([x[1] for x in got], pa.int64()), pa.array([x[0] for x in got], pa.binary()), pa.array([x[2] for x in got], pa.string())],
                     [*kept_names, "n_tokens", "ids", "decoded"],
                 )
+        vocabulary.forget()
+        pa.default_memory_pool().release_unused()
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
     return rows.mapInArrow(work, T.StructType([*rows.drop("_text").schema.fields, *fields]))
