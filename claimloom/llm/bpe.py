@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean
+from .common import lean, released
 
 #: White_Space of Unicode, as regular expressions of the tokenizer's kind see it.
 SPACE = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
@@ -207,6 +207,7 @@ class Vocabulary:
         """Let go of what was encoded: workers outlive their task, and other stages need the memory."""
         self.known.clear()
         self.seen, self.before = {}, {}
+        self.fits.cache_clear()
 
     def decode(self, packed: bytes) -> str:
         """The text of packed ids: names of tokens, spaces between, ids without a name left out."""
@@ -254,7 +255,7 @@ def encode(docs: DataFrame, tokenizer_file: str, text_col: str = "text", keep: d
                     [*kept_names, "n_tokens", "ids", "decoded"],
                 )
         vocabulary.forget()
-        pa.default_memory_pool().release_unused()
+        released()
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
     return rows.mapInArrow(work, T.StructType([*rows.drop("_text").schema.fields, *fields]))
