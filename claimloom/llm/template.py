@@ -40,6 +40,7 @@ HELD = 400_000
 
 #: Names of HTML elements, and words in class or id that name what is no article.
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "xmp", "noframes")
+FOREIGN = frozenset({"svg", "math"})
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 DROPPED = frozenset("nav footer aside form button select menu dialog head search fieldset label audio video canvas figcaption".split())
@@ -157,6 +158,9 @@ def blocks(page: str) -> tuple[list[Block], list[str]]:
                 del stack[depth:]
             continue
         if tag.raw:
+            if name in FOREIGN and m[3].endswith("/"):  # closed by itself, so there is no end to look for
+                held.append(" ")
+                continue
             found = _END_OF[name].search(page, at)
             at = found.end() if found else size
             held.append(" ")
@@ -359,11 +363,7 @@ def main_text(page: str, template: dict[str, set[str]]) -> str:
         return not fixed or sum(w in fixed for w in b.words) < TEMPLATE_SHARE * len(b.words)
 
     kept = [b for b in found if slot(b)]
-    size: Counter = Counter()
-    for b in kept:
-        size[b.article] += sum(map(len, b.words))
-    best = max((a for a in size if a), key=lambda a: (a % 2, size[a], -a), default=0)
-    chosen = [b for b in kept if b.article == best] if best else [b for b in kept if b.linked * 2 < sum(map(len, b.words)) + len(b.words)]
+    chosen = [b for b in kept if b.article] or [b for b in kept if b.linked * 2 < sum(map(len, b.words)) + len(b.words)]
     return "\n\n".join(" ".join(b.words) for b in chosen)
 
 
