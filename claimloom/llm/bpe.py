@@ -15,6 +15,7 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import unicodedata
@@ -31,8 +32,8 @@ from .common import lean, released
 
 #: White_Space of Unicode, as regular expressions of the tokenizer's kind see it.
 SPACE = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
-#: Encoded words, and runs of a generation, kept during a task; bytes of output in a batch.
-KEPT_RUNS, OUT_BYTES = 200_000, 16 << 20
+#: Encoded words, and runs of a generation, kept during a task; answers of ``fits``; bytes of output in a batch.
+KEPT_RUNS, KEPT_FITS, OUT_BYTES = 300_000, 1 << 19, 16 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -61,13 +62,13 @@ class Vocabulary:
             if last:
                 key[-1] = chr(ord(key[-1]) + 256)
             self.ids["".join(key)] = i
-        #: The tokens read backwards as nested tables; the empty key holds the id.
-        self.ends: dict = {}
-        for key, i in self.ids.items():
-            node = self.ends
-            for c in reversed(key):
-                node = node.setdefault(c, {})
-            node[""] = i
+        #: All beginnings of tokens, and the automaton over them that is unfolded as words are walked: a node is the
+        #: longest beginning that ends here; "" holds the tokens that end here, longest first.
+        self.beginnings = {key[:n] for key in self.ids for n in range(1, len(key) + 1)}
+        self.fitting: dict[int, dict[int, bool]] = {}
+        self.n_fitting = 0
+        self.nodes: dict[str, dict] = {}
+        self.root = self._node("")
         pairs = [x if isinstance(x, list) else x.split(" ") for x in model["merges"]]
         #: Rank of each merge; what each merged token was merged from.
         self.rank, self.parts = {}, {}
@@ -75,18 +76,44 @@ class Vocabulary:
             left, right, made = model["vocab"][a], model["vocab"][b], model["vocab"][a + b]
             self.rank.setdefault((left, right), (rank, made))
             self.parts.setdefault(made, (rank, left, right))
-        self.fits = lru_cache(maxsize=1 << 18)(self._fits)
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
         self.space = re.compile(f"[{SPACE}]+")
         self.odd = re.compile("[\\x1c-\\x1f]")  # white space to str.split() alone
         self.packed = {i: i.to_bytes(4, "little") for i in self.names}
-        #: Encoded words, and runs of two generations: packed ids and decoded text.
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.seen: dict[str, tuple[bytes, str]] = {}
-        self.before: dict[str, tuple[bytes, str]] = {}
-
-    def _fits(self, left: int, right: int) -> bool:
+        #: Names by id, for ids as dense as a vocabulary's are; "" where an id has none (no token's name is empty).
+        self.by_id = [self.names.get(i, "") for i in range(max(self.names, default=-1) + 1)]
+        #: Packed ids of encoded words, and of runs of two generations.
+        self.known: dict[str, bytes] = {}
+        self.seen: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def _node(self, text: str) -> dict:
+        found = self.nodes.get(text)
+        if found is None:
+            ends = [(self.ids[text[k:]], len(text) - k) for k in range(len(text)) if text[k:] in self.ids]
+            found = self.nodes[text] = {"": [(token, n, self.fitting.setdefault(token, {})) for token, n in ends], None: text}
+        return found
+
+    def _follow(self, node: dict, c: str) -> dict:
+        """The node after ``node`` and ``c``, remembered there."""
+        text = node[None] + c
+        while text and text not in self.beginnings:
+            text = text[1:]
+        found = node[c] = self._node(text)
+        return found
+
+    def _fit(self, left: int, token: int) -> bool:
+        """``fits``, remembered with the token; at most ``KEPT_FITS`` answers are kept."""
+        if self.n_fitting >= KEPT_FITS:
+            for x in self.fitting.values():
+                x.clear()
+            self.n_fitting = 0
+        self.n_fitting += 1
+        good = self.fitting[token][left] = self.fits(left, token)
+        return good
+
+    def fits(self, left: int, right: int) -> bool:
         """Whether merging never joins anything across the border of these two tokens.
 
         Undo the later merge of the two again and again; the border holds unless, on the way, a merge of the two
@@ -107,45 +134,55 @@ class Vocabulary:
 
     def encode_words(self, words) -> None:
         """Put distinct words into ``known``. In sorted order they are the trie in preorder; the lists are the path."""
-        keyed = sorted((word.encode("utf-8", "surrogatepass").decode("latin-1"), word) for word in words)
-        ends, fits, names, packed = self.ends, self.fits, self.names, self.packed
-        last: list[int] = []   # state of the path's nodes: last token ...
-        start: list[int] = []  # ... and where it starts
-        path = ""
-
-        def state(text: str, depth: int) -> tuple[int, int]:
-            """The token at the end of ``text[:depth]``: of those that end here, the one that fits what stands before."""
-            node, at, found = ends, depth, []
-            while at and (node := node.get(text[at - 1])) is not None:
-                at -= 1
-                if "" in node:
-                    found.append((node[""], at))
-            for token, at in reversed(found):
-                if at == 0 or fits(last[at - 1], token):
-                    return token, at
-            raise ValueError("a byte is missing from the vocabulary")
-
-        for key, word in keyed:
-            shared, most = 0, min(len(path), len(key) - 1)
-            if path[:most] == key[:most]:
-                shared = most
-            else:
-                while path[shared] == key[shared]:
+        other = {word.encode("utf-8", "surrogatepass").decode("latin-1"): word for word in words if not word.isascii()}
+        keys = [word for word in words if word.isascii()]
+        keys += other
+        keys.sort()
+        packed, known, follow, fit = self.packed, self.known, self._follow, self._fit
+        #: The path from the trie's root: place in the automaton, last token, packed encoding up to here.
+        here, path = self.root, ""
+        state = [(here, -1, b"")]
+        for key in keys:
+            body = key[:-1]
+            shared = len(path)
+            if not body.startswith(path):
+                shared = 0
+                for x, y in zip(path, body):
+                    if x != y:
+                        break
                     shared += 1
-            del last[shared:], start[shared:]
-            path = key[:-1]
-            for depth in range(shared + 1, len(key)):
-                token, at = state(path, depth)
-                last.append(token)
-                start.append(at)
-            marked = path + chr(ord(key[-1]) + 256)
-            token, at = state(marked, len(marked))
-            found = [token]
-            while at:
-                found.append(last[at - 1])
-                at = start[at - 1]
-            found.reverse()
-            self.known[word] = (b"".join([packed[i] for i in found]), " ".join([names[i] for i in found]))
+                del state[shared + 1 :]
+                here = state[shared][0]
+            path = body
+            depth = shared
+            for c in body[shared:]:
+                depth += 1
+                try:
+                    here = here[c]
+                except KeyError:
+                    here = follow(here, c)
+                for token, n, fitting in here[""]:
+                    _, left, before = state[depth - n]
+                    if left < 0:
+                        break
+                    good = fitting.get(left)
+                    if good or (good is None and fit(left, token)):
+                        break
+                else:
+                    raise ValueError("a byte is missing from the vocabulary")
+                state.append((here, token, before + packed[token]))
+            c = chr(ord(key[-1]) + 256)
+            depth += 1
+            for token, n, fitting in (here.get(c) or follow(here, c))[""]:
+                _, left, before = state[depth - n]
+                if left < 0:
+                    break
+                good = fitting.get(left)
+                if good or (good is None and fit(left, token)):
+                    break
+            else:
+                raise ValueError("a byte is missing from the vocabulary")
+            known[other.get(key, key)] = before + packed[token]
 
     def runs(self, text: str) -> list[str]:
         """The text cut at white space; strings of special tokens stay whole.
@@ -164,55 +201,70 @@ class Vocabulary:
 
     def pieces(self, run: str) -> list[str]:
         """The words of a run, normalised."""
+        if run.isascii():  # most are one word, or one and a mark
+            if run.isalpha():
+                return [run.lower()]
+            if run[:-1].isalpha() and not run[-1].isdigit():
+                return [run[:-1].lower(), run[-1]]
         if run in self.special:
             return [run]
         return self.words.findall((run if run.isascii() else unicodedata.normalize("NFC", run).replace("Σ", "σ")).lower())
 
-    def encode_texts(self, texts: list[str]) -> list[tuple[bytes, int, str]]:
-        """(ids as little-endian unsigned 32-bit integers, their number, the decoded text) of each text."""
+    def encode_texts(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.seen) > KEPT_RUNS:  # the generation before last is forgotten
             self.before, self.seen = self.seen, {}
         if len(self.known) > KEPT_RUNS:
             self.known.clear()
         for name, i in self.special.items():
-            self.known[name] = (self.packed[i], name)
-        cut = [self.runs(x) for x in texts]
+            self.known[name] = self.packed[i]
+        seen, known = self.seen, self.known
+        out: list = []
+        late: list[tuple[int, list, list[str], list[int]]] = []
         new: set[str] = set()
-        for runs in cut:
-            new.update(runs)
-        new.difference_update(self.seen)
+        for text in texts:
+            runs = self.runs(text)
+            got = list(map(seen.get, runs))
+            if None in got:
+                missing = [k for k, x in enumerate(got) if x is None]
+                new.update([runs[k] for k in missing])
+                late.append((len(out), got, runs, missing))
+                out.append(None)
+            else:
+                out.append(b"".join(got))
         old = new.intersection(self.before)
-        self.seen.update((x, self.before[x]) for x in old)
+        seen.update((x, self.before[x]) for x in old)
         new.difference_update(old)
         made = {run: self.pieces(run) for run in new}
         words: set[str] = set()
         for x in made.values():
             words.update(x)
-        words.difference_update(self.known)
+        words.difference_update(known)
         self.encode_words(words)
-        for run, x in made.items():
-            if len(x) == 1:
-                self.seen[run] = self.known[x[0]]
-            else:  # a run of characters that normalise to nothing has no words
-                got = [self.known[w] for w in x]
-                self.seen[run] = (b"".join([y[0] for y in got]), " ".join([y[1] for y in got]))
-        out = []
-        for runs in cut:
-            got = [self.seen[run] for run in runs]
-            packed = b"".join([x[0] for x in got])
-            out.append((packed, len(packed) // 4, " ".join([x[1] for x in got if x[1]])))
+        for run, x in made.items():  # a run of characters that normalise to nothing has no words
+            seen[run] = known[x[0]] if len(x) == 1 else b"".join([known[w] for w in x])
+        for at, got, runs, missing in late:
+            for k in missing:
+                got[k] = seen[runs[k]]
+            out[at] = b"".join(got)
         return out
 
     def forget(self) -> None:
         """Let go of what was encoded: workers outlive their task, and other stages need the memory."""
         self.known.clear()
         self.seen, self.before = {}, {}
-        self.fits.cache_clear()
+        for x in self.fitting.values():
+            x.clear()
+        self.n_fitting = 0
 
     def decode(self, packed: bytes) -> str:
         """The text of packed ids: names of tokens, spaces between, ids without a name left out."""
-        names = self.names
-        return " ".join([names[i] for i in np.frombuffer(packed, "<u4").tolist() if i in names])
+        names = self.by_id
+        ids = np.frombuffer(packed, "<u4")
+        if len(ids) and int(ids.max()) >= len(names):
+            ids = ids[ids < len(names)]
+        got = list(map(names.__getitem__, ids.tolist()))
+        return " ".join(filter(None, got) if "" in got else got)
 
 
 @lru_cache(maxsize=4)
@@ -233,7 +285,7 @@ def _groups(batch, texts):
 
 
 def encode(docs: DataFrame, tokenizer_file: str, text_col: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
-    """The columns of ``keep``, then n_tokens long, ids (packed little-endian uint32) and decoded string.
+    """The columns of ``keep``, then n_tokens long and ids (packed little-endian uint32).
 
     The tokenizer file (a few MB of JSON, its size fixed by the vocabulary) is read on the driver and broadcast.
     """
@@ -246,18 +298,20 @@ def encode(docs: DataFrame, tokenizer_file: str, text_col: str = "text", keep: d
 
     def work(batches):
         vocabulary = parsed(shared.value)
+        gc.disable()  # nothing here is cyclic, and walking all that is kept again and again costs a sixth of the time
         for batch in batches:
             texts = [x or "" for x in batch["_text"].to_pylist()]
             for a, b in _groups(batch, texts):
                 got = vocabulary.encode_texts(texts[a:b])
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch[k].slice(a, b - a) for k in kept_names], pa.array([x[1] for x in got], pa.int64()), pa.array([x[0] for x in got], pa.binary()), pa.array([x[2] for x in got], pa.string())],
-                    [*kept_names, "n_tokens", "ids", "decoded"],
+                    [*[batch[k].slice(a, b - a) for k in kept_names], pa.array([len(x) // 4 for x in got], pa.int64()), pa.array(got, pa.binary())],
+                    [*kept_names, "n_tokens", "ids"],
                 )
+        gc.enable()
         vocabulary.forget()
         released()
 
-    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
     return rows.mapInArrow(work, T.StructType([*rows.drop("_text").schema.fields, *fields]))
 
 

@@ -55,8 +55,10 @@ def word_bpe_file() -> str:
 
 
 def op9_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = bpe.encode(table(spark, sf_dir, "documents"), word_bpe_file(), keep={"doc_id": F.col("doc_id")})
-    return got.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), word_bpe_file(), keep={"doc_id": F.col("doc_id")})
+    kept = {"doc_id": F.col("doc_id"), "n_tokens": F.col("n_tokens"), "ids_sha256": F.sha2("ids", 256)}
+    got = bpe.decode(encoded, word_bpe_file(), keep=kept)
+    return got.select(*kept, F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -344,10 +344,25 @@ def test_bpe_equals_the_library(spark):
     texts = ["".join(rng.choice("abcdeéèüßΣσİı日本'’s t#$%0123456789²½\x00\x1c\x85​　́😀ﬁÅ\n\t|") for _ in range(rng.randint(0, 40))) for _ in range(1500)]
     texts += ["".join(rng.choice(["<|endoftext|>", "<|startoftext|>", "<|", "the ", "thing", "s's", " 'll"]) for _ in range(8)) for _ in range(200)] + ["supercalifragilistic" * 500, "", "cióneciónja ÀÉ", "a" * 3000]
     vocabulary, tokenizer = bpe.parsed(open(queries.word_bpe_file()).read()), library()
-    for text, (ids, n, decoded) in zip(texts, vocabulary.encode_texts(texts), strict=True):
+    for text, ids in zip(texts, vocabulary.encode_texts(texts), strict=True):
         want = tokenizer.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(ids, "<u4").tolist() == want and n == len(want), text
-        assert decoded == tokenizer.decode(want, skip_special_tokens=False) == vocabulary.decode(ids)
+        assert np.frombuffer(ids, "<u4").tolist() == want, text
+        assert tokenizer.decode(want, skip_special_tokens=False) == vocabulary.decode(ids)
+
+
+def test_bpe_decode_leaves_out_ids_without_a_name(spark):
+    vocabulary = bpe.parsed(open(queries.word_bpe_file()).read())
+    ids = np.array([320, 10**6, 321, 2**32 - 1], "<u4")
+    rows = spark.createDataFrame([(1, bytearray(ids.tobytes())), (2, None), (3, bytearray())], "doc_id long, ids binary")
+    got = dict(map(tuple, bpe.decode(rows, queries.word_bpe_file(), keep={"doc_id": F.col("doc_id")}).collect()))
+    assert got == {1: library().decode([320, 321], skip_special_tokens=False), 2: "", 3: ""} and vocabulary.decode(b"") == ""
+
+
+def test_bpe_of_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, ids int")
+    encoded = bpe.encode(docs, queries.word_bpe_file(), keep={"doc_id": F.col("doc_id")})
+    assert encoded.columns == ["doc_id", "n_tokens", "ids"] and encoded.count() == 0
+    assert bpe.decode(encoded, queries.word_bpe_file()).count() == 0
 
 
 def test_bpe_query(spark, tmp_path):
