@@ -1,19 +1,28 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Tokens of a page are its tags and its words, each told apart by the path of elements around it. Tokens of one host
-that occur equally often on every one of its pages share an occurrence vector and form an equivalence class; large
-and frequent classes come from the template that made the pages. A class is valid if its tokens stand in one order
-on every page, and if its instances and those of every other class are nested: each lies in one gap of the other.
-The valid classes, nested, are the host's template. What stands in its slots is what remains of a page; of that the
-slots of menus, forms, adverts, comments and the like are left out by the elements they lie in, and the article by
-its element or, where it has none, by text without links.
-
-Vectors are kept as a XOR of hashes of (page, count), so a host of any size is added up in every task; pages never
-move: classes are joined to them by host, and broadcast only while they are small.
-
-Defined results: a null or empty page has no text; a host with fewer than ``LEAST_PAGES`` pages has no template and
-is read by its elements alone; a null url is a host of its own; repeated pages count and are returned as often as
-they stand; broken or cut markup is read as far as it goes; extra columns are ignored.
+Tokens of a page are its block tags and its text, each told apart by the path of elements around it: a block of up to
+``SHORT`` words gives its words (template and slot share such lines), a longer one is one token. Tokens of one host
+that occur equally often on every one of its pages share an occurrence vector and form an equivalence class. A class
+needs ``LEAST_TOKENS`` tokens, ``LEAST_PAGES`` pages and the share ``LEAST_SHARE`` of the host's pages, so each layout of
+a host has classes of its own; text needs ``TEXT_SHARE``, as articles quote each other. A class is valid if its tokens stand in one order on every page, and if its instances
+and those of every other class are nested: each lies in one gap of the other. The valid classes, nested, are the
+host's template; what stands in its slots is what remains of a page.
+
+The slots decide the text. Every block belongs to a container (its nearest article, main, division, cell or body); the
+words that all pages of the host have in a container's slots, without links, are its mass. A page's text is what its
+heaviest container holds in slots. Slots of a class that stands several times on a page are records (reader comments,
+teasers) and left out, unless they hold most of the heaviest container. Elements that HTML itself or their label name
+as menus, footers, adverts, forms or comments are left out everywhere: no vector can tell an advert that changes from
+an article. Pages of a host without a template, and pages whose slots are empty (copies of one page), are read by
+their elements alone.
+
+Vectors are sums of hashes of (page, count), keyed by what the page holds, so a host of any size is added up in every
+task, and repeated rows and null ids count. Pages never move while the templates are below ``BROADCAST`` bytes, which is
+measured; beyond that they meet in a join salted by the number of the host's pages.
+
+Defined results: a null or empty page has no text; a null url is a host of its own; repeated pages count and are
+returned as often as they stand; broken or cut markup is read as far as it goes; extra columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,43 +38,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, materialize
+from .common import lean, materialize, small
 
 #: A class needs so many tokens, and to stand on so many pages and on this share of the host's pages.
-LEAST_TOKENS, LEAST_PAGES, LEAST_SHARE = 3, 8, 0.8
-#: Share of a block's words that are template from which on it is no slot's.
-TEMPLATE_SHARE = 0.6
-#: Tokens that a task gathers before it hands them on.
-HELD = 400_000
+LEAST_TOKENS, LEAST_PAGES, LEAST_SHARE, TEXT_SHARE = 3, 6, 0.1, 0.3
+#: Words of a block that are tokens each; share of a block's words that are template from which on it is no slot's.
+SHORT, TEMPLATE_SHARE = 8, 0.6
+#: Tokens that a task gathers before it hands them on; bytes of templates that are broadcast; pages of a salted part.
+HELD, BROADCAST, SALTED = 150_000, 64 << 20, 5_000
 
 #: Names of HTML elements, and words in class or id that name what is no article.
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "xmp", "noframes")
 FOREIGN = frozenset({"svg", "math"})
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
-DROPPED = frozenset("nav footer aside form button select menu dialog head search fieldset label audio video canvas figcaption".split())
+DROPPED = frozenset("nav footer aside form button select menu dialog head search fieldset audio video canvas".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
-DROPPED_WORDS = frozenset("ad ads adv advert advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside widget footer foot masthead topbar comment comments comentarios kommentare commentaires reply replies respond disqus discussion notice cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login related recommended share sharing social follow pagination pager toolbar search form hidden copyright legal disclaimer skip alert warning trending popular tags".split())
+DROPPED_WORDS = frozenset("ad ads adv advert advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer foot masthead topbar comment comments comentarios kommentare commentaires reply replies respond disqus notice cookie cookies consent gdpr popup modal newsletter subscribe subscription form".split())
 ARTICLE_WORDS = frozenset("article articlebody post postbody entry story storybody content maincontent main text body".split())
 #: First words of labels that tell of the layout around, and words that say nothing.
 LAYOUT, SET_ASIDE = frozenset("has with no without is js".split()), frozenset("wrapper container inner outer box block".split())
+CONTAINERS = frozenset("article main div td th body".split())
 _BARRIERS = frozenset("ul ol table div section article body".split())
 CLOSED_BY = {"p": BLOCK - {"body", "html"}, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "option": frozenset({"option", "optgroup"})}
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _END_OF = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW}
-_WORDS = re.compile(r"[a-z]+")
+_WORDS, _LABELS = re.compile(r"[a-z]+"), re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Block:
     """A run of text between block elements: words, path, and what it lies in."""
 
-    __slots__ = ("article", "dropped", "linked", "path", "words")
+    __slots__ = ("article", "at", "container", "dropped", "linked", "path", "rank", "words")
 
-    def __init__(self, words: list[str], path: str, dropped: bool, article: int, linked: int):
-        self.words, self.path, self.dropped, self.article, self.linked = words, path, dropped, article, linked
+    def __init__(self, words: list[str], path: int, dropped: bool, article: int, linked: int, container: int, rank: int, at: int):
+        self.words, self.path, self.dropped, self.article, self.linked, self.container, self.rank, self.at = words, path, dropped, article, linked, container, rank, at
+
+    def tokens(self) -> list[int]:
+        """The block's tokens: its words where it is short, else all of it."""
+        return [_token(self.path, x) | 1 for x in (self.words if len(self.words) <= SHORT else [" ".join(self.words)])]
+
+
+def _token(path: int, text: str) -> int:
+    """A path's or token's number, as a signed 64-bit hash; tokens of text are odd, those of tags even."""
+    return xxhash.xxh64_intdigest(f"{path}\x1f{text}".encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 class _Tag:
@@ -90,7 +109,9 @@ class _Tag:
         self.header = name == "header" or (name in ("div", "section") and bool(names & {"header", "head"}))
         self.proper = name == "article" or own.get("itemprop", "").lower() == "articlebody"
         self.named = name == "main" or role == "main" or (name in ("div", "section", "td") and bool(names & ARTICLE_WORDS))
-        self.marks = f"{name}.{'.'.join(sorted(names))}" if names else name
+        # numbers of posts and the like differ from page to page, so a label of digits alone tells nothing
+        marks = {x for x in _LABELS.findall(own.get("class", "").lower()) if not x.isdigit()} | set(_WORDS.findall(own.get("id", "").lower()))
+        self.marks = f"{name}.{'.'.join(sorted(marks))}" if marks else name
 
 
 _known_tags: dict[str, _Tag] = {}
@@ -105,28 +126,47 @@ def _tag(m: re.Match) -> _Tag:
     return found
 
 
-def blocks(page: str) -> tuple[list[Block], list[str]]:
-    """The blocks of a page in order, and the paths of its block elements.
+_known_paths: dict[tuple[int, str], int] = {}
+
+
+def _path(parent: int, marks: str) -> int:
+    """The number of the path of ``marks`` below ``parent``: no path is cut, however deep."""
+    found = _known_paths.get((parent, marks))
+    if found is None:
+        if len(_known_paths) > 100_000:
+            _known_paths.clear()
+        found = _known_paths[parent, marks] = _token(parent, marks)
+    return found
+
+
+_NO_RANK = 1 << 30
+
+
+def blocks(page: str, ranks: dict[int, int] | None = None) -> tuple[list[Block], list[tuple[int, int]]]:
+    """The blocks of a page in order, and (place, path) of its block elements, in one count of places.
 
     ``article`` is 0 outside, else the number of the innermost element that may hold the article: odd for article
-    elements proper, even for main elements and those named so.
+    elements proper, even for main elements and those named so. ``ranks`` of containers give a block the best one of
+    those it lies in.
     """
+    ranks = ranks or {}
     out: list[Block] = []
-    tags: list[str] = []
-    # open elements: name, path, dropped, article, inside a header
-    stack: list[tuple[str, str, bool, int, bool]] = [("", "", False, 0, False)]
+    tags: list[tuple[int, int]] = []
+    # open elements: name, path, dropped, article, inside a header, container, rank
+    stack: list[tuple[str, int, bool, int, bool, int, int]] = [("", 0, False, 0, False, 0, _NO_RANK)]
     held: list[str] = []
-    linked = links = proper = named = at = 0
+    linked = links = proper = named = at = place = 0
     heading = False
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, place
         text = "".join(held)
         held.clear()
         words = (entities.unescape(text) if "&" in text else text).split()
         if words:
-            _, path, dropped, article, header = stack[-1]
-            out.append(Block(words, path, dropped or (header and not heading), article, linked))
+            _, path, dropped, article, header, container, rank = stack[-1]
+            out.append(Block(words, path, dropped or (header and not heading), article, linked, container, rank, place))
+            place += len(words) if len(words) <= SHORT else 1
         linked = 0
 
     size = len(page)
@@ -183,7 +223,7 @@ def blocks(page: str) -> tuple[list[Block], list[str]]:
                     break
         if tag.void:
             continue
-        _, path, dropped, article, header = stack[-1]
+        _, path, dropped, article, header, container, rank = stack[-1]
         dropped = dropped or tag.aside or (name == "header" and not article)
         if tag.proper:
             proper += 2
@@ -191,84 +231,61 @@ def blocks(page: str) -> tuple[list[Block], list[str]]:
         elif tag.named and not article:
             named += 2
             article = named
-        path = f"{path[-80:]}/{tag.marks}"
+        path = _path(path, tag.marks)
         if tag.block:
-            tags.append(path)
+            tags.append((place, path))
+            place += 1
         elif name == "a":
             links += 1
-        stack.append((name, path, dropped, article, header or tag.header))
+        if name in CONTAINERS:
+            container = path
+            rank = min(rank, ranks.get(path, _NO_RANK))
+        stack.append((name, path, dropped, article, header or tag.header, container, rank))
     if held:
         flush()
     return out, tags
 
 
-#: The path under which the paths of block elements count as words.
-TAGS = "<"
-
-
-def words_by_path(page: str) -> dict[str, list[str]]:
-    found, tags = blocks(page)
-    out: dict[str, list[str]] = {TAGS: tags}
+def page_tokens(found: list[Block], tags: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(place, token) of a page in order of place."""
+    out = [(at, path & ~1) for at, path in tags]
     for b in found:
-        out.setdefault(b.path, []).extend(b.words)
-    return out
+        out += [(b.at + k, token) for k, token in enumerate(b.tokens())]
+    return sorted(out)
 
 
-def _frequent(batches):
-    """Task: (host, path, word) that stand on LEAST_SHARE of the host's pages in some run of its pages.
-
-    A word on that share of all pages of a host is on that share of at least one run, so none is lost.
-    """
-    held: dict[str, dict[str, Counter]] = {}
-    pages: Counter = Counter()
-    size = 0
+def _vectors(batches):
+    """Task: (host, token, low, high, pages, total): the token's vector is the pair of sums, added up over tasks."""
+    held: dict[tuple[str, int], list[int]] = {}
 
     def out():
-        rows = [(host, path, word) for host, paths in held.items() for path, words in paths.items() for word, n in words.items() if n >= LEAST_SHARE * pages[host]]
+        hosts, tokens = zip(*held, strict=True)
+        low, high, pages, total = zip(*held.values(), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *[pa.array(x, pa.int64()) for x in (tokens, low, high, pages, total)]], ["host", "token", "low", "high", "pages", "total"])
         held.clear()
-        pages.clear()
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows, strict=True)], ["host", "path", "word"])
 
-    for batch in batches:
+    for batch in small(batches, 200):
         for host, page in zip(batch["_host"].to_pylist(), batch["_html"].to_pylist(), strict=True):
-            pages[host] += 1
-            paths = held.setdefault(host, {})
-            for path, words in words_by_path(page or "").items():
-                counts = paths.setdefault(path, Counter())
-                counts.update(set(words))
-                size += len(words)
-        if size > HELD:
-            yield from out()
-            size = 0
-    yield from out()
-
-
-def _vectors(batches):
-    """Task: (host, path, word, vector, pages, total) of the frequent words on its pages."""
-    held: dict[tuple[str, str, str], list[int]] = {}
-    frequent = _ByHost(_words_of)
-    for batch in batches:
-        for host, key, page, listed in zip(batch["_host"].to_pylist(), batch["_key"].to_pylist(), batch["_html"].to_pylist(), batch["frequent"], strict=True):
-            of = frequent(host, listed)
-            hashes: dict[int, int] = {}
-            for path, words in words_by_path(page or "").items():
-                wanted = of.get(path)
-                if not wanted:
-                    continue
-                counts = Counter(words)
-                for word in wanted & counts.keys():
-                    n = counts[word]
-                    if n not in hashes:
-                        hashes[n] = xxhash.xxh64_intdigest(f"{key}:{n}")
-                    cell = held.setdefault((host, path, word), [0, 0, 0])
-                    cell[0] ^= hashes[n]
-                    cell[1] += 1
-                    cell[2] += n
+            page = page or ""
+            key = xxhash.xxh64_intdigest(page.encode("utf-8", "surrogatepass"))
+            hashes: dict[int, tuple[int, int]] = {}
+            for token, n in Counter([token for _, token in page_tokens(*blocks(page))]).items():
+                mark = hashes.get(n)
+                if mark is None:
+                    mixed = xxhash.xxh64_intdigest(f"{key}:{n}")
+                    mark = hashes[n] = (mixed & 0xFFFFFFFF, mixed >> 32)
+                cell = held.get((host, token))
+                if cell is None:
+                    held[host, token] = [mark[0], mark[1], 1, n]
+                else:
+                    cell[0] += mark[0]
+                    cell[1] += mark[1]
+                    cell[2] += 1
+                    cell[3] += n
+            if len(held) > HELD:
+                yield from out()
     if held:
-        hosts, paths, words = zip(*held, strict=True)
-        vector, pages, total = zip(*held.values(), strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(words, pa.string()), pa.array([v - (1 << 63) for v in vector], pa.int64()), pa.array(pages, pa.int64()), pa.array(total, pa.int64())], ["host", "path", "word", "vector", "pages", "total"])
+        yield from out()
 
 
 class _ByHost:
@@ -279,44 +296,58 @@ class _ByHost:
 
     def __call__(self, host: str, value):
         if host not in self.known:
-            if len(self.known) >= 1000:
+            if len(self.known) >= 200:
                 self.known.clear()
-            self.known[host] = self.make(value.as_py() or ())
+            self.known[host] = self.make(value.as_py())
         return self.known[host]
 
 
-def _words_of(listed) -> dict[str, set[str]]:
-    """Rows of (path, word) as path to words."""
-    out: dict[str, set[str]] = {}
-    for x in listed:
-        out.setdefault(x["path"], set()).add(x["word"])
+class Classes:
+    """The classes of a host: token to class number; of each class, its tokens and whether it repeats on pages."""
+
+    def __init__(self, listed):
+        self.of: dict[int, int] = {x["token"]: x["number"] for x in listed or ()}
+        self.size = Counter(self.of.values())
+        self.repeats = {x["number"] for x in listed or () if x["repeats"]}
+
+
+def _slot(b: Block, of: dict[int, int]) -> bool:
+    """Whether most of the block's words are no class's."""
+    tokens = b.tokens()
+    return sum(t in of for t in tokens) < TEMPLATE_SHARE * len(tokens)
+
+
+def _records(places: dict[int, list[int]], repeats, other: list[int]) -> list[tuple[int, int, int]]:
+    """(first place, end, class) of the instances here of classes that stand several times on some page.
+
+    What follows the last token of the last instance belongs to it, up to the next token of a class that stands once.
+    """
+    out = []
+    for number in repeats:
+        at = places.get(number, ())
+        if at:
+            k = bisect_left(other, at[-1])
+            out.append((at[0], other[k] if k < len(other) else 1 << 60, number))
     return out
 
 
-def _classes_of(listed) -> tuple[dict[str, dict[str, int]], Counter]:
-    """Rows of (number, path, word) as path to word to class, and the classes' sizes."""
-    of: dict[str, dict[str, int]] = {}
-    for c in listed:
-        of.setdefault(c["path"], {})[c["word"]] = c["number"]
-    return of, Counter(c["number"] for c in listed)
+def _in_records(b: Block, regions: list[tuple[int, int, int]]) -> list[int]:
+    return [number for first, end, number in regions if first <= b.at < end]
 
 
-def _classes_in(page: str, of: dict[str, dict[str, int]]) -> tuple[dict[int, list[int]], dict[int, list[str]]]:
-    """For each class of a host its positions in a page, and its tokens there in order. ``of``: path to word to class."""
+def _places(tokens: list[tuple[int, int]], classes: Classes) -> tuple[dict[int, list[int]], dict[int, list[int]], list[int]]:
+    """For each class its positions in a page and its tokens there in order; the positions of those that never repeat."""
     places: dict[int, list[int]] = {}
-    order: dict[int, list[str]] = {}
-    found, tags = blocks(page)
-    k = 0
-    for path, words in [*((b.path, b.words) for b in found), (TAGS, tags)]:
-        wanted = of.get(path)
-        if wanted:
-            for j, word in enumerate(words):
-                number = wanted.get(word)
-                if number is not None:
-                    places.setdefault(number, []).append(k + j)
-                    order.setdefault(number, []).append(f"{path}\x1f{word}")
-        k += len(words)
-    return places, order
+    order: dict[int, list[int]] = {}
+    once: list[int] = []
+    for at, token in tokens:
+        number = classes.of.get(token)
+        if number is not None:
+            places.setdefault(number, []).append(at)
+            order.setdefault(number, []).append(token)
+            if number not in classes.repeats:
+                once.append(at)
+    return places, order, once
 
 
 def _nested(a: list[int], size_a: int, b: list[int], size_b: int) -> bool:
@@ -328,14 +359,26 @@ def _nested(a: list[int], size_a: int, b: list[int], size_b: int) -> bool:
     return inside(a, b, size_b) or inside(b, a, size_a)
 
 
+#: Kinds of rows of ``_validated``: a class with its order, a container's words, a record class's words.
+CLASS, CONTAINER, RECORD = 0, 1, 2
+
+
 def _validated(batches):
-    """Task: (host, number, order, valid) of each class on each page, folded: least and largest order, all valid."""
-    held: dict[tuple[str, int], list] = {}
-    classes = _ByHost(_classes_of)
-    for batch in batches:
-        for host, page, listed in zip(batch["_host"].to_pylist(), batch["_html"].to_pylist(), batch["classes"], strict=True):
-            of, size = classes(host, listed)
-            places, order = _classes_in(page or "", of)
+    """Task: (host, kind, at, low, high, valid, words), folded.
+
+    A class (kind CLASS, at its number): least and largest order over pages, and whether it is valid on all of them. A
+    container or record class: the words that pages have in its slots, without links.
+    """
+    held: dict[tuple[str, int, int], list] = {}
+    classes_of = _ByHost(Classes)
+    for batch in small(batches, 200):
+        for host, page, listed in zip(batch["_host"].to_pylist(), batch["_html"].to_pylist(), batch["template"], strict=True):
+            if not page or not listed.is_valid:
+                continue
+            classes = classes_of(host, listed)
+            size = classes.size
+            found, tags = blocks(page)
+            places, order, once = _places(page_tokens(found, tags), classes)
             first = {n: seen[: size[n]] for n, seen in order.items()}
             fine = {n for n, seen in order.items() if len(seen) % size[n] == 0 and first[n] * (len(seen) // size[n]) == seen}
             nested: list[int] = []
@@ -343,28 +386,61 @@ def _validated(batches):
                 if all(_nested(places[m], size[m], places[n], size[n]) for m in nested):
                     nested.append(n)
             for n in order:
-                mark = xxhash.xxh64_intdigest("\x1e".join(first[n])) - (1 << 63)
-                low, high, valid = held.get((host, n), (mark, mark, True))
-                held[host, n] = (min(low, mark), max(high, mark), valid and n in nested)
+                mark = xxhash.xxh64_intdigest(str(first[n])) - (1 << 63)
+                row = held.setdefault((host, CLASS, n), [mark, mark, True, 0])
+                row[0], row[1], row[2] = min(row[0], mark), max(row[1], mark), row[2] and n in nested
+            regions = _records({n: places[n] for n in nested}, classes.repeats, once)
+            for b in found:
+                if not b.dropped and _slot(b, classes.of):
+                    words = len(b.words) if b.linked * 2 < sum(map(len, b.words)) + len(b.words) else 0
+                    inside = _in_records(b, regions)
+                    for kind, at in [(RECORD, n) for n in inside] or [(CONTAINER, b.container)]:
+                        held.setdefault((host, kind, at), [0, 0, True, 0])[3] += words
+            if len(held) > HELD:
+                yield _rows_of(held)
+                held.clear()
     if held:
-        hosts, numbers = zip(*held, strict=True)
-        low, high, valid = zip(*held.values(), strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(numbers, pa.int32()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(valid, pa.bool_())], ["host", "number", "low", "high", "valid"])
+        yield _rows_of(held)
+
+
+def _rows_of(held: dict) -> pa.RecordBatch:
+    hosts, kinds, at = zip(*held, strict=True)
+    low, high, valid, words = zip(*held.values(), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(kinds, pa.int32()), pa.array(at, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(valid, pa.bool_()), pa.array(words, pa.int64())], ["host", "kind", "at", "low", "high", "valid", "words"])
+
+
+class Template:
+    """A host's valid classes, its containers from the heaviest on, and the classes whose slots are records."""
 
+    def __init__(self, row):
+        self.classes = Classes(row["classes"] if row else None)
+        mass = {x["at"]: x["words"] for x in (row["masses"] or () if row else ()) if x["kind"] == CONTAINER and x["words"]}
+        self.ranks = {at: k for k, at in enumerate(sorted(mass, key=lambda at: (-mass[at], at)))}
+        most = max(mass.values(), default=0)
+        heavy = {x["at"] for x in (row["masses"] or () if row else ()) if x["kind"] == RECORD and x["words"] > most}
+        self.records = self.classes.repeats - heavy
 
-def main_text(page: str, template: dict[str, set[str]]) -> str:
-    """The article: blocks of the page's slots, in order. ``template``: path to the template's words there."""
-    found, _ = blocks(page)
 
-    def slot(b: Block) -> bool:
-        if b.dropped:
-            return False
-        fixed = template.get(b.path)
-        return not fixed or sum(w in fixed for w in b.words) < TEMPLATE_SHARE * len(b.words)
+def by_elements(found: list[Block]) -> list[Block]:
+    """The article by its elements, or text without links where no element tells."""
+    kept = [b for b in found if not b.dropped]
+    return [b for b in kept if b.article] or [b for b in kept if b.linked * 2 < sum(map(len, b.words)) + len(b.words)]
 
-    kept = [b for b in found if slot(b)]
-    chosen = [b for b in kept if b.article] or [b for b in kept if b.linked * 2 < sum(map(len, b.words)) + len(b.words)]
-    return "\n\n".join(" ".join(b.words) for b in chosen)
+
+def main_text(page: str, template: Template | None = None) -> str:
+    """The article: what the page's heaviest container holds in slots, in page order."""
+    found, tags = blocks(page, template.ranks if template else None)
+    chosen: list[Block] = []
+    if template and template.classes.of:
+        places, _, once = _places(page_tokens(found, tags), template.classes)
+        regions = _records(places, template.records, once)
+        kept = [b for b in found if not b.dropped and _slot(b, template.classes.of) and not _in_records(b, regions)]
+        best = min((b.rank for b in kept if b.rank < _NO_RANK and b.linked * 2 < sum(map(len, b.words)) + len(b.words)), default=None)
+        if best is not None:
+            # an article that its elements name is whole: all such elements of the page
+            named = any(b.article for b in kept if b.rank == best)
+            chosen = [b for b in kept if (b.article if named else b.rank == best)]
+    return "\n\n".join(" ".join(b.words) for b in chosen or by_elements(found))
 
 
 def host_of(url: Column) -> Column:
@@ -372,36 +448,56 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
 
+def _with_host(pages: DataFrame, hosts: DataFrame, column: str) -> DataFrame:
+    """``pages`` (with _host) and each host's ``column`` of the stored table ``hosts`` (host, host_pages, ``column``), null without.
+
+    A table of up to ``BROADCAST`` bytes is broadcast. Beyond, both sides are salted: a host's row is repeated for every
+    ``SALTED`` of its pages, so no host is more than a part.
+    """
+    size = hosts.agg(F.coalesce(F.sum(F.length(F.to_json(column)) + F.length("host")), F.lit(0))).first()[0]
+    if size <= BROADCAST:
+        return pages.join(F.broadcast(hosts.drop("host_pages")), pages["_host"] == hosts["host"], "left").drop("host")
+    parts = F.ceil(F.col("host_pages") / SALTED).cast("int")
+    counts = pages.groupBy("_host").agg(F.count("*").alias("n_host"))
+    salted = pages.join(counts, "_host").withColumn("_salt", F.floor(F.rand(7) * F.ceil(F.col("n_host") / SALTED)).cast("int")).drop("n_host")
+    spread = hosts.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("host_pages").withColumnRenamed("host", "_host")
+    return salted.join(spread, ["_host", "_salt"], "left").drop("_salt")
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, classes) from ``pages`` (_host, _key, _html): the valid classes of each host, a row (number, path, word) a token."""
+    """(host, host_pages, template) from ``pages`` (_host, _html): the valid classes and the containers' masses of each host."""
     hosts = pages.groupBy(F.col("_host").alias("host")).agg(F.count("*").alias("host_pages")).where(F.col("host_pages") >= LEAST_PAGES)
-    words = pages.select("_host", "_html").mapInArrow(_frequent, "host string, path string, word string").distinct().join(hosts, "host")
-    frequent = materialize(words.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("path", "word"))).alias("frequent")), "frequent")
-    wanted = pages.join(frequent, pages["_host"] == frequent["host"]).select("_host", "_key", "_html", "frequent")
-    vectors = wanted.mapInArrow(_vectors, "host string, path string, word string, vector long, pages long, total long")
-    summed = vectors.groupBy("host", "path", "word").agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.sum("total").alias("total")).join(hosts, "host")
-    every = summed.where((F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= F.col("host_pages") * LEAST_SHARE))
-    classes = every.groupBy("host", "vector", "pages", "total").agg(F.sort_array(F.collect_list(F.struct("path", "word"))).alias("tokens")).where(F.size("tokens") >= LEAST_TOKENS)
-    listed = classes.groupBy("host").agg(F.sort_array(F.collect_list("tokens")).alias("all"))
-    flat = F.flatten(F.transform("all", lambda t, k: F.transform(t, lambda x: F.struct(k.alias("number"), x["path"].alias("path"), x["word"].alias("word")))))
-    numbered = materialize(listed.select("host", flat.alias("classes")), "classes")
-    seen = pages.join(numbered, pages["_host"] == numbered["host"]).select("_host", "_html", "classes").mapInArrow(_validated, "host string, number int, low long, high long, valid boolean")
-    valid = seen.groupBy("host", "number").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.bool_and("valid").alias("valid")).where("valid AND low = high")
-    numbers = valid.groupBy("host").agg(F.collect_set("number").alias("numbers"))
-    return materialize(numbered.join(numbers, "host").select("host", F.filter("classes", lambda c: F.array_contains("numbers", c["number"])).alias("classes")), "templates")
+    vectors = pages.select("_host", "_html").mapInArrow(_vectors, "host string, token long, low long, high long, pages long, total long")
+    sums = vectors.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("low", "high", "pages", "total")]).where(F.col("pages") >= LEAST_PAGES)
+    share = F.when(F.col("token").bitwiseAND(1) == 1, TEXT_SHARE).otherwise(LEAST_SHARE)
+    every = sums.join(hosts, "host").where(F.col("pages") >= F.col("host_pages") * share)
+    # no host's template has more tokens than 1 / LEAST_SHARE of its mean page, so a host's list is bounded by its pages' size
+    classes = every.groupBy("host", "host_pages", "low", "high", "pages", "total").agg(F.sort_array(F.collect_list("token")).alias("tokens")).where(F.size("tokens") >= LEAST_TOKENS)
+    listed = classes.groupBy("host", "host_pages").agg(F.sort_array(F.collect_list(F.struct("tokens", (F.col("total") > F.col("pages")).alias("repeats")))).alias("all"))
+    flat = F.flatten(F.transform("all", lambda c, k: F.transform(c["tokens"], lambda t: F.struct(k.alias("number"), t.alias("token"), c["repeats"].alias("repeats")))))
+    numbered = materialize(listed.select("host", "host_pages", flat.alias("template")), "classes")
+    seen = _with_host(pages.select("_host", "_html"), numbered, "template").mapInArrow(_validated, "host string, kind int, at long, low long, high long, valid boolean, words long")
+    folded = seen.groupBy("host", "kind", "at").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.bool_and("valid").alias("valid"), F.sum("words").alias("words"))
+    is_class = F.col("kind") == CLASS
+    judged = folded.groupBy("host").agg(
+        F.collect_set(F.when(is_class & F.col("valid") & (F.col("low") == F.col("high")), F.col("at"))).alias("numbers"),
+        F.collect_list(F.when(~is_class, F.struct("kind", "at", "words"))).alias("masses"),
+    )
+    valid = F.filter("template", lambda c: F.array_contains("numbers", c["number"].cast("long")))
+    return materialize(numbered.join(judged, "host").select("host", "host_pages", F.struct(valid.alias("classes"), "masses").alias("template")), "templates")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text) of every page."""
-    rows = lean(pages).select(F.col(id_col), F.col(url_col), host_of(F.col(url_col)).alias("_host"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_key"), F.col(html_col).cast("string").alias("_html"))
-    found = templates(rows.select("_host", "_key", "_html"))
-    joined = rows.join(found, rows["_host"] == found["host"], "left").select(id_col, url_col, "_host", "_html", "classes")
+    rows = lean(pages).select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), host_of(F.col(url_col)).alias("_host"), F.col(html_col).cast("string").alias("_html"))
+    joined = _with_host(rows, templates(rows.select("_host", "_html")), "template").select("_id", "_url", "_host", "_html", "template")
 
     def work(batches):
-        template = _ByHost(_words_of)
-        for batch in batches:
-            rows = zip(batch["_host"].to_pylist(), batch["_html"].to_pylist(), batch["classes"], strict=True)
+        template = _ByHost(Template)
+        for batch in small(batches, 200):
+            rows = zip(batch["_host"].to_pylist(), batch["_html"].to_pylist(), batch["template"], strict=True)
             texts = [main_text(page, template(host, listed)) if page else "" for host, page, listed in rows]
-            yield pa.RecordBatch.from_arrays([batch[id_col], batch[url_col], pa.array(texts, pa.string())], [id_col, url_col, "text"])
+            yield pa.RecordBatch.from_arrays([batch["_id"], batch["_url"], pa.array(texts, pa.string())], [id_col, url_col, "text"])
 
-    return joined.mapInArrow(work, T.StructType([*joined.select(id_col, url_col).schema.fields, T.StructField("text", T.StringType())]))
+    kinds = joined.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col)).schema.fields
+    return joined.mapInArrow(work, T.StructType([*kinds, T.StructField("text", T.StringType())]))

@@ -5,16 +5,22 @@ from claimloom.llm.template import main_text
 
 def test_all_articles_of_a_page_stay_in_order():
     page = "<p>above</p><article><p>first part</p></article><p>between</p><article><p>the second and longer part</p></article><article>third</article>"
-    assert main_text(page, {}) == "first part\n\nthe second and longer part\n\nthird"
+    assert main_text(page) == "first part\n\nthe second and longer part\n\nthird"
 
 
 def test_main_keeps_its_text_beside_a_tile():
     page = "<main><p>long text of the page</p><article class='card'>short tile</article><p>its end</p></main><p>below</p>"
-    assert main_text(page, {}) == "long text of the page\n\nshort tile\n\nits end"
+    assert main_text(page) == "long text of the page\n\nshort tile\n\nits end"
 
 
 def test_what_closes_itself_hides_nothing():
     for tag in ("<svg width='1'/>", "<math/>", "<svg />"):
-        assert main_text(f"<article><p>before {tag} after</p><p>more</p></article>", {}) == "before after\n\nmore"
-    assert main_text("<article><svg/><p>a</p><svg><text>drawn</text></svg><p>b</p></article>", {}) == "a\n\nb"
-    assert main_text("<article><p>a</p><svg a='/'><text>drawn</text></svg><p>b</p></article>", {}) == "a\n\nb"
+        assert main_text(f"<article><p>before {tag} after</p><p>more</p></article>") == "before after\n\nmore"
+    assert main_text("<article><svg/><p>a</p><svg><text>drawn</text></svg><p>b</p></article>") == "a\n\nb"
+    assert main_text("<article><p>a</p><svg a='/'><text>drawn</text></svg><p>b</p></article>") == "a\n\nb"
+
+
+def test_main_text_leaves_the_rest_out():
+    page = """<header class=site><h1>Site</h1></header><div class="main-content with-sidebar"><h1>Title</h1><p>First  <a href=x>link</a>.</p>
+    <script>var a="</p>";</script><form><label>n</label></form><div class="comments"><p>Nice</p></div></div><div id="cookie-notice">We</div><footer>c</footer>"""
+    assert main_text(page) == "Title\n\nFirst link."

@@ -125,20 +125,6 @@ def test_template_words_are_no_slots(spark):
     assert template.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_main_text_leaves_the_rest_out():
-    page = """<header class=site><h1>Site</h1></header><div class="main-content with-sidebar"><h1>Title</h1><p>First  <a href=x>link</a>.</p>
-    <script>var a="</p>";</script><form><label>n</label></form><div class="comments"><p>Nice</p></div></div><div id="cookie-notice">We</div><footer>c</footer>"""
-    assert template.main_text(page, {}) == "Title\n\nFirst link."
-
-
-def test_template_validity():
-    page = "<p>a1 b1 b2 b3 a2</p>"
-    of = {"/p": {"a1": 0, "a2": 0, "b1": 1, "b2": 1, "b3": 1}}
-    places, order = template._classes_in(page, of)
-    assert template._nested(places[0], 2, places[1], 3) and [len(order[k]) for k in (0, 1)] == [2, 3]
-    assert not template._nested([0, 2], 2, [1, 3], 2)
-
-
 def brute_quality(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4))
