@@ -1,16 +1,22 @@
 """Quality rules: robust multivariate outliers among documents of one language and source.
 
-Every text becomes a short vector of transformed statistics. For each language, then for each language and source,
-a minimum-covariance-determinant estimate of the bulk is found by concentration steps: distances from the last
-estimate, the half-and-a-half (``SUPPORT``) of rows with the smallest ones, their mean and covariance. A step is one
-groupBy of (group, distance bin) to counts and moments, so a group of any size is added up in every task; the bins
-of a group (at most ``BINS``) meet in one row set. A group starts from its language's estimate and is pulled towards
-it with the weight of ``PRIOR_ROWS`` rows, so tiny groups need no rule of their own. Scales have floors, so a
-statistic that never varies in the bulk does not turn the smallest deviation into an outlier. Documents whose
-squared Mahalanobis distance is above ``CUT`` are rejected.
+Every text becomes a short vector of transformed statistics. For each language, and for each language and source, the
+minimum covariance determinant is searched for as in the deterministic form of the method: three starts (mean and
+covariance of all rows, median and median deviation, covariance of the signs about the median), concentration steps
+with the half of the rows (``SUPPORT``) that lie nearest, after ``TRIALS`` steps the start with the least determinant,
+and more steps until the determinant falls no further. The bulk is then estimated once more from the rows within the
+``WITHIN`` quantile, and a document is rejected if its squared Mahalanobis distance is above the ``CUT`` quantile of
+the chi-square distribution with as many degrees as there are statistics.
+
+A step is one groupBy of (group, start, distance bin) to counts and moments, so a group of any size is added up in every
+task; the bins of a group (at most ``BINS``) meet in one row set, and of the bin in which the half ends the missing
+share is taken. A source's estimate is pulled towards its language's with the weight of ``PRIOR_ROWS`` rows, so tiny
+groups need no rule of their own. A share of few words is known no better than chance allows: every covariance has the
+variance of that chance (``DRAWS``) added, so a statistic that never varies in the bulk does not turn the smallest
+deviation into an outlier.
 
 Defined results: a null or empty text has no words, so it fails the base rule; null language or source is a group of
-its own; documents that fail the base rule teach the estimates nothing; ties stand on the same side of the cut;
+its own; documents that fail the base rule teach the estimates nothing; rows at one distance get one verdict;
 repeated rows count and are returned as often as they stand; extra columns are ignored; an empty table gives no rows.
 """
 
@@ -29,11 +35,12 @@ from .common import lean, materialize, small, unveiled, utf8, veiled
 
 SYMBOLS, SPACES = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 5, 10, 20
-#: Names of the statistics, and the least standard deviation that each is given.
-FEATURES = {"symbols": 0.06, "marks": 0.08, "upper": 0.08, "digits": 0.06, "duplicates": 0.12, "repeats": 0.10, "word_length": 0.10}
-SUPPORT, PRIOR_ROWS, STEPS, BINS = 0.75, 30.0, 3, 160
-#: Squared distance that a Gaussian bulk of seven statistics exceeds once in some 10**9 documents.
-CUT = 60.0
+#: The statistics, and how many words, characters or lines each share takes in addition (so that few tell little).
+#: By chance asin(sqrt(share)) of n draws has the variance 1 / (4 n): with DRAWS of them a text counts as known.
+FEATURES = {"symbols": 20, "marks": 100, "upper": 100, "digits": 200, "duplicates": 10, "repeats": 50, "word_length": 30}
+DRAWS, SUPPORT, WITHIN, CUT = 40, 0.5, 0.975, 1 - 1e-6
+PRIOR_ROWS, TRIALS, MOST_STEPS, SETTLED, BINS = 30.0, 2, 20, 1e-3, 2048
+STARTS = ("mean", "median", "signs")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -84,8 +91,8 @@ def statistics(text: bytes) -> tuple[list[int], list[float]]:
     marks = int(cells[33:48].sum() + cells[58:65].sum() + cells[91:97].sum() + cells[123:127].sum()) - symbols
     share = lambda k, of, some: math.asin(math.sqrt(min(1.0, k / (of + some))))
     return [n, chars, symbols, duplicates, repeats], [
-        share(symbols, n, 20), share(marks, chars, 100), share(upper, letters, 100), share(digits, chars, 200),
-        share(duplicates, len(lines), 10), share(repeats, n, 50), math.log((chars + 150) / (n + 30)),
+        *[share(k, of, FEATURES[name]) for name, k, of in (("symbols", symbols, n), ("marks", marks, chars), ("upper", upper, letters), ("digits", digits, chars), ("duplicates", duplicates, len(lines)), ("repeats", repeats, n))],
+        math.log((chars + 5 * FEATURES["word_length"]) / (n + FEATURES["word_length"])),
     ]
 
 
@@ -106,8 +113,41 @@ def measure(docs: DataFrame, keep: dict[str, Column], text_col: str = "text") ->
     return rows.mapInArrow(work, T.StructType([*rows.drop("_text").schema.fields, *fields])).withColumn("base_failed", failed)
 
 
-_PAIRS = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
-_FIT = "`{0}` {1}, center array<double>, inverse array<double>"
+_NAMES = list(FEATURES)
+_P = len(_NAMES)
+_PAIRS = [(i, j) for i in range(_P) for j in range(i, _P)]
+_CHANCE = np.full(_P, 0.25 / DRAWS)
+_FIT = "_key string, start string, n double, center array<double>, covariance array<double>, inverse array<double>, determinant double"
+
+
+def chi_square(x: float, degrees: int) -> float:
+    """P(chi-square with ``degrees`` <= x), by the series of the incomplete gamma function."""
+    a, z = degrees / 2, x / 2
+    if z <= 0:
+        return 0.0
+    term = total = 1 / a
+    k = a
+    while term > total * 1e-16:
+        k += 1
+        term *= z / k
+        total += term
+    return min(1.0, total * math.exp(a * math.log(z) - z - math.lgamma(a)))
+
+
+def quantile(share: float, degrees: int) -> float:
+    """Where the distribution function reaches ``share``."""
+    low, high = 0.0, 1.0
+    while chi_square(high, degrees) < share:
+        high *= 2
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square(middle, degrees) < share else (low, middle)
+    return high
+
+
+def widening(share: float, degrees: int = _P) -> float:
+    """What the covariance of the nearest ``share`` of Gaussian rows is to be multiplied by."""
+    return share / chi_square(quantile(share, degrees), degrees + 2) if share < 1 else 1.0
 
 
 def _distance(columns: list[Column]) -> Column:
@@ -116,57 +156,106 @@ def _distance(columns: list[Column]) -> Column:
     return sum((off[i] * off[j] * F.col("inverse")[k] for k, (i, j) in enumerate(_PAIRS)), F.lit(0.0))
 
 
-def _estimate(n: float, sums: np.ndarray, squares: np.ndarray, center0: np.ndarray | None, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and inverse covariance from moments; ``share`` of the rows is in them, which makes the spread too small."""
-    p = len(FEATURES)
-    floor = np.diag(np.array(list(FEATURES.values())) ** 2)
-    mean = sums / max(n, 1e-9)
-    full = np.zeros((p, p))
+def _full(flat) -> np.ndarray:
+    full = np.zeros((_P, _P))
     for k, (i, j) in enumerate(_PAIRS):
-        full[i, j] = full[j, i] = squares[k] / max(n, 1e-9) - mean[i] * mean[j]
-    if center0 is not None:
-        mean = (n * mean + PRIOR_ROWS * center0) / (n + PRIOR_ROWS)
-    # the kept share of a Gaussian's rows has a smaller spread by P(chi2(p+2) <= q) / share, q the share's quantile of chi2(p);
-    # for SUPPORT and seven statistics that is about 0.72
-    widen = 1.0 if share > 0.999 else 1 / 0.72
-    covariance = full * widen * (n / (n + PRIOR_ROWS)) + floor
-    return mean, np.linalg.inv(covariance)
-
-
-def _concentrate(key: str, columns: list[str], share: float):
-    """For applyInPandas: the distance bins of one group to its next estimate."""
-
-    def work(bins: pd.DataFrame) -> pd.DataFrame:
-        bins = bins.sort_values("bin")
-        n = bins["n"].to_numpy(float)
-        before = np.cumsum(n) - n
-        inside = before < share * n.sum()  # whole bins: rows at one distance stay together
-        moments = bins.loc[inside, columns].to_numpy(float).sum(axis=0)
-        p = len(FEATURES)
-        center0 = np.array(bins["center0"].iloc[0], float) if "center0" in bins and bins["center0"].iloc[0] is not None else None
-        mean, inverse = _estimate(n[inside].sum(), moments[:p], moments[p:], center0, n[inside].sum() / n.sum())
-        flat = [float(inverse[i, j] * (1 if i == j else 2)) for i, j in _PAIRS]
-        return pd.DataFrame({key: [bins[key].iloc[0]], "center": [[float(x) for x in mean]], "inverse": [flat]})
-
-    return work
-
-
-def _step(rows: DataFrame, key: str, last: DataFrame | None, prior: bool) -> DataFrame:
-    """One concentration step over ``rows`` (key, statistics, and center0 of the language if ``prior``)."""
-    names = list(FEATURES)
-    values = [F.col(x) for x in names]
-    if last is None:
-        near = rows.withColumn("bin", F.lit(0))
-    else:
-        d2 = _distance(values)
-        near = rows.join(last, key).withColumn("bin", F.least(F.greatest(F.floor(F.log2(F.greatest(d2, F.lit(1e-9))) * 6 + 60), F.lit(0)), F.lit(BINS - 1)).cast("int"))
-    sums = [F.sum(x).alias(f"s{k}") for k, x in enumerate(values)]
-    squares = [F.sum(values[i] * values[j]).alias(f"q{k}") for k, (i, j) in enumerate(_PAIRS)]
-    center = [F.first("center0").alias("center0")] if prior else []
-    bins = near.groupBy(key, "bin").agg(F.count("*").alias("n"), *sums, *squares, *center)
-    columns = [*[f"s{k}" for k in range(len(names))], *[f"q{k}" for k in range(len(_PAIRS))]]
-    kind = rows.schema[key].dataType.simpleString()
-    return bins.groupBy(key).applyInPandas(_concentrate(key, columns, 1.0 if last is None else SUPPORT), _FIT.format(key, kind))
+        full[i, j] = full[j, i] = flat[k]
+    return full
+
+
+def _fitted(key: str, start: str, n: float, mean: np.ndarray, covariance: np.ndarray) -> tuple:
+    """A row of ``_FIT``; the variance of chance is added here."""
+    whole = covariance + np.diag(_CHANCE)
+    inverse = np.linalg.inv(whole)
+    return (key, start, float(n), [float(x) for x in mean], [float(covariance[i, j]) for i, j in _PAIRS], [float(inverse[i, j] * (1 if i == j else 2)) for i, j in _PAIRS], float(np.linalg.slogdet(whole)[1]))
+
+
+def _moments(n: float, sums: np.ndarray, squares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    mean = sums / max(n, 1e-9)
+    return mean, _full(squares / max(n, 1e-9)) - np.outer(mean, mean)
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["_key", "start", "n", "center", "covariance", "inverse", "determinant"])
+
+
+def _sums(values: list[Column], prefix: str = "") -> list[Column]:
+    return [F.sum(x).alias(f"{prefix}s{k}") for k, x in enumerate(values)] + [F.sum(values[i] * values[j]).alias(f"{prefix}q{k}") for k, (i, j) in enumerate(_PAIRS)]
+
+
+_SUMS, _SQUARES = [f"s{k}" for k in range(_P)], [f"q{k}" for k in range(len(_PAIRS))]
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """The starting estimates of every key: a row for each of ``STARTS``."""
+    middle = materialize(rows.groupBy("_key").agg(F.array(*[F.percentile_approx(x, 0.5, 1000) for x in _NAMES]).alias("middle")), "mcd-median")
+    off = [F.col(x) - F.col("middle")[k] for k, x in enumerate(_NAMES)]
+    size = F.sqrt(sum((x * x / float(_CHANCE[k]) for k, x in enumerate(off)), F.lit(1e-12)))
+    spread = rows.join(middle, "_key").groupBy("_key").agg(
+        F.first("middle").alias("middle"), F.count("*").alias("n"), *_sums([F.col(x) for x in _NAMES]),
+        *[F.percentile_approx(F.abs(x), 0.5, 1000).alias(f"m{k}") for k, x in enumerate(off)], *_sums([x / size for x in off], "u"),
+    )
+
+    def work(batches):
+        for got in batches:
+            out = []
+            for row in got.to_dict("records"):
+                n, middle = float(row["n"]), np.array(row["middle"], float)
+                mean, covariance = _moments(n, np.array([row[c] for c in _SUMS]), np.array([row[c] for c in _SQUARES]))
+                out.append(_fitted(row["_key"], "mean", n, mean, covariance))
+                out.append(_fitted(row["_key"], "median", n, middle, np.diag([(1.4826 * row[f"m{k}"]) ** 2 for k in range(_P)])))
+                out.append(_fitted(row["_key"], "signs", n, middle, _P * _full([row[f"u{c}"] for c in _SQUARES]) / n))
+            yield _frame(out)
+
+    return spread.mapInPandas(work, _FIT)
+
+
+def _concentrated(bins: pd.DataFrame) -> pd.DataFrame:
+    """The distance bins of one key and start to its next estimate: the nearest h rows, of the last bin a share."""
+    bins = bins.sort_values("bin")
+    n = bins["n"].to_numpy(float)
+    half = min(n.sum(), math.ceil(SUPPORT * (n.sum() + _P + 1)))
+    share = np.clip((half - (np.cumsum(n) - n)) / n, 0, 1)
+    weigh = lambda columns: (bins[columns].to_numpy(float) * share[:, None]).sum(axis=0)
+    mean, covariance = _moments(half, weigh(_SUMS), weigh(_SQUARES))
+    return _frame([_fitted(bins["_key"].iloc[0], bins["start"].iloc[0], n.sum(), mean, covariance * widening(half / n.sum()))])
+
+
+def _step(rows: DataFrame, last: DataFrame) -> DataFrame:
+    """One concentration step over ``rows`` (_key and statistics) from the estimates ``last``."""
+    values = [F.col(x) for x in _NAMES]
+    place = F.floor(F.log2(F.greatest(_distance(values), F.lit(1e-12))) * 16 + 640)
+    near = rows.join(last.select("_key", "start", "center", "inverse"), "_key").withColumn("bin", F.least(F.greatest(place, F.lit(0)), F.lit(BINS - 1)).cast("int"))
+    return near.groupBy("_key", "start", "bin").agg(F.count("*").alias("n"), *_sums(values)).groupBy("_key", "start").applyInPandas(_concentrated, _FIT)
+
+
+def minimum_determinant(rows: DataFrame) -> DataFrame:
+    """The estimates of least determinant (a row of ``_FIT`` a key), for ``rows`` (_key and statistics)."""
+    found = materialize(_starts(rows), "mcd")
+    for _ in range(TRIALS):
+        found = materialize(_step(rows, found), "mcd")
+    best = found.groupBy("_key").agg(F.min_by(F.struct(*[c for c in found.columns if c != "_key"]), F.struct("determinant", "start")).alias("b"))
+    found = materialize(best.select("_key", "b.*"), "mcd")
+    for _ in range(MOST_STEPS):
+        after = materialize(_step(rows, found), "mcd")
+        fall = after.alias("a").join(found.alias("b"), "_key").agg(F.max(F.col("b.determinant") - F.col("a.determinant"))).first()[0]
+        found = after
+        if fall is None or fall < SETTLED:
+            break
+    return found
+
+
+def _reweighted(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Mean and covariance of the rows within the ``WITHIN`` quantile of ``found``."""
+    values = [F.col(x) for x in _NAMES]
+    near = rows.join(found.select("_key", "center", "inverse"), "_key").where(_distance(values) <= quantile(WITHIN, _P))
+    factor = widening(WITHIN)
+
+    def work(batches):
+        for got in batches:
+            yield _frame([_fitted(row["_key"], "", row["n"], *(lambda m, c: (m, c * factor))(*_moments(row["n"], np.array([row[c] for c in _SUMS]), np.array([row[c] for c in _SQUARES])))) for row in got.to_dict("records")])
+
+    return near.groupBy("_key").agg(F.count("*").alias("n"), *_sums(values)).mapInPandas(work, _FIT)
 
 
 def _text(name: str) -> Column:
@@ -184,16 +273,24 @@ def fit(measured: DataFrame, lang_col: str = "lang", source_col: str = "source")
     They come from rows that passed the base rule. The estimates of each step are written out and joined by key: so
     Spark knows their size and broadcasts them, rather than shuffle rows by language, while they are below its threshold.
     """
-    names = list(FEATURES)
-    good = measured.where(~F.col("base_failed")).select(_text(lang_col).alias("_lang"), _group(lang_col, source_col).alias("_group"), *names)
-    by_lang = None
-    for _ in range(STEPS):
-        by_lang = materialize(_step(good.select("_lang", *names), "_lang", by_lang, False), "mcd-lang")
-    own = materialize(good.select("_group", "_lang").distinct().join(by_lang, "_lang").drop("_lang"), "mcd-group")
-    centered = good.join(by_lang.select("_lang", F.col("center").alias("center0")), "_lang").drop("_lang")
-    for _ in range(STEPS):
-        own = materialize(_step(centered, "_group", own, True), "mcd-group")
-    return own
+    lang, group = F.concat(F.lit("L"), _text(lang_col)), F.concat(F.lit("G"), _group(lang_col, source_col))
+    good = measured.where(~F.col("base_failed")).select(lang.alias("_lang"), group.alias("_group"), *_NAMES)
+    rows = good.select(F.explode(F.array("_lang", "_group")).alias("_key"), *_NAMES)
+    bulk = materialize(_reweighted(rows, minimum_determinant(rows)), "mcd-bulk")
+    pairs = good.select("_lang", "_group").distinct()
+    own, whole = bulk.select(F.col("_key").alias("_group"), "n", "center", "covariance"), bulk.select(F.col("_key").alias("_lang"), F.col("center").alias("center0"), F.col("covariance").alias("covariance0"))
+
+    def work(batches):
+        for got in batches:
+            out = []
+            for row in got.to_dict("records"):
+                n = row["n"] if row["n"] == row["n"] and row["center"] is not None else 0.0
+                mix = lambda a, b, n=n: np.array(b, float) if not n else (n * np.array(a, float) + PRIOR_ROWS * np.array(b, float)) / (n + PRIOR_ROWS)
+                out.append((row["_group"][1:], *_fitted("", "", n, mix(row["center"], row["center0"]), _full(mix(row["covariance"], row["covariance0"])))[3:6:2]))
+            yield pd.DataFrame(out, columns=["_group", "center", "inverse"])
+
+    mixed = pairs.join(own, "_group", "left").join(whole, "_lang").mapInPandas(work, "_group string, center array<double>, inverse array<double>")
+    return materialize(mixed, "mcd-group")
 
 
 def verdict(measured: DataFrame, estimates: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -203,7 +300,7 @@ def verdict(measured: DataFrame, estimates: DataFrame, lang_col: str = "lang", s
     """
     joined = measured.withColumn("_group", _group(lang_col, source_col)).join(estimates, "_group", "left")
     judged = joined.withColumn("distance", _distance([F.col(x) for x in FEATURES]))
-    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUT, F.lit(True))).drop("_group", "center", "inverse")
+    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= quantile(CUT, _P), F.lit(True))).drop("_group", "center", "inverse")
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:

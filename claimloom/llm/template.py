@@ -470,7 +470,9 @@ def templates(pages: DataFrame) -> DataFrame:
     vectors = pages.select("_host", "_html").mapInArrow(_vectors, "host string, token long, low long, high long, pages long, total long")
     sums = vectors.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("low", "high", "pages", "total")]).where(F.col("pages") >= LEAST_PAGES)
     share = F.when(F.col("token").bitwiseAND(1) == 1, TEXT_SHARE).otherwise(LEAST_SHARE)
-    every = sums.join(hosts, "host").where(F.col("pages") >= F.col("host_pages") * share)
+    # the numbers of pages go to a host's tokens in sixteen parts, so a host of very many words is not one task
+    spread = hosts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    every = sums.withColumn("part", F.pmod("token", F.lit(16)).cast("int")).join(spread, ["host", "part"]).where(F.col("pages") >= F.col("host_pages") * share)
     # no host's template has more tokens than 1 / LEAST_SHARE of its mean page, so a host's list is bounded by its pages' size
     classes = every.groupBy("host", "host_pages", "low", "high", "pages", "total").agg(F.sort_array(F.collect_list("token")).alias("tokens")).where(F.size("tokens") >= LEAST_TOKENS)
     listed = classes.groupBy("host", "host_pages").agg(F.sort_array(F.collect_list(F.struct("tokens", (F.col("total") > F.col("pages")).alias("repeats")))).alias("all"))
