@@ -1,30 +1,36 @@
 """Exact top-k inner products with block-at-a-time pruning.
 
-Documents are cut into blocks of consecutive ids. A block keeps, for each term (dimension), the largest and smallest
-weight in it; a query's bound on a block is the sum of its weights times those extremes. Each query visits the blocks
-in order of bound, scores a whole block through its forward index (the vectors themselves), and stops where the next
-bound falls below its k-th score.
+An index is written once: documents are ordered by their two nearest of ``CENTERS`` centers (fitted to at most ``SAMPLE``
+rows; every row is indexed) and cut into ranges of ``BLOCK``. A block keeps, for each term (dimension), the largest and
+smallest weight in it, and its documents' vectors as forward index. A query's bound on a block is the sum of its weights
+times those extremes. Each query visits the blocks in order of bound, scores a whole block through its forward index,
+and stops where the next bound falls below its k-th score.
 
-Queries come in chunks of at most ``CHUNK`` vectors, which bounds what is broadcast; each chunk is one pass over the
-documents, which never move. Queries are rows too, so the k-th score among a chunk's own rows is a valid floor from
-the start, and tasks return only what reaches it. The tasks' short lists meet in a window by query.
+Queries come in chunks of about ``CHUNK`` vectors, which bounds what is broadcast; each chunk is two passes over the
+stored blocks, which never move. In the first every task scores the best block of each query alone; the k-th best of
+what all tasks found is a valid floor, and with it the second pass leaves most blocks of structured data out. The
+tasks' short lists meet in a window by query.
 
 Defined results: components become floor(1024 * x); vectors that are null, or hold null or non-finite components, or
 another number of components than the query, take no part; rows with a query's id are its own; rows repeated under
-one id are candidates each; ties go to the smaller id; an empty table gives no rows; extra columns are ignored.
+one id are candidates each; ties go to the smaller id; an empty table gives no rows; extra columns are ignored; the
+order of documents and the sample change what is pruned, never a result.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections import defaultdict
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize
 
-K, SCALE, BLOCK, CHUNK = 10, 1024, 128, 4096
+K, SCALE, BLOCK, CHUNK, CENTERS, SAMPLE = 10, 1024, 128, 4096, 64, 4096
 _LEAST = np.iinfo(np.int64).min
 
 
@@ -73,17 +79,32 @@ class Best:
         self.id[rows] = np.take_along_axis(ids, order, 1)
 
 
-def search_block_at_a_time(best: Best, queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> int:
-    """Offer the documents (any order) to ``best``; returns the number of (query, block) pairs that were scored."""
-    order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], vectors[order]
-    starts = np.arange(0, len(ids), BLOCK)
-    high, low = np.maximum.reduceat(vectors, starts), np.minimum.reduceat(vectors, starts)
-    bounds = _bounds(queries, high, low)
+class Block:
+    """A range of documents: ids, forward index, and the extremes of each term."""
+
+    __slots__ = ("high", "ids", "low", "vectors")
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, high: np.ndarray | None = None, low: np.ndarray | None = None):
+        self.ids, self.vectors = ids, vectors
+        self.high = vectors.max(axis=0) if high is None else high
+        self.low = vectors.min(axis=0) if low is None else low
+
+
+def cut(ids: np.ndarray, vectors: np.ndarray) -> list[Block]:
+    """Blocks of consecutive documents."""
+    return [Block(ids[at : at + BLOCK], vectors[at : at + BLOCK]) for at in range(0, len(ids), BLOCK)]
+
+
+def search_block_at_a_time(best: Best, queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, blocks: list[Block], most: int | None = None) -> int:
+    """Offer the blocks' documents to ``best``; returns the number of (query, block) pairs that were scored.
+
+    ``most``: blocks that a query visits at most; without it, all whose bound reaches the k-th score.
+    """
+    bounds = _bounds(queries, np.stack([b.high for b in blocks]), np.stack([b.low for b in blocks]))
     visit = np.argsort(-bounds, axis=1, kind="stable")
     active = np.arange(len(queries))
     scored = 0
-    for step in range(len(starts)):
+    for step in range(min(len(blocks), most or len(blocks))):
         block = visit[active, step]
         kth = np.maximum(best.score[active, -1], floor[active])
         go = bounds[active, block] >= kth  # ties may still win by id
@@ -92,66 +113,152 @@ def search_block_at_a_time(best: Best, queries: np.ndarray, query_ids: np.ndarra
             break
         by_block = np.argsort(block, kind="stable")
         for rows in np.split(by_block, np.flatnonzero(np.diff(block[by_block])) + 1):
-            at = slice(starts[block[rows[0]]], starts[block[rows[0]]] + BLOCK)
+            found = blocks[block[rows[0]]]
             who = active[rows]
-            score = _products(queries[who], vectors[at])
-            score[(query_ids[who][:, None] == ids[at][None, :]) | (score < floor[who][:, None])] = _LEAST
-            best.offer(who, score, ids[at])
+            score = _products(queries[who], found.vectors)
+            score[(query_ids[who][:, None] == found.ids[None, :]) | (score < floor[who][:, None])] = _LEAST
+            best.offer(who, score, found.ids)
             scored += len(who)
     return scored
 
 
-def _floors(queries: np.ndarray, query_ids: np.ndarray, k: int) -> np.ndarray:
-    """The k-th score of each query among the chunk's own rows; the least number where there are fewer."""
-    if len(queries) <= k:
-        return np.full(len(queries), _LEAST)
-    out = []
-    for at in range(0, len(queries), 512):
-        score = _products(queries[at : at + 512], queries)
-        score[query_ids[at : at + 512][:, None] == query_ids[None, :]] = _LEAST
-        out.append(-np.partition(-score, k - 1, axis=1)[:, k - 1])
-    return np.concatenate(out)
+def _centers(sample: np.ndarray) -> np.ndarray:
+    """``CENTERS`` centers of the sample: the farthest from those before, then ten rounds of means."""
+    x = sample.astype(np.float64)
+    chosen, far = [x[0]], np.full(len(x), np.inf)
+    for _ in range(min(CENTERS, len(x)) - 1):
+        far = np.minimum(far, ((x - chosen[-1]) ** 2).sum(axis=1))
+        chosen.append(x[int(far.argmax())])
+    centers = np.array(chosen)
+    for _ in range(10):
+        near = _nearest(x, centers)[:, 0]
+        for k in range(len(centers)):
+            if (near == k).any():
+                centers[k] = x[near == k].mean(axis=0)
+    return centers
+
+
+def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """The two nearest centers of each row (the same twice, where there is one)."""
+    score = x @ centers.T - (centers**2).sum(axis=1) / 2
+    first = score.argmax(axis=1)
+    score[np.arange(len(x)), first] = -np.inf
+    return np.stack([first, score.argmax(axis=1) if len(centers) > 1 else first], axis=1)
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", chunk: int = CHUNK) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best other rows of every row where ``is_query`` (over ``id``) holds."""
+def index(rows: DataFrame) -> DataFrame:
+    """The stored blocks (size, ids, vectors, high, low; packed int64) of ``rows`` (id, v): every row is in one."""
+    spark = rows.sparkSession
+    sample = rows.orderBy(F.xxhash64("id", "v")).limit(SAMPLE).toArrow()
+    lengths = sample["v"].combine_chunks().value_lengths().to_numpy() if len(sample) else np.zeros(0, int)
+    size = int(np.bincount(lengths).argmax()) if len(lengths) else 0
+    centers = _centers(_matrix(sample["v"].combine_chunks().filter(pa.array(lengths == size)))) if size else None
+    shared = spark.sparkContext.broadcast(centers)
+
+    def coded(batches):
+        centers = shared.value
+        for batch in batches:
+            code = np.zeros(len(batch), np.int32)
+            lengths = batch["v"].value_lengths().to_numpy()
+            of = np.flatnonzero(lengths == (centers.shape[1] if centers is not None else -1))
+            if len(of):
+                near = _nearest(_matrix(batch["v"].take(pa.array(of))).astype(np.float64), centers)
+                code[of] = near[:, 0] * CENTERS + near[:, 1]
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["v"], pa.array(lengths.astype(np.int32)), pa.array(code)], ["id", "v", "size", "code"])
+
+    # sorted by a hash within a code, so that one that holds many rows is dealt to many ranges
+    ordered = rows.mapInArrow(coded, "id long, v array<long>, size int, code int").repartitionByRange("size", "code", F.xxhash64("id")).sortWithinPartitions("size", "code", F.xxhash64("id"))
+
+    def packed(batches):
+        held: list = []
+        count = 0
+
+        def out():
+            ids = np.concatenate([x["id"].to_numpy() for x in held])
+            lengths = np.concatenate([x["size"].to_numpy() for x in held])
+            flat = np.concatenate([x["v"].flatten().to_numpy(zero_copy_only=False) for x in held]).astype(np.int64)
+            starts = np.concatenate([[0], np.cumsum(lengths)])
+            found = []
+            for a, b in itertools.pairwise([0, *(np.flatnonzero(np.diff(lengths)) + 1).tolist(), len(ids)]):
+                found += [(int(lengths[a]), x) for x in cut(ids[a:b], flat[starts[a] : starts[b]].reshape(b - a, -1))]
+            held.clear()
+            columns = [pa.array([x.tobytes() for x in column], pa.binary()) for column in zip(*[(b.ids, b.vectors, b.high, b.low) for _, b in found], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int32()), *columns], ["size", "ids", "vectors", "high", "low"])
+
+        for batch in batches:
+            if len(batch):
+                held.append(batch)
+                count += len(batch)
+            if count >= 32 * BLOCK:
+                yield out()
+                count = 0
+        if held:
+            yield out()
+
+    return materialize(ordered.mapInArrow(packed, "size int, ids binary, vectors binary, high binary, low binary"), "blocks")
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", chunk: int = CHUNK, counted=None) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best other rows of every row where ``is_query`` (over ``id``) holds.
+
+    ``counted``: an accumulator that is told how many (query, block) pairs were scored, or None.
+    """
     rows = scaled(vectors, id_col, vector_col)
     spark = vectors.sparkSession
-    asked = materialize(rows.where(is_query).distinct().withColumn("size", F.size("v")), "queries")
+    asked = materialize(rows.where(is_query).distinct(), "queries")
+    parts = -(-asked.count() // chunk)
+    blocks = index(rows) if parts else None
     found = None
-    many = asked.count()
-    parts = max(1, -(-many // (chunk // 2)))
-    for dims in sorted(r["size"] for r in asked.select("size").distinct().limit(1025).collect()):
-        for part in range(parts):
-            own = asked.where((F.col("size") == dims) & (F.pmod(F.xxhash64("id"), F.lit(parts)) == part))
-            got = own.limit(4 * chunk).toArrow()  # a part is about half a chunk
-            if len(got) >= 4 * chunk:
-                raise ValueError("a part of the queries is larger than its bound; raise chunk")
-            if not len(got):
-                continue
-            shared = spark.sparkContext.broadcast((_matrix(got["v"].combine_chunks()), got["id"].to_numpy()))
-            short = rows.where(F.size("v") == dims).mapInArrow(_task(shared, k), "q int, query_id long, vec_id long, score long").withColumn("part", F.lit(f"{dims}/{part}"))
-            short = short if parts == 1 else materialize(short, "topk")
-            found = short if found is None else found.union(short)
+    for part in range(parts):
+        # distinct rows by their hash: a part has about ``chunk`` of them
+        got = asked.where(F.pmod(F.xxhash64("id", "v"), F.lit(parts)) == part).toArrow()
+        if not len(got):
+            continue
+        lengths, ids, v = got["v"].combine_chunks().value_lengths().to_numpy(), got["id"].to_numpy(), got["v"].combine_chunks()
+        queries, numbers = {}, {}
+        for size in np.unique(lengths).tolist():
+            numbers[size] = np.flatnonzero(lengths == size)
+            queries[size] = (_matrix(v.take(pa.array(numbers[size]))), ids[numbers[size]])
+        floors = {size: np.full(len(q), _LEAST) for size, (q, _) in queries.items()}
+        shared = spark.sparkContext.broadcast((queries, numbers, floors))
+        schema = "q int, query_id long, vec_id long, score long"
+        first = blocks.mapInArrow(_task(shared, k, 1, counted), schema)
+        ranked = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))
+        kth = first.withColumn("rank", ranked).where(F.col("rank") == k).select("q", "score").toArrow()  # at most a row a query
+        least = np.full(len(ids), _LEAST)
+        least[kth["q"].to_numpy()] = kth["score"].to_numpy()
+        floors = {size: least[at] for size, at in numbers.items()}
+        shared = spark.sparkContext.broadcast((queries, numbers, floors))
+        short = blocks.mapInArrow(_task(shared, k, None, counted), schema).withColumn("part", F.lit(part))
+        short = short if parts == 1 else materialize(short, "topk")
+        found = short if found is None else found.union(short)
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
     if found is None:
         return spark.createDataFrame([], schema)
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("part", "q", "query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _task(shared, k: int):
+def _task(shared, k: int, most: int | None, counted):
+    """Task: the best of its blocks for each query; with ``most``, of so many blocks of each batch."""
+
     def work(batches):
-        queries, query_ids = shared.value
-        floor = _floors(queries, query_ids, k)
-        best = Best(len(queries), k)
+        queries, numbers, floors = shared.value
+        best = {size: Best(len(q), k) for size, (q, _) in queries.items()}
         for batch in batches:
-            if len(batch):
-                search_block_at_a_time(best, queries, query_ids, floor, batch["id"].to_numpy(), _matrix(batch["v"]))
-        q, column = np.nonzero(best.score > _LEAST)
-        yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(query_ids[q]), pa.array(best.id[q, column]), pa.array(best.score[q, column])], ["q", "query_id", "vec_id", "score"])
+            of = defaultdict(list)
+            for size, *packed in zip(*[batch[c].to_pylist() for c in ("size", "ids", "vectors", "high", "low")], strict=True):
+                if size in queries:
+                    ids, vectors, high, low = (np.frombuffer(x, np.int64) for x in packed)
+                    of[size].append(Block(ids, vectors.reshape(-1, size), high, low))
+            for size, blocks in of.items():
+                scored = search_block_at_a_time(best[size], *queries[size], floors[size], blocks, most)
+                if counted is not None:
+                    counted.add(scored)
+        for size, found in best.items():
+            q, column = np.nonzero(found.score > _LEAST)
+            if len(q):
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[size][q].astype(np.int32)), pa.array(queries[size][1][q]), pa.array(found.id[q, column]), pa.array(found.score[q, column])], ["q", "query_id", "vec_id", "score"])
 
     return work
 

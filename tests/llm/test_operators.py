@@ -221,10 +221,34 @@ def test_blocks_are_pruned():
     ids = np.arange(20 * topk.BLOCK)
     vectors = np.repeat(np.arange(20), topk.BLOCK)[:, None] * 50 + rng.integers(0, 9, (len(ids), 4))
     best = topk.Best(1, 10)
-    scored = topk.search_block_at_a_time(best, np.ones((1, 4), np.int64), np.array([-1]), np.full(1, topk._LEAST), ids, vectors)
+    scored = topk.search_block_at_a_time(best, np.ones((1, 4), np.int64), np.array([-1]), np.full(1, topk._LEAST), topk.cut(ids, vectors))
     assert scored == 1 and set(best.id[0]) <= set(range(19 * topk.BLOCK, 20 * topk.BLOCK))
 
 
+def test_most_blocks_of_clustered_vectors_are_left_out(spark):
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(16, 24))
+    x = centers[rng.integers(0, 16, 16_000)] + rng.normal(size=(16_000, 24)) * 0.05
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    counted = spark.sparkContext.accumulator(0)
+    got = topk.top_k(rows, F.col("id") % 100 == 0, counted=counted).collect()
+    whole = np.floor(1024 * x).astype(np.int64)
+    score = whole[::100] @ whole.T
+    score[np.arange(160), np.arange(160) * 100] = -(1 << 60)
+    want = {(100 * q, k + 1, int(i), int(score[q, i])) for q in range(160) for k, i in enumerate(np.lexsort((np.arange(len(x)), -score[q]))[:10])}
+    assert {tuple(r) for r in got} == want
+    assert counted.value < 0.3 * 160 * 16_000 / topk.BLOCK
+
+
+def test_many_sizes_and_the_query(spark, tmp_path):
+    rows = [(k, [float(k % 7)] * (1 + k // 2 % 1300)) for k in range(0, 5200)]
+    spark.createDataFrame([*rows, (None, [1.0])], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries.op6_exact_top_k(spark, str(tmp_path))
+    assert got.columns == ["query_id", "rank", "vec_id", "score"]
+    own = {k: len(v) for k, v in rows}
+    assert sorted((r.query_id, r.vec_id) for r in got.collect()) == sorted((q, k) for q in range(0, 5200, 100) for k in range(max(0, q - 2601), 5200) if k != q and own[k] == own[q])
+
+
 def brute_repeats(docs):
     first = {}
     for k, t in docs:
