@@ -1,19 +1,20 @@
 """Language-model scoring with a hidden Markov model.
 
 Words of the training documents are counted in every task and added up. The ``VOCABULARY`` most frequent ones are
-symbols of their own (that bounds what is broadcast); all other words, known or not, share one symbol in the
-recursion, and each brings its own exact share of that symbol's probability, joined to it from the full table of
-counts. So the model is a proper distribution over known words plus one unknown, as the base is.
+symbols of their own (that bounds what is broadcast). All other words, known or not, are symbols by their ending: words
+with one hash of their last ``ENDING`` bytes are a class, whose emissions are learnt by state from all of its words'
+tokens, and each word brings its own exact share of its class, joined to it from the full table of counts, which grows
+with the input. Each class has one unknown. So the model is a proper distribution over known words and the unknowns.
 
 Training: the states start from groups of frequent words that stand in the same documents (co-occurrence counts over
-all training documents); then ``ROUNDS`` rounds of Baum-Welch, each a pass over all training documents whose expected
-counts (start, transition, and one row for each symbol) are added up with a groupBy. Scoring runs the scaled forward
-recursion over every text; with the scales' logarithms it is the exact likelihood of the sequence, whatever its
-length.
+all training documents of ``ANCHORS`` words; that is where the search begins, not what it learns from); then ``ROUNDS``
+rounds of Baum-Welch, each a pass over all training documents whose expected counts (start, transition, and one row
+for each symbol) are added up with a groupBy. Scoring runs the scaled forward recursion over every text; with the
+scales' logarithms it is the exact likelihood of the sequence, whatever its length.
 
 Defined results: a null or empty text is one end token; no training documents leave every word unknown,
-of probability 1; repeated rows count and
-are returned as often as they stand; ties in the vocabulary go by the word's bytes; extra columns are ignored.
+of base probability 1; repeated rows count and are returned as often as they stand; ties in the vocabulary go by the
+word's bytes; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +31,7 @@ from pyspark.sql import types as T
 
 from .common import gathered, lean, materialize, small, utf8
 
-STATES, VOCABULARY, ROUNDS, ANCHORS = 8, 1 << 17, 2, 384
+STATES, VOCABULARY, ROUNDS, ANCHORS, CLASSES, ENDING = 8, 1 << 17, 2, 384, 1 << 15, 3
 #: Bytes of packed symbols from which sequences of like length are picked.
 GATHERED = 16 << 20
 #: Share of the base distribution in each state's emissions; words a task counts before it hands them on; tokens
@@ -59,17 +61,34 @@ def _counted(batches):
         yield from out()
 
 
+def word_class(word: bytes) -> int:
+    """The class of a word that is no symbol: XXH64 of its ending, as Spark's xxhash64 has it, modulo ``CLASSES``."""
+    hashed = xxhash.xxh64_intdigest(word[-ENDING:], 42)
+    return (hashed - (1 << 64) if hashed >> 63 else hashed) % CLASSES
+
+
 class Lexicon:
-    """Symbols: 0 for all rare words, 1 for the end, then the frequent words; and the base's figures."""
+    """Symbols: 1 for the end, then the frequent words, then the classes (0 is none); and their figures.
+
+    ``plain``: a symbol's count plus one (0 for classes); ``mass``: its starting probability; ``total_of``: what a
+    class's words have together, each its count plus one, with one unknown.
+    """
 
-    def __init__(self, frequent: list[tuple[bytes, int]], total: int, distinct: int, ends: int):
+    def __init__(self, frequent: list[tuple[bytes, int]], total: int, distinct: int, ends: int, of_class: dict[int, int]):
         self.total, self.distinct = total, distinct
         self.words = {w: k + 2 for k, (w, _) in enumerate(frequent)}
-        counts = np.array([0, ends, *[n for _, n in frequent]], np.float64)
-        self.base = (counts + 1) / (total + distinct + 1)
-        # what is left for the known rare words and the one unknown
-        self.base[0] = (total + distinct + 1 - sum(n + 1 for _, n in frequent) - (ends + 1 if ends else 0)) / (total + distinct + 1)
-        self.known = np.concatenate(([0], [int(ends > 0)], np.ones(len(frequent), np.int64))).astype(np.int64)
+        self.first_class = len(frequent) + 2
+        self.plain = np.array([0, ends + 1, *[n + 1 for _, n in frequent], *[0] * CLASSES], np.float64)
+        self.total_of = np.ones(CLASSES)
+        for k, n in of_class.items():
+            self.total_of[k] += n
+        self.mass = self.plain.copy()
+        self.mass[self.first_class :] = self.total_of
+        self.mass /= self.mass.sum()
+        self.known = (self.plain > 1).astype(np.int64)
+
+    def size(self) -> float:
+        return float(self.total + self.distinct + 1)
 
 
 def lexicon(training: DataFrame, text_col: str, vocabulary: int) -> tuple[Lexicon, DataFrame]:
@@ -80,7 +99,14 @@ def lexicon(training: DataFrame, text_col: str, vocabulary: int) -> tuple[Lexico
     ends = (counts.where(F.col("word") == F.lit(bytearray(END))).first() or (None, 0))[1]
     words = counts.where(F.col("word") != F.lit(bytearray(END)))
     top = words.orderBy(F.desc("n"), "word").limit(vocabulary).toArrow()
-    return Lexicon(list(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True)), total, distinct, ends), words
+    frequent = list(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True))
+    ending = F.expr(f"substring(word, -{ENDING}, {ENDING})")
+    whole = F.when(F.length("word") <= ENDING, F.col("word")).otherwise(ending)
+    sums = words.groupBy(F.pmod(F.xxhash64(whole), F.lit(CLASSES)).cast("int").alias("k")).agg(F.sum(F.col("n") + 1).alias("n")).toArrow()  # at most CLASSES rows
+    of_class = dict(zip(sums["k"].to_pylist(), sums["n"].to_pylist(), strict=True))
+    for word, n in frequent:
+        of_class[word_class(word)] -= n + 1
+    return Lexicon(frequent, total, distinct, ends, of_class), words
 
 
 def encoded(docs: DataFrame, shared, keep: dict[str, Column], text_col: str) -> DataFrame:
@@ -89,14 +115,24 @@ def encoded(docs: DataFrame, shared, keep: dict[str, Column], text_col: str) ->
     kept_names = list(keep)
 
     def work(batches):
-        words = shared.value.words
+        words, first, class_of = shared.value.words, shared.value.first_class, {}
+
+        def symbol(word: bytes) -> int:
+            found = words.get(word)
+            if found is None:
+                ending = word[-ENDING:]
+                found = class_of.get(ending)
+                if found is None:
+                    found = class_of[ending] = first + word_class(ending)
+            return found
+
         number = TaskContext.get().partitionId() << 40
         for batch in small(batches):
             packed, rare, times, sizes = [], [], [], []
             for text in utf8(batch["_text"]):
                 tokens = text.lower().split()
-                symbols = [words.get(w, 0) for w in tokens]
-                own = Counter([w for w, s in zip(tokens, symbols, strict=True) if not s]) if 0 in symbols else {}
+                symbols = [symbol(w) for w in tokens]
+                own = Counter([w for w, s in zip(tokens, symbols, strict=True) if s >= first])
                 rare.append(list(own))
                 times.append(list(own.values()))
                 symbols.append(1)
@@ -108,6 +144,8 @@ def encoded(docs: DataFrame, shared, keep: dict[str, Column], text_col: str) ->
                 [*kept_names, "row", "n_tokens", "symbols", "rare", "times"],
             )
             number += n
+            if len(class_of) > HELD_WORDS:
+                class_of.clear()
 
     fields = [T.StructField("row", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("symbols", T.BinaryType()), T.StructField("rare", T.ArrayType(T.BinaryType())), T.StructField("times", T.ArrayType(T.LongType()))]
     return rows.mapInArrow(work, T.StructType([*rows.drop("_text").schema.fields, *fields]))
@@ -206,7 +244,7 @@ def _baum_welch(shared):
         table = np.concatenate([emitted[seen], moves, starts[None]])
         kinds = np.repeat([0, 1, 2], [len(seen), states, 1])
         places = np.concatenate([seen, np.arange(states), [0]])
-        yield pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int32)), pa.array(places.astype(np.int32)), *[pa.array(table[:, k].copy()) for k in range(states)]], ["kind", "at", *[f"g{k}" for k in range(states)]])
+        yield pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int32)), pa.array(places.astype(np.int32)), *[pa.array(table[:, k].astype(np.float32)) for k in range(states)]], ["kind", "at", *[f"g{k}" for k in range(states)]])
 
     return work
 
@@ -257,16 +295,16 @@ def train(rows: DataFrame, words: Lexicon, states: int = STATES, rounds: int = R
     """(start, move, emit) after ``rounds`` of Baum-Welch over all ``rows`` (with ``symbols``)."""
     spark = rows.sparkSession
     symbols = rows.select("symbols")
-    n = min(ANCHORS, len(words.base) - 2)
+    n = min(ANCHORS, len(words.words))
     together = np.zeros((n, n))
     got = symbols.mapInArrow(_companions, "a int, b int, n double").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
     together[got["a"].to_numpy(), got["b"].to_numpy()] = got["n"].to_numpy()
-    base = words.base / words.base.sum() if words.total else words.base
+    base = words.mass
     start, move, emit = first_states(together, base, states)
     columns = [f"g{k}" for k in range(states)]
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast((start.astype(np.float32), move.astype(np.float32), emit.astype(np.float32)))
-        schema = "kind int, at int, " + ", ".join(f"{c} double" for c in columns)
+        schema = "kind int, at int, " + ", ".join(f"{c} float" for c in columns)
         counts = symbols.mapInArrow(_baum_welch(shared), schema).groupBy("kind", "at").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()
         table = np.stack([counts[c].to_numpy() for c in columns], axis=1) if len(counts) else np.zeros((0, states))
         kind, at = counts["kind"].to_numpy(), counts["at"].to_numpy()
@@ -286,8 +324,12 @@ def _scored(shared, names: list[str]):
 
     def work(batches):
         words, (start, move, emit) = shared.value
-        base, known = np.log10(words.base), words.known
-        base[0] = 0.0
+        known = words.known
+        base = np.zeros(len(words.plain))
+        base[1 : words.first_class] = np.log10(words.plain[1 : words.first_class] / words.size())
+        # what the classes in a text take from its words' shares
+        share = np.zeros(len(base))
+        share[words.first_class :] = np.log10(words.total_of)
         model = (start.astype(np.float64), move.astype(np.float64), emit.astype(np.float64))
         for batch in gathered(batches, "symbols", GATHERED):
             packed = batch["symbols"].to_pylist()
@@ -297,7 +339,7 @@ def _scored(shared, names: list[str]):
                 _, scale, _ = forward(layout, *model)
                 lanes = len(which)
                 at = np.array(which)[layout.order]
-                scores[at] = np.bincount(layout.lane, weights=np.log10(scale), minlength=lanes)
+                scores[at] = np.bincount(layout.lane, weights=np.log10(scale) - share[layout.symbols], minlength=lanes)
                 plain[at] = np.bincount(layout.lane, weights=base[layout.symbols], minlength=lanes)
                 n_known[at] = np.bincount(layout.lane, weights=known[layout.symbols], minlength=lanes).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*[batch[k] for k in names], pa.array(plain), pa.array(scores), pa.array(n_known)], [*names, "plain", "likelihood", "n_frequent"])
@@ -308,6 +350,7 @@ def _scored(shared, names: list[str]):
 def score(docs: DataFrame, training: Column, keep: dict[str, Column], text_col: str = "text", states: int = STATES, vocabulary: int = VOCABULARY, rounds: int = ROUNDS) -> DataFrame:
     """The columns of ``keep``, n_tokens, n_known, train_tokens, base_score and score; learns from rows where ``training`` holds."""
     spark = docs.sparkSession
+    given, keep = keep, {f"own_{k}": c for k, c in enumerate(keep.values())}
     words, counts = lexicon(lean(docs).where(training), text_col, vocabulary)
     shared_words = spark.sparkContext.broadcast(words)
     texts = materialize(encoded(docs, shared_words, keep | {"_training": training}, text_col), "symbols")
@@ -317,7 +360,7 @@ def score(docs: DataFrame, training: Column, keep: dict[str, Column], text_col:
     own = texts.select(*names, "symbols")
     fields = [*own.drop("symbols").schema.fields, T.StructField("plain", T.DoubleType()), T.StructField("likelihood", T.DoubleType()), T.StructField("n_frequent", T.LongType())]
     scored = own.mapInArrow(_scored(shared, names), T.StructType(fields))
-    size = float(words.total + words.distinct + 1)
+    size = words.size()
     if words.distinct - (len(words.words) + 1) > 0:
         # the rest exactly: each rare word with its own count
         rare = texts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), "r.times").join(counts.where(F.col("word").isNotNull()), "word", "left")
@@ -327,9 +370,9 @@ def score(docs: DataFrame, training: Column, keep: dict[str, Column], text_col:
         rare = texts.select("row", F.aggregate("times", F.lit(0).cast("long"), lambda a, b: a + b).alias("n_rare"))
         extra = rare.where("n_rare > 0").select("row", (F.col("n_rare") * float(np.log10(1 / size))).alias("rare_base"), "n_rare", F.lit(0).cast("long").alias("rare_known"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    shared_log = float(np.log10(words.base[0]))
+    # a rare word's own share: its count plus one of what its class has together, which is in the likelihood already
+    share = zero("rare_base") + zero("n_rare") * F.lit(float(np.log10(size)))
     return scored.join(extra, "row", "left").select(
-        *keep, "n_tokens", (F.col("n_frequent") + zero("rare_known")).cast("long").alias("n_known"), F.lit(words.total).cast("long").alias("train_tokens"),
-        (F.col("plain") + zero("rare_base")).alias("base_score"),
-        (F.col("likelihood") + zero("rare_base") - zero("n_rare") * F.lit(shared_log)).alias("score"),
+        *[F.col(own).alias(c) for own, c in zip(keep, given, strict=True)], "n_tokens", (F.col("n_frequent") + zero("rare_known")).cast("long").alias("n_known"), F.lit(words.total).cast("long").alias("train_tokens"),
+        (F.col("plain") + zero("rare_base")).alias("base_score"), (F.col("likelihood") + share).alias("score"),
     )
