@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,11 +56,17 @@ def parse_amount(text: Column, units: dict[str, int] | None = None) -> Column:
     return F.round(_decimal(number) * factor.cast("decimal(20,0)"), 0).try_cast("long")
 
 
+#: For each hundredth below 1, the least double that is rounded up from it: its half, or the next where the half goes down.
+_HALVES = [h if f"{h:.2f}" == f"{(k + 1) / 100:.2f}" else math.nextafter(h, 2) for k in range(100) for h in [(2 * k + 1) / 200]]
+
+
 def normalize_confidence(text: Column) -> Column:
-    """Two decimals between 0.00 and 1.00; 0.50 for what is no number."""
+    """Two decimals between 0.00 and 1.00, the binary value rounded half to even; 0.50 for what is no number."""
     number = F.trim(text).try_cast("double")
     fine = F.when(number.isNull() | F.isnan(number) | (F.abs(number) == float("inf")), F.lit(0.5)).otherwise(F.least(F.greatest(number, F.lit(0.0)), F.lit(1.0)))
-    return fine.cast("decimal(3,2)").cast("string")
+    below = F.least(F.floor(fine * 100), F.lit(99)).cast("int")
+    cents = below + (fine >= F.element_at(F.array(*[F.lit(x) for x in _HALVES]), below + 1)).cast("int")
+    return (cents / F.lit(100)).cast("decimal(3,2)").cast("string")
 
 
 def slug(text: Column, fallback: str = "item") -> Column:
@@ -64,10 +74,89 @@ def slug(text: Column, fallback: str = "item") -> Column:
     return F.when(cut == "", F.lit(fallback)).otherwise(cut)
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Characters that decompose to one character and marks, and that character, by Unicode's own tables."""
+    pairs = []
+    for c in map(chr, range(0xC0, 0x2000)):
+        kept = [x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)]
+        if len(kept) == 1 and kept[0] != c:
+            pairs.append((c, kept[0]))
+    return "".join(c for c, _ in pairs), "".join(x for _, x in pairs)
+
+
+_ACCENTED, _PLAIN = _plain_letters()
+_DIGITS = [chr(c) for c in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"]
+
+
+def strip_accents(text: Column) -> Column:
+    """Letters without their marks."""
+    return F.regexp_replace(F.translate(text, _ACCENTED, _PLAIN), r"\p{Mn}+", "")
+
+
+def fold_digits(text: Column) -> Column:
+    """Decimal digits of any script as ASCII digits."""
+    return F.translate(text, "".join(_DIGITS), "".join(str(unicodedata.decimal(c)) for c in _DIGITS))
+
+
+def other_digits(text: Column) -> Column:
+    """The distinct decimal digits beyond ASCII, in order of first use."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"[\p{Nd}&&[^0-9]]"), F.lit(0)))
+
+
+def one_line(text: Column) -> Column:
+    """Tabs and line breaks as spaces, trimmed."""
+    return F.trim(F.regexp_replace(text, r"[\t\r\n\x0B\x0C\x1C-\x1E\x85\u2028\u2029]+", " "))
+
+
+def cite_key(text: Column) -> Column:
+    """Letters, digits and ``_:-`` of a key; all else is dropped."""
+    return F.regexp_replace(text, "[^A-Za-z0-9_:-]", "")
+
+
+def labelled_pmid(text: Column) -> Column:
+    """The number after the label PMID in free text."""
+    return _group(text, r"(?i)(?<![A-Za-z])PMID\s*:?\s*([0-9]{1,9})(?![0-9])", 1)
+
+
+def labelled_doi(text: Column) -> Column:
+    """The DOI of a line that starts with the label DOI."""
+    return F.lower(_group(text, r"(?im)^\s*DOI\s*:\s*(?:https?://(?:dx\.)?doi\.org/)?(10\.[0-9]{4,9}/\S+)\s*$", 1))
+
+
+def instant(text: Column) -> Column:
+    """An ISO time; without a zone it is UTC, in a session of that time zone."""
+    return F.try_to_timestamp(F.trim(text))
+
+
+def iso_date(text: Column) -> Column:
+    return F.try_to_date(F.substring(F.trim(text), 1, 10), "yyyy-MM-dd")
+
+
+def version(text: Column) -> Column:
+    """The first three runs of digits as integers."""
+    return F.transform(F.slice(F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0)), 1, 3), lambda x: x.cast("int"))
+
+
+def index_is_complete(index: Column) -> Column:
+    """Whether an inverted index (map of word to positions) has each position from 0 on once."""
+    places = F.array_sort(F.flatten(F.map_values(index)))
+    return (F.size(places) > 0) & (places == F.sequence(F.lit(0), F.size(places) - 1))
+
+
+def scalar(kind: Column, text: Column) -> Column:
+    """The scalar of a literal by its type: date, number, ordinal or amount; null for other types."""
+    return F.when(kind == "date", parse_date(text)).when(kind == "number", parse_number_scaled(text)).when(kind == "ordinal", parse_ordinal(text)).when(kind == "amount", parse_amount(text))
+
+
+def has_control(text: Column) -> Column:
+    """Whether the text holds characters that a claim must not."""
+    return text.rlike(r"[\x00-\x1F]")
+
+
 def title_key(text: Column) -> Column:
-    """A title's words in lower case without markup: letters and digits, single spaces."""
+    """A title's words in lower case without markup and accents: letters of the Latin alphabet and digits, single spaces."""
     plain = F.regexp_replace(F.regexp_replace(text, r"\$[^$]*\$", " "), r"\\[A-Za-z]+|[{}]", " ")
-    return F.trim(F.regexp_replace(F.lower(plain), r"[^\p{L}\p{Nd}]+", " "))
+    return F.trim(F.regexp_replace(F.lower(strip_accents(plain)), "[^0-9a-z]+", " "))
 
 
 def tokens(text: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions.scalars import source_file
@@ -72,11 +72,10 @@ def corroboration(claims: DataFrame) -> DataFrame:
 def signals(claims: DataFrame) -> DataFrame:
     """Of each engine triple: number and list of source files, best confidence, whether a source is missing."""
     return engine_facts(claims).withColumn("file", source_file(F.col("source"))).groupBy(*TRIPLE).agg(
-        F.countDistinct(F.when(F.col("file") != "", F.col("file"))).alias("n_files"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("file") != "", F.col("file")))), ",").alias("files"),
+        F.array_sort(F.collect_set(F.when(F.col("file") != "", F.col("file")))).alias("all_files"),
         F.max(F.col("confidence").cast("decimal(3,2)")).cast("string").alias("best_confidence"),
         F.bool_or(F.col("source") == "").alias("missing_source"),
-    )
+    ).select(*TRIPLE, F.size("all_files").cast("long").alias("n_files"), F.array_join("all_files", ",").alias("files"), "best_confidence", "missing_source")
 
 
 def entities(claims: DataFrame, attributes: Sequence[str]) -> DataFrame:
@@ -100,8 +99,11 @@ def rank(status: Column) -> Column:
 
 
 def first_by(claims: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """One row a key: the first in ``order``."""
-    return claims.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+    """One row a key: the first in ``order``, added up before the shuffle, so a key with very many copies is no one's task."""
+    by = F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(f"o{k}") for k, c in enumerate(order)])
+    rest = [c for c in claims.columns if c not in keys]
+    first = claims.groupBy(*keys).agg(F.min(F.struct(by.alias("by"), *[F.col(c) for c in rest])).alias("first"))
+    return first.select(*[F.col(c) if c in keys else F.col(f"first.{c}").alias(c) for c in claims.columns])
 
 
 def search(claims: DataFrame, needle: str) -> DataFrame:

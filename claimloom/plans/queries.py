@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from claimloom.functions import scalars as S
+from claimloom.functions.storage import stored
 from claimloom.operators import audit, conflicts, facts as K, graph, merge, records, text_search
 from claimloom.plans.registry import query
 from claimloom.plans.triples import ATTRIBUTES, ENGINE_SQL, FACTS, IN_ATTRIBUTES, SINGLE_VALUED, TRADES, facts, table, trades
@@ -108,17 +109,19 @@ def J9_hierarchy_join(spark, sf_dir):
     return K.engine_facts(facts(spark, sf_dir)).where("relation = 'in_nation'").join(closed, "object").select("subject", "ancestor")
 
 
-KNOWN = f"known AS (SELECT DISTINCT {FILE} AS file FROM facts WHERE CAST(regexp_extract({FILE}, '_([0-9]+)[.]md', 1) AS BIGINT) % 10 <> 3)"
+#: The files on disk: those of suppliers in debt were withdrawn.
+KNOWN = f"known AS (SELECT DISTINCT {FILE} AS file FROM facts WHERE {FILE} NOT IN (SELECT 'sources/supplier_' || s_suppkey || '.md' FROM supplier WHERE s_acctbal < 0))"
 
 
-def _known(rows):
-    return rows.select(S.source_file(F.col("source")).alias("file")).distinct().where(F.regexp_extract("file", r"_([0-9]+)[.]md", 1).cast("long") % 10 != 3)
+def _known(spark, sf_dir, rows):
+    withdrawn = table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.concat(F.lit("sources/supplier_"), F.col("s_suppkey").cast("string"), F.lit(".md")).alias("file"))
+    return rows.select(S.source_file(F.col("source")).alias("file")).distinct().join(withdrawn, "file", "left_anti")
 
 
 @query(f"WITH {FACTS}, {KNOWN} SELECT relation, count(*) AS n FROM facts WHERE {FILE} NOT IN (SELECT file FROM known) GROUP BY 1")
 def J11_unknown_sources(spark, sf_dir):
     rows = facts(spark, sf_dir)
-    return merge.keyed(rows).join(_known(rows), "file", "left_anti").groupBy("relation").agg(F.count("*").alias("n"))
+    return merge.keyed(rows).join(_known(spark, sf_dir, rows), "file", "left_anti").groupBy("relation").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {ENGINE_SQL} SELECT DISTINCT subject, CASE WHEN quality = 1 AND toxic = 0 THEN 'accepted' WHEN toxic = 1 THEN 'superseded' ELSE status END AS status FROM engine JOIN labels ON subject = 'order:' || doc_id WHERE relation = 'placed_by'")
@@ -133,14 +136,14 @@ def J16_uncovered_sources(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-@query("""WITH o AS (SELECT o_orderkey AS k, o_orderpriority AS p, o_orderstatus AS s FROM orders WHERE o_orderkey % 7 <> 0),
-  n AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN '5-LOW' ELSE o_orderpriority END AS p, o_orderstatus AS s FROM orders WHERE o_orderkey % 13 <> 0)
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderpriority AS p, o_orderstatus AS s FROM orders WHERE o_orderstatus <> 'P'),
+  n AS (SELECT o_orderkey AS k, CASE WHEN o_totalprice < 50000 THEN '5-LOW' ELSE o_orderpriority END AS p, o_orderstatus AS s FROM orders WHERE o_totalprice < 250000)
   SELECT o.k AS k, CASE WHEN n.k IS NULL THEN 'missing' WHEN o.p IS DISTINCT FROM n.p THEN 'changed' ELSE 'unchanged' END AS state,
   CASE WHEN n.k IS NOT NULL AND o.p IS DISTINCT FROM n.p THEN 'p' ELSE '' END AS differ FROM o LEFT JOIN n USING (k)""")
 def J22_ledger_changes(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("p"), F.col("o_orderstatus").alias("s"))
-    upstream = o.where("k % 13 <> 0").withColumn("p", F.when(F.col("k") % 11 == 0, "5-LOW").otherwise(F.col("p")))
-    return records.changes(o.where("k % 7 <> 0"), upstream, "k", ("p", "s"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("p"), F.col("o_orderstatus").alias("s"), F.col("o_totalprice").alias("total"))
+    upstream = o.where("total < 250000").withColumn("p", F.when(F.col("total") < 50000, "5-LOW").otherwise(F.col("p")))
+    return records.changes(o.where("s <> 'P'").drop("total"), upstream, "k", ("p", "s"))
 
 
 @query("""WITH log AS (SELECT user_id, max(ts) AS checked_at FROM events GROUP BY 1), now AS (SELECT max(ts) AS t FROM events)
@@ -340,7 +343,7 @@ def T13_largest_sources(spark, sf_dir):
 @query(f"WITH {FACTS} SELECT object AS value FROM facts EXCEPT SELECT subject FROM facts")
 def U6_objects_never_subjects(spark, sf_dir):
     rows = facts(spark, sf_dir)
-    return rows.select(F.col("object").alias("value")).exceptAll(rows.select("subject")).distinct().join(rows.select(F.col("subject").alias("value")).distinct(), "value", "left_anti")
+    return rows.select(F.col("object").alias("value")).distinct().join(rows.select(F.col("subject").alias("value")).distinct(), "value", "left_anti")
 
 
 @query(f"WITH {ENGINE_SQL}, gone AS (SELECT * FROM facts WHERE status = 'superseded') SELECT relation, subject FROM gone EXCEPT SELECT relation, subject FROM engine")
@@ -369,12 +372,19 @@ def X64_ordinals_and_amounts(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", S.parse_ordinal(F.concat(size, F.lit("th"))).alias("rank"), S.parse_amount(F.concat(size, F.lit("억원"))).alias("amount"))
 
 
-@query("SELECT event_id, CAST(CAST(least(greatest(value, 0.0), 1.0) AS DECIMAL(3,2)) AS VARCHAR) AS confidence FROM (SELECT event_id, CAST(round(value / 100, 2) AS DOUBLE) AS value FROM events)")
+#: Texts of thousandths from -0.100 to 1.199, with ties, gaps and what is no number.
+_SHARE = "CASE WHEN event_id % 50 = 0 THEN 'n/a' WHEN event_id % 51 = 0 THEN NULL ELSE CASE WHEN event_id % 1300 < 100 THEN '-' ELSE '' END || (abs(event_id % 1300 - 100) // 1000) || '.' || lpad(CAST(abs(event_id % 1300 - 100) % 1000 AS VARCHAR), 3, '0') END"
+
+
+@query(f"SELECT event_id, printf('%.2f', least(greatest(coalesce(TRY_CAST(t AS DOUBLE), 0.5), 0.0), 1.0)) AS confidence FROM (SELECT event_id, {_SHARE} AS t FROM events)")
 def X66_confidence(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", S.normalize_confidence(F.round(F.col("value") / 100, 2).cast("decimal(18,2)").cast("string")).alias("confidence"))
+    n = F.col("event_id") % 1300 - 100
+    text = F.concat(F.when(n < 0, "-").otherwise(""), F.floor(F.abs(n) / 1000).cast("string"), F.lit("."), F.lpad((F.abs(n) % 1000).cast("string"), 3, "0"))
+    shown = F.when(F.col("event_id") % 50 == 0, "n/a").when(F.col("event_id") % 51 != 0, text)
+    return table(spark, sf_dir, "events").select("event_id", S.normalize_confidence(shown).alias("confidence"))
 
 
-@query(r"SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^\p{L}\p{Nd}]+', ' ', 'g')) AS title, array_to_string(list_sort(list_distinct(string_split(trim(regexp_replace(lower(p_name), '[^\p{L}\p{Nd}]+', ' ', 'g')), ' '))), ',') AS words FROM part")
+@query(r"SELECT p_partkey, trim(regexp_replace(lower(strip_accents(p_name)), '[^0-9a-z]+', ' ', 'g')) AS title, array_to_string(list_sort(list_distinct(string_split(trim(regexp_replace(lower(strip_accents(p_name)), '[^0-9a-z]+', ' ', 'g')), ' '))), ',') AS words FROM part")
 def X14_title_key(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", S.title_key(F.col("p_name")).alias("title"), F.array_join(F.array_sort(S.tokens(F.col("p_name"))), ",").alias("words"))
 
@@ -393,7 +403,7 @@ def X38_identifiers(spark, sf_dir):
 
 # records and mutations
 
-@query(r"""WITH p AS (SELECT p_partkey AS id, list_sort(list_distinct(string_split(trim(regexp_replace(lower(p_name), '[^\p{L}\p{Nd}]+', ' ', 'g')), ' '))) AS w, p_brand AS surname, p_size AS year FROM part),
+@query(r"""WITH p AS (SELECT p_partkey AS id, list_sort(list_distinct(string_split(trim(regexp_replace(lower(strip_accents(p_name)), '[^0-9a-z]+', ' ', 'g')), ' '))) AS w, p_brand AS surname, p_size AS year FROM part),
   m AS (SELECT a.id AS l_id, b.id AS r_id, CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / len(list_distinct(list_concat(a.w, b.w))) AS score FROM p a JOIN p b ON a.surname = b.surname AND abs(a.year - b.year) <= 1 AND a.id <> b.id),
   r AS (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY score DESC, r_id) AS n FROM m WHERE score >= 0.8) SELECT l_id, r_id, score FROM r WHERE n = 1""")
 def J21_fuzzy_candidates(spark, sf_dir):
@@ -411,47 +421,52 @@ def J20_exact_resolution(spark, sf_dir):
     return records.resolve_exact(new, known).select("id", "by", "match")
 
 
-#: A last table that decided otherwise on some keys, and lacks some: by the number in the subject.
-_NUMBER = "CAST(split_part(subject, ':', 2) AS BIGINT)"
+#: A last table that decided otherwise on some keys and did not have those of little confidence.
 MERGE = f"""{FACTS}, {KNOWN}, runs AS (SELECT *, {FILE} AS file, row_number() OVER (PARTITION BY subject, relation, object, {FILE} ORDER BY source, status, confidence) AS n FROM facts WHERE {FILE} IN (SELECT file FROM known)),
   new AS (SELECT * FROM runs WHERE n = 1),
-  last AS (SELECT * EXCLUDE (n, status), CASE {_NUMBER} % 4 WHEN 0 THEN 'superseded' WHEN 1 THEN 'confirmed' WHEN 2 THEN 'needs_review' ELSE status END AS status
-    FROM (SELECT *, {FILE} AS file, row_number() OVER (PARTITION BY subject, relation, object, {FILE} ORDER BY source, status) AS n FROM facts) WHERE n = 1 AND {_NUMBER} % 3 <> 0)"""
+  last AS (SELECT * EXCLUDE (n, status), CASE right(confidence, 1) WHEN '0' THEN 'superseded' WHEN '1' THEN 'confirmed' WHEN '2' THEN 'needs_review' ELSE status END AS status
+    FROM (SELECT *, {FILE} AS file, row_number() OVER (PARTITION BY subject, relation, object, {FILE} ORDER BY source, status, confidence) AS n FROM facts) WHERE n = 1 AND confidence >= '0.30')"""
 
 
 def _last(rows):
-    number = F.split_part("subject", F.lit(":"), F.lit(2)).cast("long")
-    one = K.first_by(merge.keyed(rows), merge.KEY, ["source", "status"]).where(number % 3 != 0)
-    return one.withColumn("status", F.when(number % 4 == 0, "superseded").when(number % 4 == 1, "confirmed").when(number % 4 == 2, "needs_review").otherwise(F.col("status"))).drop("file")
+    one = K.first_by(merge.keyed(rows), merge.KEY, ["source", "status", "confidence"]).where("confidence >= '0.30'")
+    digit = F.right("confidence", F.lit(1))
+    return one.withColumn("status", F.when(digit == "0", "superseded").when(digit == "1", "confirmed").when(digit == "2", "needs_review").otherwise(F.col("status"))).drop("file")
 
 
 @query(f"""WITH {MERGE}, kept AS (SELECT new.subject, new.relation, new.object, new.file, CASE WHEN last.status = 'superseded' THEN 'superseded' WHEN new.status <> 'superseded' AND last.status IN ('confirmed','accepted') THEN last.status
     WHEN new.status IN ('confirmed','accepted') AND last.status = 'needs_review' THEN 'needs_review' ELSE new.status END AS status FROM new LEFT JOIN last USING (subject, relation, object, file)),
   every AS (SELECT * FROM kept UNION ALL SELECT subject, relation, object, file, status FROM last WHERE status = 'superseded' AND (subject, relation, object, file) NOT IN (SELECT (subject, relation, object, file) FROM new))
-  SELECT relation, status, count(*) AS n FROM every GROUP BY ALL""")
+  SELECT subject, relation, object, file, status FROM every""")
 def M1_merge_rebuild(spark, sf_dir):
-    rows = facts(spark, sf_dir)
-    return merge.rebuild(rows, _last(rows), _known(rows)).groupBy("relation", "status").agg(F.count("*").alias("n"))
+    rows = stored(facts(spark, sf_dir), "facts")
+    return merge.keyed(merge.rebuild(rows, _last(rows), _known(spark, sf_dir, rows))).select(*merge.KEY, "status")
 
 
-@query(f"""WITH {MERGE} SELECT relation, count(*) AS n FROM last WHERE status <> 'superseded' AND (subject, relation, object, file) NOT IN (SELECT (subject, relation, object, file) FROM new) GROUP BY 1""")
+@query(f"""WITH {MERGE} SELECT subject, relation, object, file FROM last WHERE status <> 'superseded' AND (subject, relation, object, file) NOT IN (SELECT (subject, relation, object, file) FROM new)""")
 def J14_destroyed_decisions(spark, sf_dir):
-    rows = facts(spark, sf_dir)
+    rows = stored(facts(spark, sf_dir), "facts")
     last = _last(rows)
-    return merge.destroyed(merge.rebuild(rows, last, _known(rows)), last).groupBy("relation").agg(F.count("*").alias("n"))
+    return merge.destroyed(merge.rebuild(rows, last, _known(spark, sf_dir, rows)), last)
 
 
 @query(f"""WITH {MERGE}, t AS (SELECT subject, relation, object, file, status FROM last), r AS (SELECT subject, relation, object, file, status FROM (SELECT *, row_number() OVER (PARTITION BY subject, relation, object, file ORDER BY source, status) AS m FROM runs) WHERE m = 1)
-  SELECT class, count(*) AS n FROM (SELECT CASE WHEN t.status IS NULL THEN 'run-only' WHEN r.status IS NULL THEN 'table-only' WHEN t.status = r.status THEN 'same'
+  SELECT subject, relation, object, file, CASE WHEN t.status IS NULL THEN 'run-only' WHEN r.status IS NULL THEN 'table-only' WHEN t.status = r.status THEN 'same'
     WHEN t.status IN ('confirmed','accepted','superseded') AND r.status NOT IN ('confirmed','accepted','superseded') THEN 'repair' WHEN t.status = 'superseded' AND r.status IN ('confirmed','accepted') THEN 'repair'
     WHEN t.status IN ('confirmed','accepted','superseded') AND r.status IN ('confirmed','accepted','superseded') THEN 'both-decided' WHEN r.status IN ('confirmed','accepted','superseded') THEN 'table-pending-run-decided' ELSE 'both-pending' END AS class
-  FROM t FULL JOIN r USING (subject, relation, object, file)) GROUP BY 1""")
+  FROM t FULL JOIN r USING (subject, relation, object, file)""")
 def J15_reconciliation(spark, sf_dir):
-    rows = facts(spark, sf_dir)
-    runs = merge.keyed(rows).join(_known(rows), "file", "left_semi").drop("file")
-    return merge.reconciliation(_last(rows), runs).groupBy("class").agg(F.count("*").alias("n"))
+    rows = stored(facts(spark, sf_dir), "facts")
+    runs = merge.keyed(rows).join(_known(spark, sf_dir, rows), "file", "left_semi").drop("file")
+    return merge.reconciliation(_last(rows), runs).select(*merge.KEY, "class")
 
 
-@query(f"WITH {ENGINE_SQL}, v AS (SELECT DISTINCT relation, object, replace(lower(object), ' ', '') AS fold FROM engine) SELECT relation, fold, count(*) AS n_spellings, string_agg(object, '|' ORDER BY object) AS spellings FROM v WHERE relation = 'has_priority' GROUP BY 1, 2 HAVING count(*) > 1")
+@query(r"""WITH v AS (SELECT DISTINCT 'has_segment' AS relation, CASE WHEN c_acctbal < 0 THEN lower(c_mktsegment) WHEN c_acctbal < 500 THEN substr(c_mktsegment, 1, 4) || '-' || substr(c_mktsegment, 5) ELSE c_mktsegment END AS object FROM customer UNION SELECT 'has_brand', CASE WHEN p_size < 10 THEN replace(p_brand, '#', '# ') ELSE p_brand END FROM part)
+  SELECT relation, replace(replace(lower(object), '-', ''), ' ', '') AS fold, count(*) AS n_spellings, string_agg(object, '|' ORDER BY object) AS spellings FROM v GROUP BY ALL HAVING count(*) > 1""")
 def A9_spelling_groups(spark, sf_dir):
-    return audit.spelling_groups(facts(spark, sf_dir).where("relation = 'has_priority'"))
+    c, p = table(spark, sf_dir, "customer"), table(spark, sf_dir, "part")
+    name = F.col("c_mktsegment")
+    segment = F.when(F.col("c_acctbal") < 0, F.lower(name)).when(F.col("c_acctbal") < 500, F.concat(F.substring(name, 1, 4), F.lit("-"), F.expr("substring(c_mktsegment, 5)"))).otherwise(name)
+    brand = F.when(F.col("p_size") < 10, F.replace("p_brand", F.lit("#"), F.lit("# "))).otherwise(F.col("p_brand"))
+    rows = c.select(F.lit("has_segment").alias("relation"), segment.alias("object")).union(p.select(F.lit("has_brand"), brand)).withColumn("status", F.lit("accepted"))
+    return audit.spelling_groups(rows)
