@@ -13,9 +13,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a local one is set only where none is configured."""
+    """The folder all executors share (``spark.checkpoint.dir``); a local one is set only where none is configured and all runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="claimloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
