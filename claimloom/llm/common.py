@@ -11,15 +11,18 @@ from pyspark.sql import functions as F
 #: A word: a run of characters other than space and tab .. carriage return. ``bytes.split()`` cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Where a local session without ``spark.checkpoint.dir`` keeps its folder; Spark lets no session set the former.
+OWN_DIR = "claimloom.shared.dir"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``); a local one is set only where none is configured and all runs on this machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_DIR, None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="claimloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        spark.conf.set(OWN_DIR, found)
     return found.rstrip("/")
 
 
