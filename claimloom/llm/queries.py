@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hmm, langid, mixing, pii, quality, simhash, suffix_dedup, template, topk
+from . import bpe, divergence, hmm, langid, license_scan, mixing, pii, prefix_trie, quality, simhash, suffix_dedup, template, topk
 from .common import fold, table
 
 
@@ -68,5 +68,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, keep={"doc_id": F.col("doc_id"), "held_out": held_out})
 
 
-QUERIES = {f.__name__: f for f in (op1_hmm_scores, op2_source_mixing, op3_html_template, op4_quality_outliers, op5_pii_spans, op6_exact_top_k, op7_suffix_dedup, op8_simhash_components, op9_bpe_trie, op10_language_id)}
-ORACLE_SQL = {"op2_source_mixing": mixing.MIX_SQL.format(docs="documents"), "op6_exact_top_k": topk.TOP_K_SQL.format(vectors="embeddings")}
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = license_scan.find(table(spark, sf_dir, "documents"), keep={"doc_id": F.col("doc_id")})
+    return got.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs, rows = prefix_trie.with_shared_openings(prefix_trie.turns(table(spark, sf_dir, "conversations")), group=100, most=6)
+    nodes, ends = prefix_trie.trie(convs, rows)
+    listed = nodes.join(prefix_trie.end_digests(ends), "node", "left")
+    none = F.sha2(F.lit("").cast("binary"), 256)
+    return listed.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("sha256", none).alias("ends_sha256"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_hmm_scores, op2_source_mixing, op3_html_template, op4_quality_outliers, op5_pii_spans, op6_exact_top_k, op7_suffix_dedup, op8_simhash_components, op9_bpe_trie, op10_language_id, op11_license_scan, op12_prefix_trie, op13_source_divergence)}
+ORACLE_SQL = {"op2_source_mixing": mixing.MIX_SQL.format(docs="documents"), "op6_exact_top_k": topk.TOP_K_SQL.format(vectors="embeddings"), "op12_prefix_trie": prefix_trie.TRIE_SQL.format(rows="conversations"), "op13_source_divergence": divergence.REPORT_SQL.format(docs="documents")}
