@@ -5,12 +5,24 @@ from __future__ import annotations
 import math
 import sys
 import unicodedata
+from collections.abc import Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Factors of amount units.
-AMOUNT_UNITS = {"k": 1_000, "m": 1_000_000, "bn": 1_000_000_000, "만": 10_000, "억": 100_000_000, "조": 1_000_000_000_000}
+#: Factors of amount units where a relation declares none, and the mark that may follow a unit.
+AMOUNT_UNITS = {"원": 1, "천": 1_000, "만": 10_000, "억": 100_000_000, "조": 1_000_000_000_000}
+CURRENCY_MARK = "원"
+
+# The forms of literals.
+DATE = r"^([0-9]{4})[.\-/]([0-9]{1,2})(?:[.\-/]([0-9]{1,2}))?$"
+DATE_TERM = r"(?i)^date\(\s*([0-9]{4})(?:\s*,\s*([0-9]{1,2})(?:\s*,\s*([0-9]{1,2}))?)?\s*\)$"
+NUMBER = r"-?[0-9][0-9,]*(?:\.[0-9]+)?"
+NUMBER_TERM = rf'(?i)^number\(\s*"?({NUMBER})"?\s*\)$'
+ORDINAL_COUNTERS = "호|위|번|차|등|째"
+ORDINAL_TERM = r"(?i)^ordinal\(\s*([0-9]+)\s*\)$"
+AMOUNT = rf"^({NUMBER}) ?(\P{{Nd}}+)$"
+AMOUNT_TERM = rf'(?i)^amount\(\s*"?({NUMBER})"?\s*,\s*(?:"([^"]*)"|([^,)"]+))\s*\)$'
 
 
 def _group(text: Column, pattern: str, group: int) -> Column:
@@ -21,41 +33,54 @@ def _group(text: Column, pattern: str, group: int) -> Column:
 def parse_date(text: Column) -> Column:
     """yyyymmdd as long of ``2030-1-2``, ``2030.1`` or ``date(2030,1)``; a missing month or day is 1."""
     t = F.trim(text)
-    plain, compound = r"^([0-9]{4})[.\-/]([0-9]{1,2})(?:[.\-/]([0-9]{1,2}))?$", r"^date\(\s*([0-9]{4})\s*(?:,\s*([0-9]{1,2})\s*)?(?:,\s*([0-9]{1,2})\s*)?\)$"
-    part = lambda k: F.coalesce(_group(t, plain, k), _group(t, compound, k))
+    part = lambda k: F.coalesce(_group(t, DATE, k), _group(t, DATE_TERM, k))
     year, month, day = part(1), F.lpad(F.coalesce(part(2), F.lit("1")), 2, "0"), F.lpad(F.coalesce(part(3), F.lit("1")), 2, "0")
     valid = F.try_to_date(F.concat_ws("-", year, month, day), "yyyy-MM-dd")
     return F.when(year.isNotNull() & valid.isNotNull(), F.date_format(valid, "yyyyMMdd").cast("long"))
 
 
 def _decimal(text: Column) -> Column:
-    return F.when(text.rlike(r"^-?[0-9][0-9,]*(\.[0-9]+)?$"), F.regexp_replace(text, ",", "").try_cast("decimal(30,8)"))
+    return F.when(text.rlike(f"^{NUMBER}$"), F.regexp_replace(text, ",", "").try_cast("decimal(30,8)"))
 
 
 def parse_number_scaled(text: Column) -> Column:
     """A decimal number times 1000, half up, as long."""
     t = F.trim(text)
-    return F.round(_decimal(F.coalesce(_group(t, r"^number\(\s*(.+?)\s*\)$", 1), t)) * 1000, 0).try_cast("long")
+    return F.round(_decimal(F.coalesce(_group(t, NUMBER_TERM, 1), t)) * 1000, 0).try_cast("long")
 
 
 def parse_ordinal(text: Column) -> Column:
     """The rank in ``3rd``, ``ordinal(3)``, ``3위`` or ``제3호`` as long."""
     t = F.trim(text)
-    return F.coalesce(_group(t, r"^([0-9]+)(?:st|nd|rd|th)$", 1), _group(t, r"^ordinal\(\s*([0-9]+)\s*\)$", 1), _group(t, r"^제?([0-9]+)(?:위|호|번|등|차|회)$", 1)).try_cast("long")
+    return F.coalesce(_group(t, r"(?i)^([0-9]+)\s*(?:st|nd|rd|th)$", 1), _group(t, ORDINAL_TERM, 1), _group(t, rf"^제?([0-9]+)\s*(?:{ORDINAL_COUNTERS})$", 1)).try_cast("long")
+
+
+def _unit(text: Column) -> Column:
+    return F.trim(F.coalesce(_group(text, AMOUNT_TERM, 2), _group(text, AMOUNT_TERM, 3)))
+
 
+def parse_amount(text: Column, units: Mapping[str, int] | Column | None = None) -> Column:
+    """``1,200억`` or ``amount(7,"억")`` in base units, half up, as long; one trailing currency mark is dropped if the unit is not known with it.
 
-def parse_amount(text: Column, units: dict[str, int] | None = None) -> Column:
-    """``1,200억`` or ``amount(7,"억")`` in base units, half up, as long; one trailing currency mark is dropped if the unit is not known with it."""
+    ``units`` is a table of factors, or a Column of one (map of unit to long, null for the default table).
+    """
     t = F.trim(text)
-    compound = r'^amount\(\s*(-?[0-9][0-9,]*(?:\.[0-9]+)?)\s*,\s*"([^"]*)"\s*\)$'
-    plain = r"^(-?[0-9][0-9,]*(?:\.[0-9]+)?)\s*([^0-9\s,.()\"]+)$"
-    number = F.coalesce(_group(t, compound, 1), _group(t, plain, 1))
-    unit = F.coalesce(_group(t, compound, 2), _group(t, plain, 2))
-    table = F.create_map(*[F.lit(x) for pair in (units or AMOUNT_UNITS).items() for x in pair])
-    factor = F.coalesce(F.try_element_at(table, unit), F.try_element_at(table, F.regexp_replace(unit, "원$", "")))
+    number = F.coalesce(_group(t, AMOUNT_TERM, 1), _group(t, AMOUNT, 1))
+    unit = F.coalesce(_unit(t), F.trim(_group(t, AMOUNT, 2)))
+    table = F.create_map(*[F.lit(x) for pair in (AMOUNT_UNITS if units is None or isinstance(units, Column) else units).items() for x in pair]).cast("map<string,long>")
+    table = F.coalesce(units, table) if isinstance(units, Column) else table
+    stem = F.when(F.length(unit) > len(CURRENCY_MARK), F.regexp_replace(unit, f"{CURRENCY_MARK}$", ""))
+    factor = F.coalesce(F.try_element_at(table, unit), F.try_element_at(table, stem))
     return F.round(_decimal(number) * factor.cast("decimal(20,0)"), 0).try_cast("long")
 
 
+def canonical_amount(text: Column) -> Column:
+    """``amount(1,000,억)`` as ``amount(1000,"억")``, its unit always quoted; any other text as it is."""
+    t = F.trim(text)
+    number = F.regexp_replace(_group(t, AMOUNT_TERM, 1), ",", "")
+    return F.coalesce(F.concat(F.lit("amount("), number, F.lit(',"'), _unit(t), F.lit('")')), text)
+
+
 #: For each hundredth below 1, the least double that is rounded up from it: its half, or the next where the half goes down.
 _HALVES = [h if f"{h:.2f}" == f"{(k + 1) / 100:.2f}" else math.nextafter(h, 2) for k in range(100) for h in [(2 * k + 1) / 200]]
 
@@ -143,9 +168,9 @@ def index_is_complete(index: Column) -> Column:
     return (F.size(places) > 0) & (places == F.sequence(F.lit(0), F.size(places) - 1))
 
 
-def scalar(kind: Column, text: Column) -> Column:
+def scalar(kind: Column, text: Column, units: Column | None = None) -> Column:
     """The scalar of a literal by its type: date, number, ordinal or amount; null for other types."""
-    return F.when(kind == "date", parse_date(text)).when(kind == "number", parse_number_scaled(text)).when(kind == "ordinal", parse_ordinal(text)).when(kind == "amount", parse_amount(text))
+    return F.when(kind == "date", parse_date(text)).when(kind == "number", parse_number_scaled(text)).when(kind == "ordinal", parse_ordinal(text)).when(kind == "amount", parse_amount(text, units))
 
 
 def has_control(text: Column) -> Column:
@@ -155,7 +180,7 @@ def has_control(text: Column) -> Column:
 
 def title_key(text: Column) -> Column:
     """A title's words in lower case without markup and accents: letters of the Latin alphabet and digits, single spaces."""
-    plain = F.regexp_replace(F.regexp_replace(text, r"\$[^$]*\$", " "), r"\\[A-Za-z]+|[{}]", " ")
+    plain = F.regexp_replace(F.regexp_replace(text, r"\$[^$]*\$", " "), r"\\[A-Za-z]+\*?|[{}]", " ")
     return F.trim(F.regexp_replace(F.lower(strip_accents(plain)), "[^0-9a-z]+", " "))
 
 

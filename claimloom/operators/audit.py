@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.functions.unicode import fold_case, nfc
 from claimloom.operators.facts import TRIPLE, engine_facts
 
+#: What a value's fold takes for separators, and which of them matter between digits.
+SEPARATORS, BETWEEN_DIGITS = r"(?U)[\s\-_./·]+", "[-._/]"
+
 
 def value_fold(text: Column) -> Column:
-    """A value without case, thousands commas, white space and separators; separators between digits stay."""
-    plain = F.regexp_replace(F.lower(text), r"(?<=[0-9]),(?=[0-9]{3})", "")
-    return F.regexp_replace(plain, r"(?<![0-9])[\s\-_./·]+|[\s\-_./·]+(?![0-9])", "")
+    """A value in normal form C without case, thousands commas, white space and separators; one separator between digits stays, whichever it is."""
+    plain = F.regexp_replace(nfc(text), rf"(?<=\p{{Nd}}),(?=\p{{Nd}}{{3}}(?!\p{{Nd}}))", "")
+    kept = F.regexp_replace(plain, rf"(?<=\p{{Nd}}){BETWEEN_DIGITS}(?=\p{{Nd}})", "\x00")
+    return fold_case(F.regexp_replace(kept, SEPARATORS, ""))
 
 
 def entity_fold(text: Column) -> Column:
@@ -19,8 +24,8 @@ def entity_fold(text: Column) -> Column:
 
 
 def spelling_groups(claims: DataFrame) -> DataFrame:
-    """(relation, fold, n_spellings, spellings) of values that differ in spelling alone."""
-    values = engine_facts(claims).select("relation", "object", value_fold(F.col("object")).alias("fold")).where("fold <> ''").distinct()
+    """(relation, fold, n_spellings, spellings) of values that differ in spelling alone; relations in normal form C."""
+    values = engine_facts(claims).select(nfc(F.col("relation")).alias("relation"), "object", value_fold(F.col("object")).alias("fold")).where("fold <> ''").distinct()
     return values.groupBy("relation", "fold").agg(F.count("*").alias("n_spellings"), F.array_join(F.array_sort(F.collect_set("object")), "|").alias("spellings")).where("n_spellings > 1")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,14 +59,14 @@ def hierarchy_warnings(claims: DataFrame, declared: DataFrame) -> DataFrame:
     return warned.select("relation", "child", "parent", kind.alias("warning")).where("warning IS NOT NULL")
 
 
-def drop_impact(questions: DataFrame, before: DataFrame, after: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """Questions (question, subject, relation) that engine facts ``before`` answer and those ``after`` do not."""
-    def answered(claims: DataFrame) -> DataFrame:
+def drop_impact(questions: DataFrame, before: DataFrame, after: DataFrame, aliases: DataFrame | None = None, by: Sequence[str] = ("subject", "relation")) -> DataFrame:
+    """Questions (question and the parts ``by``) that engine facts ``before`` answer and those ``after`` do not."""
+    def answers(claims: DataFrame) -> DataFrame:
         rows = engine_facts(claims)
         rows = canonical(rows, aliases) if aliases is not None else rows
-        return questions.join(rows.select("subject", "relation").distinct(), ["subject", "relation"], "left_semi")
+        return rows.select(*by).distinct()
 
-    return answered(before).join(answered(after).select("question"), "question", "left_anti").select("question", "subject", "relation")
+    return questions.join(answers(before), list(by), "left_semi").join(answers(after), list(by), "left_anti").select("question", *by)
 
 
 def lost_relations(kept: DataFrame, dropped: DataFrame, aliases: DataFrame) -> DataFrame:

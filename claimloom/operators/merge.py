@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.functions.scalars import normalize_confidence, source_file
-from claimloom.operators.facts import ENGINE, STATUS_RANK, TOMBSTONE, TRIPLE, clean, first_by
+from claimloom.functions.scalars import canonical_amount, normalize_confidence, source_file
+from claimloom.functions.unicode import nfc
+from claimloom.operators.facts import ENGINE, STATUS_RANK, TOMBSTONE, TRIPLE, clean, first_by, rank
 
 KEY = [*TRIPLE, "file"]
 
 
+def composed(claims: DataFrame) -> DataFrame:
+    """``claims`` as they are kept: subject, relation, object and source in normal form C, amounts with their unit quoted."""
+    parts = {c: nfc(F.col(c)) for c in ("subject", "relation", "source")}
+    return claims.withColumns(parts | {"object": canonical_amount(nfc(F.col("object")))})
+
+
 def keyed(claims: DataFrame) -> DataFrame:
-    return claims.withColumn("file", source_file(F.col("source")))
+    """``claims`` as they are kept, with their source file: rows that agree in ``KEY`` are one claim."""
+    return composed(claims).withColumn("file", source_file(F.col("source")))
 
 
 def normalized(runs: DataFrame, known: DataFrame) -> DataFrame:
@@ -21,11 +29,10 @@ def normalized(runs: DataFrame, known: DataFrame) -> DataFrame:
     rows = rows.where((F.col("subject") != "") & (F.col("relation") != "") & (F.col("object") != "") & (F.col("source") != ""))
     status = F.when(F.col("status").isin(*STATUS_RANK), F.col("status")).otherwise("needs_review")
     rows = keyed(rows.withColumn("status", status).withColumn("confidence", normalize_confidence(F.col("confidence"))))
-    return first_by(rows.join(known, "file", "left_semi"), KEY, ["source", "status", "confidence", "note"])
+    return first_by(rows.join(known.select(nfc(F.col("file")).alias("file")), "file", "left_semi"), KEY, ["source", "status", "confidence", "note"])
 
 
-def rebuild(runs: DataFrame, last: DataFrame, known: DataFrame) -> DataFrame:
-    """The new table. Superseded keys of the last table stay so; its engine status is restored; what it held for review is held."""
+def _rebuilt(runs: DataFrame, last: DataFrame, known: DataFrame) -> DataFrame:
     old = first_by(keyed(last), KEY, ["source", "status"]).select(*KEY, F.col("status").alias("old"))
     new = normalized(runs, known).join(old, KEY, "left")
     status = (
@@ -36,25 +43,69 @@ def rebuild(runs: DataFrame, last: DataFrame, known: DataFrame) -> DataFrame:
     )
     kept = new.withColumn("status", status).drop("old")
     gone = first_by(keyed(last).where(F.col("status") == TOMBSTONE), KEY, ["source"]).join(kept, KEY, "left_anti").select(*kept.columns)
-    return kept.unionByName(gone).drop("file")
+    return kept.unionByName(gone)
+
+
+def rebuild(runs: DataFrame, last: DataFrame, known: DataFrame, allow_loss: bool = True) -> DataFrame:
+    """The new table. Superseded keys of the last table stay so; its engine status is restored; what it held for review is held.
+
+    Without ``allow_loss`` a rebuild that would lose a decided or reviewed claim, or all of them because the runs are
+    empty, is refused (``ValueError``).
+    """
+    table = _rebuilt(runs, last, known).drop("file")
+    if not allow_loss:
+        if runs.isEmpty() and not last.where(F.col("status") != TOMBSTONE).isEmpty():
+            raise ValueError("no rows in the runs: a rebuild would lose every claim")
+        if not (lost := destroyed(table, last)).isEmpty():
+            raise ValueError(f"a rebuild would lose {lost.count()} decided or reviewed claims")
+    return table
 
 
 def destroyed(rebuilt: DataFrame, last: DataFrame) -> DataFrame:
-    """Keys that were decided or under review and are absent from the rebuilt table: a rebuild with any is refused."""
+    """Keys that were decided or under review and are absent from the rebuilt table."""
     return keyed(last).where(F.col("status") != TOMBSTONE).select(*KEY).distinct().join(keyed(rebuilt), KEY, "left_anti")
 
 
+def fold_spellings(claims: DataFrame) -> DataFrame:
+    """One row a claim whose rows differ in Unicode form, amount quoting or anchor: (KEY, n_rows, status, confidence, source, disagree, discarded).
+
+    The row with the best status stays, of equal ones that with the least source, with its own confidence. ``discarded``
+    lists what the others had as status, confidence and number of rows. ``disagree`` tells statuses or confidences that
+    differ. Claims with one row are not listed.
+    """
+    alike = keyed(clean(claims)).groupBy(*KEY, "status", "confidence").agg(F.count("*").alias("n"), F.min("source").alias("source"))
+    own = F.struct(rank(F.col("status")).alias("rank"), "source", "confidence", "status")
+    groups = alike.groupBy(*KEY).agg(F.sum("n").alias("n_rows"), F.min(own).alias("own"), F.array_sort(F.collect_list(F.struct("status", "confidence", "n"))).alias("all"))
+    kept = lambda x: ((x["status"] == F.col("own.status")) & (x["confidence"] == F.col("own.confidence"))).cast("int")
+    rest = F.filter(F.transform("all", lambda x: F.struct(x["status"].alias("status"), x["confidence"].alias("confidence"), (x["n"] - kept(x)).alias("n"))), lambda x: x["n"] > 0)
+    shown = F.array_join(F.transform(rest, lambda x: F.concat_ws(" ", x["status"], x["confidence"], x["n"].cast("string"))), ",")
+    return groups.where("n_rows > 1").select(*KEY, "n_rows", "own.status", "own.confidence", "own.source", (F.size("all") > 1).alias("disagree"), shown.alias("discarded"))
+
+
 def reconciliation(table: DataFrame, runs: DataFrame) -> DataFrame:
-    """How the table's status of each key stands to the runs': (key, table_status, run_status, class)."""
-    side = lambda df, name: first_by(keyed(df), KEY, ["source", "status"]).select(*KEY, F.col("status").alias(name))
-    both = side(table, "table_status").join(side(runs, "run_status"), KEY, "full_outer")
-    decided = lambda c: F.col(c).isin(*ENGINE, TOMBSTONE)
+    """How the table's status of each key stands to the runs': (key, table_status, run_status, class).
+
+    A key of the table is ``ambiguous-table`` where its rows do not say one thing: several decisions, decided and
+    pending rows together, or differing pending ones; ``status-unrecognised`` where one is no known status. Statuses of
+    several rows are joined by commas.
+    """
+    decided_by = lambda c: c.isin(*ENGINE, TOMBSTONE)
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        status, any_of = F.col("status"), lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+        return keyed(df).groupBy(*KEY).agg(
+            F.array_join(F.array_sort(F.collect_set("status")), ",").alias(f"{name}_status"), (F.countDistinct("status") > 1).alias(f"{name}_many"),
+            any_of(~status.isin(*STATUS_RANK)).alias(f"{name}_odd"))
+
+    both = side(table, "table").join(side(runs, "run"), KEY, "full_outer")
+    mine, theirs = F.col("table_status"), F.col("run_status")
     kind = (
-        F.when(F.col("table_status").isNull(), "run-only").when(F.col("run_status").isNull(), "table-only")
-        .when(F.col("table_status") == F.col("run_status"), "same")
-        .when(decided("table_status") & ~decided("run_status"), "repair")
-        .when((F.col("table_status") == TOMBSTONE) & F.col("run_status").isin(*ENGINE), "repair")
-        .when(decided("table_status") & decided("run_status"), "both-decided")
-        .when(decided("run_status"), "table-pending-run-decided").otherwise("both-pending")
+        F.when(mine.isNull(), "run-only").when(F.col("table_odd"), "status-unrecognised").when(F.col("table_many"), "ambiguous-table")
+        .when(theirs.isNull(), "table-only").when(F.col("run_many") | F.col("run_odd"), "runs-disagree")
+        .when(mine == theirs, "same")
+        .when(decided_by(mine) & ~decided_by(theirs), "repair")
+        .when((mine == TOMBSTONE) & theirs.isin(*ENGINE), "repair")
+        .when(decided_by(mine) & decided_by(theirs), "both-decided")
+        .when(decided_by(theirs), "table-pending-run-decided").otherwise("both-pending")
     )
-    return both.withColumn("class", kind)
+    return both.select(*KEY, "table_status", "run_status", kind.alias("class"))

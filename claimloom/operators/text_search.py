@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.functions.unicode import fold_case, nfc
+
 
 def hits(text: Column, word: str) -> Column:
     """How often a word stands in a text between other characters than ASCII letters and digits, whatever the case."""
@@ -23,8 +26,9 @@ def ranked(docs: DataFrame, words: Sequence[str], limit: int = 10, id_col: str =
 
 
 def nearest(vocabulary: DataFrame, word: str, limit: int = 3) -> DataFrame:
-    """Did you mean: names within an edit distance of a third of the word's length (1 to 3)."""
-    most = min(3, max(1, len(word) // 3))
-    distance = F.levenshtein(F.lower("name"), F.lit(word.lower()), most)
-    near = vocabulary.where(F.lower("name") != word.lower()).withColumn("distance", distance.cast("long")).where((F.col("distance") >= 0) & (F.col("distance") <= most))
-    return near.orderBy("distance", F.lower("name"), "name").limit(limit)
+    """Did you mean: names within an edit distance of a third of the word's length (1 to 3), in normal form C and without case."""
+    asked = unicodedata.normalize("NFC", word).casefold()
+    most = min(3, max(1, len(asked) // 3))
+    names = vocabulary.withColumn("_plain", fold_case(nfc(F.col("name"))))
+    near = names.where(F.col("_plain") != asked).withColumn("distance", F.levenshtein("_plain", F.lit(asked), most).cast("long")).where((F.col("distance") >= 0) & (F.col("distance") <= most))
+    return near.orderBy("distance", "_plain", "name").limit(limit).drop("_plain")

@@ -117,12 +117,16 @@ def G7_hierarchy_warnings(spark, sf_dir):
     return gates.hierarchy_warnings(facts(spark, sf_dir), declared)
 
 
-@query(f"""WITH {ENGINE_SQL}, {WITHDRAWN}, {ALIASES}, q AS (SELECT DISTINCT p_partkey AS question, 'part:' || p_partkey AS subject, CASE WHEN p_size < 25 THEN 'sold_as' ELSE 'has_size' END AS relation FROM part)
-  SELECT question, subject, relation FROM q WHERE (subject, relation) IN (SELECT (subject, relation) FROM engine) AND (subject, relation) NOT IN (SELECT (subject, relation) FROM engine WHERE {FILE} NOT IN (SELECT file FROM withdrawn))""")
+@query(f"""WITH {ENGINE_SQL}, {WITHDRAWN}, q AS (SELECT DISTINCT l_suppkey AS question, 'part:' || l_partkey AS subject, l_returnflag || l_linestatus AS object FROM lineitem WHERE l_shipdate IS NOT NULL),
+  was AS (SELECT DISTINCT subject, object FROM engine WHERE relation = 'sold_as'),
+  now AS (SELECT DISTINCT e.subject, e.object FROM engine e ANTI JOIN withdrawn w ON split_part(e.source, '#', 1) = w.file WHERE relation = 'sold_as')
+  SELECT question, q.subject, q.object FROM q SEMI JOIN was USING (subject, object) ANTI JOIN now USING (subject, object)""")
 def G9_drop_impact(spark, sf_dir):
+    """Questions whether a part was sold in a state; withdrawing suppliers' files leaves some without an answer."""
     rows = facts(spark, sf_dir)
-    questions = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("question"), F.concat(F.lit("part:"), "p_partkey").alias("subject"), F.when(F.col("p_size") < 25, "sold_as").otherwise("has_size").alias("relation"))
-    return gates.drop_impact(questions, rows, mutations.eject(rows, _withdrawn(spark, sf_dir), purge=True), _aliases(spark))
+    sold = table(spark, sf_dir, "lineitem").where("l_shipdate IS NOT NULL").select(F.col("l_suppkey").alias("question"), F.concat(F.lit("part:"), "l_partkey").alias("subject"), F.concat("l_returnflag", "l_linestatus").alias("object")).distinct()
+    asked = sold.withColumn("relation", F.lit("sold_as"))
+    return gates.drop_impact(asked, rows, mutations.eject(rows, _withdrawn(spark, sf_dir), purge=True), by=K.TRIPLE).drop("relation")
 
 
 @query("""SELECT l_suppkey AS id, 'duplicate' AS fault FROM lineitem GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT DISTINCT l_suppkey, 'value' FROM lineitem WHERE l_returnflag NOT IN ('A','N') OR l_returnflag IS NULL""")

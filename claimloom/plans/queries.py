@@ -366,10 +366,19 @@ def X62_parse_number(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", S.parse_number_scaled(F.col("o_totalprice").cast("decimal(18,2)").cast("string")).alias("scaled"))
 
 
-@query("SELECT p_partkey, CAST(p_size AS BIGINT) AS rank, CAST(p_size AS BIGINT) * 100000000 AS amount FROM part")
+#: Ordinals by the part's key: all counters and spellings, some that are none.
+_FORMS = ["%호", "제%위", "%번", "% 차", "%등", "제% 째", "%st", "%ND", "% rd", "%Th", "ordinal(%)", "Ordinal( % )", "%회", "제%", "%억", "x%th", "", "%. 호"]
+_RANKS = 12  # the first so many forms are ordinals
+_AMOUNTS = ["%원", "% 천", "%만원", "%억", "%조", 'amount(%,"억")', "Amount( %, 만 )", "%k", "제%호", "%  억", "amount(%)", "%,5억"]
+
+
+@query(f"""WITH p AS (SELECT p_partkey, p_size, p_partkey % {len(_FORMS)} AS f, p_partkey % {len(_AMOUNTS)} AS a FROM part)
+  SELECT p_partkey, CASE WHEN f < {_RANKS} THEN CAST(p_size AS BIGINT) END AS rank,
+  CAST(CASE a WHEN 0 THEN p_size WHEN 1 THEN p_size * 1000 WHEN 2 THEN p_size * 10000 WHEN 3 THEN p_size * 100000000::BIGINT WHEN 4 THEN p_size * 1000000000000::BIGINT WHEN 5 THEN p_size * 100000000::BIGINT WHEN 6 THEN p_size * 10000
+    WHEN 9 THEN p_size * 100000000::BIGINT WHEN 11 THEN CAST(p_size || '5' AS BIGINT) * 100000000::BIGINT END AS BIGINT) AS amount FROM p""")
 def X64_ordinals_and_amounts(spark, sf_dir):
-    size = F.col("p_size").cast("string")
-    return table(spark, sf_dir, "part").select("p_partkey", S.parse_ordinal(F.concat(size, F.lit("th"))).alias("rank"), S.parse_amount(F.concat(size, F.lit("억원"))).alias("amount"))
+    form = lambda forms: F.replace(F.element_at(F.array(*[F.lit(x) for x in forms]), (F.col("p_partkey") % len(forms) + 1).cast("int")), F.lit("%"), F.col("p_size").cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", S.parse_ordinal(form(_FORMS)).alias("rank"), S.parse_amount(form(_AMOUNTS)).alias("amount"))
 
 
 #: Texts of thousandths from -0.100 to 1.199, with ties, gaps and what is no number.
@@ -450,15 +459,24 @@ def J14_destroyed_decisions(spark, sf_dir):
     return merge.destroyed(merge.rebuild(rows, last, _known(spark, sf_dir, rows)), last)
 
 
-@query(f"""WITH {MERGE}, t AS (SELECT subject, relation, object, file, status FROM last), r AS (SELECT subject, relation, object, file, status FROM (SELECT *, row_number() OVER (PARTITION BY subject, relation, object, file ORDER BY source, status) AS m FROM runs) WHERE m = 1)
-  SELECT subject, relation, object, file, CASE WHEN t.status IS NULL THEN 'run-only' WHEN r.status IS NULL THEN 'table-only' WHEN t.status = r.status THEN 'same'
-    WHEN t.status IN ('confirmed','accepted','superseded') AND r.status NOT IN ('confirmed','accepted','superseded') THEN 'repair' WHEN t.status = 'superseded' AND r.status IN ('confirmed','accepted') THEN 'repair'
-    WHEN t.status IN ('confirmed','accepted','superseded') AND r.status IN ('confirmed','accepted','superseded') THEN 'both-decided' WHEN r.status IN ('confirmed','accepted','superseded') THEN 'table-pending-run-decided' ELSE 'both-pending' END AS class
+#: A table with several rows a key, decided otherwise than the runs, and with a status that is none.
+RULED = f"ruled AS (SELECT * EXCLUDE (status), CASE right(confidence, 1) WHEN '0' THEN 'superseded' WHEN '1' THEN 'confirmed' WHEN '2' THEN 'needs_review' WHEN '3' THEN 'weird' ELSE status END AS status, {FILE} AS file FROM facts WHERE confidence >= '0.30')"
+DECIDED = "('confirmed','accepted','superseded')"
+
+
+@query(f"""WITH {FACTS}, {KNOWN}, {RULED},
+  t AS (SELECT subject, relation, object, file, string_agg(DISTINCT status, ',' ORDER BY status) AS status, count(DISTINCT status) > 1 AS many, bool_or(status = 'weird') AS odd FROM ruled GROUP BY ALL),
+  r AS (SELECT subject, relation, object, {FILE} AS file, string_agg(DISTINCT status, ',' ORDER BY status) AS status, count(DISTINCT status) > 1 AS many FROM facts WHERE {FILE} IN (SELECT file FROM known) GROUP BY subject, relation, object, {FILE})
+  SELECT subject, relation, object, file, CASE WHEN t.status IS NULL THEN 'run-only' WHEN t.odd THEN 'status-unrecognised' WHEN t.many THEN 'ambiguous-table' WHEN r.status IS NULL THEN 'table-only' WHEN r.many THEN 'runs-disagree' WHEN t.status = r.status THEN 'same'
+    WHEN t.status IN {DECIDED} AND r.status NOT IN {DECIDED} THEN 'repair' WHEN t.status = 'superseded' AND r.status IN ('confirmed','accepted') THEN 'repair'
+    WHEN t.status IN {DECIDED} AND r.status IN {DECIDED} THEN 'both-decided' WHEN r.status IN {DECIDED} THEN 'table-pending-run-decided' ELSE 'both-pending' END AS class
   FROM t FULL JOIN r USING (subject, relation, object, file)""")
 def J15_reconciliation(spark, sf_dir):
     rows = stored(facts(spark, sf_dir), "facts")
     runs = merge.keyed(rows).join(_known(spark, sf_dir, rows), "file", "left_semi").drop("file")
-    return merge.reconciliation(_last(rows), runs).select(*merge.KEY, "class")
+    digit = F.right("confidence", F.lit(1))
+    ruled = rows.where("confidence >= '0.30'").withColumn("status", F.when(digit == "0", "superseded").when(digit == "1", "confirmed").when(digit == "2", "needs_review").when(digit == "3", "weird").otherwise(F.col("status")))
+    return merge.reconciliation(ruled, runs).select(*merge.KEY, "class")
 
 
 @query(r"""WITH v AS (SELECT DISTINCT 'has_segment' AS relation, CASE WHEN c_acctbal < 0 THEN lower(c_mktsegment) WHEN c_acctbal < 500 THEN substr(c_mktsegment, 1, 4) || '-' || substr(c_mktsegment, 5) ELSE c_mktsegment END AS object FROM customer UNION SELECT 'has_brand', CASE WHEN p_size < 10 THEN replace(p_brand, '#', '# ') ELSE p_brand END FROM part)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import scalars as S
 from claimloom.operators import audit, conflicts, facts as K, graph, merge, records
-from claimloom.plans import changes as _changes, queries as _  # noqa: F401
+from claimloom.plans import changes as _changes, queries as _, spellings as _spellings  # noqa: F401
 from claimloom.plans.registry import QUERIES, SQL
 from claimloom.sources import tables
 from claimloom.streaming import incremental
