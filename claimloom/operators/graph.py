@@ -33,7 +33,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, most_rounds: int = 1000) -> Da
 
     A seed is reached only through a cycle, with the length of the shortest one.
     """
-    edges = edges.select("u", "v").distinct()
+    edges = stored(edges.select("u", "v").distinct(), "edges")
     front = seeds.select("v").distinct()
     known = None
     for hops in range(1, most_rounds + 1):
@@ -47,18 +47,119 @@ def reachable(edges: DataFrame, seeds: DataFrame, most_rounds: int = 1000) -> Da
     return known if known is not None else seeds.select("v", F.lit(0).alias("hops")).where("false")
 
 
+def breadth_first(edges: DataFrame, seeds: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """(start, v, hops, parent) of what each of ``seeds`` (v) reaches: all starts at once, the least parent of the shortest routes.
+
+    A start reaches itself only through a cycle.
+    """
+    edges = stored(edges.select("u", "v").distinct(), "edges")
+    front = seeds.select(F.col("v").alias("start"), "v").distinct()
+    known = None
+    for hops in range(1, most_rounds + 1):
+        found = front.select("start", F.col("v").alias("u")).join(edges, "u").groupBy("start", "v").agg(F.min("u").alias("parent"))
+        if known is not None:
+            found = found.join(known, ["start", "v"], "left_anti")
+        front = stored(found.select("start", "v", F.lit(hops).alias("hops"), "parent"), "front")
+        if front.isEmpty():
+            return known if known is not None else front
+        known = front if known is None else known.unionByName(front)
+        if hops % 8 == 0:  # keep the union short
+            known = stored(known, "reached")
+    raise RuntimeError(f"routes of more than {most_rounds} hops")
+
+
+def steps(reached: DataFrame) -> DataFrame:
+    """(start, v, step, node) of all routes in ``reached`` (of ``breadth_first``), ``step`` from 0 at the start.
+
+    Pointer jumping: the ancestors 1, 2, 4 ... hops back are joined once each, so a route of n steps takes log2(n) joins.
+    """
+    longest = reached.agg(F.max("hops")).first()[0] or 0
+    back = stored(reached.where("hops > 1").select("start", "v", F.col("parent").alias("to")), "back")
+    at = reached.select("start", "v", F.explode(F.sequence(F.lit(0), F.col("hops") - 1)).alias("left"), "hops").withColumn("node", F.col("v"))
+    k = 0
+    while 2**k < max(longest, 1):
+        jump = back.select("start", F.col("v").alias("node"), "to")
+        moves = F.shiftright("left", k) % 2 == 1
+        at = at.join(jump, ["start", "node"], "left").withColumn("node", F.when(moves, F.col("to")).otherwise(F.col("node"))).drop("to")
+        back = stored(back.join(back.select("start", F.col("v").alias("to"), F.col("to").alias("far")), ["start", "to"]).select("start", "v", F.col("far").alias("to")), "back")
+        k += 1
+    first = reached.select("start", "v", F.lit(0).alias("step"), F.col("start").alias("node"))
+    return at.select("start", "v", (F.col("hops") - F.col("left")).alias("step"), "node").unionByName(first)
+
+
 def route(edges: DataFrame, start: str, target: str, most_rounds: int = 1000) -> DataFrame:
     """(step, node) of one shortest route from ``start`` to ``target``; of equal ones the smallest parent each time."""
+    seed = edges.sparkSession.createDataFrame([(start,)], "v string")
+    return steps(breadth_first(edges, seed, most_rounds)).where(F.col("v") == target).select("step", "node")
+
+
+def first_route(edges: DataFrame) -> DataFrame:
+    """(start, v, step, node) of the route from the least node that has edges to the least one it reaches."""
+    reached = breadth_first(edges, edges.agg(F.min("u").alias("v")).where("v IS NOT NULL"))
+    return steps(reached).join(reached.groupBy("start").agg(F.min("v").alias("v")), ["start", "v"], "left_semi")
+
+
+def paths(edges: DataFrame, start: str | None = None, target: str | None = None, same: bool = False) -> DataFrame:
+    """(u, v) of the closure where u is ``start`` and v is ``target``, if given; ``same`` holds them equal. A given end is walked from, not the closure filtered."""
     spark = edges.sparkSession
-    levels = reachable(edges, spark.createDataFrame([(start,)], "v string"), most_rounds)
-    goal = levels.where(F.col("v") == target).first()
-    if not goal:
-        return spark.createDataFrame([], "step int, node string")
-    back = [target]
-    for hops in range(goal["hops"] - 1, 0, -1):  # one lookup a step of the route, never the frontier itself
-        parents = edges.where(F.col("v") == back[-1]).select(F.col("u").alias("v")).join(levels.where(F.col("hops") == hops), "v")
-        back.append(parents.agg(F.min("v")).first()[0])
-    return spark.createDataFrame(list(enumerate([start, *reversed(back)])), "step int, node string")
+    if same and (start or target):
+        start = target = start or target
+    if start is not None:
+        found = reachable(edges, spark.createDataFrame([(start,)], "v string")).select(F.lit(start).alias("u"), "v")
+        return found if target is None else found.where(F.col("v") == target)
+    if target is not None:
+        reverse = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        return reachable(reverse, spark.createDataFrame([(target,)], "v string")).select(F.col("v").alias("u"), F.lit(target).alias("v"))
+    whole = closure(edges)
+    return whole.where("u = v") if same else whole
+
+
+def _through(known: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs that a walk through one of ``links`` connects: what reaches its start, itself included, to what its end reaches."""
+    before = links.join(known.select(F.col("u").alias("a"), F.col("v").alias("u")), "u").select("a", "v").unionByName(links.select(F.col("u").alias("a"), "v"))
+    after = before.join(known.select(F.col("u").alias("v"), F.col("v").alias("d")), "v").select("a", "d")
+    return before.select("a", F.col("v").alias("d")).unionByName(after).distinct().select(F.col("a").alias("u"), F.col("d").alias("v"))
+
+
+def closure_with(known: DataFrame, added: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """The closure ``known`` once the edges ``added`` (u, v) have come: only pairs that a new edge makes are worked out."""
+    added = stored(added.select("u", "v").distinct().join(known, ["u", "v"], "left_anti"), "added")
+    onward = stored(_through_end(known, added), "onward")  # a new edge and all beyond it
+    new = stored(_through(known, added).join(known, ["u", "v"], "left_anti"), "closure-new")
+    for _ in range(most_rounds):
+        if new.isEmpty():
+            return known
+        known = stored(known.unionByName(new), "closure-known")
+        more = new.withColumnRenamed("v", "w").join(onward.withColumnRenamed("u", "w"), "w").select("u", "v").distinct()
+        new = stored(more.join(known, ["u", "v"], "left_anti"), "closure-new")
+    raise RuntimeError(f"no fixpoint in {most_rounds} rounds")
+
+
+def _through_end(known: DataFrame, links: DataFrame) -> DataFrame:
+    beyond = links.join(known.select(F.col("u").alias("v"), F.col("v").alias("d")), "v").select("u", F.col("d").alias("v"))
+    return links.unionByName(beyond).distinct()
+
+
+def closure_without(known: DataFrame, edges: DataFrame, removed: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """The closure ``known`` once ``removed`` (u, v) have gone and ``edges`` are left: delete and rederive.
+
+    Every pair that some walk through a removed edge connects is taken out; those that the rest still connects come
+    back, round by round from what stayed. The other pairs are never looked at.
+    """
+    edges = stored(edges.select("u", "v").distinct(), "edges")
+    doubted = stored(_through(known, removed.select("u", "v").distinct()).join(known, ["u", "v"], "left_semi"), "doubted")
+    kept = stored(known.join(doubted, ["u", "v"], "left_anti"), "closure-known")
+    first = edges.select(F.col("u"), F.col("v").alias("w"))
+    direct = doubted.join(edges, ["u", "v"], "left_semi")
+    over_kept = doubted.join(first, "u").join(kept.select(F.col("u").alias("w"), "v"), ["w", "v"], "left_semi").select("u", "v")
+    back = stored(direct.unionByName(over_kept).distinct(), "closure-back")
+    for _ in range(most_rounds):
+        if back.isEmpty():
+            return kept
+        kept = stored(kept.unionByName(back), "closure-known")
+        left = doubted.join(kept, ["u", "v"], "left_anti")
+        back = stored(back.select(F.col("u").alias("w"), "v").join(first, "w").select("u", "v").distinct().join(left, ["u", "v"], "left_semi"), "closure-back")
+    raise RuntimeError(f"no fixpoint in {most_rounds} rounds")
 
 
 def closed_hierarchy(pairs: DataFrame) -> DataFrame:
