@@ -83,15 +83,15 @@ def ST1_maintained_closure(spark, sf_dir):
 
 
 @query("""WITH log AS (SELECT user_id, max(ts) FILTER (event_id % 97 <> 0) AS last FROM events GROUP BY 1), now AS (SELECT max(ts) AS t FROM events)
-  SELECT CAST(user_id AS VARCHAR) AS id, epoch_ms(last) AS last_ms FROM log, now WHERE last IS NULL OR epoch_ms(last) + 172800000 <= epoch_ms(t)""")
+  SELECT CAST(user_id AS VARCHAR) AS id, epoch_us(last) AS last_us FROM log, now WHERE last IS NULL OR epoch_ms(last) + 21600000 <= epoch_ms(t)""")
 def ST2_due_by_timers(spark, sf_dir):
-    """Users of the event log whose last check is two days old at its end; some entries are torn."""
+    """Users of the event log whose last check is six hours old at its end; some entries are torn."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", freshness.PROVIDER)
     at = f"{shared_dir(spark)}/freshness-{uuid.uuid4().hex}"
     log = table(spark, sf_dir, "events").select("user_id", F.when(F.col("event_id") % 97 == 0, F.lit("torn")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).alias("checked_at"), F.col("ts").cast("timestamp").alias("ts"))
     log.repartitionByRange(4, "ts").write.parquet(f"{at}/in")
     stream = spark.readStream.schema(log.schema).parquet(f"{at}/in")
-    found = freshness.due(stream, 2, "user_id", time_col="ts")
+    found = freshness.due(stream, 0.25, "user_id", time_col="ts")
     found.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     events = spark.read.schema(found.schema).parquet(f"{at}/out")
-    return events.groupBy("id").agg(F.unix_millis(F.max("last")).alias("last_ms"))
+    return events.groupBy("id").agg(F.unix_micros(F.max("last")).alias("last_us"))
