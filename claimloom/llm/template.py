@@ -48,8 +48,9 @@ SHORT, TEMPLATE_SHARE = 8, 0.6
 HELD, BROADCAST, SALTED = 150_000, 64 << 20, 5_000
 
 #: Names of HTML elements, and words in class or id that name what is no article.
-RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "xmp", "noframes")
-FOREIGN = frozenset({"svg", "math"})
+RAW = ("script", "style", "textarea", "title", "iframe", "xmp", "noframes")
+#: Left out with what they hold, where their end tag is the next tag of that name.
+INSTEAD = ("noscript", "template", "object", "svg", "math")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 DROPPED = frozenset("nav footer aside form button select menu dialog head search fieldset audio video canvas".split())
@@ -60,11 +61,15 @@ ARTICLE_WORDS = frozenset("article articlebody post postbody entry story storybo
 LAYOUT, SET_ASIDE = frozenset("has with no without is js".split()), frozenset("wrapper container inner outer box block".split())
 CONTAINERS = frozenset("article main div td th body".split())
 _BARRIERS = frozenset("ul ol table div section article body".split())
+#: What a start tag closes, by the element that is open.
 CLOSED_BY = {"p": BLOCK - {"body", "html"}, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "option": frozenset({"option", "optgroup"})}
 
+CLOSES = {name: tuple(sorted(o for o, by in CLOSED_BY.items() if name in by)) for name in sorted(BLOCK)}
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _END_OF = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW}
+_NEXT_OF = {name: re.compile(rf"<(/?){name}(?=[\s/>])", re.I) for name in INSTEAD}
 _WORDS, _LABELS = re.compile(r"[a-z]+"), re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -90,11 +95,12 @@ def _token(path: int, text: str) -> int:
 class _Tag:
     """What a start or end tag means, worked out once for each spelling."""
 
-    __slots__ = ("aside", "block", "closing", "header", "heading", "marks", "name", "named", "proper", "raw", "void")
+    __slots__ = ("aside", "block", "closing", "header", "heading", "marks", "name", "named", "next_of", "proper", "raw", "void")
 
     def __init__(self, closing: str, name: str, rest: str):
         self.name = name = name.lower()
         self.closing, self.block, self.void, self.raw = bool(closing), name in BLOCK, name in VOID, name in RAW
+        self.next_of = None if closing else _NEXT_OF.get(name)
         self.heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
         own = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)} if rest and not closing else {}
         labels = [set(_WORDS.findall(x)) - SET_ASIDE if (x := _CAMEL.sub("-", y).lower()).partition("-")[0] not in LAYOUT else set() for y in f"{own.get('class', '')} {own.get('id', '')}".split()]
@@ -154,29 +160,49 @@ def blocks(page: str, ranks: dict[int, int] | None = None) -> tuple[list[Block],
     tags: list[tuple[int, int]] = []
     # open elements: name, path, dropped, article, inside a header, container, rank
     stack: list[tuple[str, int, bool, int, bool, int, int]] = [("", 0, False, 0, False, 0, _NO_RANK)]
+    open_at: dict[str, list[int]] = {}  # places of open elements in the stack, by name
     held: list[str] = []
+    aside: list[str] = []  # what stands in elements within the block that are left out
+    endless: set[str] = set()  # elements of which no further tag comes
     linked = links = proper = named = at = place = 0
     heading = False
 
+    def put(words: list[str], dropped: bool, links_in: int) -> None:
+        nonlocal place
+        _, path, _, article, _, container, rank = stack[-1]
+        out.append(Block(words, path, dropped, article, links_in, container, rank, place))
+        place += len(words) if len(words) <= SHORT else 1
+
     def flush() -> None:
-        nonlocal linked, place
-        text = "".join(held)
-        held.clear()
-        words = (entities.unescape(text) if "&" in text else text).split()
-        if words:
-            _, path, dropped, article, header, container, rank = stack[-1]
-            out.append(Block(words, path, dropped or (header and not heading), article, linked, container, rank, place))
-            place += len(words) if len(words) <= SHORT else 1
+        nonlocal linked
+        for texts, dropped in ((held, False), (aside, True)):
+            text = "".join(texts)
+            texts.clear()
+            if words := (entities.unescape(text) if "&" in text else text).split():
+                put(words, dropped or (stack[-1][4] and not heading), 0 if dropped else linked)
         linked = 0
 
+    def close(depth: int) -> None:
+        nonlocal links
+        for name, *_ in stack[depth:]:
+            open_at[name].pop()
+            links -= name == "a"
+        del stack[depth:]
+
+    def last(names) -> int:
+        return max((open_at[x][-1] for x in names if open_at.get(x)), default=0)
+
     size = len(page)
     while at < size:
         m = _TAG.search(page, at)
         end = m.start() if m else size
         if end > at:
-            held.append(page[at:end])
-            if links:
-                linked += end - at
+            if stack[-1][2]:
+                aside.append(page[at:end])
+            else:
+                held.append(page[at:end])
+                if links:
+                    linked += end - at
         if not m:
             break
         at = m.end()
@@ -186,45 +212,43 @@ def blocks(page: str, ranks: dict[int, int] | None = None) -> tuple[list[Block],
         name = tag.name
         if tag.closing:
             if tag.block:
-                if held:
+                if held or aside:
                     flush()
                 heading = False
-            depth = len(stack) - 1
-            while depth and stack[depth][0] != name:
-                depth -= 1
-            if depth:
-                if links:
-                    links -= sum(x[0] == "a" for x in stack[depth:])
-                del stack[depth:]
+            if depth := last((name,)):
+                close(depth)
             continue
         if tag.raw:
-            if name in FOREIGN and m[3].endswith("/"):  # closed by itself, so there is no end to look for
-                held.append(" ")
-                continue
-            found = _END_OF[name].search(page, at)
+            found = None if name in endless else _END_OF[name].search(page, at)
             at = found.end() if found else size
             held.append(" ")
             continue
         if name == "br":
-            held.append(" ")
+            (aside if stack[-1][2] else held).append(" ")
             continue
+        instead = False
+        if tag.next_of:
+            if m[3].endswith("/") or name in endless:
+                held.append(" ")
+                continue
+            after = tag.next_of.search(page, at)
+            if not after:
+                endless.add(name)
+            if not after or not after[1]:  # nothing ends it
+                held.append(" ")
+                continue
+            instead = True
+            held.append(" ")
         if tag.block:
-            if held:
+            if held or aside:
                 flush()
             heading = tag.heading
-            for depth in range(len(stack) - 1, 0, -1):
-                other = stack[depth][0]
-                if name in CLOSED_BY.get(other, ()):
-                    if links:
-                        links -= sum(x[0] == "a" for x in stack[depth:])
-                    del stack[depth:]
-                    break
-                if other != name and other in _BARRIERS:
-                    break
+            if (depth := last(CLOSES[name])) and depth > last(_BARRIERS - {name, stack[depth][0]}):
+                close(depth)
         if tag.void:
             continue
         _, path, dropped, article, header, container, rank = stack[-1]
-        dropped = dropped or tag.aside or (name == "header" and not article)
+        dropped = dropped or instead or tag.aside or (name == "header" and not article)
         if tag.proper:
             proper += 2
             article = article if article % 2 else proper - 1
@@ -240,8 +264,9 @@ def blocks(page: str, ranks: dict[int, int] | None = None) -> tuple[list[Block],
         if name in CONTAINERS:
             container = path
             rank = min(rank, ranks.get(path, _NO_RANK))
+        open_at.setdefault(name, []).append(len(stack))
         stack.append((name, path, dropped, article, header or tag.header, container, rank))
-    if held:
+    if held or aside:
         flush()
     return out, tags
 
@@ -458,14 +483,15 @@ def _with_host(pages: DataFrame, hosts: DataFrame, column: str) -> DataFrame:
     if size <= BROADCAST:
         return pages.join(F.broadcast(hosts.drop("host_pages")), pages["_host"] == hosts["host"], "left").drop("host")
     parts = F.ceil(F.col("host_pages") / SALTED).cast("int")
-    counts = pages.groupBy("_host").agg(F.count("*").alias("n_host"))
-    salted = pages.join(counts, "_host").withColumn("_salt", F.floor(F.rand(7) * F.ceil(F.col("n_host") / SALTED)).cast("int")).drop("n_host")
+    large = materialize(hosts.where(F.col("host_pages") > SALTED).select(F.col("host").alias("_large"), parts.alias("_parts")), "large-hosts")
+    salt = F.pmod(F.xxhash64(*pages.columns), F.coalesce("_parts", F.lit(1))).cast("int")  # of what the row holds: a task that runs again salts alike
+    salted = pages.join(large, pages["_host"] == large["_large"], "left").withColumn("_salt", salt).drop("_large", "_parts")
     spread = hosts.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("host_pages").withColumnRenamed("host", "_host")
     return salted.join(spread, ["_host", "_salt"], "left").drop("_salt")
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, host_pages, template) from ``pages`` (_host, _html): the valid classes and the containers' masses of each host."""
+    """(host, host_pages, template) from ``pages`` (_host, _html, and what tells rows apart): the valid classes and the containers' masses of each host."""
     hosts = pages.groupBy(F.col("_host").alias("host")).agg(F.count("*").alias("host_pages")).where(F.col("host_pages") >= LEAST_PAGES)
     vectors = pages.select("_host", "_html").mapInArrow(_vectors, "host string, token long, low long, high long, pages long, total long")
     sums = vectors.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("low", "high", "pages", "total")]).where(F.col("pages") >= LEAST_PAGES)
@@ -478,7 +504,7 @@ def templates(pages: DataFrame) -> DataFrame:
     listed = classes.groupBy("host", "host_pages").agg(F.sort_array(F.collect_list(F.struct("tokens", (F.col("total") > F.col("pages")).alias("repeats")))).alias("all"))
     flat = F.flatten(F.transform("all", lambda c, k: F.transform(c["tokens"], lambda t: F.struct(k.alias("number"), t.alias("token"), c["repeats"].alias("repeats")))))
     numbered = materialize(listed.select("host", "host_pages", flat.alias("template")), "classes")
-    seen = _with_host(pages.select("_host", "_html"), numbered, "template").mapInArrow(_validated, "host string, kind int, at long, low long, high long, valid boolean, words long")
+    seen = _with_host(pages, numbered, "template").select("_host", "_html", "template").mapInArrow(_validated, "host string, kind int, at long, low long, high long, valid boolean, words long")
     folded = seen.groupBy("host", "kind", "at").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.bool_and("valid").alias("valid"), F.sum("words").alias("words"))
     is_class = F.col("kind") == CLASS
     judged = folded.groupBy("host").agg(
@@ -492,7 +518,7 @@ def templates(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text) of every page."""
     rows = lean(pages).select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), host_of(F.col(url_col)).alias("_host"), F.col(html_col).cast("string").alias("_html"))
-    joined = _with_host(rows, templates(rows.select("_host", "_html")), "template").select("_id", "_url", "_host", "_html", "template")
+    joined = _with_host(rows, templates(rows.select("_id", "_host", "_html")), "template").select("_id", "_url", "_host", "_html", "template")
 
     def work(batches):
         template = _ByHost(Template)
