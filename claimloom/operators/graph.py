@@ -162,6 +162,25 @@ def closure_without(known: DataFrame, edges: DataFrame, removed: DataFrame, most
     raise RuntimeError(f"no fixpoint in {most_rounds} rounds")
 
 
+def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+    """(node, label): what undirected ``edges`` (u, v) connect has one label, its least node.
+
+    A round lowers each node's label to its neighbours' least and then to that one's own label, so that labels travel
+    twice as far each time. A node with very many neighbours is added up before it is shuffled; joins have a row a node
+    on one side.
+    """
+    both = stored(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
+    label = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.min("u")).alias("label")), "labels")
+    for _ in range(most_rounds):
+        near = both.join(label.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
+        lower = stored(label.join(near, "node").select("node", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("moved")), "labels")
+        if not lower.where("moved").limit(1).count():
+            return label
+        jump = lower.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        label = stored(lower.join(jump, "label", "left").select("node", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")
+    raise RuntimeError(f"no fixpoint in {most_rounds} rounds")
+
+
 def closed_hierarchy(pairs: DataFrame) -> DataFrame:
     """(relation, child, ancestor): closure of child under parent in each relation, without values on a cycle."""
     key = lambda c: F.to_json(F.struct(F.col("relation").alias("r"), F.col(c).alias("v")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions.scalars import jaccard, tokens
+from claimloom.functions.storage import stored
 
 
 def resolve_exact(new: DataFrame, known: DataFrame, ids: tuple[str, ...] = ("doi", "pmid", "arxiv")) -> DataFrame:
@@ -22,13 +23,16 @@ def resolve_exact(new: DataFrame, known: DataFrame, ids: tuple[str, ...] = ("doi
 def fuzzy_pairs(left: DataFrame, right: DataFrame, similarity: float = 0.8, years: int = 1) -> DataFrame:
     """Best candidate of each left row (id, title, surname, year): equal surname, near year, title words alike.
 
-    Blocked on (surname, rarest shared word of the title's prefix): titles of similarity s share one of the first
-    ``size - ceil(s * size) + 1`` words in any one order of words, so only those meet.
+    Blocked on (surname, rare shared word): titles of similarity s share one of the first ``size - ceil(s * size) + 1``
+    words in any one order of words. Rare words come first, so words that very many titles begin with are nobody's key.
     """
+    often = stored(left.select("title").unionByName(right.select("title")).select(F.explode(tokens(F.col("title"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "title-words")
+
     def prefixed(df: DataFrame, side: str) -> DataFrame:
-        words = df.where("surname <> ''").select(*[F.col(c).alias(f"{side}_{c}") for c in ("id", "title", "year")], "surname", F.array_sort(tokens(F.col("title"))).alias(f"{side}_words"))
+        one = df.where("surname <> ''").select(*[F.col(c).alias(f"{side}_{c}") for c in ("id", "year")], "surname", F.posexplode(tokens(F.col("title"))).alias("_k", "word"))
+        ranked = one.join(often, "word").groupBy(f"{side}_id", f"{side}_year", "surname").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda x: x["word"])).alias(f"{side}_words"))
         n = F.size(f"{side}_words")
-        return words.withColumn("word", F.explode(F.slice(f"{side}_words", F.lit(1), n - F.ceil(n * similarity).cast("int") + 1)))
+        return ranked.withColumn("word", F.explode(F.slice(f"{side}_words", F.lit(1), n - F.ceil(n * similarity).cast("int") + 1)))
 
     met = prefixed(left, "l").join(prefixed(right, "r"), ["surname", "word"])
     near = met.where((F.abs(F.col("l_year") - F.col("r_year")) <= years) & (F.col("l_id") != F.col("r_id")))

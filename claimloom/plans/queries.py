@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from claimloom.functions import scalars as S
+from claimloom.functions.ordering import numbered
 from claimloom.functions.storage import stored
 from claimloom.operators import audit, conflicts, facts as K, graph, merge, records, text_search
 from claimloom.plans.registry import query
@@ -308,20 +309,20 @@ def R7_alive_subjects(spark, sf_dir):
 @query(f"WITH {FACTS}, r AS (SELECT DISTINCT subject, relation, object FROM facts WHERE status IN ('needs_review','candidate')) SELECT relation, subject, object, CAST(row_number() OVER (PARTITION BY relation ORDER BY subject, object) AS INTEGER) AS number FROM r")
 def W11_numbered_queue(spark, sf_dir):
     rows = K.review_facts(facts(spark, sf_dir)).select(*K.TRIPLE).distinct()
-    return rows.select("relation", "subject", "object", F.row_number().over(Window.partitionBy("relation").orderBy("subject", "object")).alias("number"))
+    return numbered(rows.select("relation", "subject", "object"), ["relation"], ["subject", "object"], "number").withColumn("number", F.col("number").cast("int"))
 
 
 @query("SELECT p_partkey, p_brand, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS INTEGER) AS round FROM part")
 def W9_round_robin(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey")).alias("round"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", (-F.col("p_retailprice")).alias("_order"))
+    return numbered(rows, ["p_brand"], ["_order", "p_partkey"], "round").select("p_partkey", "p_brand", F.col("round").cast("int").alias("round"))
 
 
 @query(r"""WITH s AS (SELECT p_partkey, trim(regexp_replace(lower(p_type), '[^0-9a-z]+', '-', 'g'), '-') AS slug FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY p_partkey) AS k FROM s)
   SELECT p_partkey, CASE WHEN k = 1 THEN slug ELSE slug || '-' || k END AS slug FROM n""")
 def W10_distinct_slugs(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", S.slug(F.col("p_type")).alias("slug"))
-    k = F.row_number().over(Window.partitionBy("slug").orderBy("p_partkey"))
-    return rows.withColumn("k", k).select("p_partkey", F.when(F.col("k") == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", F.col("k").cast("string"))).alias("slug"))
+    return numbered(rows, ["slug"], ["p_partkey"], "k").select("p_partkey", F.when(F.col("k") == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", F.col("k").cast("string"))).alias("slug"))
 
 
 @query(r"""WITH h AS (SELECT doc_id, len(regexp_extract_all(' ' || replace(replace(lower(text), ' ', '  '), chr(10), '  ') || ' ', '[^a-z0-9]the[^a-z0-9]')) AS a, len(regexp_extract_all(' ' || replace(replace(lower(text), ' ', '  '), chr(10), '  ') || ' ', '[^a-z0-9]tion[^a-z0-9]')) AS b FROM documents)
