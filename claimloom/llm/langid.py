@@ -2,11 +2,13 @@
 
 Training counts (language, bucket) in every task over whole texts and adds them up with a groupBy; the resulting
 log-probability matrix has at most ``max_langs`` x 2**``BITS`` floats, which bounds what is collected and broadcast
-(more languages than that are an error, never dropped). Scoring gathers the rows of a text's n-grams and sums them.
+(more languages than that are an error, never dropped). Scoring counts the buckets of each text of a batch and takes one
+sparse product with the matrix.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; when nothing was learned every text
 is ``und``; a training row with a null language teaches nothing; ties go to the first language by code point;
-repeated rows count and are returned as often as they stand; other columns are ignored.
+repeated rows count and are returned as often as they stand; other columns are ignored; an empty table teaches nothing
+and gives no rows; a text of any length is hashed in pieces of ``PIECE`` characters and held as 2**``BITS`` counts.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from .common import lean, small
 BITS, ORDERS = 16, (1, 2, 3)
 #: Characters hashed at a time, so that a very long text needs little memory.
 PIECE = 1 << 20
+#: Matrix values that a batch multiplies at a time.
+ENTRIES = 1 << 21
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -75,6 +79,45 @@ def train(docs: DataFrame, max_langs: int = 512, smoothing: float = 0.5, text_co
     return langs, logs.astype(np.float32), np.log([prior[x] / total for x in langs]) if langs else np.zeros(0)
 
 
+def scored(texts: list[str], logs: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """texts x languages: the log joint probabilities of a batch, one product of its sparse counts and the matrix.
+
+    A text is its buckets and how often they occur, 2**``BITS`` at most; entries are multiplied ``ENTRIES`` values at a time.
+    """
+    sums = np.tile(prior.astype(np.float64), (len(texts), 1))
+    rows, buckets, counts, held = [], [], [], 0
+
+    def add() -> None:
+        nonlocal held
+        row, bucket, n = (np.concatenate(x) for x in (rows, buckets, counts))
+        step = max(1, ENTRIES // logs.shape[1])
+        for at in range(0, len(row), step):
+            part = logs[bucket[at : at + step]] * n[at : at + step, None]
+            np.add.at(sums, row[at : at + step][starts := np.flatnonzero(np.diff(row[at : at + step], prepend=-1))], np.add.reduceat(part, starts, axis=0))
+        for x in (rows, buckets, counts):
+            x.clear()
+        held = 0
+
+    for k, text in enumerate(texts):
+        total = np.zeros(1 << BITS, np.int64) if len(text) > PIECE else None
+        parts = []
+        for part in grams(text):
+            if total is None:
+                parts.append(part)
+            else:
+                total += np.bincount(part, minlength=1 << BITS)
+        bucket, n = np.unique(np.concatenate(parts), return_counts=True) if total is None else (at := np.flatnonzero(total), total[at])
+        rows.append(np.full(len(bucket), k, np.intp))
+        buckets.append(bucket)
+        counts.append(n.astype(np.float64))
+        held += len(bucket)
+        if held > ENTRIES:
+            add()
+    if rows:
+        add()
+    return sums
+
+
 def predict(docs: DataFrame, model, text_col: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
     """The columns of ``keep``, then lang_pred and score (the posterior of the language)."""
     spark = docs.sparkSession
@@ -87,19 +130,14 @@ def predict(docs: DataFrame, model, text_col: str = "text", keep: dict[str, Colu
     def score(batches):
         langs, logs, prior = shared.value
         for batch in small(batches):
-            best, scores = [], []
-            for value in batch["_text"]:
-                text = value.as_py()
-                if not langs or text is None or not _LETTER.search(text):
-                    best.append("und")
-                    scores.append(0.0)
-                    continue
-                total = prior.copy()
-                for part in grams(text):
-                    total += logs[part].sum(axis=0, dtype=np.float64)
-                odds = np.exp(total - total.max())
-                best.append(langs[int(total.argmax())])
-                scores.append(float(odds.max() / odds.sum()))
+            texts = [value.as_py() for value in batch["_text"]]
+            known = np.array([bool(langs and text is not None and _LETTER.search(text)) for text in texts], bool)
+            sums = scored([t for t, k in zip(texts, known, strict=True) if k], logs, prior)
+            best, scores = np.full(len(texts), "und", object), np.zeros(len(texts))
+            if len(sums):
+                odds = np.exp(sums - sums.max(axis=1, keepdims=True))
+                best[known] = np.array(langs, object)[sums.argmax(axis=1)]
+                scores[known] = odds.max(axis=1) / odds.sum(axis=1)
             yield pa.RecordBatch.from_arrays([*[batch[k] for k in kept_names], pa.array(best, pa.string()), pa.array(scores, pa.float64())], [*kept_names, "lang_pred", "score"])
 
     from pyspark.sql import types as T
