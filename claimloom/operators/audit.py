@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,9 @@ from claimloom.operators.facts import TRIPLE, engine_facts
 
 #: What a value's fold takes for separators, and which of them matter between digits.
 SEPARATORS, BETWEEN_DIGITS = r"(?U)[\s\-_./·]+", "[-._/]"
+# Labels for the rest, and values that say nothing.
+WRAPPER_WORDS = "기타|기타사항|그 ?외|그외|other|others|misc"
+PLACEHOLDERS = ("기타", "그외", "그 외", "기타사항", "불명", "미상", "해당없음", "없음", "other", "others", "misc", "unknown", "n/a", "n.a.", "none", "tbd", "-", "?")
 
 
 def value_fold(text: Column) -> Column:
@@ -29,10 +34,34 @@ def spelling_groups(claims: DataFrame) -> DataFrame:
     return values.groupBy("relation", "fold").agg(F.count("*").alias("n_spellings"), F.array_join(F.array_sort(F.collect_set("object")), "|").alias("spellings")).where("n_spellings > 1")
 
 
+def wrapped(value: Column) -> Column:
+    """What stands in a label for the rest, ``other (x)`` or ``x (other)``; null for other values."""
+    composed = nfc(value)
+    before = F.regexp_extract(composed, rf"(?i)^(?:{WRAPPER_WORDS})\s*[(（]\s*(.+?)\s*[)）]$", 1)
+    after = F.regexp_extract(composed, rf"(?i)^(.+?)\s*[(（]\s*(?:{WRAPPER_WORDS})\s*[)）]$", 1)
+    return F.when(before != "", before).when(after != "", after)
+
+
 def wrappers(claims: DataFrame) -> DataFrame:
-    """Values of the form ``other(x)``: (relation, object, inner)."""
-    inner = F.regexp_extract("object", r"^(?i:other|misc|etc)\((.+)\)$", 1)
-    return claims.select("relation", "object", inner.alias("inner")).where("inner <> ''").distinct()
+    """Values in a label for the rest: (relation, object, inner)."""
+    return claims.select("relation", "object", wrapped(F.col("object")).alias("inner")).where("inner IS NOT NULL").distinct()
+
+
+def placeholders(claims: DataFrame) -> DataFrame:
+    """(relation, object, n_owners) of values that say nothing, with how many subjects have them; compared whole, without case."""
+    nothing = fold_case(nfc(F.trim("object"))).isin(*PLACEHOLDERS)
+    return engine_facts(claims).where(nothing).groupBy(nfc(F.col("relation")).alias("relation"), "object").agg(F.countDistinct(nfc(F.col("subject"))).alias("n_owners"))
+
+
+def value_owners(claims: DataFrame, identity: Sequence[str] = ()) -> DataFrame:
+    """(relation, fold, n_spellings, n_owners, kind) of values with several spellings, and how many subjects have them.
+
+    kind is ``split`` for one value written in several ways, ``duplicate_record`` where the relation identifies its
+    subject and several subjects have it.
+    """
+    rows = engine_facts(claims).select(nfc(F.col("relation")).alias("relation"), "object", nfc(F.col("subject")).alias("subject"), value_fold(F.col("object")).alias("fold")).where("fold <> ''").distinct()
+    groups = rows.groupBy("relation", "fold").agg(F.countDistinct("object").alias("n_spellings"), F.countDistinct("subject").alias("n_owners")).where("n_spellings > 1")
+    return groups.withColumn("kind", F.when(F.col("relation").isin(*identity) & (F.col("n_owners") > 1), "duplicate_record").otherwise("split"))
 
 
 def entity_counts(claims: DataFrame) -> DataFrame:

@@ -72,9 +72,12 @@ def G1_conflict_gate(spark, sf_dir):
     return conflicts.conflicts(facts(spark, sf_dir), SINGLE_VALUED).groupBy("relation").agg(F.count("*").alias("n_subjects"))
 
 
-@query("SELECT conv_id, turn FROM conversations WHERE regexp_matches(text, '[\\x00-\\x1F]')")
+@query("SELECT DISTINCT 'object' AS column, text AS value FROM conversations WHERE turn % 2 = 0 AND regexp_matches(text, '[\\x00-\\x1F]')".replace("AS column", 'AS "column"'))
 def G2_control_characters(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").where(S.has_control(F.col("text"))).select("conv_id", "turn")
+    """What every conversation says, as claims, of which those with an even turn are accepted."""
+    c = table(spark, sf_dir, "conversations")
+    said = c.select(F.concat(F.lit("conv:"), F.col("conv_id").cast("string")).alias("subject"), F.lit("says").alias("relation"), F.coalesce("text", F.lit("")).alias("object"), F.when(F.col("turn") % 2 == 0, "accepted").otherwise("candidate").alias("status"))
+    return gates.control_characters(said)
 
 
 WRITTEN = "written AS (SELECT subject, relation, object FROM facts WHERE status = 'confirmed' OR (status = 'superseded' AND relation = 'has_size'))"
@@ -84,9 +87,20 @@ def _written(spark, sf_dir):
     return facts(spark, sf_dir).where("status = 'confirmed' OR (status = 'superseded' AND relation = 'has_size')").select(*K.TRIPLE)
 
 
-@query(f"WITH {ENGINE_SQL}, {WRITTEN} SELECT relation FROM engine EXCEPT SELECT relation FROM written WHERE relation NOT IN ('in_region', 'has_priority')")
+def _by_part(spark, sf_dir):
+    """The engine claims of sales with a relation of its own for each part and state."""
+    sold = K.engine_facts(facts(spark, sf_dir)).where("relation = 'sold_as'")
+    return sold.withColumn("relation", F.concat_ws("_", "relation", "object", F.substring_index("subject", ":", -1)))
+
+
+BY_PART = ENGINE_SQL + ", parts AS (SELECT subject, 'sold_as_' || object || '_' || split_part(subject, ':', 2) AS relation, object, source, status, confidence FROM engine WHERE relation = 'sold_as')"
+
+
+@query(f"WITH {BY_PART} SELECT DISTINCT relation FROM parts WHERE relation NOT IN (SELECT relation FROM parts WHERE confidence >= '0.50')")
 def G3_relation_gap(spark, sf_dir):
-    return gates.relation_gap(facts(spark, sf_dir), _written(spark, sf_dir).where("relation NOT IN ('in_region', 'has_priority')"))
+    """Relations of which only claims of little confidence are in the table, and so none was written."""
+    rows = _by_part(spark, sf_dir)
+    return gates.relation_gap(rows, K.atoms(rows.where("confidence >= '0.50'")))
 
 
 @query(f"""WITH {ENGINE_SQL}, {WRITTEN}, a AS (SELECT subject, relation, object FROM engine EXCEPT SELECT * FROM written), b AS (SELECT * FROM written EXCEPT SELECT subject, relation, object FROM engine)
@@ -95,16 +109,18 @@ def G4_drift(spark, sf_dir):
     return gates.drift(facts(spark, sf_dir), _written(spark, sf_dir))
 
 
-@query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
+@query(f"""WITH {FACTS}, s AS (SELECT CASE right(confidence, 1) WHEN '7' THEN upper(status) WHEN '8' THEN NULL WHEN '9' THEN status || relation ELSE status END AS status FROM facts)
+  SELECT status, count(*) AS n FROM s WHERE status IS NULL OR status NOT IN ('confirmed','accepted','needs_review','candidate','superseded') GROUP BY 1""")
 def G5_unknown_statuses(spark, sf_dir):
-    return gates.unknown_statuses(table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status")))
+    digit = F.right("confidence", F.lit(1))
+    odd = F.when(digit == "7", F.upper("status")).when(digit == "8", F.lit(None)).when(digit == "9", F.concat("status", "relation")).otherwise(F.col("status"))
+    return gates.unknown_statuses(facts(spark, sf_dir).withColumn("status", odd))
 
 
-@query("SELECT DISTINCT 'has_size' AS relation, CASE WHEN p_size < 10 THEN 'about ' ELSE '' END || p_size AS object FROM part WHERE p_size < 10")
+@query(f"WITH {ENGINE_SQL} SELECT DISTINCT relation, object FROM engine WHERE relation IN ('has_size', 'has_priority')")
 def G6_untyped_literals(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    text = F.concat(F.when(F.col("p_size") < 10, "about ").otherwise(""), F.col("p_size").cast("string"))
-    return gates.untyped(p.select(F.lit("accepted").alias("status"), F.lit("has_size").alias("relation"), text.alias("object")), {"has_size": "number"})
+    """Sizes are no ordinals and priorities no numbers; days and totals parse."""
+    return gates.untyped(facts(spark, sf_dir), {"has_size": "ordinal", "has_priority": "number", "ordered_on": "date", "has_total": "number"})
 
 
 @query(f"""WITH {ENGINE_SQL}, d AS (SELECT 'in_nation' AS relation, 'nation:' || n_nationkey AS child, 'region:' || n_regionkey AS parent FROM nation UNION ALL SELECT 'sold_in', n_name, 'x' FROM nation UNION ALL SELECT 'in_nation', 'region:' || r_regionkey, 'region:' || (r_regionkey + 1) % 5 FROM region)
@@ -147,17 +163,24 @@ def A33_relation_vocabulary(spark, sf_dir):
     return facts(spark, sf_dir).select("relation").union(aliases.select("raw")).union(aliases.select("canonical")).distinct()
 
 
-@query(f"WITH {FACTS}, {ALIASES}, e AS (SELECT coalesce(canonical, relation) AS relation, confidence FROM facts LEFT JOIN aliases ON relation = raw WHERE status IN ('confirmed','accepted')) SELECT relation FROM e WHERE confidence < '0.01' EXCEPT SELECT relation FROM e WHERE confidence >= '0.01'")
+@query(f"WITH {BY_PART}, {WITHDRAWN} SELECT relation FROM parts WHERE {FILE} IN (SELECT file FROM withdrawn) EXCEPT SELECT relation FROM parts WHERE {FILE} NOT IN (SELECT file FROM withdrawn)")
 def A31_lost_relations(spark, sf_dir):
-    rows = facts(spark, sf_dir)
-    return gates.lost_relations(rows.where("confidence >= '0.01'"), rows.where("confidence < '0.01'"), _aliases(spark))
+    rows = _by_part(spark, sf_dir).withColumn("file", S.source_file(F.col("source")))
+    gone = _withdrawn(spark, sf_dir)
+    return gates.lost_relations(rows.join(gone, "file", "left_anti"), rows.join(gone, "file", "left_semi"), _aliases(spark))
 
 
-@query(f"WITH {FACTS}, {ALIASES} SELECT count(*) AS n FROM facts WHERE status IN ('confirmed','accepted') AND relation IN ('in_nation','in_region') AND object IN (SELECT 'nation:' || n_nationkey FROM nation WHERE n_regionkey = 2)")
+@query(f"WITH {ENGINE_SQL} SELECT r_regionkey AS region, count(*) AS n FROM engine JOIN region ON object = 'region:' || r_regionkey OR object IN (SELECT 'nation:' || n_nationkey FROM nation WHERE n_regionkey = r_regionkey) WHERE relation IN ('in_nation', 'in_region') GROUP BY 1")
 def A36_matches_of_a_pattern(spark, sf_dir):
-    below = table(spark, sf_dir, "nation").where("n_regionkey = 2").select(F.lit("in_nation").alias("relation"), F.concat(F.lit("nation:"), "n_nationkey").alias("child"), F.lit("region:2").alias("ancestor"))
-    found = K.matching(K.engine_facts(facts(spark, sf_dir)), relation="located_in", aliases=_aliases(spark))
-    return K.matching(found, obj="region:2", hierarchy=below).where("object <> 'region:2'").agg(F.count("*").alias("n"))
+    """How many claims match ``located_in`` with each region as object, through aliases and descendants."""
+    n = table(spark, sf_dir, "nation")
+    below = n.select(F.lit("in_nation").alias("relation"), F.concat(F.lit("nation:"), "n_nationkey").alias("child"), F.concat(F.lit("region:"), "n_regionkey").alias("ancestor"), "n_regionkey")
+    counts = None
+    for region in [r[0] for r in table(spark, sf_dir, "region").select("r_regionkey").collect()]:
+        found = K.matching(K.engine_facts(facts(spark, sf_dir)), relation="located_in", aliases=_aliases(spark))
+        one = K.matching(found, obj=f"region:{region}", hierarchy=below).groupBy(F.lit(region).alias("region")).agg(F.count("*").alias("n"))
+        counts = one if counts is None else counts.unionByName(one)
+    return counts
 
 
 @query(f"WITH {ENGINE_SQL}, {ALIASES}, c AS (SELECT DISTINCT subject, canonical, object FROM engine JOIN aliases ON relation = raw) SELECT DISTINCT c.subject, c.object AS customer, n.object AS place FROM c JOIN c n ON c.object = n.subject WHERE c.canonical = 'ordered_by' AND n.canonical = 'located_in'")

@@ -12,7 +12,7 @@ from claimloom.functions import scalars as S
 from claimloom.functions.unicode import fold_case, nfc
 from claimloom.operators import audit, conflicts, facts as K, merge, text_search
 from claimloom.plans.registry import query
-from claimloom.plans.triples import COLUMNS, table
+from claimloom.plans.triples import COLUMNS, FACTS, facts, table
 
 #: Letters of the documents that have a decomposed form.
 LETTERS = [c for c in map(chr, range(0xC0, 0x180)) if len(unicodedata.normalize("NFD", c)) == 2]
@@ -116,3 +116,33 @@ def A9_spellings_of_words(spark, sf_dir):
 @query(f"WITH {WORDS} SELECT DISTINCT word, replace(lower(word), 'ß', 'ss') AS fold FROM words")
 def X20_folded_case(spark, sf_dir):
     return words(spark, sf_dir).select("word", fold_case(F.col("word")).alias("fold")).distinct()
+
+
+#: All claims with objects in other spellings, in labels for the rest, or saying nothing, by their confidence.
+VARIED = FACTS + """, varied AS (SELECT subject, relation, CASE right(confidence, 1) WHEN '1' THEN 'N/A' WHEN '2' THEN 'Unknown' WHEN '3' THEN 'Other( ' || object || ' )' WHEN '4' THEN object || ' (misc)' WHEN '5' THEN lower(object) WHEN '6' THEN object || ' ' ELSE object END AS object, status FROM facts),
+live AS (SELECT * FROM varied WHERE status IN ('confirmed','accepted'))"""
+
+
+def _varied(spark, sf_dir):
+    digit, obj = F.right("confidence", F.lit(1)), F.col("object")
+    other = F.when(digit == "1", "N/A").when(digit == "2", "Unknown").when(digit == "3", F.concat(F.lit("Other( "), obj, F.lit(" )"))).when(digit == "4", F.concat(obj, F.lit(" (misc)"))).when(digit == "5", F.lower(obj)).when(digit == "6", F.concat(obj, F.lit(" "))).otherwise(obj)
+    return facts(spark, sf_dir).withColumn("object", other)
+
+
+@query(f"WITH {VARIED} SELECT DISTINCT relation, object, CASE WHEN object LIKE 'Other( %' THEN substr(object, 8, length(object) - 9) ELSE left(object, length(object) - 7) END AS inner FROM varied WHERE object LIKE 'Other( %' OR object LIKE '% (misc)'".replace("AS inner", 'AS "inner"'))
+def F16_wrapped_values(spark, sf_dir):
+    return audit.wrappers(_varied(spark, sf_dir))
+
+
+@query(f"WITH {VARIED} SELECT relation, object, count(DISTINCT subject) AS n_owners FROM live WHERE object IN ('N/A', 'Unknown') GROUP BY 1, 2")
+def A9_placeholders(spark, sf_dir):
+    return audit.placeholders(_varied(spark, sf_dir))
+
+
+@query(rf"""WITH {VARIED}, k AS (SELECT relation, object, subject, regexp_replace(regexp_replace(object, '([0-9])[-._/]([0-9])', '\1|\2', 'g'), '([0-9])[-._/]([0-9])', '\1|\2', 'g') AS kept FROM live),
+  f AS (SELECT relation, object, subject, replace(lower(regexp_replace(kept, '[\s\-_./·]+', '', 'g')), '|', '-') AS fold FROM k),
+  g AS (SELECT relation, fold, count(DISTINCT object) AS n_spellings, count(DISTINCT subject) AS n_owners FROM f WHERE fold <> '' GROUP BY relation, fold)
+  SELECT *, CASE WHEN relation = 'placed_by' AND n_owners > 1 THEN 'duplicate_record' ELSE 'split' END AS kind FROM g WHERE n_spellings > 1""")
+def A9_value_owners(spark, sf_dir):
+    """All claims' values with several spellings; who placed an order identifies it here."""
+    return audit.value_owners(_varied(spark, sf_dir), identity=("placed_by",)).withColumn("fold", F.translate("fold", "\x00", "-"))
