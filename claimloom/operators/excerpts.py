@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions.storage import shared_dir, stored
+from claimloom.functions.unicode import nfc
 
 REACH, BUCKETS = 3, 64
 WORD = r"[\p{L}\p{N}_]+"
@@ -141,3 +142,39 @@ def search(spark: SparkSession, index: Index, questions: DataFrame, limit: int |
     texts = shown.join(lines, ["file", "line"]).groupBy("question", "file", "at").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("all"))
     joined = F.array_join(F.transform("all", lambda x: F.when(x["line"] > F.col("at") + REACH, F.concat(F.lit("...\n"), x["text"])).otherwise(x["text"])), "\n")
     return best.join(texts, ["question", "file", "at"]).select("question", "rank", "file", (F.col("at") + 1).alias("line"), "grade", "coverage", "frequency", joined.alias("excerpt"))
+
+
+#: Leading characters that a question's word and a claim's word share at least.
+SHARED = 3
+
+
+def shared_prefix(a, b):
+    """How many leading characters two texts share."""
+    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length(a), F.length(b))))
+    return F.size(F.filter(places, lambda k: F.left(a, k) == F.left(b, k)))
+
+
+def bridge(claims: DataFrame, questions: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
+    """(question, subject, relation, object, term, via, word, shared): claims that a question's words lead to by their beginnings.
+
+    A word of a claim's relation or object meets the words of questions with the same ``SHARED`` first characters, case
+    and Unicode form aside; of a claim's words the one that shares the longest beginning stays, of equal ones the least.
+    ``synonyms`` (members) lead on from a question's word to the others of its group, which ``via`` names; a word that
+    leads there itself needs none. Distinct words are compared, not claims, so a word that very many claims have costs
+    one comparison a question's word.
+    """
+    spark = claims.sparkSession
+    asked = [(r["question"], term) for r in questions.select("question", "text").collect() for term, _ in keywords(r["text"] or "")]  # the questions themselves
+    kind = questions.schema["question"].dataType.simpleString()
+    terms = spark.createDataFrame([(*x, x[1], "") for x in asked], f"question {kind}, term string, look string, via string")
+    if synonyms is not None:
+        member = synonyms.select("members", F.explode("members").alias("_one")).withColumn("_term", F.lower("_one"))
+        more = terms.join(member, terms["term"] == member["_term"]).select("question", "term", F.explode(F.array_remove("members", F.col("_one"))).alias("via"))
+        terms = terms.unionByName(more.select("question", "term", F.lower("via").alias("look"), "via"))
+    rows = claims.select(*[nfc(F.col(c)).alias(c) for c in ("subject", "relation", "object")]).distinct()
+    parts = stored(rows.select("subject", "relation", "object", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", "relation", "object")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("word")).where(F.length("word") >= SHARED), "bridge-words")
+    first = lambda c: F.left(F.col(c), F.lit(SHARED))
+    words = parts.select("word").distinct().withColumn("start", first("word"))
+    met = words.join(terms.where(F.length("look") >= SHARED).withColumn("start", first("look")), "start").select("question", "term", "via", "word", shared_prefix(F.col("word"), F.col("look")).alias("shared"))
+    found = parts.join(met, "word").groupBy("question", "subject", "relation", "object", "term").agg(F.min(F.struct((F.col("via") != "").alias("led"), (-F.col("shared")).alias("less"), "word", "via")).alias("best"))
+    return found.select("question", "subject", "relation", "object", "term", F.col("best.via").alias("via"), F.col("best.word").alias("word"), (-F.col("best.less")).alias("shared"))

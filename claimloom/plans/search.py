@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from claimloom.operators import excerpts
 from claimloom.plans.registry import query
+from claimloom.plans.spellings import WORDS, words as _words
 from claimloom.plans.triples import table
 
 #: Questions to the documents, with words that no search is about.
@@ -50,3 +51,20 @@ def W8_windows_that_do_not_overlap(spark, sf_dir):
 def X27_keyword_hits(spark, sf_dir):
     found = excerpts.hits(spark, _index(spark, sf_dir), _questions(spark))
     return found.groupBy("question", "term").agg(F.sum("n").cast("long").alias("n"), F.countDistinct("file").alias("n_files"))
+
+
+#: Groups of words that a question may be led on by.
+_SYNONYMS = [["License", "version", "Gnu"], ["ment", "heit"]]
+
+
+@query(rf"""WITH {WORDS}, w AS (SELECT DISTINCT 'work:' || doc_id // 2 AS subject, 'mentions' AS relation, word AS object, lower(word) AS word FROM words),
+  asked(question, term) AS (VALUES {', '.join(f"({q}, '{w}')" for q, words in _WORDS.items() for w in words)}), groups(g, member) AS (VALUES {', '.join(f"({k}, '{m}')" for k, ms in enumerate(_SYNONYMS) for m in ms)}),
+  looks AS (SELECT question, term, term AS look, '' AS via FROM asked UNION ALL SELECT question, term, lower(o.member), o.member FROM asked JOIN groups a ON lower(a.member) = term JOIN groups o ON o.g = a.g AND o.member <> a.member),
+  m AS (SELECT question, subject, relation, object, term, via, word, len(list_filter(range(1, least(length(word), length(look)) + 1), lambda k: left(word, k) = left(look, k))) AS shared
+        FROM (SELECT DISTINCT subject, relation, object, unnest([word, 'mentions']) AS word FROM w) JOIN looks ON left(word, 3) = left(look, 3) WHERE length(word) >= 3 AND length(look) >= 3),
+  r AS (SELECT *, row_number() OVER (PARTITION BY question, subject, relation, object, term ORDER BY via <> '', shared DESC, word, via) AS n FROM m)
+  SELECT question, subject, relation, object, term, via, word, CAST(shared AS INTEGER) AS shared FROM r WHERE n = 1""")
+def J19_vocabulary_bridge(spark, sf_dir):
+    """What every document mentions, by the questions' words and their synonyms."""
+    claims = _words(spark, sf_dir).select(F.concat(F.lit("work:"), F.floor(F.col("doc_id") / 2).cast("string")).alias("subject"), F.lit("mentions").alias("relation"), F.col("word").alias("object"))
+    return excerpts.bridge(claims, _questions(spark), spark.createDataFrame([(g,) for g in _SYNONYMS], "members array<string>"))

@@ -57,3 +57,15 @@ def test_the_index_is_read_not_the_texts(spark):
 def test_keywords():
     assert excerpts.keywords("What is the API of 전문가는 무엇인가 하는가 ai가 a?") == [("what", False), ("the", False), ("api", False), ("전문가", True), ("하는가", True), ("ai가", True)]
     assert [excerpts.stem(w) for w in ("평가", "이라는", "연구에서는", "국가", "ai가")] == ["평가", "이라는", "연구", "국가", "ai가"]
+
+
+def test_bridge_leads_from_words_to_claims(spark):
+    import unicodedata
+
+    facts = [("p1", "효과", "산소요법"), ("p2", "대상", unicodedata.normalize("NFD", "산소포화도 측정")), ("p3", "topic", "Interpretability methods"), ("p4", "topic", "설명가능성"), ("p5", "to", "ab")]
+    claims = spark.createDataFrame([*facts, facts[0]], "subject string, relation string, object string")
+    asked = spark.createDataFrame([(1, "산소포화는?"), (2, "What interpretable topics?"), (3, "해석가능성이 ab")], "question int, text string")
+    groups = spark.createDataFrame([(["해석가능성", "설명가능성"],)], "members array<string>")
+    got = {(r.question, r.subject, r.term, r.via, r.word, r.shared) for r in excerpts.bridge(claims, asked, groups).collect()}
+    assert got == {(1, "p2", "산소포화", "", "산소포화도", 4), (2, "p3", "interpretable", "", "interpretability", 11), (2, "p3", "topics", "", "topic", 5), (2, "p4", "topics", "", "topic", 5), (3, "p4", "해석가능성", "설명가능성", "설명가능성", 5)}
+    assert excerpts.bridge(claims.where("false"), asked).count() == 0
