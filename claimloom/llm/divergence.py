@@ -16,11 +16,12 @@ are cut whole, one at a time.
 
 Scale: rows shuffled are a task's distinct (language, source, term), added up before. The sketch is sized by the rows
 (``cells``) and is 64 MB at most; beyond that it lets more terms pass, never less. The report's pairs of sources are
-its output. Sums stay in a long below 2 * 10**9 terms a language; p is worked out in decimals.
+its output. Sums stay in a long below 2 * 10**9 terms a language; p is worked out in decimals where a count needs them.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 
 import numpy as np
@@ -33,7 +34,7 @@ from .common import lean, materialize, released, small, utf8
 #: Documents of a language that a term must be in, and sketch rows.
 LEAST, ROWS = 3, 4
 #: Bytes of a block of cells, and (group, term) counts that a task holds at once.
-BLOCK, HELD = 1 << 16, 200_000
+BLOCK, HELD = 1 << 16, 300_000
 #: Every byte that is no letter or part of a character beyond ASCII as a space, A-Z lowered.
 _LETTERS = bytes(c | 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -123,21 +124,20 @@ def term_counts(docs: DataFrame, width: int | None = None) -> DataFrame:
 
     def local(batches):
         found: dict[tuple, Counter] = {}
-        in_docs: dict[tuple, Counter] = {}
+        in_docs: dict[bytes, Counter] = {}
 
-        def out():
-            table = shared.value
-            for (lang, source), counts in found.items():
+        def out():  # a term's documents go with the first of its sources, since they are summed over all of them
+            table, possible = shared.value, {}
+            for lang, counts in in_docs.items():
                 terms = list(counts)
-                if not terms:
-                    continue
-                least = np.min([row[at] for row, at in zip(table, _places(lang, terms, width), strict=True)], axis=0)
-                kept = [t for t, x in zip(terms, least.tolist(), strict=True) if x >= LEAST]
-                docs_of = in_docs[lang, source]
+                least = np.min([row[at] for row, at in zip(table, _places(lang, terms, width), strict=True)], axis=0) if terms else np.zeros(0)
+                possible[lang] = set(itertools.compress(terms, (least >= LEAST).tolist()))
+            for (lang, source), counts in found.items():
+                kept, docs_of = [t for t in counts if t in possible[lang]], in_docs[lang]
                 for at in range(0, len(kept), 20_000):
                     part = kept[at : at + 20_000]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(part), pa.string()), pa.array([source] * len(part), pa.string()), pa.array(part, pa.string()), pa.array([counts[t] for t in part], pa.int64()), pa.array([docs_of[t] for t in part], pa.int64())],
+                        [pa.array([lang] * len(part), pa.string()), pa.array([source] * len(part), pa.string()), pa.array(part, pa.string()), pa.array([counts[t] for t in part], pa.int64()), pa.array([docs_of.pop(t, 0) for t in part], pa.int64())],
                         ["lang", "source", "term", "n", "docs"])
             found.clear()
             in_docs.clear()
@@ -145,7 +145,7 @@ def term_counts(docs: DataFrame, width: int | None = None) -> DataFrame:
         rows = 0
         for group, terms in _grouped(batches, "_lang", "_source"):
             found.setdefault(group, Counter()).update(terms)
-            in_docs.setdefault(group, Counter()).update(set(terms))
+            in_docs.setdefault(group[0], Counter()).update(set(terms))
             rows += 1
             if rows % 64 == 0 and sum(map(len, found.values())) > HELD:
                 yield from out()
@@ -163,7 +163,22 @@ def share(n: Column, total: Column, terms: Column) -> Column:
     """1 + floor(10**9 * (n + 1) / (total + terms)); null where there are no terms."""
     below = (total + terms).cast("decimal(20,0)")
     up = (n + 1).cast("decimal(20,0)") * F.lit(1_000_000_000).cast("decimal(10,0)")
-    return F.when(terms > 0, F.floor((up - F.pmod(up, below)) / below).cast("long") + 1)
+    wide = F.floor((up - F.pmod(up, below)) / below).cast("long")
+    return F.when(terms > 0, F.when(n < 9_000_000_000, F.call_function("div", (n + 1) * 1_000_000_000, total + terms)).otherwise(wide) + 1)
+
+
+def most_above(rows: DataFrame, most: int) -> DataFrame:
+    """The ``most`` rows of the highest value of each (lang, source), with ``rank``; ties by item.
+
+    Rows are first counted by their value's order of magnitude, so that only those that may be among them are sorted.
+    """
+    size = F.floor(F.log2(F.col("value") + 1) * 4)
+    cells = rows.groupBy("lang", "source", size.alias("_size")).agg(F.count("*").alias("_n"))
+    higher = Window.partitionBy("lang", "source").orderBy(F.desc("_size")).rowsBetween(Window.unboundedPreceding, -1)  # 256 rows at most
+    least = cells.withColumn("_above", F.coalesce(F.sum("_n").over(higher), F.lit(0))).where(F.col("_above") < most).groupBy("lang", "source").agg(F.min("_size").alias("_least"))
+    least = materialize(least, "divergence-least")  # a row a group: its size decides how it is joined
+    order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
+    return rows.join(least, ["lang", "source"]).where(size >= F.col("_least")).drop("_least").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
 def gap(p: Column, q: Column) -> Column:
@@ -186,7 +201,7 @@ def report(docs: DataFrame, most_terms: int = 200, width: int | None = None) ->
     own = share(F.col("lang_n"), F.col("lang_total"), F.col("v"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     above = rows.withColumn("q", own).where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), gap(F.col("p"), F.col("q")).alias("value"))
-    terms = above.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most_terms)
+    terms = most_above(above, most_terms)
 
     c = F.col
     other = groups.select("lang", c("source").alias("item"), c("p0").alias("q0"))
