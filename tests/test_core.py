@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import scalars as S
 from claimloom.operators import audit, conflicts, facts as K, graph, merge, records
-from claimloom.plans import changes as _changes, graphs as _graphs, identities as _identities, policies as _policies, queries as _, search as _search, spellings as _spellings, structure as _structure  # noqa: F401
+from claimloom.plans import bibliography as _bibliography, changes as _changes, graphs as _graphs, identities as _identities, policies as _policies, queries as _, search as _search, spellings as _spellings, structure as _structure  # noqa: F401
 from claimloom.plans.registry import QUERIES, SQL
 from claimloom.sources import tables
 from claimloom.streaming import incremental
