@@ -227,3 +227,31 @@ def restore_abstract(index: Column) -> Column:
     good = F.array_sort(F.filter(pairs, lambda x: x["p"] >= 0))
     first = F.filter(good, lambda x, k: (k == 0) | (x["p"] != F.get(good, k - 1)["p"]))
     return F.array_join(F.transform(first, lambda x: x["w"]), " ")
+
+
+# What stands for further authors, and small words that belong to a family name.
+FURTHER_AUTHORS = ("et al", "and others", "others", "")
+NAME_PARTICLES = ("van", "von", "der", "den", "de", "del", "della", "di", "da", "dos", "das", "du", "la", "le", "lo", "ter", "ten", "bin", "ibn", "abu", "av", "zu")
+
+
+def surname(name: Column) -> Column:
+    """The family name in bare lower-case letters, of ``Family, Given`` and ``Given van der Family`` alike; empty for no name or for further authors."""
+    raw = F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r"(?U)\s+", " "))
+    small = "|".join(NAME_PARTICLES)
+    tail = F.regexp_extract(raw, rf"(?i)^\S+(?: \S+)*?((?: (?:{small})\.*)* \S+)$", 1)
+    family = F.when(F.contains(raw, F.lit(",")), F.substring_index(raw, ",", 1)).when(tail != "", tail).otherwise(raw)
+    nobody = F.rtrim(F.lower(raw), F.lit(".")).isin(*FURTHER_AUTHORS)
+    return F.when(nobody, "").otherwise(F.regexp_replace(F.lower(strip_accents(family)), "[^a-z]", ""))
+
+
+def humanize(text: Column) -> Column:
+    """A compound literal as people write it: ``2030-01`` for ``date(2030,1)``, ``7억`` for ``amount(7,"억")``; any other text as it is."""
+    t = F.trim(text)
+    year, month, day = (_group(t, DATE_TERM, k) for k in (1, 2, 3))
+    date = F.when(parse_date(t).isNotNull(), F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")))
+    return F.when(year.isNotNull(), F.coalesce(date, text)).otherwise(F.coalesce(F.concat(_group(t, AMOUNT_TERM, 1), _unit(t)), _group(t, NUMBER_TERM, 1), text))
+
+
+def work_id(text: Column) -> Column:
+    """``W123`` of an id or its address, whatever its case; null for zero, leading zeros and all else."""
+    return F.concat(F.lit("W"), _group(F.trim(text), r"^(?:https?://(?:api\.)?openalex\.org/(?:works/)?)?/?[Ww]([1-9][0-9]*)/*$", 1))

@@ -276,3 +276,33 @@ def X9_digits_of_any_script(spark, sf_dir):
 def X81_complete_index(spark, sf_dir):
     index = F.create_map(F.lit("a"), F.array(F.lit(0), F.lit(2)), F.lit("b"), F.when(F.col("p_size") <= 25, F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(4))))
     return table(spark, sf_dir, "part").select("p_partkey", S.index_is_complete(index).alias("complete"))
+
+
+#: Ways to write an author ({g} given, {f} family name), with what the family name is then: {f} its letters.
+_AUTHORS = [("{g} {f}", "{f}"), ("{f}, {g}", "{f}"), ("{g} van der {f}", "vander{f}"), ("Van Der {f}, {g}", "vander{f}"), ("{f}", "{f}"), ("Et al.", ""), ("", ""), ("de {f}", "{f}"), (" {g}  x  de. La {f} ", "dela{f}"), ("{g} Ünal-{f}", "unal{f}"), ("{g} van", "van"), ("others", ""), ("{g} 7", "")]
+
+
+@query(f"""WITH p AS (SELECT p_partkey, lower(p_type) AS f, p_partkey % {len(_AUTHORS)} AS k FROM part) SELECT p_partkey, replace(list_extract({[want for _, want in _AUTHORS]}, CAST(k + 1 AS INTEGER)), '{{f}}', f) AS surname FROM p""")
+def X17_surnames(spark, sf_dir):
+    form = F.element_at(F.array(*[F.lit(x) for x, _ in _AUTHORS]), (F.col("p_partkey") % len(_AUTHORS) + 1).cast("int"))
+    made = F.replace(F.replace(form, F.lit("{f}"), F.col("p_type")), F.lit("{g}"), F.substring_index("p_name", " ", 1))
+    return table(spark, sf_dir, "part").select("p_partkey", S.surname(made).alias("surname"))
+
+
+#: Literals and how people write them; {n} is the size.
+_LITERALS = [("date(2030)", "2030"), ("Date( 2030 , 1 )", "2030-01"), ("date(2030,1,5)", "2030-01-05"), ("date(2030,13)", "date(2030,13)"), ('amount({n},"억")', "{n}억"), ("amount(1,{n}00 , km per h)", "1,{n}00km per h"), ("number({n}.5)", "{n}.5"), ('number("-{n}")', "-{n}"), ("ordinal({n})", "ordinal({n})"), ("{n} things", "{n} things")]
+
+
+@query(f"""SELECT p_partkey, replace(list_extract({[want for _, want in _LITERALS]}, CAST(p_partkey % {len(_LITERALS)} + 1 AS INTEGER)), '{{n}}', CAST(p_size AS VARCHAR)) AS shown FROM part""")
+def X49_humanized(spark, sf_dir):
+    form = F.element_at(F.array(*[F.lit(x) for x, _ in _LITERALS]), (F.col("p_partkey") % len(_LITERALS) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", S.humanize(F.replace(form, F.lit("{n}"), F.col("p_size").cast("string"))).alias("shown"))
+
+
+_WORKS = ["W{k}", "w{k}", "https://openalex.org/W{k}", " https://openalex.org/works/w{k}/ ", "W0{k}", "{k}", "W{k}x", "https://example.org/W{k}"]
+
+
+@query(f"SELECT o_orderkey, CASE WHEN o_orderkey % {len(_WORKS)} < 4 AND o_orderkey > 0 THEN 'W' || o_orderkey END AS work FROM orders")
+def X40_work_ids(spark, sf_dir):
+    form = F.element_at(F.array(*[F.lit(x) for x in _WORKS]), (F.col("o_orderkey") % len(_WORKS) + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", S.work_id(F.replace(form, F.lit("{k}"), F.col("o_orderkey").cast("string"))).alias("work"))
