@@ -111,10 +111,10 @@ def anchors(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def sections_without(found: DataFrame, docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, keyword) of documents without a heading of level 2 that holds a keyword of ``wanted``; documents with an open fence at the end are left out."""
-    asked = F.broadcast(wanted.select("keyword"))  # the sections that a format asks for: a few
-    heads = found.where("kind = 'heading' AND level = 2").select(id_col, "title").join(asked, F.contains(F.col("title"), F.col("keyword"))).select(id_col, "keyword").distinct()
+    asked = F.array(*[F.lit(r["keyword"]) for r in wanted.select("keyword").distinct().collect()])  # the sections that a format asks for: a few
+    heads = found.where("kind = 'heading' AND level = 2").select(id_col, F.explode(F.filter(asked, lambda k: F.contains(F.col("title"), k))).alias("keyword")).distinct()
     whole = docs.select(id_col).distinct().join(found.where("kind = 'unclosed'").select(id_col).distinct(), id_col, "left_anti")
-    every = whole.withColumn("keyword", F.explode(F.array(*[F.lit(r["keyword"]) for r in wanted.select("keyword").collect()])))
+    every = whole.withColumn("keyword", F.explode(asked))
     return every.join(heads, [id_col, "keyword"], "left_anti")
 
 
