@@ -34,7 +34,7 @@ from .common import lean, materialize, released, small, utf8
 #: Documents of a language that a term must be in, and sketch rows.
 LEAST, ROWS = 3, 4
 #: Bytes of a block of cells, and (group, term) counts that a task holds at once.
-BLOCK, HELD = 1 << 16, 300_000
+BLOCK, HELD = 1 << 16, 1_000_000
 #: Every byte that is no letter or part of a character beyond ASCII as a space, A-Z lowered.
 _LETTERS = bytes(c | 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -133,12 +133,13 @@ def term_counts(docs: DataFrame, width: int | None = None) -> DataFrame:
                 least = np.min([row[at] for row, at in zip(table, _places(lang, terms, width), strict=True)], axis=0) if terms else np.zeros(0)
                 possible[lang] = set(itertools.compress(terms, (least >= LEAST).tolist()))
             for (lang, source), counts in found.items():
-                kept, docs_of = [t for t in counts if t in possible[lang]], in_docs[lang]
+                kept, docs_of = list(filter(possible[lang].__contains__, counts)), in_docs[lang]
                 for at in range(0, len(kept), 20_000):
                     part = kept[at : at + 20_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(part), pa.string()), pa.array([source] * len(part), pa.string()), pa.array(part, pa.string()), pa.array([counts[t] for t in part], pa.int64()), pa.array([docs_of.pop(t, 0) for t in part], pa.int64())],
-                        ["lang", "source", "term", "n", "docs"])
+                    group = [pa.repeat(pa.scalar(x.decode()), len(part)) for x in (lang, source)]
+                    n = np.fromiter(map(counts.__getitem__, part), np.int64, len(part))
+                    in_part = np.fromiter((docs_of.pop(t, 0) for t in part), np.int64, len(part))
+                    yield pa.RecordBatch.from_arrays([*group, pa.array(part, pa.string()), pa.array(n), pa.array(in_part)], ["lang", "source", "term", "n", "docs"])
             found.clear()
             in_docs.clear()
 
@@ -153,7 +154,8 @@ def term_counts(docs: DataFrame, width: int | None = None) -> DataFrame:
         released()
 
     partial = rows.mapInArrow(local, "lang string, source string, term string, n long, docs long")
-    exact = partial.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # tasks have added up already: rows are dealt out as they are
+    exact = partial.repartition("lang", "source", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     of_term = Window.partitionBy("lang", "term")  # a row a source
     whole = exact.withColumns({"_docs": F.sum("docs").over(of_term), "lang_n": F.sum("n").over(of_term), "lead": (F.col("source") == F.min("source").over(of_term)).cast("long")})
     return whole.where(F.col("_docs") >= LEAST).select("lang", "source", "term", "n", "lang_n", "lead")
