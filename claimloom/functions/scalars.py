@@ -78,7 +78,7 @@ def canonical_amount(text: Column) -> Column:
     """``amount(1,000,억)`` as ``amount(1000,"억")``, its unit always quoted; any other text as it is."""
     t = F.trim(text)
     number = F.regexp_replace(_group(t, AMOUNT_TERM, 1), ",", "")
-    return F.coalesce(F.concat(F.lit("amount("), number, F.lit(',"'), _unit(t), F.lit('")')), text)
+    return F.coalesce(F.when(F.contains(text, F.lit("(")), F.concat(F.lit("amount("), number, F.lit(',"'), _unit(t), F.lit('")'))), text)
 
 
 #: For each hundredth below 1, the least double that is rounded up from it: its half, or the next where the half goes down.

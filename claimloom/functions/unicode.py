@@ -8,12 +8,16 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+#: The first character of ``_unsettled``.
+FIRST_UNSETTLED = 0x300
+
 
 @functools.cache
 def _unsettled() -> str:
@@ -29,21 +33,38 @@ def _unsettled() -> str:
     return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs) + "]"
 
 
+def _changed(text: pa.Array, change: Callable[[str], str]) -> pa.Array:
+    """``text`` with ``change`` made to what is not null: each distinct value once a batch."""
+    if text.null_count == len(text):
+        return text
+    coded = text.dictionary_encode()
+    return pa.array([change(x) for x in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+
+
 @F.arrow_udf(StringType())
 def _composed(text: pa.Array) -> pa.Array:
-    return pa.array([None if x is None else unicodedata.normalize("NFC", x) for x in text.to_pylist()], pa.string())
+    return _changed(text, lambda x: unicodedata.normalize("NFC", x))
 
 
 @F.arrow_udf(StringType())
 def _folded(text: pa.Array) -> pa.Array:
-    return pa.array([None if x is None else x.casefold() for x in text.to_pylist()], pa.string())
+    return _changed(text, str.casefold)
+
+
+def beyond_ascii(text: Column) -> Column:
+    return F.octet_length(text) > F.length(text)
 
 
 def nfc(text: Column) -> Column:
-    """``text`` in Unicode normal form C; null is null."""
-    return F.coalesce(_composed(F.when(text.rlike(_unsettled()), text)), text)
+    """``text`` in Unicode normal form C; null is null.
+
+    A character of ``_unsettled`` is looked up range by range, so a text is asked first whether it has any from
+    ``FIRST_UNSETTLED`` on: all before it stay in every text.
+    """
+    unsettled = beyond_ascii(text) & text.rlike(rf"[^\x00-\x{{{FIRST_UNSETTLED - 1:x}}}]") & text.rlike(_unsettled())
+    return F.coalesce(_composed(F.when(unsettled, text)), text)
 
 
 def fold_case(text: Column) -> Column:
     """``text`` without case, whole foldings included (ß is ss); null is null."""
-    return F.coalesce(_folded(F.when(text.rlike(r"[^\x00-\x7F]"), text)), F.lower(text))
+    return F.coalesce(_folded(F.when(beyond_ascii(text), text)), F.lower(text))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions.scalars import canonical_amount, normalize_confidence, source_file
+from claimloom.functions.storage import stored
 from claimloom.functions.unicode import nfc
 from claimloom.operators.facts import ENGINE, STATUS_RANK, TOMBSTONE, TRIPLE, clean, first_by, rank
 
@@ -33,7 +34,8 @@ def normalized(runs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _rebuilt(runs: DataFrame, last: DataFrame, known: DataFrame) -> DataFrame:
-    old = first_by(keyed(last), KEY, ["source", "status"]).select(*KEY, F.col("status").alias("old"))
+    last = stored(keyed(last), "merge-last")  # read twice
+    old = first_by(last, KEY, ["source", "status"]).select(*KEY, F.col("status").alias("old"))
     new = normalized(runs, known).join(old, KEY, "left")
     status = (
         F.when(F.col("old") == TOMBSTONE, TOMBSTONE)
@@ -42,17 +44,19 @@ def _rebuilt(runs: DataFrame, last: DataFrame, known: DataFrame) -> DataFrame:
         .otherwise(F.col("status"))
     )
     kept = new.withColumn("status", status).drop("old")
-    gone = first_by(keyed(last).where(F.col("status") == TOMBSTONE), KEY, ["source"]).join(kept, KEY, "left_anti").select(*kept.columns)
+    kept = stored(kept, "merge-kept")
+    gone = first_by(last.where(F.col("status") == TOMBSTONE), KEY, ["source"]).join(kept, KEY, "left_anti").select(*kept.columns)
     return kept.unionByName(gone)
 
 
-def rebuild(runs: DataFrame, last: DataFrame, known: DataFrame, allow_loss: bool = True) -> DataFrame:
+def rebuild(runs: DataFrame, last: DataFrame, known: DataFrame, allow_loss: bool = True, with_file: bool = False) -> DataFrame:
     """The new table. Superseded keys of the last table stay so; its engine status is restored; what it held for review is held.
 
     Without ``allow_loss`` a rebuild that would lose a decided or reviewed claim, or all of them because the runs are
-    empty, is refused (``ValueError``).
+    empty, is refused (``ValueError``). Its claims are composed; ``with_file`` leaves them keyed as well.
     """
-    table = _rebuilt(runs, last, known).drop("file")
+    table = _rebuilt(runs, last, known)
+    table = table if with_file else table.drop("file")
     if not allow_loss:
         if runs.isEmpty() and not last.where(F.col("status") != TOMBSTONE).isEmpty():
             raise ValueError("no rows in the runs: a rebuild would lose every claim")
@@ -62,8 +66,9 @@ def rebuild(runs: DataFrame, last: DataFrame, known: DataFrame, allow_loss: bool
 
 
 def destroyed(rebuilt: DataFrame, last: DataFrame) -> DataFrame:
-    """Keys that were decided or under review and are absent from the rebuilt table."""
-    return keyed(last).where(F.col("status") != TOMBSTONE).select(*KEY).distinct().join(keyed(rebuilt), KEY, "left_anti")
+    """Keys that were decided or under review and are absent from the rebuilt table (with ``file``: keyed already)."""
+    rebuilt = rebuilt if "file" in rebuilt.columns else keyed(rebuilt)
+    return keyed(last).where(F.col("status") != TOMBSTONE).select(*KEY).distinct().join(rebuilt, KEY, "left_anti")
 
 
 def fold_spellings(claims: DataFrame) -> DataFrame:

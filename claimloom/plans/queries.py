@@ -450,14 +450,14 @@ def _last(rows):
   SELECT subject, relation, object, file, status FROM every""")
 def M1_merge_rebuild(spark, sf_dir):
     rows = stored(facts(spark, sf_dir), "facts")
-    return merge.keyed(merge.rebuild(rows, _last(rows), _known(spark, sf_dir, rows))).select(*merge.KEY, "status")
+    return merge.rebuild(rows, _last(rows), _known(spark, sf_dir, rows), with_file=True).select(*merge.KEY, "status")
 
 
 @query(f"""WITH {MERGE} SELECT subject, relation, object, file FROM last WHERE status <> 'superseded' AND (subject, relation, object, file) NOT IN (SELECT (subject, relation, object, file) FROM new)""")
 def J14_destroyed_decisions(spark, sf_dir):
     rows = stored(facts(spark, sf_dir), "facts")
-    last = _last(rows)
-    return merge.destroyed(merge.rebuild(rows, last, _known(spark, sf_dir, rows)), last)
+    last = stored(_last(rows), "last")
+    return merge.destroyed(merge.rebuild(rows, last, _known(spark, sf_dir, rows), with_file=True), last)
 
 
 #: A table with several rows a key, decided otherwise than the runs, and with a status that is none.
