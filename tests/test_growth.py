@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import unicode
 from claimloom.functions.unicode import nfc
+from claimloom.operators import globs
 
 
 def plan(df) -> str:
@@ -21,3 +22,16 @@ def test_no_character_before_the_first_unsettled_one_changes(spark):
 def test_normal_form_asks_for_cheap_signs_first(spark):
     shown = plan(spark.createDataFrame([("x",)], "t string").select(nfc(F.col("t"))))
     assert shown.index("octet_length") < shown.index("x{340}") if "x{340}" in shown else "octet_length" in shown
+
+
+def test_a_glob_meets_only_paths_of_its_rarer_literal_end(spark, monkeypatch):
+    tried = []
+    rlike = F.rlike
+    monkeypatch.setattr(F, "rlike", lambda text, regex: tried.append(1) or rlike(text, regex))
+    paths = spark.createDataFrame([(f"sources/supplier_{k}.md",) for k in range(300)], "path string")
+    made = spark.createDataFrame([(g.format(k=k),) for k in range(300) for g in ("sources/supplier_{k}.md", "supplier_{k}?", "*_{k}.md", "sources/**/supplier_{k}.md")], "pattern string")
+    assert globs.matches(paths, made).count() == 300 + 0 + 300 + 300
+    asked = made.select("pattern", globs._glob_keys(F.col("pattern")).alias("keys"))
+    keys = {r.pattern: {x.side: x.key for x in r["keys"]} for r in asked.collect()}
+    assert keys["sources/**/supplier_7.md"] == {0: "sources/", 1: "supplier_7.md"} and keys["supplier_7?"] == {0: "supplier_7"}
+    assert keys["sources/supplier_7.md"][0] == "sources/supplier_7.md"
