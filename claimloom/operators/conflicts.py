@@ -21,11 +21,14 @@ def canonical_name(relation: Column, canonical: Column, is_target: Column) -> Co
 
 
 def with_canonical(claims: DataFrame, aliases: DataFrame | None) -> DataFrame:
-    """``claims`` with ``canonical``, by ``aliases`` (raw, canonical) in normal form C."""
+    """``claims`` with ``canonical``, by ``aliases`` (raw, canonical) in normal form C.
+
+    Declarations are broadcast: by their relation, nearly all claims would meet in a few tasks.
+    """
     if aliases is None:
         return claims.withColumn("canonical", F.col("relation"))
-    targets = aliases.select(F.col("canonical").alias("_target")).distinct()
-    rows = claims.withColumn("_composed", nfc(F.col("relation"))).join(aliases.select(F.col("raw").alias("_composed"), F.col("canonical").alias("_alias")), "_composed", "left")
+    targets = F.broadcast(aliases.select(F.col("canonical").alias("_target")).distinct())
+    rows = claims.withColumn("_composed", nfc(F.col("relation"))).join(F.broadcast(aliases.select(F.col("raw").alias("_composed"), F.col("canonical").alias("_alias"))), "_composed", "left")
     rows = rows.join(targets, rows["_composed"] == targets["_target"], "left")
     return rows.select(*claims.columns, canonical_name(F.col("relation"), F.col("_alias"), F.col("_target").isNotNull()).alias("canonical"))
 
@@ -39,8 +42,8 @@ def _specs(spark, types: Mapping[str, str] | DataFrame | None) -> DataFrame:
 
 
 def with_spec(rows: DataFrame, specs: DataFrame) -> DataFrame:
-    """``rows`` (relation, canonical) with ``_type`` and ``_units``: the declaration of the canonical name, else of the spelled one."""
-    named = lambda k: specs.select(F.col("relation").alias(f"_of{k}"), F.col("type").alias(f"_type{k}"), F.col("units").alias(f"_units{k}"))
+    """``rows`` (relation, canonical) with ``_type`` and ``_units``: the declaration of the canonical name, else of the spelled one; broadcast as aliases are."""
+    named = lambda k: F.broadcast(specs.select(F.col("relation").alias(f"_of{k}"), F.col("type").alias(f"_type{k}"), F.col("units").alias(f"_units{k}")))
     one, two = named(1), named(2)
     both = rows.withColumns({"_name1": nfc(F.col("canonical")), "_name2": nfc(F.col("relation"))})
     both = both.join(one, both["_name1"] == one["_of1"], "left").join(two, both["_name2"] == two["_of2"], "left")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import unicode
 from claimloom.functions.unicode import nfc
-from claimloom.operators import globs
+from claimloom.operators import conflicts, globs
+from test_core import claims
 
 
 def plan(df) -> str:
@@ -24,6 +25,18 @@ def test_normal_form_asks_for_cheap_signs_first(spark):
     assert shown.index("octet_length") < shown.index("x{340}") if "x{340}" in shown else "octet_length" in shown
 
 
+def test_declared_names_meet_claims_where_they_are(spark, tmp_path):
+    """Aliases of a file have no known size: a join by relation would bring all claims of one relation to one task."""
+    (tmp_path / "a").write_text("raw,to\n")
+    of_file = spark.read.schema("raw string, canonical string").csv(str(tmp_path / "a"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shown = plan(conflicts.with_canonical(claims(spark, ("s", "raw", "o", "f", "accepted")), of_file))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in shown and "BroadcastHashJoin" in shown
+
+
 def test_a_glob_meets_only_paths_of_its_rarer_literal_end(spark, monkeypatch):
     tried = []
     rlike = F.rlike
