@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,8 +82,13 @@ def shared_tokens(names: DataFrame, least: int = 2) -> DataFrame:
     return words.join(words.groupBy("word").agg(F.count("*").alias("n_names")).where("n_names > 1"), "word")
 
 
+def added(part: Column) -> Column:
+    """The sum of longs, none negative, of which 63 bits stay: no number of rows outgrows it."""
+    return F.coalesce(F.sum(part.cast("decimal(20,0)")) % F.lit(Decimal(1 << 63)), F.lit(0)).cast("long")
+
+
 def snapshot(claims: DataFrame) -> DataFrame:
-    """A review queue's fingerprint that no order changes: number of pending triples, and the sum of their hashes."""
+    """A review queue's fingerprint that no order changes: number of pending triples, and the sum of their hashes, of which 63 bits stay."""
     pending = claims.where(F.col("status").isin("needs_review", "candidate")).select(*TRIPLE).distinct()
     part = F.conv(F.substring(F.md5(F.concat_ws("\x1f", *TRIPLE).cast("binary")), 1, 10), 16, 10).cast("long")
-    return pending.agg(F.count("*").alias("n"), F.coalesce(F.sum(part), F.lit(0)).alias("fingerprint"))
+    return pending.agg(F.count("*").alias("n"), added(part).alias("fingerprint"))

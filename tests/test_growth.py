@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import unicode
 from claimloom.functions.unicode import nfc
-from claimloom.operators import conflicts, globs
+from claimloom.operators import audit, conflicts, globs
 from test_core import claims
 
 
@@ -48,3 +48,9 @@ def test_a_glob_meets_only_paths_of_its_rarer_literal_end(spark, monkeypatch):
     keys = {r.pattern: {x.side: x.key for x in r["keys"]} for r in asked.collect()}
     assert keys["sources/**/supplier_7.md"] == {0: "sources/", 1: "supplier_7.md"} and keys["supplier_7?"] == {0: "supplier_7"}
     assert keys["sources/supplier_7.md"][0] == "sources/supplier_7.md"
+
+
+def test_fingerprints_beyond_a_long(spark):
+    rows = spark.createDataFrame([(1 << 62,), (1 << 62,), (5,)], "x long")
+    assert rows.agg(audit.added(F.col("x"))).first()[0] == 5
+    assert rows.where("x = 5").agg(audit.added(F.col("x"))).first()[0] == 5 and rows.where("false").agg(audit.added(F.col("x"))).first()[0] == 0
