@@ -6,7 +6,6 @@ Arrow batches. Nothing is shuffled, and no text is collected. (Arrow's own ``utf
 
 from __future__ import annotations
 
-import functools
 import unicodedata
 from collections.abc import Callable
 
@@ -15,25 +14,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: The first character of ``_unsettled``.
+#: All characters before this one stay in form C, in every text. The others are not told apart in the JVM: a class of all
+#: that may change has 279 ranges, which cost a character more than the way to Python.
 FIRST_UNSETTLED = 0x300
 
 
-@functools.cache
-def _unsettled() -> str:
-    """A character class of all that form C may change: what has another form C, may join the character before it, or be reordered."""
-    joins = {ord(d[1]) for c in range(0xA0, 0x30000) if len(d := unicodedata.normalize("NFD", chr(c))) > 1 and not 0xAC00 <= c <= 0xD7A3}
-    found = [c for c in range(0xA0, 0x30000) if c in joins or 0x1161 <= c <= 0x11FF or unicodedata.combining(chr(c)) or unicodedata.normalize("NFC", chr(c)) != chr(c)]
-    runs: list[list[int]] = []
-    for c in found:
-        if runs and runs[-1][1] == c - 1:
-            runs[-1][1] = c
-        else:
-            runs.append([c, c])
-    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs) + "]"
-
-
-def _changed(text: pa.Array, change: Callable[[str], str]) -> pa.Array:
+def changed(text: pa.Array, change: Callable[[str], str]) -> pa.Array:
     """``text`` with ``change`` made to what is not null: each distinct value once a batch."""
     if text.null_count == len(text):
         return text
@@ -43,12 +29,12 @@ def _changed(text: pa.Array, change: Callable[[str], str]) -> pa.Array:
 
 @F.arrow_udf(StringType())
 def _composed(text: pa.Array) -> pa.Array:
-    return _changed(text, lambda x: unicodedata.normalize("NFC", x))
+    return changed(text, lambda x: unicodedata.normalize("NFC", x))
 
 
 @F.arrow_udf(StringType())
 def _folded(text: pa.Array) -> pa.Array:
-    return _changed(text, str.casefold)
+    return changed(text, str.casefold)
 
 
 def beyond_ascii(text: Column) -> Column:
@@ -56,12 +42,8 @@ def beyond_ascii(text: Column) -> Column:
 
 
 def nfc(text: Column) -> Column:
-    """``text`` in Unicode normal form C; null is null.
-
-    A character of ``_unsettled`` is looked up range by range, so a text is asked first whether it has any from
-    ``FIRST_UNSETTLED`` on: all before it stay in every text.
-    """
-    unsettled = beyond_ascii(text) & text.rlike(rf"[^\x00-\x{{{FIRST_UNSETTLED - 1:x}}}]") & text.rlike(_unsettled())
+    """``text`` in Unicode normal form C; null is null."""
+    unsettled = beyond_ascii(text) & text.rlike(rf"[^\x00-\x{{{FIRST_UNSETTLED - 1:x}}}]")
     return F.coalesce(_composed(F.when(unsettled, text)), text)
 
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 import unicodedata
 from string import ascii_lowercase, ascii_uppercase
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from claimloom.functions import scalars as S
-from claimloom.functions.unicode import fold_case, nfc
+from claimloom.functions.unicode import beyond_ascii, changed, fold_case, nfc
 from claimloom.operators import audit, conflicts, facts as K, merge, text_search
 from claimloom.plans.registry import query
 from claimloom.plans.triples import COLUMNS, FACTS, facts, table
@@ -20,10 +22,17 @@ LETTERS = [c for c in map(chr, range(0xC0, 0x180)) if len(unicodedata.normalize(
 NAME, NAME_D = "langue_attestée", unicodedata.normalize("NFD", "langue_attestée")
 
 
+_DECOMPOSED = {ord(c): unicodedata.normalize("NFD", c) for c in LETTERS}
+
+
+@F.arrow_udf(StringType())
+def _letters_decomposed(text: pa.Array) -> pa.Array:
+    return changed(text, lambda x: x.translate(_DECOMPOSED))
+
+
 def decomposed(text: Column) -> Column:
-    for c in LETTERS:
-        text = F.replace(text, F.lit(c), F.lit(unicodedata.normalize("NFD", c)))
-    return text
+    """``text`` with each of ``LETTERS`` in its decomposed form. (As a replacement a letter in the plan, the step is too long for the JVM to compile.)"""
+    return F.coalesce(_letters_decomposed(F.when(beyond_ascii(text), text)), text)
 
 
 def _decomposed_sql(text: str) -> str:
@@ -43,7 +52,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = F.col("doc_id") % 2 == 1
     status = F.element_at(F.array(*[F.lit(s) for s in K.STATUS_RANK]), (F.col("doc_id") % 5 + 1).cast("int"))
     return words(spark, sf_dir).select(
-        F.when(odd, decomposed(F.col("word"))).otherwise(F.col("word")).alias("subject"), F.when(odd, NAME_D).otherwise(NAME).alias("relation"), F.col("lang").alias("object"),
+        F.coalesce(decomposed(F.when(odd, F.col("word"))), F.col("word")).alias("subject"), F.when(odd, NAME_D).otherwise(NAME).alias("relation"), F.col("lang").alias("object"),
         F.concat(F.lit("sources/"), "source", F.lit(".md#"), F.col("doc_id").cast("string")).alias("source"), status.alias("status"), ((F.col("doc_id") % 101) / F.lit(100)).cast("decimal(3,2)").cast("string").alias("confidence"), F.lit("").alias("note")).select(*COLUMNS)
 
 
@@ -101,7 +110,7 @@ _BYTES = "translate(lower(nfc_normalize(name)), 'äöüéèêçñáíóúàâî
 @query(f"""WITH {WORDS}, v AS (SELECT DISTINCT {_decomposed_sql('word')} AS name FROM words), d AS (SELECT name, CAST(levenshtein({_BYTES}, 'schAft') AS BIGINT) AS distance FROM v)
   SELECT name, distance FROM d WHERE distance BETWEEN 1 AND 2 ORDER BY distance, replace(lower(nfc_normalize(name)), 'ß', 'ss'), name LIMIT 25""")
 def T5_did_you_mean_across_spellings(spark, sf_dir):
-    return text_search.nearest(words(spark, sf_dir).select(decomposed(F.col("word")).alias("name")).distinct(), "SCHÄFT", 25)
+    return text_search.nearest(words(spark, sf_dir).select("word").distinct().select(decomposed(F.col("word")).alias("name")).distinct(), "SCHÄFT", 25)
 
 
 @query(f"""WITH {SPELLED}, e AS (SELECT DISTINCT relation, CASE WHEN object = 'en' THEN translate(subject, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || ' ' ELSE subject END AS object FROM (SELECT nfc_normalize(relation) AS relation, subject, object FROM spelled WHERE status IN ('confirmed','accepted'))),
@@ -115,7 +124,7 @@ def A9_spellings_of_words(spark, sf_dir):
 
 @query(f"WITH {WORDS} SELECT DISTINCT word, replace(lower(word), 'ß', 'ss') AS fold FROM words")
 def X20_folded_case(spark, sf_dir):
-    return words(spark, sf_dir).select("word", fold_case(F.col("word")).alias("fold")).distinct()
+    return words(spark, sf_dir).select("word").distinct().select("word", fold_case(F.col("word")).alias("fold"))
 
 
 #: All claims with objects in other spellings, in labels for the rest, or saying nothing, by their confidence.
