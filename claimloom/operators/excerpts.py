@@ -160,8 +160,8 @@ def bridge(claims: DataFrame, questions: DataFrame, synonyms: DataFrame | None =
     A word of a claim's relation or object meets the words of questions with the same ``SHARED`` first characters, case
     and Unicode form aside; of a claim's words the one that shares the longest beginning stays, of equal ones the least.
     ``synonyms`` (members) lead on from a question's word to the others of its group, which ``via`` names; a word that
-    leads there itself needs none. Distinct words are compared, not claims, so a word that very many claims have costs
-    one comparison a question's word.
+    leads there itself needs none. Distinct relations and objects are compared, not claims, so a word that very many
+    claims have costs one comparison a question's word; a claim then takes the better of its relation's and its object's.
     """
     spark = claims.sparkSession
     asked = [(r["question"], term) for r in questions.select("question", "text").collect() for term, _ in keywords(r["text"] or "")]  # the questions themselves
@@ -171,10 +171,20 @@ def bridge(claims: DataFrame, questions: DataFrame, synonyms: DataFrame | None =
         member = synonyms.select("members", F.explode("members").alias("_one")).withColumn("_term", F.lower("_one"))
         more = terms.join(member, terms["term"] == member["_term"]).select("question", "term", F.explode(F.array_remove("members", F.col("_one"))).alias("via"))
         terms = terms.unionByName(more.select("question", "term", F.lower("via").alias("look"), "via"))
-    rows = claims.select(*[nfc(F.col(c)).alias(c) for c in ("subject", "relation", "object")]).distinct()
-    parts = stored(rows.select("subject", "relation", "object", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", "relation", "object")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("word")).where(F.length("word") >= SHARED), "bridge-words")
-    first = lambda c: F.left(F.col(c), F.lit(SHARED))
-    words = parts.select("word").distinct().withColumn("start", first("word"))
-    met = words.join(terms.where(F.length("look") >= SHARED).withColumn("start", first("look")), "start").select("question", "term", "via", "word", shared_prefix(F.col("word"), F.col("look")).alias("shared"))
-    found = parts.join(met, "word").groupBy("question", "subject", "relation", "object", "term").agg(F.min(F.struct((F.col("via") != "").alias("led"), (-F.col("shared")).alias("less"), "word", "via")).alias("best"))
-    return found.select("question", "subject", "relation", "object", "term", F.col("best.via").alias("via"), F.col("best.word").alias("word"), (-F.col("best.less")).alias("shared"))
+    terms = terms.where(F.length("look") >= SHARED).withColumn("start", F.left("look", F.lit(SHARED)))
+    rows = stored(claims.select(*[nfc(F.col(c)).alias(c) for c in ("subject", "relation", "object")]).distinct(), "bridge-claims")
+
+    def led(part: str) -> DataFrame:
+        """Each distinct text of a part of the claims with its best word for each term of a question."""
+        words = rows.select(part).distinct().select(part, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(part), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("word"))
+        met = words.where(F.length("word") >= SHARED).withColumn("start", F.left("word", F.lit(SHARED))).join(F.broadcast(terms), "start")
+        best = met.groupBy(part, "question", "term").agg(F.min(F.struct((F.col("via") != "").alias("led"), (-shared_prefix(F.col("word"), F.col("look"))).alias("less"), "word", "via")).alias("best"))
+        return stored(best.groupBy(part).agg(F.collect_list(F.struct("question", "term", "best")).alias(f"_{part}")), "bridge-words")
+
+    both = rows.join(F.broadcast(led("relation")), "relation", "left").join(led("object"), "object", "left")
+    none = F.array().cast(both.schema["_object"].dataType)
+    both = both.withColumn("all", F.array_sort(F.concat(F.coalesce("_relation", none), F.coalesce("_object", none))))
+    same = lambda x, y: x["question"].eqNullSafe(y["question"]) & x["term"].eqNullSafe(y["term"])
+    first = F.filter("all", lambda x, k: (k == 0) | ~same(x, F.get("all", k - 1)))  # the least of a term comes first
+    found = both.select("subject", "relation", "object", F.explode(first).alias("x"))
+    return found.select("x.question", "subject", "relation", "object", "x.term", F.col("x.best.via").alias("via"), F.col("x.best.word").alias("word"), (-F.col("x.best.less")).alias("shared"))

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import unicode
 from claimloom.functions.unicode import nfc
-from claimloom.operators import audit, conflicts, globs
-from test_core import claims
+from claimloom.operators import audit, conflicts, excerpts, globs
+from test_core import claims, pairs
 
 
 def plan(df) -> str:
@@ -54,3 +54,10 @@ def test_fingerprints_beyond_a_long(spark):
     rows = spark.createDataFrame([(1 << 62,), (1 << 62,), (5,)], "x long")
     assert rows.agg(audit.added(F.col("x"))).first()[0] == 5
     assert rows.where("x = 5").agg(audit.added(F.col("x"))).first()[0] == 5 and rows.where("false").agg(audit.added(F.col("x"))).first()[0] == 0
+
+
+def test_a_bridge_takes_the_better_of_relation_and_object(spark):
+    rows = claims(spark, ("s", "mention", "mentions men", "f", "accepted"), ("s", "mention", "mentions men", "g", "accepted"), ("t", "other", "x", "f", "accepted"))
+    got = excerpts.bridge(rows, spark.createDataFrame([(1, "mentions menu")], "question long, text string"))
+    assert pairs(got.select("subject", "term", "word", "shared")) == [("s", "mentions", "mentions", 8), ("s", "menu", "men", 3)]
+    assert "mapinarrow" not in plan(got).lower() and plan(got).count("SortMergeJoin") == 0  # claims stay where they are
