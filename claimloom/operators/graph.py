@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.functions.storage import stored
+from claimloom.functions.storage import shared_dir, stored
 
 
 def closure(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
@@ -87,6 +89,24 @@ def steps(reached: DataFrame) -> DataFrame:
     return at.select("start", "v", (F.col("hops") - F.col("left")).alias("step"), "node").unionByName(first)
 
 
+def routes(reached: DataFrame, mark: str = ">") -> DataFrame:
+    """(start, v, route) of ``reached`` (of ``breadth_first``): each route's nodes in one text, ``mark`` between them.
+
+    A level of hops is its parents' level with one node more, so a route is written once and passed on once, whatever
+    its length. Levels are written out but for the last, most often the largest.
+    """
+    longest = reached.agg(F.max("hops")).first()[0] or 0
+    at = f"{shared_dir(reached.sparkSession)}/routes-{uuid.uuid4().hex}"
+    last = reached.where("hops = 1").select("start", "v", F.concat_ws(mark, "start", "v").alias("route"))
+    for hops in range(2, longest + 1):
+        last.write.parquet(f"{at}/level={hops - 1}")
+        before = reached.sparkSession.read.schema(last.schema).parquet(f"{at}/level={hops - 1}").withColumnRenamed("v", "parent")
+        last = reached.where(F.col("hops") == hops).select("start", "v", "parent").join(before, ["start", "parent"]).select("start", "v", F.concat_ws(mark, "route", "v").alias("route"))
+    if longest < 2:
+        return last
+    return reached.sparkSession.read.schema(last.schema).parquet(*[f"{at}/level={k}" for k in range(1, longest)]).unionByName(last)
+
+
 def route(edges: DataFrame, start: str, target: str, most_rounds: int = 1000) -> DataFrame:
     """(step, node) of one shortest route from ``start`` to ``target``; of equal ones the smallest parent each time."""
     seed = edges.sparkSession.createDataFrame([(start,)], "v string")

@@ -41,9 +41,7 @@ def R3_routes_of_all_starts(spark, sf_dir):
 @query(f"""WITH RECURSIVE {REFERRALS}, line AS (SELECT start, v, hops, start || '>' || v AS route FROM reached WHERE hops = 1 UNION ALL SELECT r.start, r.v, r.hops, l.route || '>' || r.v FROM line l JOIN reached r ON r.start = l.start AND r.parent = l.v AND r.hops = l.hops + 1)
   SELECT start, v, route FROM line""")
 def R3_routes_as_written(spark, sf_dir):
-    walked = graph.steps(graph.breadth_first(_referrals(spark, sf_dir), _starts(spark, sf_dir)))
-    parts = walked.groupBy("start", "v").agg(F.array_sort(F.collect_list(F.struct("step", "node"))).alias("all"))
-    return parts.select("start", "v", F.array_join(F.transform("all", lambda x: x["node"]), ">").alias("route"))
+    return graph.routes(graph.breadth_first(_referrals(spark, sf_dir), _starts(spark, sf_dir)))
 
 
 @query(f"""WITH RECURSIVE {REFERRALS.replace("SELECT CAST(min(c_custkey) AS VARCHAR) AS start FROM customer GROUP BY c_nationkey", "SELECT min(u) AS start FROM refers")}, t AS (SELECT min(v) AS v FROM reached),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import unicode
 from claimloom.functions.unicode import nfc
-from claimloom.operators import audit, conflicts, excerpts, globs
+from claimloom.operators import audit, conflicts, excerpts, globs, graph
 from test_core import claims, pairs
 
 
@@ -50,6 +50,15 @@ def test_a_glob_meets_only_paths_of_its_rarer_literal_end(spark, monkeypatch):
     assert keys["sources/supplier_7.md"][0] == "sources/supplier_7.md"
 
 
+def test_routes_as_text_equal_their_steps(spark):
+    edges = spark.createDataFrame([(str(k), str(x)) for k in range(40) for x in (k * 2 % 40, (k * 2 + 1) % 40)] + [(f"c{k}", f"c{k + 1}") for k in range(11)], "u string, v string")
+    reached = graph.breadth_first(edges, spark.createDataFrame([("1",), ("c0",), ("none",)], "v string"))
+    parts = graph.steps(reached).groupBy("start", "v").agg(F.array_sort(F.collect_list(F.struct("step", "node"))).alias("all"))
+    want = parts.select("start", "v", F.array_join(F.transform("all", lambda x: x["node"]), ">").alias("route"))
+    assert pairs(graph.routes(reached)) == pairs(want) and "c0>c1>c2>c3>c4>c5>c6>c7>c8>c9>c10>c11" in {r.route for r in graph.routes(reached).collect()}
+    assert graph.routes(reached.where("false")).count() == 0 and graph.routes(reached.where("hops = 1")).count() == reached.where("hops = 1").count()
+
+
 def test_fingerprints_beyond_a_long(spark):
     rows = spark.createDataFrame([(1 << 62,), (1 << 62,), (5,)], "x long")
     assert rows.agg(audit.added(F.col("x"))).first()[0] == 5
