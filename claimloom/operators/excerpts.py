@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from claimloom.functions.ordering import numbered
 from claimloom.functions.storage import shared_dir, stored
 from claimloom.functions.unicode import nfc
 
@@ -124,19 +125,29 @@ def hits(spark: SparkSession, index: Index, questions: DataFrame) -> DataFrame:
     return found.select("question", "file", "line", "term", (F.col("n") * in_word).alias("n"))
 
 
-def search(spark: SparkSession, index: Index, questions: DataFrame, limit: int | None = 10) -> DataFrame:
-    """(question, rank, file, line, grade, coverage, frequency, excerpt) of the ``limit`` best excerpts of each of ``questions`` (question, text); lines from 1."""
+def search(spark: SparkSession, index: Index, questions: DataFrame, limit: int | None = 10, texts: bool = True) -> DataFrame:
+    """(question, rank, file, line, grade, coverage, frequency, excerpt) of the ``limit`` best excerpts of each of ``questions`` (question, text); lines from 1.
+
+    Without ``texts`` there is no excerpt, and no text is read. Tables of files and windows are small as they are
+    written and large once they are broadcast, so that they are merged.
+    """
     found = stored(hits(spark, index, questions), "excerpt-hits")
-    files = index.table(spark, "files")
+    files = index.table(spark, "files").hint("merge")
     matched = found.select("question", "file", "line").distinct().join(files.select("file", "fence", "prose"), "file").select("question", "file", "line", "fence", "prose")
     schema = f"question {questions.schema['question'].dataType.simpleString()}, file string, line int, covered int"
     windows = stored(matched.repartition("question", "file").sortWithinPartitions("question", "file", "line").mapInArrow(_windows, schema), "excerpt-windows")
     near = windows.select("question", "file", F.col("line").alias("at"), F.explode(F.sequence(F.greatest(F.lit(0), F.col("line") - REACH), F.col("line") + REACH)).alias("line"))
-    by_term = near.join(found, ["question", "file", "line"]).groupBy("question", "file", "at", "term").agg(F.sum("n").alias("n"))
+    by_term = near.hint("merge").join(found, ["question", "file", "line"]).groupBy("question", "file", "at", "term").agg(F.sum("n").alias("n"))
     scored = by_term.groupBy("question", "file", "at").agg(F.count("*").alias("coverage"), F.sum("n").cast("long").alias("frequency")).join(files.select("file", "grade"), "file")
-    order = Window.partitionBy("question").orderBy(F.desc("grade"), F.desc("coverage"), F.desc("frequency"), "file", "at")
-    ranked = scored.withColumn("rank", F.row_number().over(order))
-    best = stored((ranked.where(F.col("rank") <= limit) if limit else ranked).join(windows.withColumnRenamed("line", "at"), ["question", "file", "at"]), "excerpt-best")
+    if limit:
+        order = Window.partitionBy("question").orderBy(F.desc("grade"), F.desc("coverage"), F.desc("frequency"), "file", "at")
+        ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    else:
+        falling = {f"_{c}": -F.col(c) for c in ("grade", "coverage", "frequency")}
+        ranked = numbered(scored.withColumns(falling), ["question"], [*falling, "file", "at"], "rank").drop(*falling).withColumn("rank", F.col("rank").cast("int"))
+    if not texts:
+        return ranked.select("question", "rank", "file", (F.col("at") + 1).alias("line"), "grade", "coverage", "frequency")
+    best = stored(ranked.join(windows.withColumnRenamed("line", "at").hint("merge"), ["question", "file", "at"]), "excerpt-best")
     shown = best.select("question", "file", "at", F.explode(F.concat(F.sequence(F.greatest(F.lit(0), F.col("at") - REACH), F.col("at") + REACH), F.when(F.col("covered") > F.col("at") + REACH, F.array("covered")).otherwise(F.array().cast("array<int>")))).alias("line"))
     lines = index.table(spark, "lines").select("file", "line", F.regexp_replace("text", r"[\p{Cc}\p{Cf}&&[^\t]]", "").alias("text"))
     texts = shown.join(lines, ["file", "line"]).groupBy("question", "file", "at").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("all"))

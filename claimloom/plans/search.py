@@ -43,7 +43,7 @@ def T4_ranked_excerpts(spark, sf_dir):
 
 @query(f"""WITH RECURSIVE {_FOUND}, {_WINDOWS} SELECT question, count(*) AS n_windows, count(DISTINCT file) AS n_files, CAST(sum(at_line) AS BIGINT) AS lines FROM s GROUP BY 1""")
 def W8_windows_that_do_not_overlap(spark, sf_dir):
-    got = excerpts.search(spark, _index(spark, sf_dir), _questions(spark), limit=None)
+    got = excerpts.search(spark, _index(spark, sf_dir), _questions(spark), limit=None, texts=False)
     return got.groupBy("question").agg(F.count("*").alias("n_windows"), F.countDistinct("file").alias("n_files"), F.sum(F.col("line") - 1).cast("long").alias("lines"))
 
 

@@ -65,6 +65,15 @@ def test_fingerprints_beyond_a_long(spark):
     assert rows.where("x = 5").agg(audit.added(F.col("x"))).first()[0] == 5 and rows.where("false").agg(audit.added(F.col("x"))).first()[0] == 0
 
 
+def test_all_windows_are_ranked_without_a_text_or_a_task_a_question(spark):
+    docs = spark.createDataFrame([(f"f{k}", "the word\n" + "x\n" * 9 + "word word") for k in range(6)], "file string, text string")
+    asked = spark.createDataFrame([(1, "word"), (2, "the")], "question long, text string")
+    index = excerpts.build(docs)
+    bare = excerpts.search(spark, index, asked, limit=None, texts=False)
+    assert pairs(bare) == pairs(excerpts.search(spark, index, asked, limit=None).drop("excerpt"))
+    assert sorted((r.question, r["rank"]) for r in bare.collect()) == [(1, k) for k in range(1, 13)] + [(2, k) for k in range(1, 7)]
+
+
 def test_a_bridge_takes_the_better_of_relation_and_object(spark):
     rows = claims(spark, ("s", "mention", "mentions men", "f", "accepted"), ("s", "mention", "mentions men", "g", "accepted"), ("t", "other", "x", "f", "accepted"))
     got = excerpts.bridge(rows, spark.createDataFrame([(1, "mentions menu")], "question long, text string"))
