@@ -134,52 +134,51 @@ def paths(edges: DataFrame, start: str | None = None, target: str | None = None,
     return whole.where("u = v") if same else whole
 
 
-def _through(known: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs that a walk through one of ``links`` connects: what reaches its start, itself included, to what its end reaches."""
-    before = links.join(known.select(F.col("u").alias("a"), F.col("v").alias("u")), "u").select("a", "v").unionByName(links.select(F.col("u").alias("a"), "v"))
-    after = before.join(known.select(F.col("u").alias("v"), F.col("v").alias("d")), "v").select("a", "d")
-    return before.select("a", F.col("v").alias("d")).unionByName(after).distinct().select(F.col("a").alias("u"), F.col("d").alias("v"))
+def _hops(known: DataFrame, added: DataFrame) -> DataFrame:
+    """(u, v): an edge of ``added``, alone or with what ``known`` reaches beyond it."""
+    beyond = added.join(known.select(F.col("u").alias("v"), F.col("v").alias("d")), "v").select("u", F.col("d").alias("v"))
+    return added.select("u", "v").unionByName(beyond).distinct()
 
 
-def closure_with(known: DataFrame, added: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """The closure ``known`` once the edges ``added`` (u, v) have come: only pairs that a new edge makes are worked out."""
-    added = stored(added.select("u", "v").distinct().join(known, ["u", "v"], "left_anti"), "added")
-    onward = stored(_through_end(known, added), "onward")  # a new edge and all beyond it
-    new = stored(_through(known, added).join(known, ["u", "v"], "left_anti"), "closure-new")
-    for _ in range(most_rounds):
+def _doubled(hops: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(u, v) of walks of one or more ``hops``, in about log2(longest) rounds.
+
+    What is ``reach`` hops apart at most is known with its least number of hops; a pair that is further apart, but not
+    twice as far, has a node exactly ``reach`` hops on. So a round joins those nodes' pairs alone, not all with all.
+    """
+    far = stored(hops.select("u", "v", F.lit(1).alias("hops")), "hops")
+    for k in range(most_rounds):
+        middle = far.where(F.col("hops") == 2**k).select("u", F.col("v").alias("w"))
+        found = middle.join(far.select(F.col("u").alias("w"), "v", "hops"), "w").groupBy("u", "v").agg((F.min("hops") + 2**k).alias("hops"))
+        new = stored(found.join(far, ["u", "v"], "left_anti"), "hops")
         if new.isEmpty():
-            return known
-        known = stored(known.unionByName(new), "closure-known")
-        more = new.withColumnRenamed("v", "w").join(onward.withColumnRenamed("u", "w"), "w").select("u", "v").distinct()
-        new = stored(more.join(known, ["u", "v"], "left_anti"), "closure-new")
-    raise RuntimeError(f"no fixpoint in {most_rounds} rounds")
+            return far.select("u", "v")
+        far = far.unionByName(new)
+    raise RuntimeError(f"walks of more than 2^{most_rounds} hops")
 
 
-def _through_end(known: DataFrame, links: DataFrame) -> DataFrame:
-    beyond = links.join(known.select(F.col("u").alias("v"), F.col("v").alias("d")), "v").select("u", F.col("d").alias("v"))
-    return links.unionByName(beyond).distinct()
+def closure_with(known: DataFrame, added: DataFrame) -> DataFrame:
+    """The closure ``known`` once the edges ``added`` (u, v) have come: only pairs that a new edge makes are worked out.
+
+    A walk with new edges is a known pair or none, then one or more hops: a new edge with what is known beyond it.
+    """
+    added = stored(added.select("u", "v").distinct().join(known, ["u", "v"], "left_anti"), "added")
+    beyond = stored(_doubled(_hops(known, added)), "beyond")
+    led = known.withColumnRenamed("v", "w").join(beyond.withColumnRenamed("u", "w"), "w").select("u", "v")
+    new = stored(beyond.unionByName(led).distinct().join(known, ["u", "v"], "left_anti"), "closure-new")
+    return known.unionByName(new)
 
 
-def closure_without(known: DataFrame, edges: DataFrame, removed: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def closure_without(known: DataFrame, edges: DataFrame, removed: DataFrame) -> DataFrame:
     """The closure ``known`` once ``removed`` (u, v) have gone and ``edges`` are left: delete and rederive.
 
-    Every pair that some walk through a removed edge connects is taken out; those that the rest still connects come
-    back, round by round from what stayed. The other pairs are never looked at.
+    All pairs of nodes that reach a removed edge are taken out, and come back as those nodes' edges are added to the
+    rest. The other nodes reach none of them: their pairs stay as they are.
     """
-    edges = stored(edges.select("u", "v").distinct(), "edges")
-    doubted = stored(_through(known, removed.select("u", "v").distinct()).join(known, ["u", "v"], "left_semi"), "doubted")
-    kept = stored(known.join(doubted, ["u", "v"], "left_anti"), "closure-known")
-    first = edges.select(F.col("u"), F.col("v").alias("w"))
-    direct = doubted.join(edges, ["u", "v"], "left_semi")
-    over_kept = doubted.join(first, "u").join(kept.select(F.col("u").alias("w"), "v"), ["w", "v"], "left_semi").select("u", "v")
-    back = stored(direct.unionByName(over_kept).distinct(), "closure-back")
-    for _ in range(most_rounds):
-        if back.isEmpty():
-            return kept
-        kept = stored(kept.unionByName(back), "closure-known")
-        left = doubted.join(kept, ["u", "v"], "left_anti")
-        back = stored(back.select(F.col("u").alias("w"), "v").join(first, "w").select("u", "v").distinct().join(left, ["u", "v"], "left_semi"), "closure-back")
-    raise RuntimeError(f"no fixpoint in {most_rounds} rounds")
+    gone = removed.select("u").distinct()
+    doubted = stored(known.join(gone.withColumnRenamed("u", "v"), "v", "left_semi").select("u").unionByName(gone).distinct(), "doubted")
+    kept = stored(known.join(doubted, "u", "left_anti"), "closure-known")
+    return closure_with(kept, edges.join(doubted, "u", "left_semi"))
 
 
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:

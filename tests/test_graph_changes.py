@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from claimloom.functions.storage import stored
 from claimloom.operators import graph
 from claimloom.streaming import freshness, incremental
 
@@ -80,3 +81,14 @@ def test_due_by_timers(spark, tmp_path):
         now = sorted((r.id, str(r.last)) for r in spark.read.schema(found.schema).parquet(f"{tmp_path}/out").collect())
         got.append([x for x in now if x not in sum(got, [])])
     assert got == [[("torn", "None")], [("a", "2024-01-01 00:00:00")], [("b", "2024-01-02 12:00:00"), ("torn", "2024-01-03 00:00:00")]]
+
+
+def test_a_long_cycle_is_closed_in_few_rounds(spark, monkeypatch):
+    """A round once grew each walk by one edge: 64 rounds, each of which wrote the closure again."""
+    written = []
+    monkeypatch.setattr(graph, "stored", lambda df, name: written.append(name) or stored(df, name))
+    cycle = {(f"n{k:02}", f"n{(k + 1) % 64:02}") for k in range(64)}
+    whole = graph.closure_with(frame(spark, cycle).where("false"), frame(spark, cycle | {("n00", "n32"), ("x", "n07")}))
+    assert whole.count() == 64 * 65 and len(written) < 15
+    less = graph.closure_without(whole, frame(spark, cycle | {("x", "n07")}), frame(spark, {("n00", "n32")}))
+    assert less.count() == 64 * 65 and len(written) < 30
