@@ -10,6 +10,22 @@ from pyspark.sql import functions as F
 from claimloom.functions.storage import stored
 
 
+#: Estimated bytes of what a task is dealt.
+SHARE = 32 << 20
+
+
+def dealt(df: DataFrame, keys: Sequence[str], like: DataFrame | None = None) -> DataFrame:
+    """``df`` dealt out by ``keys`` before it is grouped, in parts whose number grows with the size of ``like`` (itself) as Spark estimates it.
+
+    What a task holds is then the groups of its part: neither the input's splits nor the number of shuffle partitions
+    decides on it. Copies of one row come one after the other and take no memory.
+    """
+    size = int(str((df if like is None else like)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = size < 1 << 60  # rows of a Python list have no size
+    return df.repartition(max(least, size // SHARE if known else 0), *keys)
+
+
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column], name: str = "running") -> DataFrame:
     """``df`` with each of ``sums`` added up within ``keys`` in ``order`` (ascending, null first), each row's own included.
 

@@ -7,9 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.functions.ordering import dealt
 from claimloom.functions.scalars import has_control
 from claimloom.operators.conflicts import PARSERS
-from claimloom.operators.facts import STATUS_RANK, TRIPLE, atoms, canonical, engine_facts
+from claimloom.operators.facts import STATUS_RANK, TRIPLE, canonical, engine_facts
 from claimloom.operators.graph import closure
 
 
@@ -27,8 +28,10 @@ def control_characters(claims: DataFrame) -> DataFrame:
 
 def drift(claims: DataFrame, accepted: DataFrame) -> DataFrame:
     """Triples on one side alone: engine atoms that were not written, or written ones that are no atoms."""
-    a, b = atoms(claims).withColumn("side", F.lit("only-table")), accepted.select(*TRIPLE).distinct().withColumn("side", F.lit("only-written"))
-    return a.join(b, TRIPLE, "left_anti").unionByName(b.join(a, TRIPLE, "left_anti"))
+    sides = engine_facts(claims).select(*TRIPLE, F.lit("only-table").alias("side")).unionByName(accepted.select(*TRIPLE, F.lit("only-written").alias("side")))
+    in_table, written = (F.max((F.col("side") == x).cast("int")).alias(x) for x in ("only-table", "only-written"))
+    found = dealt(sides, TRIPLE).groupBy(*TRIPLE).agg(in_table, written).where(F.col("only-table") != F.col("only-written"))
+    return found.select(*TRIPLE, F.when(F.col("only-table") == 1, "only-table").otherwise("only-written").alias("side"))
 
 
 def relation_gap(claims: DataFrame, accepted: DataFrame) -> DataFrame:
