@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.functions.ordering import dealt
 from claimloom.functions.scalars import source_file
 
 ENGINE, REVIEW, TOMBSTONE = ("confirmed", "accepted"), ("needs_review", "candidate"), "superseded"
@@ -33,6 +34,12 @@ def atoms(claims: DataFrame) -> DataFrame:
     return engine_facts(claims).select(*TRIPLE).distinct()
 
 
+def canonical_atoms(claims: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Distinct triples of engine facts whose relation has a declared name, under that name; only those are told apart."""
+    named = engine_facts(claims).select(*TRIPLE).join(F.broadcast(aliases), F.col("relation") == F.col("raw"))
+    return dealt(named.select("subject", F.col("canonical").alias("relation"), "object"), TRIPLE, claims).distinct()
+
+
 def edges(claims: DataFrame, attributes: Sequence[str]) -> DataFrame:
     """(u, v) of distinct triples whose relation is no attribute."""
     return atoms(claims).where(~F.col("relation").isin(*attributes)).select(F.col("subject").alias("u"), F.col("object").alias("v")).distinct()
@@ -66,7 +73,8 @@ def matching(claims: DataFrame, subject: str | None = None, relation: str | None
 
 def corroboration(claims: DataFrame) -> DataFrame:
     """Distinct sources, anchors included, of each engine triple."""
-    return engine_facts(claims).where("source <> ''").groupBy(*TRIPLE).agg(F.countDistinct("source").alias("n_sources"))
+    rows = engine_facts(claims).where("source <> ''").select(*TRIPLE, "source")
+    return dealt(rows, TRIPLE).groupBy(*TRIPLE).agg(F.countDistinct("source").alias("n_sources"))
 
 
 def signals(claims: DataFrame) -> DataFrame:
