@@ -24,6 +24,12 @@ def keyed(claims: DataFrame) -> DataFrame:
     return composed(claims).withColumn("file", source_file(F.col("source")))
 
 
+def per_file(claims: DataFrame) -> DataFrame:
+    """(relation, file, n): how often each source file says each relation; normal form C is made a name, not a row."""
+    names = claims.groupBy("relation", source_file(F.col("source")).alias("file")).agg(F.count("*").alias("n"))
+    return names.groupBy(nfc(F.col("relation")).alias("relation"), nfc(F.col("file")).alias("file")).agg(F.sum("n").alias("n"))
+
+
 def normalized(runs: DataFrame, known: DataFrame) -> DataFrame:
     """Clean rows of run files whose source file is in ``known`` (file), one a key: the one with the least source."""
     rows = clean(runs)

@@ -122,7 +122,8 @@ def _known(spark, sf_dir, rows):
 @query(f"WITH {FACTS}, {KNOWN} SELECT relation, count(*) AS n FROM facts WHERE {FILE} NOT IN (SELECT file FROM known) GROUP BY 1")
 def J11_unknown_sources(spark, sf_dir):
     rows = facts(spark, sf_dir)
-    return merge.keyed(rows).join(_known(spark, sf_dir, rows), "file", "left_anti").groupBy("relation").agg(F.count("*").alias("n"))
+    per = stored(merge.per_file(rows), "per-file")  # read twice
+    return per.join(_known(spark, sf_dir, per.withColumnRenamed("file", "source")), "file", "left_anti").groupBy("relation").agg(F.sum("n").alias("n"))
 
 
 @query(f"WITH {ENGINE_SQL} SELECT DISTINCT subject, CASE WHEN quality = 1 AND toxic = 0 THEN 'accepted' WHEN toxic = 1 THEN 'superseded' ELSE status END AS status FROM engine JOIN labels ON subject = 'order:' || doc_id WHERE relation = 'placed_by'")
@@ -186,9 +187,7 @@ def A3_distinct_atoms(spark, sf_dir):
 
 @query(f"WITH {ENGINE_SQL}, {ALIASES} SELECT DISTINCT subject, canonical AS relation, object FROM engine JOIN aliases ON relation = raw")
 def A4_canonical_atoms(spark, sf_dir):
-    rows = K.atoms(facts(spark, sf_dir))
-    aliases = _aliases(spark)
-    return rows.join(aliases, rows["relation"] == aliases["raw"]).select("subject", F.col("canonical").alias("relation"), "object").distinct()
+    return K.canonical_atoms(facts(spark, sf_dir), _aliases(spark))
 
 
 @query(f"WITH {ENGINE_SQL} SELECT relation, subject, count(DISTINCT object) AS n_objects FROM engine GROUP BY ALL")
