@@ -45,7 +45,8 @@ def wrapped(value: Column) -> Column:
 
 def wrappers(claims: DataFrame) -> DataFrame:
     """Values in a label for the rest: (relation, object, inner)."""
-    return claims.select("relation", "object", wrapped(F.col("object")).alias("inner")).where("inner IS NOT NULL").distinct()
+    opened = F.contains(F.col("object"), F.lit("(")) | F.contains(F.col("object"), F.lit("（"))  # no form of a text adds or takes one
+    return claims.where(opened).select("relation", "object", wrapped(F.col("object")).alias("inner")).where("inner IS NOT NULL").distinct()
 
 
 def placeholders(claims: DataFrame) -> DataFrame:
