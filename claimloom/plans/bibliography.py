@@ -26,7 +26,8 @@ def _records(spark, sf_dir):
     notice = when(k % 19 == 0, tag("CommentsCorrectionsList", tag("CommentsCorrections", tag("PMID", t(k + 1), ' Version="1"'), ' RefType="RetractionIn"')))
     citation = F.concat(when(k % 29 != 0, tag("PMID", t(k), ' Version="1"')), tag("Article", article), notice, mesh)
     whole = tag("PubmedArticle", F.concat(tag("MedlineCitation", citation), when(k % 3 == 0, tag("PubmedData", tag("ArticleIdList", F.concat(tag("ArticleId", F.lit("S1"), ' IdType="pii"'), tag("ArticleId", F.concat(F.lit("10.1234/P"), t(k)), ' IdType="doi"')))))))
-    return table(spark, sf_dir, "part").select("p_partkey", F.when(k % 23 == 0, F.substring(whole, 1, 200)).otherwise(whole).alias("xml"))
+    parts = table(spark, sf_dir, "part").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")  # few splits, and long work a row
+    return parts.select("p_partkey", F.when(k % 23 == 0, F.substring(whole, 1, 200)).otherwise(whole).alias("xml"))
 
 
 @query("""WITH p AS (SELECT *, p_partkey % 23 <> 0 AS whole, p_partkey AS k FROM part)
