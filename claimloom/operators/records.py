@@ -23,22 +23,37 @@ def resolve_exact(new: DataFrame, known: DataFrame, ids: tuple[str, ...] = ("doi
 def fuzzy_pairs(left: DataFrame, right: DataFrame, similarity: float = 0.8, years: int = 1) -> DataFrame:
     """Best candidate of each left row (id, title, surname, year): equal surname, near year, title words alike.
 
-    Blocked on (surname, rare shared word): titles of similarity s share one of the first ``size - ceil(s * size) + 1``
-    words in any one order of words. Rare words come first, so words that very many titles begin with are nobody's key.
+    Rows of one surname, year and set of words are a class, and classes are compared: of a class on the right at most its
+    two least ids can be a best candidate, since a row is none of itself. Blocked on (surname, rare shared word): sets of
+    similarity s share one of the first ``size - ceil(s * size) + 1`` words in any one order of words. Rare words come
+    first, so words that very many titles begin with are nobody's key.
     """
-    often = stored(left.select("title").unionByName(right.select("title")).select(F.explode(tokens(F.col("title"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "title-words")
+    def rows_of(df: DataFrame) -> DataFrame:
+        titles = df.select("title").distinct().select("title", F.array_sort(tokens(F.col("title"))).alias("words"))
+        return df.where("surname <> ''").select("id", "title", "surname", "year").join(titles, "title").drop("title")
+
+    ours, theirs = rows_of(left), rows_of(right)
+    kind = ["surname", "year", "words"]
+    sets = [stored(df.select(*kind).distinct(), "title-sets") for df in (ours, theirs)]
+    often = stored(sets[0].unionByName(sets[1]).select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")), "title-words")
 
     def prefixed(df: DataFrame, side: str) -> DataFrame:
-        one = df.where("surname <> ''").select(*[F.col(c).alias(f"{side}_{c}") for c in ("id", "year")], "surname", F.posexplode(tokens(F.col("title"))).alias("_k", "word"))
-        ranked = one.join(often, "word").groupBy(f"{side}_id", f"{side}_year", "surname").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda x: x["word"])).alias(f"{side}_words"))
-        n = F.size(f"{side}_words")
-        return ranked.withColumn("word", F.explode(F.slice(f"{side}_words", F.lit(1), n - F.ceil(n * similarity).cast("int") + 1)))
-
-    met = prefixed(left, "l").join(prefixed(right, "r"), ["surname", "word"])
-    near = met.where((F.abs(F.col("l_year") - F.col("r_year")) <= years) & (F.col("l_id") != F.col("r_id")))
-    scored = near.select("l_id", "r_id", jaccard(F.col("l_words"), F.col("r_words")).alias("score")).where(F.col("score") >= similarity).distinct()
-    best = F.row_number().over(Window.partitionBy("l_id").orderBy(F.desc("score"), "r_id"))
-    return scored.withColumn("n", best).where("n = 1").drop("n")
+        one = df.select(*kind, F.explode("words").alias("word")).join(often, "word")
+        ranked = one.groupBy(*kind).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda x: x["word"]).alias("rare"))
+        n = F.size("rare")
+        return ranked.select("surname", F.col("year").alias(f"{side}_year"), F.col("words").alias(f"{side}_words"), F.explode(F.slice("rare", F.lit(1), n - F.ceil(n * similarity).cast("int") + 1)).alias("word"))
+
+    near = prefixed(sets[0], "l").join(prefixed(sets[1], "r"), ["surname", "word"]).where(F.abs(F.col("l_year") - F.col("r_year")) <= years)
+    alike = near.select("surname", "l_year", "l_words", "r_year", "r_words", jaccard(F.col("l_words"), F.col("r_words")).alias("score")).where(F.col("score") >= similarity).distinct()
+    first = theirs.groupBy(*kind).agg(F.min("id").alias("one"))
+    second = theirs.join(first, kind).where(F.col("id") > F.col("one")).groupBy(*kind).agg(F.min("id").alias("two"))
+    least = first.join(second, kind, "left").select("surname", F.col("year").alias("r_year"), F.col("words").alias("r_words"), F.explode(F.array_compact(F.array("one", "two"))).alias("r_id"))
+    met = alike.join(least, ["surname", "r_year", "r_words"]).groupBy("surname", F.col("l_year").alias("year"), F.col("l_words").alias("words"), "r_id").agg(F.max("score").alias("score"))
+    best = F.row_number().over(Window.partitionBy(*kind).orderBy(F.desc("score"), "r_id"))
+    two = met.withColumn("_n", best).where("_n <= 2").groupBy(*kind).agg(F.array_sort(F.collect_list(F.struct("_n", "r_id", "score"))).alias("two"))
+    found = ours.join(two, kind).select(F.col("id").alias("l_id"), F.get(F.filter("two", lambda x: x["r_id"] != F.col("id")), 0).alias("b"))
+    one = F.row_number().over(Window.partitionBy("l_id").orderBy(F.desc("score"), "r_id"))
+    return found.where("b IS NOT NULL").select("l_id", "b.r_id", "b.score").withColumn("_n", one).where("_n = 1").drop("_n")
 
 
 def changes(ledger: DataFrame, upstream: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import unicode
 from claimloom.functions.unicode import nfc
-from claimloom.operators import audit, conflicts, excerpts, globs, graph
+from claimloom.operators import audit, conflicts, excerpts, facts as K, gates, globs, graph, merge, records
+from claimloom.plans import bibliography
 from test_core import claims, pairs
 
 
@@ -79,3 +80,48 @@ def test_a_bridge_takes_the_better_of_relation_and_object(spark):
     got = excerpts.bridge(rows, spark.createDataFrame([(1, "mentions menu")], "question long, text string"))
     assert pairs(got.select("subject", "term", "word", "shared")) == [("s", "mentions", "mentions", 8), ("s", "menu", "men", 3)]
     assert "mapinarrow" not in plan(got).lower() and plan(got).count("SortMergeJoin") == 0  # claims stay where they are
+
+
+def joined(df) -> int:
+    """The rows that the joins of a plan give as it runs."""
+    df.collect()
+
+    def rows(node):
+        kids = [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in node.nodeName() else [node.children().apply(k) for k in range(node.children().size())]
+        own = node.metrics().apply("numOutputRows").value() if "Join" in node.nodeName() else 0
+        return own + sum(map(rows, kids))
+
+    return rows(df._jdf.queryExecution().executedPlan())
+
+
+def test_titles_that_are_alike_are_compared_once(spark):
+    df = spark.createDataFrame([(k, "blue ring", "x", 2000 + k % 2) for k in range(400)], "id int, title string, surname string, year int")
+    got = records.fuzzy_pairs(df, df)
+    assert pairs(got) == [(0, 1, 1.0)] + [(k, 0, 1.0) for k in range(1, 400)] and joined(got) < 4000  # 160,000 pairs of rows
+
+
+def test_files_are_looked_up_once_a_relation(spark):
+    rows = claims(spark, *[(f"s{k}", "r", "o", f"é{k % 2}#{k}", "accepted") for k in range(50)], ("s", "q", "o", "é1", "accepted"))
+    assert pairs(merge.per_file(rows)) == [("q", "é1", 1), ("r", "é0", 25), ("r", "é1", 25)]
+
+
+def test_claims_are_dealt_out_before_they_are_grouped(spark):
+    """No task holds the groups of a whole split: nothing is added up before the shuffle, and there is one shuffle."""
+    rows = claims(spark, ("s", "raw", "o", "f", "accepted"), ("s", "raw", "o", "g", "accepted"), ("t", "r", "o", "f", "accepted"))
+    aliases = spark.createDataFrame([("raw", "named")], "raw string, canonical string")
+    for got in (K.corroboration(rows), K.canonical_atoms(rows, aliases), gates.drift(rows, rows.where("subject = 't'"))):
+        lines = plan(got).splitlines()
+        dealt = [k for k, x in enumerate(lines) if "Exchange hashpartitioning" in x]
+        assert len(dealt) == 1 and max(k for k, x in enumerate(lines) if "HashAggregate" in x) < dealt[0]
+    assert pairs(K.canonical_atoms(rows, aliases)) == [("s", "named", "o")] and pairs(K.corroboration(rows)) == [("s", "raw", "o", 2), ("t", "r", "o", 1)]
+    assert pairs(gates.drift(rows, rows.where("subject = 't'"))) == [("s", "raw", "o", "only-table")]
+
+
+def test_values_without_a_bracket_are_no_wrappers_at_once(spark):
+    rows = claims(spark, *[("s", "r", x, "f", "accepted") for x in ("other (x)", "기타（y）", "other x")])
+    shown = plan(audit.wrappers(rows))
+    assert shown.count("Contains(object") >= 2 and pairs(audit.wrappers(rows)) == [("r", "other (x)", "x"), ("r", "기타（y）", "y")]
+
+
+def test_articles_are_parsed_in_many_tasks(spark):
+    assert bibliography._records(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
