@@ -1,19 +1,22 @@
-"""Near copies by the Jaccard similarity of word shingles: banded minima propose pairs, the exact similarity decides.
-
-A text is the set of its shingles of ``SHINGLE`` words. Texts of the same words are one node. Each node has ``BANDS``
-keys of ``ROWS`` minimum hashes; nodes that share a key are compared, and linked where the exact similarity of their
-sets is at least 4/5. A class is what links connect. Two sets of similarity s share no key with probability
-(1 - s^ROWS)^BANDS: 3 in a million at 0.8, fewer above.
-
-Comparisons go in rounds: first each key's members with its most central one, whose keys are shared most (of many
-edited copies that is the text they come from); then ``TURNS`` times, in keys whose members the links so far don't all
-connect, the others with one member of the widest class there, another one each time. Of the classes that are left,
-only texts that can still have a link are compared in pairs: two sets have at most as many shingles in common as each
-has shingles that another set holds too, so a copy whose own edits make up over a fifth of it goes at once
+"""Near copies by the Jaccard similarity of word shingles: fingerprints' bit planes and banded minima propose pairs, the exact similarity decides.
+
+A text is the set of its shingles of ``SHINGLE`` words. Texts of the same words are one node. First
+``simhash.near_duplicates`` puts the nodes' fingerprints into classes by its bit planes, and each node is compared with
+the first of its class. Not all texts of a similarity of 0.8 have near fingerprints; minima propose the pairs that are
+left: each node has ``BANDS`` keys of ``ROWS`` minimum hashes, and nodes that share a key are compared. Nodes are linked
+where the exact similarity of their sets is at least 4/5. A class is what links connect. Two sets of similarity s share
+no key with probability (1 - s^ROWS)^BANDS: 3 in a million at 0.8, fewer above.
+
+Comparisons by keys go in rounds, in those keys whose members the links so far don't all connect: first each key's
+members with its most central one, whose keys are shared most (of many edited copies that is the text they come from);
+then ``TURNS`` times the others with one member of the widest class there, another one each time. Of the classes that
+are left, only texts that can still have a link are compared in pairs: two sets have at most as many shingles in common
+as each has shingles that another set holds too, so a copy whose own edits make up over a fifth of it goes at once
 (``PRUNINGS`` times, since each one that goes takes its shingles along), and a pair where either number is below 4/9 of
 both sizes is never made, nor one that the sets' bitmaps rule out: each bit that one of them alone has is a shingle that
-the other set lacks. A pair is made in the first key it shares. So a text with very many near copies costs a few comparisons a copy and key, and no link
-between classes is left out. Keys with more than ``CHUNK`` members are cut into chunks at the end.
+the other set lacks. A pair is made in the first key it shares. So a text with very many near copies costs a few
+comparisons a copy and key, and no link between classes is left out. Keys with more than ``CHUNK`` members are cut into
+chunks at the end.
 
 Defined results: texts without words are one node; a text of fewer words than a shingle is one shingle; rows without
 an id count as ones of equal ids, after all others.
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import lean, materialize, small, unveiled, utf8, veiled
-from .simhash import components
+from .simhash import components, fingerprint, near_duplicates
 
 SHINGLE, SEED = 5, 42
 BANDS, ROWS = 32, 5
@@ -87,7 +90,8 @@ def _longs(name: str) -> T.StructField:
 
 def _keyed(words: list[list[bytes]]) -> list[pa.Array]:
     sets = [shingles(w) for w in words]
-    return [pa.array([len(s) for s in sets], pa.int32()), pa.array([keys(s) for s in sets], pa.list_(pa.int64()))]
+    marks = np.array([fingerprint(b" ".join(w)) for w in words], np.uint64).view(np.int64)
+    return [pa.array([len(s) for s in sets], pa.int32()), pa.array([keys(s) for s in sets], pa.list_(pa.int64())), pa.array(marks)]
 
 
 def bitmap(hashes: np.ndarray) -> list[int]:
@@ -115,23 +119,34 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").where(9 * common >= 4 * (F.size("_a") + F.size("_b"))).select("a", "b")
 
 
-def links(distinct: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """Confirmed pairs (a, b) that connect all nodes of ``distinct`` (node, n, keys) which confirmed pairs connect."""
+def links(distinct: DataFrame, docs: DataFrame, text_col: str, proposed: DataFrame | None = None) -> DataFrame:
+    """Confirmed pairs (a, b) that connect all nodes of ``distinct`` (node, n, keys) which confirmed pairs connect.
+
+    ``proposed`` pairs (a, b), a stored table, are compared before all others, and keys that they settle not again.
+    """
     entries = distinct.select("node", "n", F.explode("keys").alias("key"))
     groups = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = materialize(entries.join(groups, "key"), "near-shared")
     central = shared.groupBy("node").agg(F.sum("size").alias("weight"))
-    chosen = shared.join(central, "node").groupBy("key").agg(F.max(F.struct("weight", "node", F.col("n").alias("n_a"))).alias("most")).select("key", F.col("most.node").alias("a"), "most.n_a")
-    wanted = shared.select(F.col("node").alias("_node")).distinct()
+    wanted = shared.select(F.col("node").alias("_node"))
+    if proposed is not None:
+        wanted = wanted.union(proposed.select("a")).union(proposed.select("b"))
+    wanted = wanted.distinct()
     texts = _mapped(docs, {"_text_again": F.col(text_col)}, text_col, lambda words: [], [])
     texts = texts.join(wanted, texts.node == wanted._node, "left_semi").dropDuplicates(["node"])
     sets = materialize(_mapped(texts, {}, "_text_again", _sets, [_longs("shingles"), _longs("bits")]), "near-sets")
 
     near = lambda x, y: (5 * F.least(x, y)) >= (4 * F.greatest(x, y))  # noqa: E731  else the sizes alone rule it out
-    stars = shared.join(chosen, "key").where((F.col("node") != F.col("a")) & near("n", "n_a")).select("a", F.col("node").alias("b")).distinct()
+    if proposed is None:
+        found, left = None, shared.withColumn("label", F.col("node"))
+    else:
+        found = materialize(_confirmed(proposed, sets), "near-links")
+        left = _undecided(shared, found)
+    chosen = left.join(central, "node").groupBy("key").agg(F.max(F.struct("weight", "node", F.col("n").alias("n_a"), F.col("label").alias("l_a"))).alias("most")).select("key", F.col("most.node").alias("a"), "most.n_a", "most.l_a")
+    stars = left.join(chosen, "key").where((F.col("label") != F.col("l_a")) & near("n", "n_a")).select("a", F.col("node").alias("b")).distinct()
     first = materialize(_confirmed(stars, sets), "near-links")
 
-    found = first
+    found = first if found is None else found.union(first)
     for turn in range(TURNS):
         left = _undecided(shared, found)
         seed = lambda c, turn=turn: F.xxhash64("node", F.lit(turn)).alias(c)
@@ -179,9 +194,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Nodes are worked out again rather than kept with the texts; texts are shuffled by node and id.
     """
-    marked = materialize(_mapped(docs, {"id": F.col(id_col)}, text_col, _keyed, [T.StructField("n", T.IntegerType()), _longs("keys")]), "near-nodes")
-    distinct = materialize(marked.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "near-distinct")
-    label = components(links(distinct, docs, text_col), "a", "b").withColumnRenamed("node", "_node")
+    marked = materialize(_mapped(docs, {"id": F.col(id_col)}, text_col, _keyed, [T.StructField("n", T.IntegerType()), _longs("keys"), T.StructField("fp", T.LongType())]), "near-nodes")
+    distinct = materialize(marked.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("fp").alias("fp")), "near-distinct")
+    alike = near_duplicates(distinct, "node", fp_col="fp").where("node <> component_id")
+    proposed = materialize(alike.select(F.col("component_id").alias("a"), F.col("node").alias("b")), "near-proposed")
+    label = components(links(distinct, docs, text_col, proposed), "a", "b").withColumnRenamed("node", "_node")
     labelled = distinct.join(label, distinct.node == label._node, "left").select("node", "id", F.coalesce("label", "node").alias("label"))
     # an id that is null comes last
     winners = labelled.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "node")).alias("w")).select(F.col("w.node").alias("_node"), F.col("w.id").alias("_id"), F.xxhash64("w.id").alias("_hash"))

@@ -216,9 +216,12 @@ def _classes(marked: DataFrame, id_col: str) -> DataFrame:
     return labelled.join(labelled.groupBy("label").agg(F.min("first").alias("component_id")), "label").select("fp", "label", "component_id")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp as a signed long, component_id: the smallest id of the class) for every document."""
-    marked = materialize(fingerprints(docs, {id_col: F.col(id_col)}, text_col), "simhash")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fp_col: str | None = None) -> DataFrame:
+    """(id, fp as a signed long, component_id: the smallest id of the class) for every document.
+
+    ``fp_col`` names the fingerprints where the stored table ``docs`` has them already; no text is read then.
+    """
+    marked = docs.select(id_col, F.col(fp_col).alias("fp")) if fp_col else materialize(fingerprints(docs, {id_col: F.col(id_col)}, text_col), "simhash")
     return marked.join(_classes(marked, id_col), "fp").select(id_col, "fp", "component_id")
 
 

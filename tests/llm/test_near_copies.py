@@ -2,8 +2,10 @@
 
 import random
 
+import pyarrow as pa
+
 import corpus_pipeline
-from claimloom.llm import near_copies
+from claimloom.llm import near_copies, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -84,3 +86,22 @@ def test_edited_copies_of_one_text(spark, monkeypatch):
     links = near_copies.links(distinct, spark.createDataFrame([(t,) for t in texts], "text string"), "text")
     linked = {r.node: r.label for r in near_copies.components(links, "a", "b").collect()}
     assert len({linked.get(node, node) for node, _, _ in rows}) == len(by_brute_force(texts))
+
+
+def test_bit_planes_propose_pairs_and_the_similarity_decides(spark, monkeypatch):
+    """Without any minima the fingerprints' classes alone propose: alike texts go, others of the same fingerprint stay."""
+    real = near_copies._keyed
+    monkeypatch.setattr(near_copies, "_keyed", lambda words: [real(words)[0], pa.array([[]] * len(words), pa.list_(pa.int64())), *real(words)[2:]])
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(5000)}"
+    texts = []
+    for _ in range(6):
+        text = " ".join(word() for _ in range(4000))
+        texts += [text, text + " end"]
+    often = " ".join(word() for _ in range(11))
+    texts += [" ".join([*[often] * 200, *[word() for _ in range(40)]]) for _ in range(2)]
+    apart = [(simhash.fingerprint(a.encode()) ^ simhash.fingerprint(b.encode())).bit_count() for a, b in zip(texts[::2], texts[1::2], strict=True)]
+    assert max(apart) <= simhash.RADIUS and similarity(*texts[-2:]) < 0.8
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], SCHEMA).repartition(3)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in kept) == [0, 2, 4, 6, 8, 10, 12, 13]
