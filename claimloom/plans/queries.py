@@ -261,7 +261,9 @@ def A34_wilson_interval(spark, sf_dir):
 @query(f"""WITH {FACTS}, r AS (SELECT *, {FILE} AS file, row_number() OVER (PARTITION BY subject, relation, object, {FILE} ORDER BY CASE status WHEN 'confirmed' THEN 0 WHEN 'accepted' THEN 1 WHEN 'needs_review' THEN 2 WHEN 'candidate' THEN 3 ELSE 4 END, source, confidence) AS n FROM facts)
   SELECT subject, relation, object, file, status, source FROM r WHERE n = 1""")
 def A28_fold_copies(spark, sf_dir):
-    return K.first_by(merge.keyed(facts(spark, sf_dir)), merge.KEY, [K.rank(F.col("status")), "source", "confidence"]).select(*merge.KEY, "status", "source")
+    rows = facts(spark, sf_dir)
+    kept = merge.keyed(rows).select(*merge.KEY, "status", "source", "confidence")
+    return K.first_by(kept, merge.KEY, [K.rank(F.col("status")), "source", "confidence"], rows).select(*merge.KEY, "status", "source")
 
 
 # recursion
