@@ -20,10 +20,15 @@ def dealt(df: DataFrame, keys: Sequence[str], like: DataFrame | None = None) ->
     What a task holds is then the groups of its part: neither the input's splits nor the number of shuffle partitions
     decides on it. Copies of one row come one after the other and take no memory.
     """
-    size = int(str((df if like is None else like)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(shares(df if like is None else like), *keys)
+
+
+def shares(df: DataFrame, share: int = SHARE) -> int:
+    """In how many parts of ``share`` bytes to deal ``df`` out, as Spark estimates it; no fewer than the session's shuffle partitions."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = size < 1 << 60  # rows of a Python list have no size
-    return df.repartition(max(least, size // SHARE if known else 0), *keys)
+    return max(least, size // share if known else 0)
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column], name: str = "running") -> DataFrame:

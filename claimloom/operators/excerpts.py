@@ -10,7 +10,7 @@ words in its window, and how often they stand there; ties by file and line.
 
 Defined results: a null text has no lines; a word is a run of letters, digits and ``_``, compared in lower case; a
 question without words finds nothing; equal questions of other ids are answered each; repeated files count as one file
-with the lines of all of them added up.
+with the lines of all of them added up (each has postings of its own).
 """
 
 from __future__ import annotations
@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimloom.functions.ordering import numbered
+from claimloom.functions.ordering import numbered, shares
 from claimloom.functions.storage import shared_dir, stored
 from claimloom.functions.unicode import nfc
 
 REACH, BUCKETS = 3, 64
+#: Bytes of written lines whose words a task sorts.
+PART = 4 << 20
 WORD = r"[\p{L}\p{N}_]+"
 # English words that no question is about, the endings of Korean words, and Korean words of asking.
 FUNCTION_WORDS = frozenset("am an as at be by do he if in is it me my no of on or so to up us we".split())
@@ -71,6 +73,20 @@ class Index:
         return reader.parquet(f"{self.path}/{name}")
 
 
+def _postings(lines: DataFrame) -> DataFrame:
+    """(word, file, line, n, bucket) of ``lines``, sorted: a line's words are counted in its row and shuffled once.
+
+    A bucket is dealt out by its files, in as many parts as ``lines`` ask for, so that a word of very many lines is many tasks'.
+    """
+    words = lines.select("file", "line", F.array_sort(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("words")).where(F.size("words") > 0)
+    first = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda k: ~F.get("words", k).eqNullSafe(F.get("words", k - 1)))
+    counted = F.transform("starts", lambda at, k: F.struct(F.get("words", at).alias("word"), (F.coalesce(F.get("starts", k + 1), F.size("words")) - at).cast("long").alias("n")))
+    rows = words.withColumn("starts", first).select("file", "line", F.explode(counted).alias("x")).select("x.word", "file", "line", "x.n")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int"))
+    parts = shares(lines, PART)
+    return rows.repartition(parts, "bucket", F.pmod(F.xxhash64("file"), F.lit(parts // BUCKETS + 1))).sortWithinPartitions("bucket", "word", "file", "line")
+
+
 def build(docs: DataFrame, file_col: str = "file", text_col: str = "text", grade_col: str | None = None, path: str | None = None) -> Index:
     """Index ``docs``; ``grade_col`` is a number, the higher the better, else all files are alike."""
     spark = docs.sparkSession
@@ -81,9 +97,7 @@ def build(docs: DataFrame, file_col: str = "file", text_col: str = "text", grade
     rows = docs.where(text.isNotNull()).select(F.col(file_col).cast("string").alias("file"), grade.alias("grade"), F.when(head != "", F.regexp_count(head, F.lit("\n"))).alias("fence"), F.posexplode(F.split(text, r"\r\n|\n|\r")).alias("line", "text"))
     rows.select("file", "grade", "fence", "line", "text").write.parquet(f"{path}/lines")
     lines = spark.read.parquet(f"{path}/lines")
-    words = lines.select("file", "line", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word"))
-    postings = words.groupBy("word", "file", "line").agg(F.count("*").alias("n")).withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int"))
-    postings.repartitionByRange("bucket", "word", "file").sortWithinPartitions("bucket", "word", "file", "line").write.partitionBy("bucket").parquet(f"{path}/postings")
+    _postings(lines).write.partitionBy("bucket").parquet(f"{path}/postings")
     Index(path).table(spark, "postings").select("word", "bucket").distinct().write.parquet(f"{path}/words")
     prose = lines.where(F.col("fence").isNotNull() & (F.col("line") > F.col("fence")) & (F.trim("text") != "") & ~F.ltrim("text").startswith("#"))
     lines.groupBy("file").agg(F.max("grade").alias("grade"), F.max("line").alias("last")).join(prose.groupBy("file").agg(F.min("fence").alias("fence"), F.min("line").alias("prose")), "file", "left").write.parquet(f"{path}/files")
@@ -111,7 +125,7 @@ def _windows(batches):
 
 
 def hits(spark: SparkSession, index: Index, questions: DataFrame) -> DataFrame:
-    """(question, file, line, term, n): how often each term of each question stands in a line."""
+    """(question, file, line, term, n): how often each term of each question stands in a line; rows of one line and term add up."""
     asked = [(r["question"], term, part) for r in questions.select("question", "text").collect() for term, part in keywords(r["text"] or "")]  # the questions themselves
     terms = spark.createDataFrame(asked, f"question {questions.schema['question'].dataType.simpleString()}, term string, part boolean")
     words = index.table(spark, "words")

@@ -1,6 +1,8 @@
 """Steps whose cost once grew faster than their input, and sums that outgrew their type."""
 
+import re
 import unicodedata
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -136,3 +138,14 @@ def test_copies_are_dealt_out_before_anything_is_sorted(spark):
     order = [K.rank(F.col("status")), "source"]
     one, other = (K.first_by(merge.keyed(rows), merge.KEY, order, like).select("file", "source", "status") for like in (None, rows))
     assert pairs(one) == pairs(other) == [("f", "f#0", "accepted"), ("g", "g", "candidate")]
+
+
+def test_words_of_lines_are_counted_in_their_row_and_shuffled_once(spark):
+    """They were grouped first and then dealt out by ranges, which read and grouped them twice."""
+    texts = {("a", 0): "the The of, the\tx_1", ("a", 1): "...", ("b", 0): "", ("b", 1): "é É z", ("c", 0): "the " * 3000}
+    lines = spark.createDataFrame([(f, k, t) for (f, k), t in texts.items()], "file string, line int, text string")
+    postings = excerpts._postings(lines)
+    shown = plan(postings)
+    assert shown.count("Exchange") == 1 and "Aggregate" not in shown and "rangepartitioning" not in shown
+    want = Counter((w, f, k) for (f, k), t in texts.items() for w in re.findall(r"\w+", t.lower()))
+    assert pairs(postings.select("word", "file", "line", "n")) == sorted((*key, n) for key, n in want.items())
