@@ -41,10 +41,14 @@ def beyond_ascii(text: Column) -> Column:
     return F.octet_length(text) > F.length(text)
 
 
+def unsettled(text: Column) -> Column:
+    """Whether form C may change ``text``, told without Python."""
+    return beyond_ascii(text) & text.rlike(rf"[^\x00-\x{{{FIRST_UNSETTLED - 1:x}}}]")
+
+
 def nfc(text: Column) -> Column:
     """``text`` in Unicode normal form C; null is null."""
-    unsettled = beyond_ascii(text) & text.rlike(rf"[^\x00-\x{{{FIRST_UNSETTLED - 1:x}}}]")
-    return F.coalesce(_composed(F.when(unsettled, text)), text)
+    return F.coalesce(_composed(F.when(unsettled(text), text)), text)
 
 
 def fold_case(text: Column) -> Column:

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions import scalars
-from claimloom.functions.unicode import nfc
-from claimloom.operators.facts import engine_facts
+from claimloom.functions.ordering import dealt
+from claimloom.functions.unicode import nfc, unsettled
+from claimloom.operators.facts import TRIPLE, engine_facts
 
 PARSERS = {"date": scalars.parse_date, "number": scalars.parse_number_scaled, "ordinal": scalars.parse_ordinal, "amount": scalars.parse_amount}
 
@@ -33,11 +34,11 @@ def with_canonical(claims: DataFrame, aliases: DataFrame | None) -> DataFrame:
     return rows.select(*claims.columns, canonical_name(F.col("relation"), F.col("_alias"), F.col("_target").isNotNull()).alias("canonical"))
 
 
-def _specs(spark, types: Mapping[str, str] | DataFrame | None) -> DataFrame:
+def _specs(spark, types: Mapping[str, str] | DataFrame) -> DataFrame:
     """(relation, type, units) of declared types; names in normal form C."""
     if isinstance(types, DataFrame):
         return types.select("relation", "type", "units" if "units" in types.columns else F.lit(None).cast("map<string,long>").alias("units"))
-    rows = [(unicodedata.normalize("NFC", r), kind, None) for r, kind in (types or {}).items()]
+    rows = [(unicodedata.normalize("NFC", r), kind, None) for r, kind in types.items()]
     return spark.createDataFrame(rows, "relation string, type string, units map<string,long>")
 
 
@@ -65,12 +66,21 @@ def conflicts(claims: DataFrame, single_valued: Sequence[str], types: Mapping[st
     by its least spelling. Values of which one has all others among its declared ancestors (``hierarchy``: relation,
     child, ancestor, in normal form C) are a chain of specialisations, no conflict.
     """
-    spark = claims.sparkSession
-    declared = with_canonical(spark.createDataFrame([(r,) for r in single_valued], "relation string"), aliases).select(nfc(F.col("canonical")).alias("_relation")).distinct()
-    rows = with_canonical(engine_facts(claims).select("subject", "relation", "object"), aliases).withColumn("_relation", nfc(F.col("canonical")))
-    rows = with_spec(rows.join(declared, "_relation", "left_semi"), _specs(spark, types))
+    rows = engine_facts(claims).select(*TRIPLE)
+    if aliases is None:  # a relation that form C leaves alone is told here; of the rest each spelling goes to Python once
+        names = [unicodedata.normalize("NFC", r) for r in single_valued]
+        rows = rows.where(F.col("relation").isin(*names) | unsettled(F.col("relation"))).distinct()
+        rows = with_canonical(rows, None).withColumn("_relation", nfc(F.col("relation"))).where(F.col("_relation").isin(*names))
+    else:
+        declared = with_canonical(claims.sparkSession.createDataFrame([(r,) for r in single_valued], "relation string"), aliases).select(nfc(F.col("canonical")).alias("_relation")).distinct()
+        rows = with_canonical(rows, aliases).withColumn("_relation", nfc(F.col("canonical"))).join(F.broadcast(declared), "_relation", "left_semi").distinct()
+    if types is None:
+        rows = rows.withColumns({"_type": F.lit(None).cast("string"), "_units": F.lit(None).cast("map<string,long>")})
+    else:
+        rows = with_spec(rows, _specs(claims.sparkSession, types))
     rows = rows.withColumns({"_subject": nfc(F.col("subject")), "_key": object_key(F.col("object"), F.col("_type"), F.col("_units"))})
     group = ["_subject", "_relation"]
+    rows = dealt(rows, group, claims)
     shown = rows.groupBy(*group, "_key").agg(F.min("object").alias("value"), F.min("subject").alias("subject"), F.min("canonical").alias("relation"), F.first("_type").alias("_type"), F.first("_units").alias("_units"))
     found = shown.groupBy(*group).agg(F.count("*").alias("n_values"), F.min("subject").alias("subject"), F.min("relation").alias("relation"), F.array_sort(F.collect_list(F.struct("value", "_key"))).alias("all"), F.first("_type").alias("_type"), F.first("_units").alias("_units")).where("n_values > 1")
     if hierarchy is not None:

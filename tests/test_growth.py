@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from claimloom.functions import unicode
 from claimloom.functions.unicode import nfc
 from claimloom.operators import audit, conflicts, excerpts, facts as K, gates, globs, graph, merge, records
-from claimloom.plans import bibliography, queries  # noqa: F401  it registers as it is imported
+from claimloom.plans import bibliography, queries, spellings  # noqa: F401  it registers as it is imported
 from claimloom.plans.registry import QUERIES
 from test_core import claims, pairs
 
@@ -149,3 +149,22 @@ def test_words_of_lines_are_counted_in_their_row_and_shuffled_once(spark):
     assert shown.count("Exchange") == 1 and "Aggregate" not in shown and "rangepartitioning" not in shown
     want = Counter((w, f, k) for (f, k), t in texts.items() for w in re.findall(r"\w+", t.lower()))
     assert pairs(postings.select("word", "file", "line", "n")) == sorted((*key, n) for key, n in want.items())
+
+
+def test_contradictions_tell_spellings_apart_before_python_and_without_a_join(spark):
+    """By their relation, nearly all claims met in one task; each claim went to Python, and a text was parted three times."""
+    shown = plan(QUERIES["A6_conflicts_across_spellings"](spark, "/root/testdata/sf0.001"))
+    assert "Join" not in shown and "size(array_remove" not in shown and sum("array_distinct(split(" in x for x in shown.splitlines()) == 1
+    lines = shown.splitlines()
+    first = max(k for k, x in enumerate(lines) if "HashAggregate(keys=[subject" in x and "functions=[]" in x)
+    assert all(k < first for k, x in enumerate(lines) if "ArrowEvalPython" in x and "subject" in x)
+
+
+def test_words_of_odd_texts(spark, tmp_path):
+    texts = [None, "", " ..,", "é \xe9 \xe9 plain", "\U0001d400x-\xfc\x00\xfcber 1\xa02", "가\tÉa\xe9a", "a\r\nb", "\x7f{a}`b[c@d"] * 2
+    made = [(k, texts[k], "en", "s") for k in range(len(texts))]
+    spark.createDataFrame(made, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = [(k, w) for k, t, *_ in made for w in dict.fromkeys(re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", t or ""))]
+    assert pairs(spellings.words(spark, str(tmp_path)).select("doc_id", "word")) == sorted(found)
+    want = sorted((w.translate(spellings._DECOMPOSED) if k % 2 else w, f"sources/s.md#{k}") for k, w in found)
+    assert pairs(spellings.claims(spark, str(tmp_path)).select("subject", "source")) == want
