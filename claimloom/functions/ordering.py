@@ -14,13 +14,13 @@ from claimloom.functions.storage import stored
 SHARE = 32 << 20
 
 
-def dealt(df: DataFrame, keys: Sequence[str], like: DataFrame | None = None) -> DataFrame:
+def dealt(df: DataFrame, keys: Sequence[str], like: DataFrame | None = None, share: int = SHARE) -> DataFrame:
     """``df`` dealt out by ``keys`` before it is grouped, in parts whose number grows with the size of ``like`` (itself) as Spark estimates it.
 
     What a task holds is then the groups of its part: neither the input's splits nor the number of shuffle partitions
     decides on it. Copies of one row come one after the other and take no memory.
     """
-    return df.repartition(shares(df if like is None else like), *keys)
+    return df.repartition(shares(df if like is None else like, share), *keys)
 
 
 def shares(df: DataFrame, share: int = SHARE) -> int:

@@ -6,7 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Written bytes up to which a table of names is broadcast.
+HELD = 8 << 20
 #: Where a local session without ``spark.checkpoint.dir`` keeps its folder; Spark lets no session set the former.
 OWN_DIR = "claimloom.shared.dir"
 
@@ -29,6 +32,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def names(df: DataFrame, name: str) -> DataFrame:
+    """``df``, a column of names to look rows up in, written first: a join with it moves no row while it is below ``HELD``, and merges beyond."""
+    out = stored(df, name)
+    size = int(str(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(out) if size <= HELD else out
+
+
 def dropped(spark: SparkSession, *paths: str) -> None:
     """Delete written tables that nothing reads any more, in whatever file system they are."""
     for path in paths:

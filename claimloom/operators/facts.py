@@ -111,15 +111,15 @@ def first_by(claims: DataFrame, keys: Sequence[str], order: Sequence[Column | st
 
     With ``like``, what ``claims`` are made of, they are dealt out by their key in parts of its size before anything is
     sorted: no task of the input sorts its whole split, and a key's copies come one after the other in one task. Rows
-    are sorted by a hash of the key first, since keys often begin alike.
+    are sorted by a hash of the key first, since keys often begin alike; rows that have it as ``_key`` keep it.
     """
     by = F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(f"o{k}") for k, c in enumerate(order)])
     at = {c: f"first.by.o{k}" for k, c in enumerate(order) if isinstance(c, str)}
-    rest = [c for c in claims.columns if c not in keys and c not in at]
-    rows = claims.withColumn("_key", F.xxhash64(*keys))
+    rest = [c for c in claims.columns if c not in ("_key", *keys) and c not in at]
+    rows = claims if "_key" in claims.columns else claims.withColumn("_key", F.xxhash64(*keys))
     rows = rows if like is None else dealt(rows, ["_key"], like)
     first = rows.groupBy("_key", *keys).agg(F.min(F.struct(by.alias("by"), *[F.col(c) for c in rest])).alias("first"))
-    return first.select(*[F.col(c) if c in keys else F.col(at.get(c, f"first.{c}")).alias(c) for c in claims.columns])
+    return first.select(*[F.col(c) if c in ("_key", *keys) else F.col(at.get(c, f"first.{c}")).alias(c) for c in claims.columns])
 
 
 def search(claims: DataFrame, needle: str) -> DataFrame:

@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.functions.ordering import dealt
 from claimloom.functions.scalars import canonical_amount, normalize_confidence, source_file
-from claimloom.functions.storage import stored
+from claimloom.functions.storage import names
 from claimloom.functions.unicode import nfc
 from claimloom.operators.facts import ENGINE, STATUS_RANK, TOMBSTONE, TRIPLE, clean, first_by, rank
 
 KEY = [*TRIPLE, "file"]
+#: By what claims are dealt out, sorted and joined: the hash first, since keys often begin alike.
+BY = ["_key", *KEY]
+#: Estimated bytes of what a task is dealt. Claims made of written columns are some twenty times their estimate as rows, and a merge sorts two of each.
+SHARE = 4 << 20
 
 
 def composed(claims: DataFrame) -> DataFrame:
@@ -24,35 +29,52 @@ def keyed(claims: DataFrame) -> DataFrame:
     return composed(claims).withColumn("file", source_file(F.col("source")))
 
 
+def placed(rows: DataFrame, like: DataFrame) -> DataFrame:
+    """Keyed rows dealt out by ``BY`` in parts of the size of ``like``: what is grouped or joined by it from then on stays where it is."""
+    return dealt(rows.withColumn("_key", F.xxhash64(*KEY)), BY, like, SHARE)
+
+
 def per_file(claims: DataFrame) -> DataFrame:
     """(relation, file, n): how often each source file says each relation; normal form C is made a name, not a row."""
     names = claims.groupBy("relation", source_file(F.col("source")).alias("file")).agg(F.count("*").alias("n"))
     return names.groupBy(nfc(F.col("relation")).alias("relation"), nfc(F.col("file")).alias("file")).agg(F.sum("n").alias("n"))
 
 
-def normalized(runs: DataFrame, known: DataFrame) -> DataFrame:
-    """Clean rows of run files whose source file is in ``known`` (file), one a key: the one with the least source."""
+def normalized(runs: DataFrame, known: DataFrame, like: DataFrame | None = None) -> DataFrame:
+    """Clean rows of run files whose source file is in ``known`` (file), one a key: the one with the least source; ``placed`` as ``like``, if given."""
     rows = clean(runs)
     rows = rows.where((F.col("subject") != "") & (F.col("relation") != "") & (F.col("object") != "") & (F.col("source") != ""))
     status = F.when(F.col("status").isin(*STATUS_RANK), F.col("status")).otherwise("needs_review")
     rows = keyed(rows.withColumn("status", status).withColumn("confidence", normalize_confidence(F.col("confidence"))))
-    return first_by(rows.join(known.select(nfc(F.col("file")).alias("file")), "file", "left_semi"), KEY, ["source", "status", "confidence", "note"])
+    rows = rows.join(names(known.select(nfc(F.col("file")).alias("file")), "known"), "file", "left_semi")
+    return first_by(rows if like is None else placed(rows, like), KEY, ["source", "status", "confidence", "note"])
+
 
+def _paired(runs: DataFrame, last: DataFrame, known: DataFrame) -> DataFrame:
+    """A row a key of the runs (``new``; ``run``: is it there) or of the last table: its status there (``old``), its tombstone (``gone``; ``dead``: has it one), whether it has rows that are none (``live``).
 
-def _rebuilt(runs: DataFrame, last: DataFrame, known: DataFrame) -> DataFrame:
-    last = stored(keyed(last), "merge-last")  # read twice
-    old = first_by(last, KEY, ["source", "status"]).select(*KEY, F.col("status").alias("old"))
-    new = normalized(runs, known).join(old, KEY, "left")
+    Both are dealt out once by their key, of which the join needs nothing more; ``last`` with ``file`` is keyed already, with ``_key`` placed.
+    """
+    new = normalized(runs, known, like=runs)
+    rest = ["source", *[c for c in new.columns if c not in (*BY, "source")]]
+    last = last if "file" in last.columns else keyed(last)
+    last = last if "_key" in last.columns else placed(last, runs)
+    old = last.groupBy(*BY).agg(
+        F.min(F.struct("source", "status")).alias("first"), F.min(F.when(F.col("status") == TOMBSTONE, F.struct(*rest))).alias("gone"),
+        F.bool_or(F.col("status") == TOMBSTONE).alias("dead"), F.bool_or(F.col("status") != TOMBSTONE).alias("live"))
+    return new.select(*BY, F.struct(*rest).alias("new"), F.lit(True).alias("run")).join(old.select(*BY, F.col("first.status").alias("old"), "gone", "dead", "live"), BY, "full_outer")
+
+
+def _rebuilt(pairs: DataFrame) -> DataFrame:
+    mine = F.col("new.status")
     status = (
         F.when(F.col("old") == TOMBSTONE, TOMBSTONE)
-        .when((F.col("status") != TOMBSTONE) & F.col("old").isin(*ENGINE), F.col("old"))
-        .when(F.col("status").isin(*ENGINE) & (F.col("old") == "needs_review"), "needs_review")
-        .otherwise(F.col("status"))
+        .when((mine != TOMBSTONE) & F.col("old").isin(*ENGINE), F.col("old"))
+        .when(mine.isin(*ENGINE) & (F.col("old") == "needs_review"), "needs_review")
+        .otherwise(mine)
     )
-    kept = new.withColumn("status", status).drop("old")
-    kept = stored(kept, "merge-kept")
-    gone = first_by(last.where(F.col("status") == TOMBSTONE), KEY, ["source"]).join(kept, KEY, "left_anti").select(*kept.columns)
-    return kept.unionByName(gone)
+    row = F.when(F.col("run").isNotNull(), F.col("new").withField("status", status)).otherwise(F.col("gone"))
+    return pairs.where("run OR dead").select(*KEY, row.alias("row")).select(*KEY, "row.*")
 
 
 def rebuild(runs: DataFrame, last: DataFrame, known: DataFrame, allow_loss: bool = True, with_file: bool = False) -> DataFrame:
@@ -61,14 +83,18 @@ def rebuild(runs: DataFrame, last: DataFrame, known: DataFrame, allow_loss: bool
     Without ``allow_loss`` a rebuild that would lose a decided or reviewed claim, or all of them because the runs are
     empty, is refused (``ValueError``). Its claims are composed; ``with_file`` leaves them keyed as well.
     """
-    table = _rebuilt(runs, last, known)
-    table = table if with_file else table.drop("file")
+    pairs = _paired(runs, last, known)
     if not allow_loss:
         if runs.isEmpty() and not last.where(F.col("status") != TOMBSTONE).isEmpty():
             raise ValueError("no rows in the runs: a rebuild would lose every claim")
-        if not (lost := destroyed(table, last)).isEmpty():
-            raise ValueError(f"a rebuild would lose {lost.count()} decided or reviewed claims")
-    return table
+        if not (gone := _lost(pairs)).isEmpty():
+            raise ValueError(f"a rebuild would lose {gone.count()} decided or reviewed claims")
+    table = _rebuilt(pairs)
+    return table if with_file else table.drop("file")
+
+
+def _lost(pairs: DataFrame) -> DataFrame:
+    return pairs.where("live AND NOT dead AND run IS NULL").select(*KEY)
 
 
 def destroyed(rebuilt: DataFrame, last: DataFrame) -> DataFrame:

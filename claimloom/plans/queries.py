@@ -440,9 +440,9 @@ MERGE = f"""{FACTS}, {KNOWN}, runs AS (SELECT *, {FILE} AS file, row_number() OV
 
 
 def _last(rows):
-    one = K.first_by(merge.keyed(rows), merge.KEY, ["source", "status", "confidence"]).where("confidence >= '0.30'")
+    one = K.first_by(merge.placed(merge.keyed(rows), rows), merge.KEY, ["source", "status", "confidence"]).where("confidence >= '0.30'")
     digit = F.right("confidence", F.lit(1))
-    return one.withColumn("status", F.when(digit == "0", "superseded").when(digit == "1", "confirmed").when(digit == "2", "needs_review").otherwise(F.col("status"))).drop("file")
+    return one.withColumn("status", F.when(digit == "0", "superseded").when(digit == "1", "confirmed").when(digit == "2", "needs_review").otherwise(F.col("status")))
 
 
 @query(f"""WITH {MERGE}, kept AS (SELECT new.subject, new.relation, new.object, new.file, CASE WHEN last.status = 'superseded' THEN 'superseded' WHEN new.status <> 'superseded' AND last.status IN ('confirmed','accepted') THEN last.status
@@ -450,7 +450,7 @@ def _last(rows):
   every AS (SELECT * FROM kept UNION ALL SELECT subject, relation, object, file, status FROM last WHERE status = 'superseded' AND (subject, relation, object, file) NOT IN (SELECT (subject, relation, object, file) FROM new))
   SELECT subject, relation, object, file, status FROM every""")
 def M1_merge_rebuild(spark, sf_dir):
-    rows = stored(facts(spark, sf_dir), "facts")
+    rows = facts(spark, sf_dir)
     return merge.rebuild(rows, _last(rows), _known(spark, sf_dir, rows), with_file=True).select(*merge.KEY, "status")
 
 

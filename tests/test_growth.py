@@ -1,12 +1,14 @@
 """Steps whose cost once grew faster than their input, and sums that outgrew their type."""
 
+import random
 import re
 import unicodedata
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
-from claimloom.functions import unicode
+from claimloom.functions import storage, unicode
 from claimloom.functions.unicode import nfc
 from claimloom.operators import audit, conflicts, excerpts, facts as K, gates, globs, graph, merge, records
 from claimloom.plans import bibliography, queries, spellings  # noqa: F401  it registers as it is imported
@@ -168,3 +170,61 @@ def test_words_of_odd_texts(spark, tmp_path):
     assert pairs(spellings.words(spark, str(tmp_path)).select("doc_id", "word")) == sorted(found)
     want = sorted((w.translate(spellings._DECOMPOSED) if k % 2 else w, f"sources/s.md#{k}") for k, w in found)
     assert pairs(spellings.claims(spark, str(tmp_path)).select("subject", "source")) == want
+
+
+def _random_tables(seed: int) -> tuple[list, list]:
+    """Runs and a last table with few keys, so with many copies, in both Unicode forms, with anchors and statuses that are none."""
+    rng = random.Random(seed)
+    row = lambda: (rng.choice(["a", "\xe9", "é", "", "b"]), "r", rng.choice(["o", "p"]), rng.choice(["f", "f#1", "f#2", "g", "\xe9#1", "é#2"]), rng.choice([*K.STATUS_RANK, "weird"]))
+    return [row() for _ in range(25)], [row() for _ in range(25)]
+
+
+def _rebuilt(runs: list, last: list, known: set) -> tuple[list, list]:
+    """(subject, relation, object, source, status) of the new table, and the keys it loses."""
+    composed = lambda rows: [tuple(unicodedata.normalize("NFC", x) for x in r) for r in rows]
+    key = lambda r: (*r[:3], r[3].split("#")[0])
+    new, old, gone = {}, {}, {}
+    for r in sorted((*r[:4], r[4] if r[4] in K.STATUS_RANK else "needs_review") for r in composed(runs)):
+        if r[0] and key(r)[3] in known:
+            new.setdefault(key(r), r)
+    for r in sorted(composed(last), key=lambda r: (key(r), r[3], r[4])):
+        old.setdefault(key(r), r[4])
+        if r[4] == "superseded":
+            gone.setdefault(key(r), r)
+    engine = ("confirmed", "accepted")
+    for k, r in new.items():
+        o, s = old.get(k), r[4]
+        new[k] = (*r[:4], o if o == "superseded" or s != "superseded" and o in engine or s in engine and o == "needs_review" else s)
+    table = gone | new
+    return sorted(table.values()), sorted({key(r) for r in composed(last) if r[4] != "superseded"} - set(table))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_a_rebuild_equals_its_rules(spark, seed):
+    runs, last = _random_tables(seed)
+    want, lost = _rebuilt(runs, last, {"f", "\xe9"})
+    known = spark.createDataFrame([("f",), ("é",)], "file string")
+    got = merge.rebuild(claims(spark, *runs), claims(spark, *last), known)
+    assert pairs(got.select(*K.TRIPLE, "source", "status")) == want and pairs(merge.destroyed(got, claims(spark, *last))) == lost
+    assert set(got.columns) == {*K.TRIPLE, "source", "status", "confidence", "note"}
+
+
+def test_a_merge_deals_each_side_out_once(spark, tmp_path):
+    """Claims were written four times and dealt out seven times, and sorted as whole splits before that."""
+    shown = plan(QUERIES["M1_merge_rebuild"](spark, "/root/testdata/sf0.001"))
+    assert shown.count("Exchange hashpartitioning") == 2 and shown.count("REPARTITION_BY_NUM") == 2
+    assert not [x for x in shown.split("Exchange hashpartitioning")[1:] if " Sort [" in x.split("SortMergeJoin")[0].split("SortAggregate")[0]]
+    assert not list(tmp_path.parent.glob("shared*/facts-*")) and not list(tmp_path.parent.glob("shared*/merge-*"))
+
+
+def test_names_beyond_a_size_are_merged(spark, monkeypatch):
+    rows, known = claims(spark, ("s", "r", "o", "f#1", "accepted"), ("s", "r", "o", "g", "accepted")), spark.createDataFrame([("f",)], "file string")
+    few = merge.normalized(rows, known)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(storage, "HELD", 0)
+    try:
+        many = merge.normalized(rows, known)
+        assert "BroadcastHashJoin" in plan(few) and "SortMergeJoin" in plan(many)
+        assert pairs(few.select("source")) == pairs(many.select("source")) == [("f#1",)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
