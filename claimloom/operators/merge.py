@@ -97,6 +97,11 @@ def _lost(pairs: DataFrame) -> DataFrame:
     return pairs.where("live AND NOT dead AND run IS NULL").select(*KEY)
 
 
+def lost(runs: DataFrame, last: DataFrame, known: DataFrame) -> DataFrame:
+    """What ``destroyed`` tells of the table that these would be rebuilt to, without making it."""
+    return _lost(_paired(runs, last, known))
+
+
 def destroyed(rebuilt: DataFrame, last: DataFrame) -> DataFrame:
     """Keys that were decided or under review and are absent from the rebuilt table (with ``file``: keyed already)."""
     rebuilt = rebuilt if "file" in rebuilt.columns else keyed(rebuilt)

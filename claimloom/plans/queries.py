@@ -456,9 +456,8 @@ def M1_merge_rebuild(spark, sf_dir):
 
 @query(f"""WITH {MERGE} SELECT subject, relation, object, file FROM last WHERE status <> 'superseded' AND (subject, relation, object, file) NOT IN (SELECT (subject, relation, object, file) FROM new)""")
 def J14_destroyed_decisions(spark, sf_dir):
-    rows = stored(facts(spark, sf_dir), "facts")
-    last = stored(_last(rows), "last")
-    return merge.destroyed(merge.rebuild(rows, last, _known(spark, sf_dir, rows), with_file=True), last)
+    rows = facts(spark, sf_dir)
+    return merge.lost(rows, _last(rows), _known(spark, sf_dir, rows))
 
 
 #: A table with several rows a key, decided otherwise than the runs, and with a status that is none.

@@ -228,3 +228,16 @@ def test_names_beyond_a_size_are_merged(spark, monkeypatch):
         assert pairs(few.select("source")) == pairs(many.select("source")) == [("f#1",)]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_lost_claims_are_told_without_the_table(spark, seed):
+    runs, last = _random_tables(seed)
+    known = spark.createDataFrame([("f",), ("é",)], "file string")
+    assert pairs(merge.lost(claims(spark, *runs), claims(spark, *last), known)) == _rebuilt(runs, last, {"f", "\xe9"})[1]
+
+
+def test_lost_claims_need_each_side_once(spark):
+    """The rebuilt table was made first, and then the last table was dealt out again to look for its keys."""
+    shown = plan(QUERIES["J14_destroyed_decisions"](spark, "/root/testdata/sf0.001"))
+    assert shown.count("Exchange hashpartitioning") == shown.count("REPARTITION_BY_NUM") == 2
