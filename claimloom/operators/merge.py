@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions.ordering import dealt
@@ -129,17 +129,21 @@ def reconciliation(table: DataFrame, runs: DataFrame) -> DataFrame:
 
     A key of the table is ``ambiguous-table`` where its rows do not say one thing: several decisions, decided and
     pending rows together, or differing pending ones; ``status-unrecognised`` where one is no known status. Statuses of
-    several rows are joined by commas.
+    several rows are joined by commas. Both sides are dealt out once, together; with ``file`` they are keyed already.
     """
     decided_by = lambda c: c.isin(*ENGINE, TOMBSTONE)
 
-    def side(df: DataFrame, name: str) -> DataFrame:
-        status, any_of = F.col("status"), lambda c: F.coalesce(F.bool_or(c), F.lit(False))
-        return keyed(df).groupBy(*KEY).agg(
-            F.array_join(F.array_sort(F.collect_set("status")), ",").alias(f"{name}_status"), (F.countDistinct("status") > 1).alias(f"{name}_many"),
-            any_of(~status.isin(*STATUS_RANK)).alias(f"{name}_odd"))
+    def side(df: DataFrame, of_table: bool) -> DataFrame:
+        return (df if "file" in df.columns else keyed(df)).select(*KEY, "status", F.lit(of_table).alias("of_table"))
 
-    both = side(table, "table").join(side(runs, "run"), KEY, "full_outer")
+    def told(name: str, own: Column) -> list[Column]:
+        status = F.when(own, F.col("status"))
+        return [F.bool_or(own).alias(f"in_{name}"), F.collect_set(status).alias(f"{name}_set"), F.coalesce(F.bool_or(~status.isin(*STATUS_RANK)), F.lit(False)).alias(f"{name}_odd")]
+
+    rows = placed(side(table, True).unionByName(side(runs, False)), table)
+    groups = rows.groupBy(*BY).agg(*told("table", F.col("of_table")), *told("run", ~F.col("of_table")))
+    both = groups.select(*KEY, *[c for n in ("table", "run") for c in (
+        F.when(F.col(f"in_{n}"), F.array_join(F.array_sort(f"{n}_set"), ",")).alias(f"{n}_status"), (F.size(f"{n}_set") > 1).alias(f"{n}_many"), F.col(f"{n}_odd"))])
     mine, theirs = F.col("table_status"), F.col("run_status")
     kind = (
         F.when(mine.isNull(), "run-only").when(F.col("table_odd"), "status-unrecognised").when(F.col("table_many"), "ambiguous-table")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import scalars as S
 from claimloom.functions.ordering import numbered
-from claimloom.functions.storage import stored
+from claimloom.functions.storage import names, stored
 from claimloom.operators import audit, conflicts, facts as K, graph, merge, records, text_search
 from claimloom.plans.registry import query
 from claimloom.plans.triples import ATTRIBUTES, ENGINE_SQL, FACTS, IN_ATTRIBUTES, SINGLE_VALUED, TRADES, facts, table, trades
@@ -473,8 +473,8 @@ DECIDED = "('confirmed','accepted','superseded')"
     WHEN t.status IN {DECIDED} AND r.status IN {DECIDED} THEN 'both-decided' WHEN r.status IN {DECIDED} THEN 'table-pending-run-decided' ELSE 'both-pending' END AS class
   FROM t FULL JOIN r USING (subject, relation, object, file)""")
 def J15_reconciliation(spark, sf_dir):
-    rows = stored(facts(spark, sf_dir), "facts")
-    runs = merge.keyed(rows).join(_known(spark, sf_dir, rows), "file", "left_semi").drop("file")
+    rows = facts(spark, sf_dir)
+    runs = merge.keyed(rows).join(names(_known(spark, sf_dir, rows), "known"), "file", "left_semi")
     digit = F.right("confidence", F.lit(1))
     ruled = rows.where("confidence >= '0.30'").withColumn("status", F.when(digit == "0", "superseded").when(digit == "1", "confirmed").when(digit == "2", "needs_review").when(digit == "3", "weird").otherwise(F.col("status")))
     return merge.reconciliation(ruled, runs).select(*merge.KEY, "class")

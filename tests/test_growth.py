@@ -241,3 +241,15 @@ def test_lost_claims_need_each_side_once(spark):
     """The rebuilt table was made first, and then the last table was dealt out again to look for its keys."""
     shown = plan(QUERIES["J14_destroyed_decisions"](spark, "/root/testdata/sf0.001"))
     assert shown.count("Exchange hashpartitioning") == shown.count("REPARTITION_BY_NUM") == 2
+
+
+def test_table_and_runs_are_reconciled_in_one_grouping(spark):
+    """Each side was dealt out by key and status, then by key, and then both were joined."""
+    shown = plan(QUERIES["J15_reconciliation"](spark, "/root/testdata/sf0.001"))
+    assert shown.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in shown
+    table = claims(spark, ("a", "r", "o", "f#1", "weird"), ("a", "r", "o", "f#2", "accepted"), ("b", "r", "o", "f", "accepted"), ("b", "r", "o", "f#1", "candidate"), ("\xe9", "r", "o", "f", "superseded"), ("c", "r", "o", "f", "accepted"))
+    runs = claims(spark, ("é", "r", "o", "f#3", "accepted"), ("c", "r", "o", "f", "accepted"), ("c", "r", "o", "f#1", "candidate"), ("d", "r", "o", "g", "weird"))
+    got = merge.reconciliation(table, merge.keyed(runs)).select("subject", "table_status", "run_status", "class").collect()
+    assert {r.subject: tuple(r)[1:] for r in got} == {
+        "a": ("accepted,weird", None, "status-unrecognised"), "b": ("accepted,candidate", None, "ambiguous-table"), "\xe9": ("superseded", "accepted", "repair"),
+        "c": ("accepted", "accepted,candidate", "runs-disagree"), "d": (None, "weird", "run-only")}
