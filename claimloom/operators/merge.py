@@ -30,8 +30,9 @@ def keyed(claims: DataFrame) -> DataFrame:
 
 
 def placed(rows: DataFrame, like: DataFrame) -> DataFrame:
-    """Keyed rows dealt out by ``BY`` in parts of the size of ``like``: what is grouped or joined by it from then on stays where it is."""
-    return dealt(rows.withColumn("_key", F.xxhash64(*KEY)), BY, like, SHARE)
+    """Keyed rows dealt out by ``BY`` in parts of the size of ``like``: what is grouped or joined by it from then on stays where it is. The hash is not shuffled."""
+    key = F.xxhash64(*KEY)
+    return dealt(rows, [key, *KEY], like, SHARE).withColumn("_key", key)
 
 
 def per_file(claims: DataFrame) -> DataFrame:
